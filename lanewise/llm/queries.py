@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lanewise.llm import decontaminate, quality_knn, quality_rules, tokens, toxicity, warc
+from lanewise.llm import chat, decontaminate, quality_knn, quality_rules, sentencepiece_scan, tokens, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_chat_formatting": chat.op2_chat_formatting,
+    "op3_sentencepiece": sentencepiece_scan.op3_sentencepiece,
     "op4_token_counts": tokens.op4_token_counts,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_decontamination": decontaminate.op7_decontamination,
