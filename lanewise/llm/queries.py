@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from lanewise.llm import chat, decontaminate, quality_knn, quality_rules, sentencepiece_scan, tokens, toxicity, warc
+from lanewise.llm import chat, decontaminate, jaccard_join, quality_knn, quality_rules, sentencepiece_scan, tokens, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_chat_formatting": chat.op2_chat_formatting,
     "op3_sentencepiece": sentencepiece_scan.op3_sentencepiece,
     "op4_token_counts": tokens.op4_token_counts,
+    "op5_ngram_jaccard_join": jaccard_join.op5_ngram_jaccard_join,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality_classifier": quality_knn.op10_quality_classifier,
 }
-SQL = {"op1_warc": warc.OP1_SQL, "op6_quality_rules": quality_rules.OP6_SQL, "op7_decontamination": decontaminate.OP7_SQL}
+SQL = {"op1_warc": warc.OP1_SQL, "op5_ngram_jaccard_join": jaccard_join.OP5_SQL, "op6_quality_rules": quality_rules.OP6_SQL, "op7_decontamination": decontaminate.OP7_SQL}
