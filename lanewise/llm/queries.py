@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lanewise.llm import chat, decontaminate, jaccard_join, quality_knn, quality_rules, sentencepiece_scan, tokens, toxicity, warc
+from lanewise.llm import chat, decontaminate, jaccard_join, quality_knn, quality_rules, sentencepiece_scan, suffix_dedup, tokens, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_ngram_jaccard_join": jaccard_join.op5_ngram_jaccard_join,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_decontamination": decontaminate.op7_decontamination,
+    "op8_suffix_array_dedup": suffix_dedup.op8_suffix_array_dedup,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality_classifier": quality_knn.op10_quality_classifier,
 }
