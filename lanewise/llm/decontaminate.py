@@ -6,11 +6,10 @@ import hashlib
 
 import ahocorasick
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import arrow_map, bounded_batches, stage, table
+from lanewise.llm.common import bounded_batches, stage, table
 
 WINDOW = 10
 #: Bytes of benchmark text in one automaton (it takes about 60 times that in memory).
@@ -78,50 +77,45 @@ def _slices(bench: DataFrame, limit: int) -> list[list[tuple[int, str]]]:
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (sorted as strings), spans of each row of ``docs``.
+    """All columns of ``docs`` and five more, which replace columns of their name:
 
-    A window is ``window`` consecutive words of an item; shorter items are one window. spans
-    are the hit runs as [start, end) byte offsets of the original UTF-8 text. Null and empty
-    texts have no words; null item texts and empty benchmarks hit nothing; items with a null
-    id hit words but are not listed; repeated rows of either table do not matter; other
-    columns are ignored.
+    n_words, n_hit, n_items, items (ids sorted as strings) and spans. A window is ``window``
+    consecutive words of an item; shorter items are one window. spans are the hit runs as
+    [start, stop) byte offsets of the original UTF-8 text. Null and empty texts have no
+    words; null item texts and empty benchmarks hit nothing; items with a null id hit words
+    but are not listed; repeated rows of either table do not matter.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, text_md5 string, n_words long, hit_words array<int>, items array<string>, spans array<struct<start:long,stop:long>>"
-    source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.md5(F.coalesce("text", F.lit(""))).alias("m"))
+    added = ["n_words", "n_hit", "n_items", "items", "spans"]
+    plain = [c for c in docs.columns if c not in (*added, "_found")]
+    schema = "n_words bigint, hit array<int>, items array<string>, spans array<struct<start:bigint,stop:bigint>>"
 
-    def scan(items: list[tuple[int, str]]) -> DataFrame:
+    def scan(items: list[tuple[int, str]]):
         auto = spark.sparkContext.broadcast(_automaton(items, window))
 
-        def rows(batch: pa.RecordBatch) -> dict:
-            n, hit, ids, spans = [], [], [], []
-            for t in batch.column(1).to_pylist():
-                words, mask, found, at = find_windows(t.encode(), auto.value)
-                n.append(words)
-                hit.append(np.flatnonzero(mask).tolist())
-                ids.append(sorted(str(x) for x in found if x is not None))
-                spans.append([{"start": a, "stop": b} for a, b in at])
-            return {"doc_id": batch.column(0), "text_md5": batch.column(2), "n_words": n, "hit_words": hit, "items": ids, "spans": spans}
+        @F.pandas_udf(schema)
+        def found(texts):
+            import pandas as pd
 
-        return arrow_map(source, schema, rows)
+            rows = [find_windows(t.encode(), auto.value) for t in texts]
+            return pd.DataFrame({"n_words": [r[0] for r in rows], "hit": [np.flatnonzero(r[1]) for r in rows], "items": [sorted(str(x) for x in r[2] if x is not None) for r in rows], "spans": [[{"start": a, "stop": b} for a, b in r[3]] for r in rows]})
+
+        return found(F.coalesce("text", F.lit("")))
 
     parts = _slices(bench, max_bytes)
-    found = scan(parts[0])
-    if len(parts) > 1:  # rows that repeat id and text have equal results, so a pair is one row until the end
-        pairs = source.groupBy("doc_id", F.col("m").alias("text_md5")).agg(F.count("*").alias("copies"))
-        for part in parts[1:]:
-            found = found.unionByName(scan(part))
-        found = found.dropDuplicates(["doc_id", "text_md5", "hit_words", "items"])
-        found = found.groupBy("doc_id", "text_md5").agg(F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
-        found = stage(found.alias("f").join(pairs.alias("p"), F.expr("f.doc_id <=> p.doc_id AND f.text_md5 = p.text_md5")).select("f.*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy"), "hits")
-    return found.select("doc_id", "n_words", F.size("hit_words").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans")
+    out = docs.select(*plain, scan(parts[0]).alias("_found"))
+    for part in parts[1:]:  # staged, so that a worker holds one automaton at a time
+        out = stage(out, "hits").withColumn("_more", scan(part))
+        union = lambda f: F.array_sort(F.array_union(f"_found.{f}", f"_more.{f}")).alias(f)
+        out = out.withColumn("_found", F.struct(F.col("_found.n_words").alias("n_words"), union("hit"), union("items"), union("spans"))).drop("_more")
+    count = lambda f: F.size(f"_found.{f}").cast("long")
+    return out.select(*plain, "_found.n_words", count("hit").alias("n_hit"), count("items").alias("n_items"), "_found.items", "_found.spans")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` against all ``benchmark`` items."""
-    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 

@@ -264,9 +264,10 @@ def covered(data: bytes, marks: np.ndarray | None, length: int) -> tuple[bytes,
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """All columns of ``docs`` (doc_id, text and others) and two more, which replace columns of their name:
+    """All columns of ``docs`` (doc_id, text and others) and three more, which replace columns of their name:
 
-    kept (the remaining bytes) and spans (the removed runs, as offsets of the UTF-8 text).
+    kept (the remaining bytes), kept_text (these as text, without characters that a cut
+    halves) and spans (the removed runs, as offsets of the UTF-8 text).
     Strings are judged on the texts as given. Null texts are empty. Rows with a null doc_id
     have no place in the order: nothing is removed from them or because of them. Rows that
     share a doc_id remove nothing from each other. An empty table gives no rows.
@@ -275,15 +276,16 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     bounded_batches(spark, 2048)
     marks = repeated_strings(docs, length)
 
-    @F.pandas_udf("kept binary, spans array<struct<start:bigint,stop:bigint>>")
+    @F.pandas_udf("kept binary, kept_text string, spans array<struct<start:bigint,stop:bigint>>")
     def cut(text, marks):
         import pandas as pd
 
         rows = [covered(t.encode(), m, length) for t, m in zip(text, marks, strict=True)]
-        return pd.DataFrame({"kept": [k for k, _ in rows], "spans": [[{"start": a, "stop": b} for a, b in s] for _, s in rows]})
+        return pd.DataFrame({"kept": [k for k, _ in rows], "kept_text": [k.decode("utf-8", "ignore") for k, _ in rows], "spans": [[{"start": a, "stop": b} for a, b in s] for _, s in rows]})
 
-    joined = docs.drop("kept", "spans").join(marks.select(F.col("doc").alias("doc_id"), F.col("marks").alias("_marks")), "doc_id", "left")
-    return joined.withColumn("_cut", cut(F.coalesce("text", F.lit("")), "_marks")).select(*[c for c in docs.columns if c not in ("kept", "spans")], "_cut.kept", "_cut.spans")
+    added = ("kept", "kept_text", "spans")
+    joined = docs.drop(*added).join(marks.select(F.col("doc").alias("doc_id"), F.col("marks").alias("_marks")), "doc_id", "left")
+    return joined.withColumn("_cut", cut(F.coalesce("text", F.lit("")), "_marks")).select(*[c for c in docs.columns if c not in added], "_cut.*")
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
