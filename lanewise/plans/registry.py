@@ -1,4 +1,116 @@
-"""The library's queries and their SQL, by name."""
+"""The library's queries on the events table, and their SQL, by name."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lanewise.functions.labels import enrich
+from lanewise.operators import discovery, evolution, flow, graph, metrics, redesign, summary
+from lanewise.plans.oracle import SQL
+from lanewise.sources.board_log import from_events
+
+__all__ = ["QUERIES", "SQL"]
+
+HOURS_3 = 3 * redesign.HOUR
+
+
+class _Log:
+    """What queries start from; each is made when it is asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.log = from_events(spark, sf_dir)
+        self.rich = enrich(self.log)
+
+    @property
+    def redesigns(self) -> DataFrame:
+        return redesign.detect_redesign(self.rich, HOURS_3)
+
+    @property
+    def intervals(self) -> DataFrame:
+        return redesign.stable_intervals(self.log, self.redesigns)
+
+    @property
+    def evolution(self) -> DataFrame:
+        return evolution.list_evolution(self.rich)
+
+    def design(self) -> discovery.BoardDesign:
+        return discovery.board_discovery(self.rich, sp_threshold=0.05)
+
+
+def joined(df: DataFrame, column: str) -> DataFrame:
+    """An array as a string; a null in it as <null>."""
+    return df.withColumn(column, F.array_join(column, "|", "<null>"))
+
+
+def _labels(*columns: str) -> Callable[[_Log], DataFrame]:
+    return lambda x: x.rich.select("board_id", "id", *columns)
+
+
+_ON_LOG: dict[str, Callable[[_Log], DataFrame]] = {
+    "enrich": _labels("l", "c", "list_comb", "list_before_comb", "list_after_comb"),
+    "label_list_events": _labels("l"),
+    "label_card_events": _labels("c"),
+    "list_comb": _labels("list_comb"),
+    "board_summary": lambda x: summary.board_summary(x.log),
+    "first_event_type": lambda x: summary.board_summary(x.log).select("board_id", "first_type"),
+    "events_per_member": lambda x: summary.events_per_member(x.log),
+    "type_histogram": lambda x: summary.type_histogram(x.log),
+    "card_percentages": lambda x: summary.card_percentages(x.log),
+    "list_names": lambda x: joined(summary.list_names(x.log), "names"),
+    "list_name_map": lambda x: summary.list_name_map(x.log),
+    "comb_collision": lambda x: summary.comb_collision(x.log),
+    "first_type_counts": lambda x: summary.first_type_counts(x.log),
+    "board_selection": lambda x: summary.board_selection(x.log, 300, 7, None),
+    "list_evolution": lambda x: joined(x.evolution, "names"),
+    "list_evolution_filtered": lambda x: joined(evolution.list_evolution(x.rich, 25 * 86400), "names"),
+    "board_evolution": lambda x: evolution.board_evolution(x.log),
+    "board_evolution_of_list": lambda x: evolution.board_evolution(x.log, 10, "L2"),
+    "board_evolution_by_list": lambda x: evolution.board_evolution_by_list(x.log, "card_action"),
+    "daily_card_activity": lambda x: evolution.daily_card_activity(x.rich),
+    "card_activity": lambda x: evolution.card_activity(x.rich, ["card_create", "card_close"]),
+    "redesigns": lambda x: x.redesigns,
+    "redesigns_by_count": lambda x: redesign.detect_redesign(x.rich, fewer_than=400),
+    "redesigns_of_class": lambda x: redesign.detect_redesign(x.rich, HOURS_3, "list_create"),
+    "redesigns_min_events": lambda x: redesign.detect_redesign(x.rich, HOURS_3, more_than=1),
+    "stable_intervals": lambda x: x.intervals,
+    "redesign_distance": lambda x: redesign.redesign_distance(x.log, x.redesigns),
+    "relative_gaps": lambda x: redesign.relative_gaps(x.log, x.redesigns),
+    "gap_mean_of_means": lambda x: redesign.gap_mean_of_means(redesign.relative_gaps(x.log, x.redesigns)),
+    "interval_slice": lambda x: redesign.interval_slice(x.log, x.intervals, 2).select("board_id", "id", "type", "date"),
+    "lifetime_deciles": lambda x: redesign.lifetime_deciles(x.log, x.redesigns),
+    "redesign_histogram": lambda x: redesign.redesign_histogram(x.redesigns),
+    "transitions": lambda x: flow.transitions(x.rich),
+    "transitions_by_id": lambda x: flow.transitions(x.rich, "id"),
+    "transitions_by_comb": lambda x: flow.transitions(x.rich, "comb"),
+    "transitions_pivot": lambda x: flow.transitions_pivot(x.rich, ["L0", "L1", "L2", "L3"]),
+    "semantic_precedence": lambda x: flow.semantic_precedence(x.rich, "id", 0.05),
+    "create_lists": lambda x: flow.card_action_list(x.rich, "card_create"),
+    "close_lists": lambda x: flow.card_action_list(x.rich, "card_close"),
+    "use_lists": lambda x: flow.card_action_list(x.rich, "card_act", threshold=20),
+    "event_log": lambda x: flow.event_log(x.rich),
+    "moves_per_list": lambda x: flow.moves_per_list(x.rich),
+    "components": lambda x: joined(graph.connected_lists(x.rich), "members"),
+    "components_by_comb": lambda x: joined(graph.connected_lists(x.rich, "comb"), "members"),
+    "components_threshold": lambda x: joined(graph.connected_lists(x.rich, "id", 55), "members"),
+    "design_lists": lambda x: x.design().lists,
+    "design_card_flow": lambda x: joined(x.design().card_flow, "members"),
+    "design_precedence": lambda x: x.design().semantic_precedence,
+    "move_metrics": lambda x: metrics.move_metrics(x.rich),
+    "act_metrics": lambda x: metrics.act_metrics(x.rich),
+    "close_metrics": lambda x: metrics.close_metrics(x.rich),
+    "connected_metrics": lambda x: metrics.connected_metrics(x.rich),
+    "redesign_metrics": lambda x: metrics.redesign_metrics(x.log, x.redesigns),
+    "list_evolution_metrics": lambda x: metrics.list_evolution_metrics(x.log, x.evolution),
+    "static_metrics": lambda x: metrics.static_metrics(x.rich),
+    "static_metrics_by_interval": lambda x: metrics.static_metrics_by_interval(x.rich, x.intervals),
+}
+
+
+def _query(make: Callable[[_Log], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: make(_Log(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(make) for name, make in _ON_LOG.items()}
