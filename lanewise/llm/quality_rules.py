@@ -23,15 +23,16 @@ def _letters(text: Column) -> Column:
     return F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
 
 
-RULES: dict[str, Column] = {
-    "symbols_per_word": F.col("n_symbols") > 0.3 * F.col("n_words"),
-    "mean_word_length": ~F.col("word_chars").between(2 * F.col("n_words"), 20 * F.col("n_words")),
-    "repeated_lines": F.col("n_dup_lines") > 0.3 * F.col("n_lines"),
-    "capitals": F.length(F.regexp_replace("text", r"[^\p{Lu}]+", "")) > 0.5 * _letters(F.col("text")),
-    "few_letters": _letters(F.col("text")) < 0.6 * F.col("word_chars"),
-    "one_word_repeated": F.size(F.array_distinct("words")) < 0.1 * F.least(F.col("n_words"), F.lit(500)),
-    "exclamations": F.length("text") - F.length(F.translate("text", "!", "")) > 0.3 * F.col("n_words"),
-}
+def default_rules() -> dict[str, Column]:
+    return {
+        "symbols_per_word": F.col("n_symbols") > 0.3 * F.col("n_words"),
+        "mean_word_length": ~F.col("word_chars").between(2 * F.col("n_words"), 20 * F.col("n_words")),
+        "repeated_lines": F.col("n_dup_lines") > 0.3 * F.col("n_lines"),
+        "capitals": F.length(F.regexp_replace("text", r"[^\p{Lu}]+", "")) > 0.5 * _letters(F.col("text")),
+        "few_letters": _letters(F.col("text")) < 0.6 * F.col("word_chars"),
+        "one_word_repeated": F.size(F.array_distinct("words")) < 0.1 * F.least(F.col("n_words"), F.lit(500)),
+        "exclamations": F.length("text") - F.length(F.translate("text", "!", "")) > 0.3 * F.col("n_words"),
+    }
 
 
 def base_columns(docs: DataFrame) -> DataFrame:
@@ -96,7 +97,7 @@ def quality_cascade(docs: DataFrame, rules: dict[str, Column] | None = None) ->
     Null texts have no words and fail the base check; an empty table gives no rows;
     repeated rows are judged one by one; other columns of ``docs`` are ignored.
     """
-    rules = RULES if rules is None else rules
+    rules = default_rules() if rules is None else rules
     base = base_columns(docs)
     names = order(estimate(base_columns(docs), rules))
     kept = F.when(F.col("base_failed"), False)
