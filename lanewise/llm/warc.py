@@ -207,7 +207,7 @@ def _payloads(spark: SparkSession, path: str, records: DataFrame, nodes: DataFra
     # each segment belongs to the last reachable record that starts at or before it
     tagged = base.select("file", "block", "local").unionByName(starts.select("file", F.lit(None).cast("long").alias("block"), F.col("start").alias("local")).withColumn("start", F.col("local")), allowMissingColumns=True)
     by_file = Window.partitionBy("file").orderBy("local", F.col("start").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    owner = tagged.withColumn("start", F.last("start", ignorenulls=True).over(by_file)).filter("block IS NOT NULL").join(starts, ["file", "start"]).filter("local < stop").select("file", "block", "local", "start")
+    owner = tagged.withColumn("start", F.last("start", ignorenulls=True).over(by_file)).filter("block IS NOT NULL").join(starts, ["file", "start"]).filter(F.col("local") - len(MAGIC) < F.col("stop")).select("file", "block", "local", "start")
     lowest = nodes.groupBy("file", "block").agg(F.min("local").alias("base"))
     owner = owner.join(lowest, ["file", "block"]).withColumn("local0", F.col("local") - F.col("base"))
     pieces = placed.join(owner, ["file", "block", "local0"]).groupBy("file", F.col("start").alias("local")).agg(F.array_sort(F.collect_list(F.struct("local", "bytes"))).alias("pieces"))
