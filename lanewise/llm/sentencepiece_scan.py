@@ -210,7 +210,7 @@ def decode(encoded: DataFrame, model: str = DEFAULT_MODEL, out: str = "decoded")
         import pandas as pd
 
         m = pieces(model)
-        return pd.Series([None if x is None else m.decode(x.tolist()) for x in ids])
+        return pd.Series([None if x is None else m.decode(np.asarray(x).tolist()) for x in ids])
 
     return encoded.withColumn(out, text("ids"))
 
@@ -223,7 +223,8 @@ def digest(encoded: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
         import pandas as pd
 
         m = pieces(model)
-        rows = [(len(x), hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest(), m.decode(x.tolist()) == t) for x, t in zip(ids, text, strict=True)]
+        lists = [np.asarray(x).tolist() for x in ids]
+        rows = [(len(x), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest(), m.decode(x) == t) for x, t in zip(lists, text, strict=True)]
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "round_trip"])
 
     return encoded.withColumn("d", summary("ids", F.coalesce("text", F.lit("")))).select("*", "d.*").drop("d")
