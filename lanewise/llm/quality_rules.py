@@ -68,12 +68,12 @@ def _repeats(windows: Column) -> Column:
     return F.when(some, F.get(F.transform(F.array(pairs), covered), F.lit(0))).otherwise(0)
 
 
-def estimate(base: DataFrame, rules: dict[str, Column], rows: int = SAMPLE_ROWS) -> dict[str, tuple[float, float]]:
+def estimate(docs: DataFrame, rules: dict[str, Column], rows: int = SAMPLE_ROWS) -> dict[str, tuple[float, float]]:
     """Seconds and share rejected of each rule, over a sample of about ``rows`` rows."""
-    total = base.count()
+    total = docs.count()
     if not total:
         return dict.fromkeys(rules, (1.0, 0.0))
-    sample = base.sample(min(1.0, rows / total), seed=7).cache()
+    sample = base_columns(docs.sample(min(1.0, rows / total), seed=7)).cache()
     n = max(1, sample.count())
     found = {}
     for name, rule in rules.items():
@@ -99,7 +99,7 @@ def quality_cascade(docs: DataFrame, rules: dict[str, Column] | None = None) ->
     """
     rules = default_rules() if rules is None else rules
     base = base_columns(docs)
-    names = order(estimate(base_columns(docs), rules))
+    names = order(estimate(docs, rules))
     kept = F.when(F.col("base_failed"), False)
     for name in names:
         kept = kept.when(rules[name], False)
