@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import bounded_batches, partitions, release, stage, table
+from lanewise.llm.common import bounded_batches, discard, partitions, release, stage, table
 
 LENGTH = 50
 PREFIX = 20
@@ -240,13 +240,14 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     rows = source.join(shared, "doc").select("doc", "text", "ranks").mapInArrow(_stretch_ranks(length), "h long, c long, doc long, tag long, s long, e long")
     settled = rows.repartition(n, "h").sortWithinPartitions("h", "c", "doc").mapInArrow(_settle, "settled boolean, doc long, tag long, h long, s long, e long")
     settled = stage(settled, "settled")
+    discard(shared)
     release(spark)
     left = settled.filter("NOT settled").groupBy("doc").agg(F.flatten(F.collect_list(F.array("tag", "h", "s", "e"))).alias("marks"))
     contexts = source.join(left, "doc").select("doc", "text", "marks").mapInArrow(_contexts(length), "h long, doc long, tag long, s long, bytes binary")
     compared = stage(contexts.repartition(n, "h").sortWithinPartitions("h", "doc").mapInArrow(_compare(length), "doc long, tag long, s long, e long"), "compared")
     release(spark)
     marks = settled.filter("settled").select("doc", "tag", "s", "e").unionByName(compared)
-    return stage(marks.groupBy("doc").agg(F.flatten(F.collect_list(F.array("tag", "s", "e"))).alias("marks")), "marks")
+    return marks.groupBy("doc").agg(F.flatten(F.collect_list(F.array("tag", "s", "e"))).alias("marks"))
 
 
 def covered(data: bytes, marks: np.ndarray | None, length: int) -> tuple[bytes, list[tuple[int, int]]]:
