@@ -50,22 +50,27 @@ def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 def fit(sample: DataFrame):
     """idf, projection, unit vectors and labels of the sample; None if it is empty."""
-    kind = f"doc_id {dict(sample.dtypes)['doc_id']}, y int, x binary"
+    kind = f"doc_id {dict(sample.dtypes)['doc_id']}, y int, at binary, n binary"
 
     def rows(batch: pa.RecordBatch) -> dict:
         x = term_counts(batch.column(2).to_pylist())
-        return {"doc_id": batch.column(0), "y": batch.column(1), "x": [v.tobytes() for v in x]}
+        at = [np.flatnonzero(v).astype(np.uint16) for v in x]
+        return {"doc_id": batch.column(0), "y": batch.column(1), "at": [k.tobytes() for k in at], "n": [v[k].tobytes() for v, k in zip(x, at, strict=True)]}
 
     found = arrow_map(sample.select("doc_id", "y", "text"), kind, rows).dropDuplicates(["doc_id"]).orderBy("doc_id")
-    counts, ys = [], []
-    for r in found.select("y", "x").toLocalIterator():
-        counts.append(np.frombuffer(r["x"], np.float32))
+    sparse, ys = [], []  # a few hundred of the terms occur in a text
+    for r in found.select("y", "at", "n").toLocalIterator():
+        sparse.append((bytes(r["at"]), bytes(r["n"])))
         ys.append(r["y"])
     if not ys:
         return None
-    x = np.stack(counts)
+    x = np.zeros((len(ys), BUCKETS + EXTRA), np.float32)
+    for row, (at, n) in zip(x, sparse, strict=True):
+        row[np.frombuffer(at, np.uint16)] = np.frombuffer(n, np.float32)
+    del sparse
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
-    x = weigh(x, idf)
+    for at in range(0, len(x), 256):
+        x[at : at + 256] = weigh(x[at : at + 256], idf)
     values, vectors = np.linalg.eigh(x.T @ x)  # right singular vectors of the term matrix
     basis = vectors[:, ::-1][:, :DIMS].astype(np.float32)
     latent = x @ basis
