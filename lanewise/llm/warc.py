@@ -9,6 +9,8 @@ task emits its candidates with the offset of their successor (from Content-Lengt
 are first followed inside a split; then pointer jumping over splits, in a logarithmic
 number of joins, finds what is reachable from the start of a file. Candidates that are not
 reachable (magic inside payloads) are dropped, and the payloads they cut are put together.
+A header runs to its blank line, however far: a line of it that ends like the magic (a url,
+say) makes a candidate too, and the header goes on behind it, over the edge of a split as well.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import as_batch, bounded_batches, fresh_path, stage, table, to_arrow
+from lanewise.llm.common import as_batch, bounded_batches, discard, fresh_path, stage, table, to_arrow
 
 MAGIC = "WARC/1.1\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -35,6 +37,9 @@ SEGMENT = (
     "whole boolean, header_bytes long, content_bytes long, record_type string, record_id string, refers_to string, "
     "target_uri string, content_type string, payload_bytes long, payload_digest string"
 )
+#: Of a header that its split leaves open, and (in the first row) of the bytes of a split up to its first blank line.
+EDGE = "open boolean, lead_bytes long, lead_closed boolean, lead map<string,string>"
+FIELD = re.compile(rb"(?im)^(content-length|content-type|warc-type|warc-record-id|warc-refers-to|warc-target-uri):[ \t]*(.*?)\r?$")
 
 
 def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", min_revisit: int = 100) -> None:
@@ -79,14 +84,23 @@ def _segments(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("value").cast("binary").alias("bytes"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
 
 
-def _header(data: bytes) -> tuple[int, dict[str, str]] | None:
-    """Length with the blank line, and the fields; None if it is no record header."""
-    end = data.find(b"\r\n\r\n", 0, 65536)
-    if end < 0:
-        return None
-    fields = dict(re.findall(r"(?m)^([\w-]+):[ \t]*(.*?)\r?$", data[:end].decode("utf-8", "replace")))
-    fields = {k.lower(): v for k, v in fields.items()}
-    return (end + 4, fields) if fields.get("content-length", "").isdecimal() else None
+def _fields(data: bytes, end: int) -> dict[str, str]:
+    """The header fields before ``end``, or (-1) of all lines, the last of which ends in the magic behind ``data``."""
+    out = {}
+    for m in FIELD.finditer(data, 0, len(data) if end < 0 else end):
+        value = data[m.start(2) :] + MAGIC.encode()[:-2] if end < 0 and m.end() == len(data) else m[2]
+        out[m[1].decode().lower()] = value.decode("utf-8", "replace")
+    return out
+
+
+def _header(row: dict, size: int, h: dict[str, str]) -> bool:
+    """Fill in a record header of ``size`` bytes with the blank line; False if it is none."""
+    length = h.get("content-length", "")
+    if not length.isdecimal() or len(length) > 18:
+        return False
+    n = int(length)
+    row |= {"header_bytes": size, "content_bytes": n, "succ": row["local"] + size + n + 4 + len(MAGIC), "whole": False, "content_type": h.get("content-type"), "record_type": h.get("warc-type"), "record_id": h.get("warc-record-id"), "refers_to": h.get("warc-refers-to"), "target_uri": h.get("warc-target-uri")}
+    return True
 
 
 def payload(content: bytes, content_type: str | None) -> bytes:
@@ -117,11 +131,29 @@ def _chain(part: list[dict], end: int) -> None:
         free[k] = r["tin"] + 1
 
 
-def _candidates(schema: pa.Schema):
+def _candidates(schema: pa.Schema, behind: dict[tuple, tuple[int, dict]]):
+    """``behind``: for splits that leave a header open, size and fields of its rest."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, part, pos = None, [], 0
+        waiting: list[tuple[dict, dict, bool]] = []  # rows whose blank line is yet to come, fields of their segment, whether for the lead
+
+        def settle(stop: int, h: dict, closed: bool = True) -> None:
+            for row, own, lead in reversed(waiting):
+                h = own | h
+                if lead:
+                    row |= {"lead_bytes": stop, "lead_closed": closed, "lead": list(h.items())}
+                elif closed:
+                    _header(row, stop - row["local"], h)
+                else:
+                    row["open"] = True
+            waiting.clear()
 
         def flush() -> pa.RecordBatch:
+            if key in behind:
+                size, h = behind[key]
+                settle(pos + size, h)
+            settle(pos, {}, False)
             _chain(part, pos)
             return as_batch({f.name: [r.get(f.name) for r in part] for f in schema}, schema)
 
@@ -132,13 +164,20 @@ def _candidates(schema: pa.Schema):
                         yield flush()
                     key, part, pos = (file, block), [], 0
                 row = {"file": file, "block": block, "local": pos, "size": len(data) + len(MAGIC), "candidate": not (block == 0 and pos == 0), "succ": None}
-                if row["candidate"] and (found := _header(data)):
-                    head, h = found
-                    n, kind = int(h["content-length"]), h.get("content-type")
-                    row |= {"header_bytes": head, "content_bytes": n, "succ": pos + head + n + 4 + len(MAGIC), "whole": head + n <= len(data), "content_type": kind, "record_type": h.get("warc-type"), "record_id": h.get("warc-record-id"), "refers_to": h.get("warc-refers-to"), "target_uri": h.get("warc-target-uri")}
-                    if row["whole"]:
-                        own = payload(data[head : head + n], kind)
-                        row |= {"payload_bytes": len(own), "payload_digest": hashlib.sha256(own).hexdigest()}
+                if row["candidate"]:
+                    if pos == 0:
+                        waiting.append((row, {}, True))
+                    end = data.find(b"\r\n\r\n")
+                    h = _fields(data, end)
+                    if data.startswith(b"\r\n"):  # the blank line follows a line that ends like the magic
+                        settle(pos + 2, {})
+                    elif end >= 0:
+                        settle(pos + end + 4, h)
+                    if end < 0:
+                        waiting.append((row, h, False))
+                    elif _header(row, end + 4, h) and end + 4 + row["content_bytes"] <= len(data):
+                        own = payload(data[end + 4 : end + 4 + row["content_bytes"]], row["content_type"])
+                        row |= {"whole": True, "payload_bytes": len(own), "payload_digest": hashlib.sha256(own).hexdigest()}
                 part.append(row)
                 pos += row["size"]
         if part:
@@ -147,6 +186,29 @@ def _candidates(schema: pa.Schema):
     return run
 
 
+def _behind(found: DataFrame) -> dict[tuple, tuple[int, dict]]:
+    """For each split that leaves a header open: size and fields of what follows up to the blank line."""
+    left = {(r["file"], r["block"]) for r in found.filter("open").select("file", "block").distinct().collect()}
+    if not left:
+        return {}
+    files = found.filter("open").select("file").distinct()
+    edges = found.filter("lead IS NOT NULL").join(files, "file", "left_semi").select("file", "block", "lead_bytes", "lead_closed", "lead").collect()
+    edges.sort(key=lambda r: (r["file"], r["block"]), reverse=True)
+    out, rest = {}, None
+    for r, before in zip(edges, [*edges[1:], None], strict=True):
+        if r["lead_closed"]:
+            rest = (r["lead_bytes"], r["lead"])
+        elif rest:
+            rest = (r["lead_bytes"] + rest[0], r["lead"] | rest[1])
+        same = before is not None and before["file"] == r["file"]
+        at = (r["file"], before["block"] if same else 0)
+        if rest and at in left:
+            out[at] = rest
+        if not same:
+            rest = None
+    return out
+
+
 def read_archives(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
     """The records of WARC/1.1 files (plain, or gzipped whole or by record) under ``path``.
 
@@ -156,7 +218,13 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
     last record that is whole; empty files give no rows.
     """
     bounded_batches(spark, 256)
-    found = stage(_segments(spark, path).mapInArrow(_candidates(to_arrow(spark, SEGMENT)), SEGMENT), "segments")
+    schema = f"{SEGMENT}, {EDGE}"
+    segments = lambda behind: stage(_segments(spark, path).mapInArrow(_candidates(to_arrow(spark, schema), behind), schema), "segments")
+    found = segments({})
+    if behind := _behind(found):
+        discard(found)
+        found = segments(behind)
+    found = found.drop("open", "lead_bytes", "lead_closed", "lead")
     by_file = Window.partitionBy("file").orderBy("block")
     splits = found.groupBy("file", "block").agg(F.sum("size").alias("bytes"))
     splits = stage(splits.select("file", "block", F.coalesce(F.sum("bytes").over(by_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.sum("bytes").over(Window.partitionBy("file")).alias("total"), F.count("*").over(Window.partitionBy("file")).alias("n_splits")), "splits")

@@ -63,6 +63,26 @@ def test_warc_damaged_and_empty(spark, tmp_path):
     assert warc.resolve_revisits(warc.read_archives(spark, str(tmp_path / "none"))).count() == 0
 
 
+def test_warc_headers_run_on(spark, tmp_path):
+    odd = ["v" * 100_000, "http://x/WARC/1.1", "WARC/1.1", "http://x/WARC/1.1 WARC/1.1", "u"]
+    rows = [(k, odd[k] if k < 5 else f"http://x/{k % 7 * 'y'}/WARC/1.1", f"p{k}") for k in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).orderBy("page_id")
+    warc.write_archives(pages, str(tmp_path / "w"))
+    record = b"WARC/1.1\r\nContent-Length: 1\r\nWARC-Type: resource\r\nWARC-Target-URI: WARC/1.1\r\nX-Y: WARC/1.1\r\n\r\nz\r\n\r\n"
+    (tmp_path / "last").mkdir()
+    (tmp_path / "last" / "a.warc").write_bytes(record * 12)
+    try:
+        for split in ("128m", "1999", "60"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            if split != "60":
+                got = warc.read_archives(spark, str(tmp_path / "w"), with_payload=True).collect()
+                assert sorted((int(r["record_id"].split(":")[-1][:-1]), r["target_uri"], bytes(r["payload"]).decode()) for r in got) == rows
+            last = warc.read_archives(spark, str(tmp_path / "last"), with_payload=True).collect()
+            assert [(r["record_type"], r["target_uri"], bytes(r["payload"])) for r in last] == [("resource", "WARC/1.1", b"z")] * 12
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+
+
 # 2 Chat
 
 
