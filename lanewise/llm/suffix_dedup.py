@@ -13,7 +13,9 @@ and equal strings have it at the same place, so nothing is missed.
    document has the same stretch, all its strings are settled.
 3. What is left (one document for each stretch, under prefixes that several stretches
    share) is sorted by prefix rank and document once more with its bytes, and the strings
-   are compared one by one.
+   are compared one by one. Under a prefix rank with more than HOT strings doubling goes on
+   instead: each string gets its own rank, Spark sorts (prefix rank, string rank, document),
+   and only the first document of a string is held.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from lanewise.llm.common import bounded_batches, discard, partitions, release, s
 
 LENGTH = 50
 PREFIX = 20
+#: Strings under one prefix rank that a task holds at once.
+HOT = 1 << 15
 #: Bytes handled at once inside a task.
 STEP = 1 << 18
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -186,30 +190,61 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 6, (pa.bool_(), *[pa.int64()] * 5), strict=True)], names=names)
 
 
+CONTEXT = "h long, k long, doc long, tag long, s long, bytes binary"
+
+
 def _contexts(length: int):
-    """(doc, text, marks of four longs: tag, h, s, e) to (h, doc, tag, s, bytes)."""
+    """(doc, text, marks of five longs: tag, h, s, e, hot) to (h, k, doc, tag, s, bytes).
+
+    One row for each stretch, with its bytes; under a hot rank one for each string, with its rank k.
+    """
+    names = ["h", "k", "doc", "tag", "s", "bytes"]
+
+    def ranked(pieces: list[tuple]) -> pa.RecordBatch:
+        data = np.frombuffer(b"".join(p[4] for p in pieces), np.uint8)
+        size = np.array([len(p[4]) for p in pieces])
+        n = size - length + 1
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        k = prefix_hashes(data, length)[np.repeat(np.cumsum(size) - size, n) + step]
+        h, doc, tag, s = (np.repeat(np.array([p[c] for p in pieces], np.int64), n) for c in range(4))
+        return pa.RecordBatch.from_arrays([*(pa.array(x) for x in (h, k.view(np.int64), doc, tag, s + step)), pa.nulls(len(k), pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
+            pieces, held = [], 0
             for doc, text, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _lists(batch.column(2)), strict=True):
                 data = text.encode()
                 own = _tag(data)
-                out += [(h, doc, own, s, data[s : e + length]) for tag, h, s, e in marks.reshape(-1, 4).tolist() if tag == own]
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 5, types, strict=True)], names=["h", "doc", "tag", "s", "bytes"])
+                for tag, h, s, e, hot in marks.reshape(-1, 5).tolist():
+                    if tag != own:
+                        continue
+                    if not hot:
+                        out.append((h, None, doc, own, s, data[s : e + length]))
+                        continue
+                    for at in range(s, e + 1, STEP):
+                        pieces.append((h, doc, own, at, data[at : min(e, at + STEP - 1) + length]))
+                        held += len(pieces[-1][4])
+                        if held >= STEP:
+                            yield ranked(pieces)
+                            pieces, held = [], 0
+            if pieces:
+                yield ranked(pieces)
+            types = (*[pa.int64()] * 5, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 6, types, strict=True)], names=names)
 
     return run
 
 
 def _compare(length: int):
-    """Of rows sorted by (h, doc), the runs of strings that a smaller document has under the same rank."""
+    """Of rows sorted by (h, k, doc), the runs of strings that a smaller document has under the same rank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h0, seen = None, {}
+        h0, seen, held = None, {}, None
         for batch in batches:
+            ranked, rest = (batch.filter(m) for m in (batch.column(5).is_null(), batch.column(5).is_valid()))
             out: list[tuple] = []
-            for h, doc, tag, s, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for h, _, doc, tag, s, data in zip(*(c.to_pylist() for c in rest.columns), strict=True):
                 if h != h0:
                     h0, seen = h, {}
                 start = None
@@ -222,11 +257,47 @@ def _compare(length: int):
                         start = None
                 if start is not None:
                     out.append((doc, tag, s + start, s + len(data) - length))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [[]] * 4)], names=["doc", "tag", "s", "e"])
+            names = ["doc", "tag", "s", "e"]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [[]] * 4)], names=names)
+            if ranked.num_rows:
+                h, k, d, tag, s = (ranked.column(c).to_numpy() for c in range(5))
+                fresh = np.concatenate([[held is None or (h[0], k[0]) != held[:2]], (h[1:] != h[:-1]) | (k[1:] != k[:-1])])
+                group = np.cumsum(fresh)
+                first = np.concatenate([[held[2] if held else 0], d[fresh]])
+                held = (h[-1], k[-1], first[-1])
+                later = d > first[group]
+                yield pa.RecordBatch.from_arrays([pa.array(x[later]) for x in (d, tag, s, s)], names=names)
 
     return run
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of runs sorted by (doc, tag, s), those that touch as one."""
+    now = None
+    names = ["doc", "tag", "s", "e"]
+    for batch in batches:
+        out = []
+        for doc, tag, s, e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if now and now[0] == doc and now[1] == tag and s <= now[3] + 1:
+                now[3] = max(now[3], e)
+            else:
+                if now:
+                    out.append(now)
+                now = [doc, tag, s, e]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [[]] * 4)], names=names)
+    if now:
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in now], names=names)
+
+
+def contexts(source: DataFrame, settled: DataFrame, length: int) -> DataFrame:
+    """What is left to compare (h, k, doc, tag, s, bytes): no rank has more than HOT strings as bytes."""
+    open_ = settled.filter("NOT settled")
+    hot = open_.groupBy("h").agg(F.sum(F.col("e") - F.col("s") + 1).alias("n")).filter(F.col("n") > HOT).select("h", F.lit(1).cast("long").alias("hot"))
+    mark = F.array("tag", "h", "s", "e", F.coalesce("hot", F.lit(0).cast("long")))
+    left = open_.join(hot, "h", "left").groupBy("doc").agg(F.flatten(F.collect_list(mark)).alias("marks"))
+    return source.join(left, "doc").select("doc", "text", "marks").mapInArrow(_contexts(length), CONTEXT)
+
+
 def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc, marks) of documents with strings that start in a smaller one too; marks: an array
     of longs, three for each run of such strings: tag of the text, first and last start."""
@@ -242,9 +313,9 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     settled = stage(settled, "settled")
     discard(shared)
     release(spark)
-    left = settled.filter("NOT settled").groupBy("doc").agg(F.flatten(F.collect_list(F.array("tag", "h", "s", "e"))).alias("marks"))
-    contexts = source.join(left, "doc").select("doc", "text", "marks").mapInArrow(_contexts(length), "h long, doc long, tag long, s long, bytes binary")
-    compared = stage(contexts.repartition(n, "h").sortWithinPartitions("h", "doc").mapInArrow(_compare(length), "doc long, tag long, s long, e long"), "compared")
+    runs = "doc long, tag long, s long, e long"
+    compared = contexts(source, settled, length).repartition(n, "h", "k").sortWithinPartitions("h", "k", "doc").mapInArrow(_compare(length), runs)
+    compared = stage(compared.repartition(n, "doc").sortWithinPartitions("doc", "tag", "s").mapInArrow(_runs, runs), "compared")
     release(spark)
     marks = settled.filter("settled").select("doc", "tag", "s", "e").unionByName(compared)
     return marks.groupBy("doc").agg(F.flatten(F.collect_list(F.array("tag", "s", "e"))).alias("marks"))

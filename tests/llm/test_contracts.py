@@ -297,6 +297,23 @@ def test_dedup_edges(spark):
     assert suffix_dedup.suffix_dedup(frame(spark).limit(0)).count() == 0
 
 
+def test_dedup_under_a_hot_prefix(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 300, raising=False)
+    plain = suffix_dedup.stage
+    tables = {}
+    monkeypatch.setattr(suffix_dedup, "stage", lambda df, label: tables.setdefault(label, plain(df, label)))
+    head = "Copyright notice of the hot source, all"  # under 50 bytes
+    rows = [(k, f"{head} {k * 7919:x} {'z' * (k % 9)} own words {k} and {k * k}") for k in range(200)]
+    rows += [(200 + k, f"{k}{head} rights reserved, {k:03d} tail {k % 5}") for k in range(100)]
+    rows += [(400, "q" * 3000), (401, "r" + "q" * 2000 + "s" + head), (300, "q" * 60 + "t" * 60)]
+    docs = frame(spark, rows)
+    assert dedup_rows(suffix_dedup.suffix_dedup(docs)) == dedup_by_hand(rows)
+    source = docs.select(F.col("doc_id").alias("doc"), "text")
+    got = suffix_dedup.contexts(source, tables["settled"], 50)
+    held = got.filter("bytes IS NOT NULL").groupBy("h").agg(F.sum(F.octet_length("bytes") - 49).alias("n")).agg(F.max("n")).first()[0] or 0
+    assert held <= 300 and got.filter("k IS NOT NULL").groupBy("h").count().agg(F.max("count")).first()[0] > 300
+
+
 def test_stretches_cut_anywhere(monkeypatch):
     import pyarrow as pa
 
