@@ -19,7 +19,10 @@ ROLES = ("system", "user", "assistant")
 #: Fixed speaker words of a marker, by role.
 SPEAKERS = {"system": "system|sys|s", "user": "user|human|question|prompter|q", "assistant": "assistant|ai|bot|model|answer|a"}
 N_STATES = 2 * len(ROLES)
-N_OBSERVED = 4 * 2 * 2 * 2
+#: The codes of lines with text, and one for blank lines.
+N_OBSERVED = 4 * 2 * 2 * 2 + 1
+AFTER_BLANK = 4
+BLANK = r"^\s*$"
 #: Turns of a conversation in a chunk.
 CHUNK = 64
 
@@ -28,20 +31,41 @@ def marker(role: str) -> str:
     return rf"^\s*(?:#{{1,4}}\s*|\*\*|<\|)?(?i:{SPEAKERS[role]})\s*(?:\*\*\s*:|\|>|:\*\*|:|>)\s*"
 
 
-def observe(line: Column, after_blank: Column) -> Column:
-    """Code of marker (none or a role), blank line before, question, short line."""
+def observe(line: Column) -> Column:
+    """Code of marker (none or a role), question, short line, as if no blank line stood before; or of a blank line."""
     found = F.lit(0)
     for k, role in enumerate(ROLES):
         found = F.when(line.rlike(marker(role)), k + 1).otherwise(found)
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
-    return ((found * 2 + flag(after_blank)) * 2 + flag(line.rlike(r"\?\s*$"))) * 2 + flag(F.length(line) < 60)
+    return F.when(line.rlike(BLANK), N_OBSERVED - 1).otherwise((found * 4 + flag(line.rlike(r"\?\s*$"))) * 2 + flag(F.length(line) < 60))
+
+
+def split_lines(raw: DataFrame) -> DataFrame:
+    """Lines (conv_id, turn, line, text, state) of pieces of raw text (conv_id, text and, where given,
+    turn and state: of the first line of the piece; the others go on with its turn)."""
+    given = lambda c, t: (F.col(c) if c in raw.columns else F.lit(None)).cast(t).alias(c)
+    rows = raw.select("conv_id", given("turn", "long"), given("state", "int"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\r?\n")).alias("line", "text"))
+    return rows.withColumn("state", F.col("state") + F.when(F.col("line") == 0, 0).otherwise(1))
 
 
 def chunked(lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """conv_id, chunk and its lines in order, of lines (conv_id, turn, line, text, after_blank, state)."""
+    """conv_id, chunk and its lines in order, of lines (conv_id, turn, line, text, state) or of raw text, see :func:`split_lines`.
+
+    Whether a blank line stands before a line is read from the line before it, in the chunk or in the one before.
+    """
+    if "line" not in lines.columns:
+        lines = split_lines(lines)
     turn = F.coalesce("turn", F.lit(-1)).cast("long")
-    line = F.struct(turn.alias("turn"), F.col("line"), F.col("text"), observe(F.col("text"), F.col("after_blank")).cast("int").alias("seen"), F.col("state"))
-    return lines.groupBy("conv_id", F.floor(turn / chunk).alias("chunk")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    keys = ["conv_id", F.floor(turn / chunk).alias("chunk")]
+    line = F.struct(turn.alias("turn"), F.col("line"), F.col("text"), observe(F.col("text")).cast("int").alias("seen"), F.col("state"))
+    blank = lambda text: F.coalesce(text.rlike(BLANK), F.lit(False))
+    last = lines.groupBy(*keys).agg(F.max(F.struct(turn.alias("turn"), F.col("line"), blank(F.col("text")).alias("blank"), F.col("text"))).alias("last"))
+    before = last.select("conv_id", "chunk", F.coalesce(F.lag("last.blank").over(Window.partitionBy("conv_id").orderBy("chunk")), F.lit(False)).alias("after"))
+    chunks = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    joined = chunks.alias("c").join(before.alias("b"), F.expr("c.conv_id <=> b.conv_id AND c.chunk = b.chunk")).select("c.*", "after")
+    after = lambda i: F.when(i == 0, F.col("after")).otherwise(blank(F.get("lines", i - 1)["text"]))
+    seen = lambda x, i: x["seen"] + F.when((x["seen"] < N_OBSERVED - 1) & after(i), AFTER_BLANK).otherwise(0)
+    return joined.select("conv_id", "chunk", F.transform("lines", lambda x, i: x.withField("seen", seen(x, i))).alias("lines"))
 
 
 def fit(chunks: DataFrame, learn: Column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,6 +77,7 @@ def fit(chunks: DataFrame, learn: Column) -> tuple[np.ndarray, np.ndarray, np.nd
         move[[2 * k, 2 * k + 1], 2 * k + 1] = 1
         emit[2 * k, 8 * (k + 1) : 8 * (k + 2)] += 5
         emit[2 * k + 1, :8] += 5
+        emit[2 * k + 1, N_OBSERVED - 1] += 5
     known = chunks.filter(learn).select("chunk", F.transform("lines", lambda x: x["state"]).alias("s"), F.transform("lines", lambda x: x["seen"]).alias("o"))
     pair = F.explode(F.arrays_zip(F.col("s").alias("a"), F.col("o").alias("b")))
     for r in known.select(pair.alias("p")).groupBy("p.a", "p.b").count().collect():
@@ -147,7 +172,8 @@ def recover(chunks: DataFrame, model) -> DataFrame:
 def render(recovered: DataFrame) -> DataFrame:
     """One row per turn: conv_id, turn_no, role, n_lines, content and chat, the canonical form.
 
-    Lines of a turn that a cut between chunks parts are put together again.
+    Lines of a turn that a cut between chunks parts are put together again. Blank lines at
+    the end of a turn stand between turns: they are no content and not counted.
     """
     pieces = recovered.select("conv_id", "chunk", F.posexplode(F.arrays_zip("lines", "states")).alias("k", "x"))
     pieces = pieces.select("conv_id", "chunk", "k", F.col("x.lines.text").alias("text"), F.col("x.states").alias("state"), (F.col("x.states") % 2 == 0).cast("int").alias("opens"))
@@ -159,13 +185,15 @@ def render(recovered: DataFrame) -> DataFrame:
     bare = F.col("text")
     for r in ROLES:
         bare = F.when((F.col("opens") == 1) & F.col("text").rlike(marker(r)), F.regexp_replace("text", marker(r), "")).otherwise(bare)
-    turns = numbered.select("conv_id", "turn_no", role.alias("role"), F.struct("chunk", "k", bare.alias("text")).alias("l")).groupBy("conv_id", "turn_no").agg(F.min("role").alias("role"), F.count("*").alias("n_lines"), F.array_sort(F.collect_list("l")).alias("l"))
-    content = F.array_join(F.transform("l", lambda x: x["text"]), "\n")
+    turns = numbered.select("conv_id", "turn_no", role.alias("role"), F.struct("chunk", "k", bare.alias("text")).alias("l")).groupBy("conv_id", "turn_no").agg(F.min("role").alias("role"), F.array_sort(F.collect_list("l")).alias("l"))
+    turns = turns.withColumn("n_lines", F.array_max(F.transform("l", lambda x, i: F.when((i > 0) & x["text"].rlike(BLANK), 1).otherwise(i + 1))).cast("long"))
+    content = F.array_join(F.slice(F.transform("l", lambda x: x["text"]), 1, F.col("n_lines").cast("int")), "\n")
     return turns.select("conv_id", "turn_no", "role", "n_lines", content.alias("content"), F.concat(F.lit("<|im_start|>"), "role", F.lit("\n"), content, F.lit("<|im_end|>\n")).alias("chat"))
 
 
 def parse(lines: DataFrame, learn: Column) -> DataFrame:
-    """Turns of transcripts given as lines (conv_id, turn, line, text, after_blank, state).
+    """Turns of transcripts given as raw text (conv_id, text and, where given, turn and state; see
+    :func:`split_lines`) or as lines (conv_id, turn, line, text, state).
 
     ``turn`` and ``line`` only order the lines (null turns come first; equal places are
     ordered by text). ``state`` is the true state where known, and read only where ``learn``
@@ -177,10 +205,11 @@ def parse(lines: DataFrame, learn: Column) -> DataFrame:
 
 
 def transcripts(conversations: DataFrame) -> DataFrame:
-    """Lines of raw transcripts of the conversations (conv_id, turn, role, text).
+    """Raw transcripts of the conversations (conv_id, turn, role, text): pieces of text in the order of ``turn``.
 
     Each conversation has one of four marker styles; one turn in seven has lost its marker,
     and in half of the styles a blank line stands between turns. Null texts are empty lines.
+    ``state`` is the truth about the first line of a piece, and no feature.
     """
     style = F.pmod(F.xxhash64("conv_id"), F.lit(4))
     words = {"system": ("System: ", "### System: ", "<|system|> ", "S: "), "user": ("User: ", "### Human: ", "<|user|> ", "Q: "), "assistant": ("Assistant: ", "### Assistant: ", "<|assistant|> ", "A: ")}
@@ -191,9 +220,8 @@ def transcripts(conversations: DataFrame) -> DataFrame:
         head = F.when(same, F.element_at(F.array(*map(F.lit, words[role])), (style + 1).cast("int"))).otherwise(head)
         known = F.when(same, 2 * k).otherwise(known)
     lost = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(7)) == 0
-    rows = conversations.select("conv_id", "turn", F.when(lost, "").otherwise(head).alias("head"), known.alias("state"), (style < 2).alias("blank"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "text"))
-    opens = F.col("line") == 0
-    return rows.select("conv_id", "turn", "line", F.concat(F.when(opens, F.col("head")).otherwise(""), "text").alias("text"), (opens & F.col("blank")).alias("after_blank"), (F.col("state") + F.when(opens, 0).otherwise(1)).alias("state"))
+    text = F.concat(F.when(lost, "").otherwise(head), F.coalesce("text", F.lit("")), F.when(style < 2, "\n").otherwise(""))
+    return conversations.select("conv_id", "turn", text.alias("text"), known.alias("state"))
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,6 +125,22 @@ def test_chat_edges(spark):
     assert chat.parse(plain.limit(0), F.lit(True)).count() == 0
 
 
+def test_chat_reads_blank_lines_from_the_text(spark):
+    talk = spark.createDataFrame([(c, t, "user" if t % 2 == 0 else "assistant", f"one {c}\n\ntwo {t}") for c in range(8) for t in range(5)], "conv_id long, turn long, role string, text string")
+    raw = chat.transcripts(talk)
+    assert set(raw.columns) == {"conv_id", "turn", "text", "state"} and 0 < raw.filter("text LIKE '%\n'").count() < 40
+    seen = [sorted((r["conv_id"], r["chunk"], [x["seen"] for x in r["lines"]]) for r in chat.chunked(raw, n).collect()) for n in (64, 2)]
+    by = [{c: sum((o for k, _, o in s if k == c), []) for c in range(8)} for s in seen]
+    assert by[0] == by[1]
+    text = "User: hi\n\nAssistant: yes\n\nmore\n\nUser: bye\n"
+    lines = [(1, 0, k, s, True, None) for k, s in enumerate(text.split("\n"))]
+    schema = "conv_id long, turn long, line int, text string, after_blank boolean, state int"
+    whole = spark.createDataFrame([(1, text)], "conv_id long, text string")
+    for given in (whole, spark.createDataFrame(lines, schema)):
+        got = [(r["role"], r["content"], r["n_lines"]) for r in chat.parse(given, F.lit(True)).orderBy("turn_no").collect()]
+        assert got == [("user", "hi", 1), ("assistant", "yes\n\nmore", 3), ("user", "bye", 1)]
+
+
 # 3 SentencePiece
 
 
