@@ -35,11 +35,11 @@ BROADCAST_ROWS = 50_000
 SEGMENT = (
     "file string, block long, local long, size long, candidate boolean, succ long, exit long, tin long, tout long, "
     "whole boolean, header_bytes long, content_bytes long, record_type string, record_id string, refers_to string, "
-    "target_uri string, content_type string, payload_bytes long, payload_digest string"
+    "target_uri string, content_type string, stated_digest string, payload_bytes long, payload_digest string"
 )
 #: Of a header that its split leaves open, and (in the first row) of the bytes of a split up to its first blank line.
 EDGE = "open boolean, lead_bytes long, lead_closed boolean, lead map<string,string>"
-FIELD = re.compile(rb"(?im)^(content-length|content-type|warc-type|warc-record-id|warc-refers-to|warc-target-uri):[ \t]*(.*?)\r?$")
+FIELD = re.compile(rb"(?im)^(content-length|content-type|warc-type|warc-record-id|warc-refers-to|warc-target-uri|warc-payload-digest):[ \t]*(.*?)\r?$")
 
 
 def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", min_revisit: int = 100) -> None:
@@ -99,7 +99,7 @@ def _header(row: dict, size: int, h: dict[str, str]) -> bool:
     if not length.isdecimal() or len(length) > 18:
         return False
     n = int(length)
-    row |= {"header_bytes": size, "content_bytes": n, "succ": row["local"] + size + n + 4 + len(MAGIC), "whole": False, "content_type": h.get("content-type"), "record_type": h.get("warc-type"), "record_id": h.get("warc-record-id"), "refers_to": h.get("warc-refers-to"), "target_uri": h.get("warc-target-uri")}
+    row |= {"header_bytes": size, "content_bytes": n, "succ": row["local"] + size + n + 4 + len(MAGIC), "whole": False, "content_type": h.get("content-type"), "record_type": h.get("warc-type"), "record_id": h.get("warc-record-id"), "refers_to": h.get("warc-refers-to"), "target_uri": h.get("warc-target-uri"), "stated_digest": h.get("warc-payload-digest")}
     return True
 
 
@@ -213,7 +213,8 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
     """The records of WARC/1.1 files (plain, or gzipped whole or by record) under ``path``.
 
     One row per reachable record: file, offset, record_type, record_id, refers_to,
-    target_uri, payload_bytes, payload_digest and, on request, payload. Files that do not
+    target_uri, stated_digest (the header's), payload_bytes and payload_digest (of the
+    payload as read) and, on request, payload. Files that do not
     start with the magic hold no reachable record; the chain of a damaged file ends at the
     last record that is whole; empty files give no rows.
     """
@@ -243,8 +244,8 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
                 jumps = stage(jumps.join(further, ["file", "exit"]).select("file", "at", F.col("next").alias("exit")), "jumps")
     entry = nodes.join(reached.withColumnRenamed("at", "local"), ["file", "local"], "left_semi").filter("succ IS NOT NULL").select("file", "block", F.col("tin").alias("entry"))
     chain = nodes.filter("succ IS NOT NULL AND succ <= total").join(entry, ["file", "block"]).filter("tin <= entry AND entry < tout")
-    kept = stage(chain.select("file", (F.col("local") - len(MAGIC)).alias("offset"), "local", "header_bytes", "content_bytes", "whole", "content_type", "record_type", "record_id", "refers_to", "target_uri", "payload_bytes", "payload_digest"), "records")
-    columns = ["file", "offset", "record_type", "record_id", "refers_to", "target_uri", "payload_bytes", "payload_digest"]
+    kept = stage(chain.select("file", (F.col("local") - len(MAGIC)).alias("offset"), "local", "header_bytes", "content_bytes", "whole", "content_type", "record_type", "record_id", "refers_to", "target_uri", "stated_digest", "payload_bytes", "payload_digest"), "records")
+    columns = ["file", "offset", "record_type", "record_id", "refers_to", "target_uri", "stated_digest", "payload_bytes", "payload_digest"]
     cut = kept if with_payload else kept.filter(~F.col("whole"))
     if not with_payload and cut.isEmpty():
         return kept.select(columns)
@@ -272,10 +273,13 @@ def _payloads(spark: SparkSession, path: str, records: DataFrame, nodes: DataFra
     placed = where.mapInArrow(place, "bytes binary, file string, block long, local0 long")
     base = nodes.select("file", "block", "local", "size")
     starts = records.select("file", F.col("local").alias("start"), (F.col("local") + F.col("header_bytes") + F.col("content_bytes")).alias("stop"))
-    # each segment belongs to the last reachable record that starts at or before it
-    tagged = base.select("file", "block", "local").unionByName(starts.select("file", F.lit(None).cast("long").alias("block"), F.col("start").alias("local")).withColumn("start", F.col("local")), allowMissingColumns=True)
-    by_file = Window.partitionBy("file").orderBy("local", F.col("start").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    owner = tagged.withColumn("start", F.last("start", ignorenulls=True).over(by_file)).filter("block IS NOT NULL").join(starts, ["file", "start"]).filter(F.col("local") - len(MAGIC) < F.col("stop")).select("file", "block", "local", "start")
+    # each segment belongs to the last reachable record that starts at or before it: in its split, or else in a split before
+    own = base.join(starts.select("file", F.col("start").alias("local"), F.lit(True).alias("begins")), ["file", "local"], "left").withColumn("begun", F.when(F.col("begins"), F.col("local")))
+    in_split = Window.partitionBy("file", "block").orderBy("local").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = own.groupBy("file", "block").agg(F.max("begun").alias("last")).select("file", "block", F.last("last", ignorenulls=True).over(before).alias("carried"))
+    own = own.withColumn("begun", F.last("begun", ignorenulls=True).over(in_split)).join(carried, ["file", "block"]).withColumn("start", F.coalesce("begun", "carried"))
+    owner = own.join(starts, ["file", "start"]).filter(F.col("local") - len(MAGIC) < F.col("stop")).select("file", "block", "local", "start")
     lowest = nodes.groupBy("file", "block").agg(F.min("local").alias("base"))
     owner = owner.join(lowest, ["file", "block"]).withColumn("local0", F.col("local") - F.col("base"))
     pieces = placed.join(owner, ["file", "block", "local0"]).groupBy("file", F.col("start").alias("local")).agg(F.array_sort(F.collect_list(F.struct("local", "bytes"))).alias("pieces"))
@@ -296,12 +300,18 @@ def _payloads(spark: SparkSession, path: str, records: DataFrame, nodes: DataFra
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
-    """Records of :func:`write_archives` by page: revisits take size and digest from the record they refer to."""
-    page = lambda c: F.regexp_extract(c, rf"{URN}(-?\d+)", 1)
-    pages = records.select(F.expr(f"try_cast(nullif(regexp_extract(record_id, '{URN}(-?[0-9]+)', 1), '') AS bigint)").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", page("refers_to").cast("long")).alias("refers_to"))
-    sources = pages.filter("record_type = 'response' AND page_id IS NOT NULL").select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest").dropDuplicates(["refers_to"])
-    again = pages.filter("record_type = 'revisit'").drop("payload_bytes", "payload_digest").join(sources, "refers_to", "left")
-    return pages.filter("record_type <> 'revisit'").unionByName(again).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Records of :func:`write_archives` by page: a revisit takes the size of the response that it refers to and
+    whose payload has the digest that the revisit states, since several rows may share a page_id. Without such a
+    response, size and digest stay those of the record itself."""
+    page = lambda c: F.expr(f"try_cast(nullif(regexp_extract({c}, '{URN}(-?[0-9]+)', 1), '') AS bigint)")
+    revisit = F.col("record_type") == "revisit"
+    digest = F.when(revisit, F.regexp_replace("stated_digest", "^sha256:", "")).otherwise(F.col("payload_digest"))
+    pages = records.select(page("record_id").alias("page_id"), "record_type", F.when(revisit, page("refers_to")).alias("refers_to"), digest.alias("digest"), F.col("payload_bytes").alias("own_bytes"), F.col("payload_digest").alias("own_digest"))
+    sources = pages.filter("record_type = 'response' AND page_id IS NOT NULL").groupBy(F.col("page_id").alias("refers_to"), "digest").agg(F.max("own_bytes").alias("bytes"))
+    again = pages.filter("record_type = 'revisit'").join(sources, ["refers_to", "digest"], "left")
+    again = again.select("page_id", F.coalesce("bytes", "own_bytes").alias("payload_bytes"), F.when(F.col("bytes").isNotNull(), F.col("digest")).otherwise(F.col("own_digest")).alias("payload_digest"), "record_type", "refers_to")
+    plain = pages.filter("record_type <> 'revisit'").select("page_id", F.col("own_bytes").alias("payload_bytes"), F.col("own_digest").alias("payload_digest"), "record_type", "refers_to")
+    return plain.unionByName(again)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

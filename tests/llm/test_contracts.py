@@ -6,6 +6,7 @@ from collections import Counter
 from fractions import Fraction
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -83,6 +84,24 @@ def test_warc_headers_run_on(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
 
 
+def test_warc_pages_that_share_an_id(spark, tmp_path):
+    rows = [(2, "u", "a" * 200), (2, "v", "b" * 300), (3, None, "b" * 300), (4, "w", "a" * 200), (2, "u", "a" * 200), (1, "x", "c" * 50), (1, "x", "c" * 50)]
+    spark.createDataFrame([(k, u, h) for k, u, h in rows], "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    pages = spark.read.parquet(str(tmp_path / "pages.parquet"))
+    warc.write_archives(pages, str(tmp_path / "w"))
+    want = sorted((k, len(h), hashlib.sha256(h.encode()).hexdigest(), "revisit" if k > 2 else "response", str(2 if k > 2 else None)) for k, _, h in rows)
+    try:
+        for split in ("128m", "300"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            got = warc.resolve_revisits(warc.read_archives(spark, str(tmp_path / "w"))).collect()
+            assert sorted((*r[:4], str(r[4])) for r in got) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted((*r[:4], str(r[4])) for r in con.execute(warc.OP1_SQL).fetchall()) == want
+
+
 # 2 Chat
 
 
