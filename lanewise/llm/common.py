@@ -64,6 +64,13 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Fewer rows in an Arrow batch, so that long texts do not pile up in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

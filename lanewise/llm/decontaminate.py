@@ -9,11 +9,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import bounded_batches, stage, table
+from lanewise.llm.common import bounded_batches, discard, stage, table, unused
 
 WINDOW = 10
 #: Bytes of benchmark text in one automaton (it takes about 60 times that in memory).
-#: A larger benchmark is cut by item into several, and the documents scanned once for each.
+#: A larger benchmark is dealt by item over several, and the documents scanned once for each.
 MAX_BYTES = 4_000_000
 #: Word bytes stay (A-Z as a-z), all others become blanks: [0-9a-z] and all bytes over 0x7F.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -40,7 +40,7 @@ def _automaton(items: list[tuple[int, str]], window: int):
 
 
 def find_windows(data: bytes, auto) -> tuple[int, np.ndarray, set, list[tuple[int, int]]]:
-    """Words, which of them are hit, the items, and hit runs as byte offsets of the original."""
+    """Number of words, those that are hit, the items, and hit runs as byte offsets of the original."""
     folded = data.translate(FOLD)
     words = folded.split()
     hits, items = [], set()
@@ -49,31 +49,24 @@ def find_windows(data: bytes, auto) -> tuple[int, np.ndarray, set, list[tuple[in
             hits.append((end - size + 1, n))
             items.update(ids)
     mask = np.zeros(len(words) + 1, np.int64)
-    spans: list[tuple[int, int]] = []
     if hits:
         starts = np.cumsum([0] + [len(w) + 1 for w in words])  # of the blank before each word
         at = np.searchsorted(starts, np.array([s for s, _ in hits]))
         np.add.at(mask, at, 1)
         np.add.at(mask, at + np.array([n for _, n in hits]), -1)
-        blank = np.frombuffer(folded, np.uint8) == 32
-        edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
-        left, right = edge[::2], edge[1::2]  # where the words lie in the original
-        hit = np.cumsum(mask)[:-1] > 0
-        run = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
-        spans = [(int(left[a]), int(right[b - 1])) for a, b in zip(run[::2], run[1::2], strict=True)]
-    return len(words), np.cumsum(mask)[:-1] > 0, items, spans
-
-
-def _slices(bench: DataFrame, limit: int) -> list[list[tuple[int, str]]]:
-    """The items in groups of at most ``limit`` bytes (an item over it stands alone)."""
-    out, size = [[]], 0
-    for row in bench.select("item_id", "text").filter("text IS NOT NULL").toLocalIterator():
-        n = len(row[1].encode())
-        if out[-1] and size + n > limit:
-            out, size = [*out, []], 0
-        out[-1].append((row[0], row[1]))
-        size += n
-    return out
+    hit = np.flatnonzero(np.cumsum(mask)[:-1] > 0)
+    return len(words), hit, items, hit_runs(folded, hit)
+
+
+def hit_runs(folded: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal runs of hit words (numbers, ascending), as byte offsets of the original."""
+    if not len(hit):
+        return []
+    blank = np.frombuffer(folded, np.uint8) == 32
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
+    left, right = edge[::2], edge[1::2]  # where the words lie in the original
+    new = np.flatnonzero(np.diff(hit) > 1) + 1
+    return [(int(left[a]), int(right[b])) for a, b in zip(hit[[0, *new]], hit[[*(new - 1), -1]], strict=True)]
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -83,34 +76,56 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, max_b
     consecutive words of an item; shorter items are one window. spans are the hit runs as
     [start, stop) byte offsets of the original UTF-8 text. Null and empty texts have no
     words; null item texts and empty benchmarks hit nothing; items with a null id hit words
-    but are not listed; repeated rows of either table do not matter.
+    but are not listed; repeated rows of either table do not matter. A benchmark over
+    ``max_bytes`` is dealt by hash over several automata of about half that size; the
+    results are the same.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     added = ["n_words", "n_hit", "n_items", "items", "spans"]
-    plain = [c for c in docs.columns if c not in (*added, "_found")]
-    schema = "n_words bigint, hit array<int>, items array<string>, spans array<struct<start:bigint,stop:bigint>>"
-
-    def scan(items: list[tuple[int, str]]):
-        auto = spark.sparkContext.broadcast(_automaton(items, window))
-
-        @F.pandas_udf(schema)
-        def found(texts):
+    plain = [c for c in docs.columns if c not in added]
+    found, more = unused(docs, "found"), unused(docs, "more")
+    text = F.coalesce("text", F.lit(""))
+    span = "array<struct<start:bigint,stop:bigint>>"
+    as_rows = lambda runs: [{"start": a, "stop": b} for a, b in runs]
+
+    def scan(auto):
+        @F.pandas_udf(f"n_words bigint, hit array<int>, items array<string>, spans {span}")
+        def windows(texts):
             import pandas as pd
 
             rows = [find_windows(t.encode(), auto.value) for t in texts]
-            return pd.DataFrame({"n_words": [r[0] for r in rows], "hit": [np.flatnonzero(r[1]) for r in rows], "items": [sorted(str(x) for x in r[2] if x is not None) for r in rows], "spans": [[{"start": a, "stop": b} for a, b in r[3]] for r in rows]})
-
-        return found(F.coalesce("text", F.lit("")))
-
-    parts = _slices(bench, max_bytes)
-    out = docs.select(*plain, scan(parts[0]).alias("_found"))
-    for part in parts[1:]:  # staged, so that a worker holds one automaton at a time
-        out = stage(out, "hits").withColumn("_more", scan(part))
-        union = lambda f: F.array_sort(F.array_union(f"_found.{f}", f"_more.{f}")).alias(f)
-        out = out.withColumn("_found", F.struct(F.col("_found.n_words").alias("n_words"), union("hit"), union("items"), union("spans"))).drop("_more")
-    count = lambda f: F.size(f"_found.{f}").cast("long")
-    return out.select(*plain, "_found.n_words", count("hit").alias("n_hit"), count("items").alias("n_items"), "_found.items", "_found.spans")
+            return pd.DataFrame({"n_words": [r[0] for r in rows], "hit": [r[1] for r in rows], "items": [sorted(str(x) for x in r[2] if x is not None) for r in rows], "spans": [as_rows(r[3]) for r in rows]})
+
+        return windows(text)
+
+    @F.pandas_udf(span)
+    def merged(texts, hits):
+        import pandas as pd
+
+        return pd.Series([as_rows(hit_runs(t.encode().translate(FOLD), np.asarray(h))) for t, h in zip(texts, hits, strict=True)])
+
+    known = bench.select("item_id", "text").filter("text IS NOT NULL")
+    size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = 1 if size <= max_bytes else -(-2 * size // max_bytes)
+    for k in range(n):  # the driver holds one slice of the benchmark, a worker one automaton at a time
+        items = [tuple(r) for r in known.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]
+        auto = spark.sparkContext.broadcast(_automaton(items, window))
+        if k == 0:
+            out = docs.select(*plain, scan(auto).alias(found))
+        else:
+            union = lambda f: F.array_sort(F.array_union(f"{found}.{f}", f"{more}.{f}")).alias(f)
+            out = last.withColumn(more, scan(auto))
+            out = out.withColumn(found, F.struct(F.col(f"{found}.n_words").alias("n_words"), union("hit"), union("items"))).drop(more)
+        if n > 1:
+            staged = stage(out, "hits")
+            auto.destroy()
+            if k:
+                discard(last)
+            last = out = staged
+    count = lambda f: F.size(f"{found}.{f}").cast("long")
+    spans = F.col(f"{found}.spans") if n == 1 else merged(text, F.col(f"{found}.hit"))
+    return out.select(*plain, f"{found}.n_words", count("hit").alias("n_hit"), count("items").alias("n_items"), f"{found}.items", spans.alias("spans"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
