@@ -212,6 +212,16 @@ def test_histogram_by_brute_force(spark, sf_dir):
     assert tokens.length_histogram(tokens.token_counts(frame(spark).limit(0))).count() == 0
 
 
+def test_long_runs_of_white_space(spark):
+    encode = tokens._encoding(tokens.DEFAULT_RANKS).encode_ordinary
+    n = tokens.RUN
+    for text in (" " * (2 * n), " " * (2 * n + 1) + "x y", "a" + "\n" * (3 * n) + " b", "a" + " \t" * n + "c", " " * (n - 1) + "z"):
+        assert tokens.count_tokens(encode, text) == len(encode(text))
+    docs = spark.createDataFrame([(1, " " * 1_000_000), (2, "a" + "\n" * 1_000_000 + "b")], "doc_id long, text string")
+    got = {r[0]: r[1] for r in tokens.token_counts(docs).collect()}
+    assert got[1] == 1_000_000 and got[2] > 1000
+
+
 # 5 Jaccard join
 
 
@@ -294,6 +304,20 @@ def test_spans_and_slices(spark, sf_dir):
     assert decontaminate.decontaminate(frame(spark, rows), bench.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def test_spans_do_not_depend_on_slices(spark):
+    words = [f"m{i}" for i in range(40)]
+    items = [(k, " ".join(words[a:b])) for k, (a, b) in enumerate([(0, 12), (5, 20), (18, 30), (33, 36), (36, 40)])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, ", ".join(words)), (2, "Ä " + " ".join(words[:12]) + " Ö " + " ".join(words[18:30])), (3, " ".join(words[3:9]))]
+    found = []
+    for size in (4_000_000, 100, 1):
+        out = decontaminate.decontaminate(frame(spark, rows).withColumn("found", F.lit(7)), bench, max_bytes=size)
+        assert {r["found"] for r in out.collect()} == {7}
+        found.append(sorted((r["doc_id"], r["n_hit"], r["items"], [tuple(s) for s in r["spans"]]) for r in out.collect()))
+    assert found[0] == found[1] == found[2]
+    assert [len(r[3]) for r in found[0]] == [2, 2, 0] and found[0][0][3][0] == (0, len(", ".join(words[:30])))
+
+
 # 8 Suffix dedup
 
 
