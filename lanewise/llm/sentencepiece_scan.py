@@ -1,17 +1,23 @@
 """SentencePiece encoding and decoding by a max-plus parallel scan.
 
-A text is segmented into the pieces of a vocabulary with the largest sum of scores. Long
-texts are cut into chunks. A piece may straddle a cut by up to M - 1 characters (M: longest
-piece), so the state at a cut is how many characters of the next chunk its last piece takes.
-Each chunk gives an M x M matrix in the (max, +) algebra: best score by entry and exit
-state. Products of these matrices are associative; they give the best state at each cut,
-and then every chunk is traced back by itself, between its two states.
-
-Inside a chunk the segmentation between two fixed states is the library's own lattice
-search over the model. A vocabulary of merges has ranks in place of log probabilities;
-these become Zipf log probabilities, -ln(rank + 2). Bytes stand for characters without a
-piece, and for U+2581, which is the vocabulary's sign for a blank; so any text comes back
-whole. No model is trained.
+A text is segmented into the pieces of a vocabulary with the largest sum of scores. No piece
+goes over a blank that follows another character, so the text falls into units there, blanks
+first. Units of up to LONG characters are searched by the library, each by itself. Longer
+units (scripts without blanks, encoded data) are searched here, in whole numbers, so that
+sums do not depend on the order of adding; of equal segmentations the one with the longest
+last piece wins, then the one with the longest piece before it, and so on.
+
+Giant texts are cut into chunks, at a bound of units where there is one. Inside a long unit a
+piece may straddle the cut by up to M - 1 characters (M: longest piece), so the state at a
+cut is how many characters of the next chunk its last piece takes. Each chunk gives an M x M
+matrix in the (max, +) algebra: best score by entry and exit state, all entries in one
+forward pass. Products of the matrices are associative; they give the exact scores at each
+cut, from which every chunk is traced back by itself, for every exit state; where the traces
+enter then picks one of them for each chunk. So ids are the same at every size of chunk.
+
+A vocabulary of merges has ranks in place of log probabilities; these become Zipf log
+probabilities, -ln(rank + 2). Bytes stand for characters without a piece, and for U+2581,
+which is the vocabulary's sign for a blank; so any text comes back whole. No model is trained.
 """
 
 from __future__ import annotations
@@ -19,19 +25,26 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import arrow_map, bounded_batches, partitions, stage, table
+from lanewise.llm.common import arrow_map, bounded_batches, partitions, stage, table, unused
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-#: Characters in a chunk; texts over it take the scan, others are one chunk.
+#: Characters in a chunk; texts over it are cut.
 CHUNK = 16_384
-NONE = -math.inf
+#: Characters of the longest unit that the library searches.
+LONG = 512
+#: Units of up to so many characters are remembered, so many of them.
+KNOWN_CHARS, KNOWN = 24, 1 << 16
+NONE = -(1 << 60)
+UNIT = re.compile(r" *[^ ]+| +\Z")
 
 
 class Pieces:
@@ -54,6 +67,7 @@ class Pieces:
         self.pieces = [p.piece for p in model.pieces]
         normal = [p.piece for p in model.pieces if p.type == 1]
         self.longest = max(map(len, normal))
+        self.known: dict[str, list[int]] = {}
         score = [p.score for p in model.pieces if p.type == 1]
         unknown = min(score) - 10.0
         self.score = np.full(len(self.pieces), 0.0)
@@ -66,36 +80,56 @@ class Pieces:
                 self.byte_of[k] = b
                 self.score[k] = 0.0 if 0x80 <= b < 0xC0 else unknown  # a character counts once, at its first byte
         self.id_of_byte = {b: k for k, b in self.byte_of.items()}
-        #: Whether a cut before a blank that follows another character can split a piece.
+        self.is_byte = np.isin(np.arange(len(self.pieces)), list(self.byte_of))
+        self.plain = [p.replace(BLANK, " ") for p in self.pieces]
+        #: Whether a blank that follows another character always begins a unit.
         self.free_cuts = not any(BLANK in p.lstrip(BLANK) for p in normal)
+        self.unknown = round(unknown * 2**20)
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in range(1, self.longest + 1):
+            ids = np.array([k for k, p in enumerate(model.pieces) if p.type == 1 and len(p.piece) == n], np.int64)
+            if len(ids):
+                h = functools.reduce(_extend, np.array([list(map(ord, self.pieces[k])) for k in ids], np.uint64).T, np.zeros(len(ids), np.uint64))
+                order = np.argsort(h)
+                self.by_length[n] = h[order], ids[order], np.rint(self.score[ids[order]] * 2**20).astype(np.int64)
 
     def encode(self, text: str) -> list[int]:
-        """Best pieces of a text that begins and ends at piece bounds."""
-        if BLANK not in text:
-            return self.lib.encode(text) if text else []
+        """Ids of a text that begins and ends at bounds of units; it has its leading blank already."""
+        out: list[int] = []
+        for unit in UNIT.findall(text) if self.free_cuts else [text] if text else []:
+            found = self.known.get(unit)
+            out += self._unit(unit) if found is None else found
+        return out
+
+    def _unit(self, unit: str) -> list[int]:
+        if len(unit) > LONG:
+            w, ids = edges(self, unit, len(unit))
+            entry = np.full(self.longest, NONE)
+            entry[0] = 0
+            return trace(self, unit, w, ids, forward(w[:, None], entry[None, None])[:, 0, 0], entry, [len(unit)])[0][1]
         out: list[int] = []
         sign = [self.id_of_byte[b] for b in BLANK.encode()]
-        for k, part in enumerate(text.split(BLANK)):
+        for k, part in enumerate(unit.split(BLANK)):
             out += (sign if k else []) + (self.lib.encode(part) if part else [])
+        if len(unit) <= KNOWN_CHARS:
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            self.known[unit] = out
         return out
 
-    def value(self, text: str) -> float:
-        return float(self.score[self.encode(text)].sum())
-
-    def decode(self, ids) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """Blanks for their sign, runs of bytes as UTF-8, without the first blank."""
-        out, run = [], bytearray()
-        for k in ids:
-            if (b := self.byte_of.get(k)) is not None:
-                run.append(b)
-                continue
-            if run:
-                out.append(run.decode("utf-8", "replace"))
-                run = bytearray()
-            out.append(self.pieces[k].replace(BLANK, " "))
-        if run:
-            out.append(run.decode("utf-8", "replace"))
-        return "".join(out)[1:]
+        at = np.flatnonzero(self.is_byte[ids])
+        listed = ids.tolist()
+        if not len(at):
+            return "".join(map(self.plain.__getitem__, listed))[1:]
+        out, done = [], 0
+        for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
+            a, b = int(run[0]), int(run[-1]) + 1
+            out += map(self.plain.__getitem__, listed[done:a])
+            out.append(bytes(map(self.byte_of.__getitem__, listed[a:b])).decode("utf-8", "replace"))
+            done = b
+        return "".join([*out, *map(self.plain.__getitem__, listed[done:])])[1:]
 
 
 @functools.lru_cache(maxsize=1)
@@ -103,56 +137,127 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _free(text: str, start: int, stop: int) -> int:
-    """A place in [start, stop) where every segmentation has a bound, or -1."""
-    for k in range(max(start, 1), stop):
-        if text[k] == " " and text[k - 1] != " ":
-            return k
-    return -1
-
-
-def transfer(m: Pieces, text: str, size: int) -> np.ndarray:
-    """T[i, j]: best score of text[i : size + j]; text holds the chunk and what may follow it."""
+def _extend(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Hashes of strings that are one character longer."""
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return h + c + np.uint64(1)
+
+
+def edges(m: Pieces, text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weight and id of the piece of L + 1 characters at p, for p under ``size``; ids: -1 for a character without a piece."""
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    c = np.where(c == ord(BLANK), np.uint64(1 << 40), np.where(c == 32, np.uint64(ord(BLANK)), c))
+    w = np.full((m.longest, size), NONE)
+    ids = np.full((m.longest, size), -1)
+    w[0] = m.unknown
+    h = np.zeros(size, np.uint64)
+    for n in range(1, m.longest + 1):
+        fits = min(size, len(c) - n + 1)
+        if fits <= 0:
+            break
+        h = _extend(h[:fits], c[n - 1 : n - 1 + fits])
+        if n in m.by_length:
+            hashes, found, weights = m.by_length[n]
+            k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            hit = np.flatnonzero(hashes[k] == h)
+            w[n - 1, hit], ids[n - 1, hit] = weights[k[hit]], found[k[hit]]
+    return w, ids
+
+
+def forward(w: np.ndarray, entry: np.ndarray) -> np.ndarray:
+    """Best scores (place, text, entry vector) of texts with weights ``w`` (length, text, place), where ``entry``
+    (text, vector, state) tells the scores with which pieces of the chunk before end at the first places."""
+    n, texts, size = w.shape
+    f = np.full((size + n + 1, texts, entry.shape[1]), NONE)
+    f[:n] = entry.transpose(2, 0, 1)
+    for p in range(size):
+        reach = f[p + 1 : p + 1 + n]
+        np.maximum(reach, f[p] + w[:, :, p, None], out=reach)
+    return f
+
+
+def trace(m: Pieces, text: str, w: np.ndarray, ids: np.ndarray, f: np.ndarray, entry: np.ndarray, exits: list[int]) -> list[tuple[int, list[int]]]:
+    """Entry state and ids of the best path to each of the places ``exits``; (-1, []) where none leads."""
+    n, size = w.shape
+    back: dict[int, int] = {}
+    out = []
+    for v in exits:
+        if f[v] <= NONE // 2:
+            out.append((-1, []))
+            continue
+        path: list[int] = []
+        while not (v < n and entry[v] == f[v]):  # a piece that began before the chunk is longer than any in it
+            if v not in back:
+                back[v] = next(p for p in range(max(0, v - n), v) if p < size and f[p] + w[v - p - 1, p] == f[v])
+            p = back[v]
+            k = int(ids[v - p - 1, p])
+            path += [k] if k >= 0 else [m.id_of_byte[b] for b in reversed(text[p].encode())]
+            v = p
+        out.append((v, path[::-1]))
+    return out
+
+
+def transfers(m: Pieces, texts: list[str], sizes: list[int]) -> list[np.ndarray]:
+    """For each text T[i, j]: best score of text[i : size + j]; it holds the chunk and what may follow it."""
     n = m.longest
-    T = np.full((n, n), NONE)
-    exits = range(min(n, len(text) - size + 1))
-    first = _free(text, n, min(size, 40 * n)) if m.free_cuts else -1
-    last = _free(text, max(size - 40 * n, first), size) if first >= 0 else -1
-    if 0 <= first <= last:  # all paths meet at both: the matrix has rank one
-        heads = np.array([m.value(text[i:first]) for i in range(n)])
-        tails = np.array([m.value(text[last : size + j]) for j in exits])
-        T[:, : len(exits)] = heads[:, None] + m.value(text[first:last]) + tails[None, :]
-        return T
-    for i in range(min(n, size + 1)):
-        T[i, : len(exits)] = [m.value(text[i : size + j]) if i <= size + j else NONE for j in exits]
-    return T
+    unit = np.where(np.eye(n, dtype=bool), 0, NONE)[None].repeat(len(texts), 0)
+    w = np.full((n, len(texts), max(sizes)), NONE)
+    for k, (text, size) in enumerate(zip(texts, sizes, strict=True)):
+        w[:, k, :size] = edges(m, text, size)[0]
+    f = forward(w, unit)
+    return [f[size : size + n, k].T for k, size in enumerate(sizes)]
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """(max, +) product."""
-    return (a[:, :, None] + b[None, :, :]).max(axis=1)
+    return np.maximum((a[..., :, None] + b).max(axis=-2), NONE)
+
+
+def _bound(text: str, start: int, stop: int) -> int:
+    """The first place in [start, stop) at which a unit begins, or -1."""
+    return next((p for p in range(start, stop) if text[p] == " " and text[p - 1] != " "), -1)
+
+
+def cuts(m: Pieces, text: str, chunk: int) -> list[int]:
+    """Where the chunks of a text begin, and its end: at bounds of units, unless one is over LONG."""
+    out = [0]
+    for at in range(chunk, len(text), chunk):
+        if at <= out[-1]:
+            continue
+        found = _bound(text, at, min(at + LONG, len(text))) if m.free_cuts else -1
+        out.append(found if found >= 0 else at if at + LONG < len(text) else len(text))
+    return out if out[-1] == len(text) else [*out, len(text)]
+
+
+PIECES = "text_key string, k int, part int, soft_start boolean, soft_end boolean, size int, piece string, ids array<int>"
 
 
-def states(matrices: list[np.ndarray]) -> list[int]:
-    """The state at each cut of the best path from state 0 to state 0."""
-    ahead = [matrices[0]]
-    for T in matrices[1:]:
-        ahead.append(product(ahead[-1][:1], T))
-    path = [0]
-    for k in range(len(matrices) - 1, 0, -1):
-        path.append(int(np.argmax(ahead[k - 1][0] + matrices[k][:, path[-1]])))
-    return [0, *path[::-1]]
+def _parts(m: Pieces, text: str, chunk: int) -> Iterator[tuple[int, int, bool, bool, int, str]]:
+    """(chunk, part, whether it begins and ends at bounds of units, characters, text with what may follow)."""
+    at = cuts(m, text, chunk)
+    free = lambda p: p == 0 or p == len(text) or (m.free_cuts and text[p] == " " and text[p - 1] != " ")
+    for k, (a, b) in enumerate(zip(at, at[1:], strict=False)):
+        soft = free(a), free(b)
+        inner = [a, b]
+        if soft != (True, True) and m.free_cuts:  # what lies between bounds of units is cut out
+            bounds = [p for p in range(a + 1, b) if text[p] == " " and text[p - 1] != " "]
+            if bounds:
+                inner = [a, *([] if soft[0] else bounds[:1]), *([] if soft[1] else bounds[-1:]), b]
+        inner = sorted(set(inner))
+        for part, (x, y) in enumerate(zip(inner, inner[1:], strict=False)):
+            yield k, part, free(x), free(y), y - x, text[x : y + (0 if free(y) else m.longest)]
 
 
 def encode(docs: DataFrame, model: str = DEFAULT_MODEL, chunk: int = CHUNK) -> DataFrame:
     """All columns of ``docs`` (which has a text) and ids, an array of int.
 
     Null and empty texts have no ids. Rows may repeat: equal long texts are scanned once.
-    An empty table gives an empty one. A column named ids is replaced.
+    An empty table gives an empty one. A column named ids is replaced, others pass through.
     """
     spark = docs.sparkSession
     bounded_batches(spark, 256)
     docs = docs.drop("ids")
+    key = unused(docs, "text_key")
 
     @F.pandas_udf("array<int>")
     def short(text):
@@ -163,43 +268,89 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, chunk: int = CHUNK) -> D
 
     size = F.length("text")
     near = docs.filter(F.coalesce(size, F.lit(0)) <= chunk).withColumn("ids", short(F.coalesce("text", F.lit(""))))
-    far = docs.filter(size > chunk)
-    return near.unionByName(far.withColumn("text_key", F.sha2("text", 256)).join(_scan(spark, far, model, chunk), "text_key").drop("text_key"))
+    far = docs.filter(size > chunk).withColumn(key, F.sha2("text", 256))
+    scanned = _scan(spark, far.select(F.col(key).alias("text_key"), "text").dropDuplicates(["text_key"]), model, chunk)
+    return near.unionByName(far.join(scanned.withColumnRenamed("text_key", key), key).drop(key))
 
 
-def _scan(spark: SparkSession, far: DataFrame, model: str, chunk: int) -> DataFrame:
-    n = pieces(model).longest
-    texts = far.select(F.sha2("text", 256).alias("text_key"), F.concat(F.lit(" "), "text").alias("text")).dropDuplicates(["text_key"])
-    # the length with the leading blank is at least chunk + 2, so each text has two chunks or more
-    last = F.floor((F.length("text") - 1) / chunk).cast("int")
-    cut = texts.select("text_key", F.explode(F.sequence(F.lit(0), last)).alias("k"), "text").select("text_key", "k", F.substring("text", F.col("k") * chunk + 1, chunk + n).alias("part"))
-    chunks = stage(cut.repartition(partitions(spark) * 2, "text_key", "k"), "chunks")
+def _scan(spark: SparkSession, texts: DataFrame, model: str, chunk: int) -> DataFrame:
+    """text_key and ids of long texts."""
 
-    def matrices(batch: pa.RecordBatch) -> dict:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = pieces(model)
-        made = [transfer(m, t, min(chunk, len(t))) for t in batch.column(2).to_pylist()]
-        return {"text_key": batch.column(0), "k": batch.column(1), "t": [T.ravel().tolist() for T in made]}
-
-    steps = arrow_map(chunks, "text_key string, k int, t array<double>", matrices)
-    path = "text_key string, k int, enter int, leave int"
+        names = ["text_key", "k", "part", "soft_start", "soft_end", "size", "piece"]
+        for batch in batches:
+            for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = list(_parts(m, " " + text, chunk))
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(rows)), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32(), pa.string()), strict=True))], names=names)
 
-    def combine(pdf):
-        import pandas as pd
+    def plain(batch: pa.RecordBatch) -> dict:
+        m = pieces(model)
+        out = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
+        soft = [a and b for a, b in zip(out["soft_start"].to_pylist(), out["soft_end"].to_pylist(), strict=True)]
+        texts = out["piece"].to_pylist()
+        return out | {"ids": [m.encode(t) if s else None for t, s in zip(texts, soft, strict=True)], "piece": [None if s else t for t, s in zip(texts, soft, strict=True)]}
+
+    rows = texts.mapInArrow(cut, PIECES.rpartition(",")[0]).repartition(partitions(spark), "text_key", "k")
+    rows = stage(arrow_map(rows, PIECES, plain), "pieces")
+    hard = rows.filter("piece IS NOT NULL").drop("ids")
+    done = rows.filter("piece IS NULL").select("text_key", "k", "part", "ids")
+    if not hard.isEmpty():
+        done = done.unionByName(_hard(hard, model))
+    whole = done.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("k", "part", "ids"))).alias("p"))
+    return whole.select("text_key", F.flatten(F.col("p.ids")).alias("ids"))
+
+
+def _hard(hard: DataFrame, model: str) -> DataFrame:
+    """text_key, k, part and ids of parts of long units."""
+    n = pieces(model).longest
+    keys = ["text_key", "k", "part"]
+    at = "text_key string, k int, part int"
+    few = 16
 
-        pdf = pdf.sort_values("k")
-        at = states([np.array(t).reshape(n, n) for t in pdf["t"]])
-        return pd.DataFrame({"text_key": pdf["text_key"], "k": pdf["k"], "enter": at[:-1], "leave": at[1:]})
+    def matrices(batch: pa.RecordBatch) -> dict:
+        m = pieces(model)
+        texts, sizes = batch.column("piece").to_pylist(), batch.column("size").to_pylist()
+        made = [t.ravel() for a in range(0, len(texts), few) for t in transfers(m, texts[a : a + few], sizes[a : a + few])]
+        return {c: batch.column(c) for c in (*keys, "soft_start")} | {"t": made}
+
+    def heads(pdf):
+        pdf = pdf.sort_values(["k", "part"])
+        at_start = np.full(n, NONE)
+        at_start[0] = 0
+        now, out = at_start, []
+        for soft, t in zip(pdf["soft_start"], pdf["t"], strict=True):
+            now = at_start if soft else now
+            out.append(now)
+            now = product(now, np.asarray(t).reshape(n, n))
+        return pdf[keys].assign(entry=out)
+
+    scores = arrow_map(hard, f"{at}, soft_start boolean, t array<long>", matrices).groupBy("text_key").applyInPandas(heads, f"{at}, entry array<long>")
+
+    def traces(batch: pa.RecordBatch) -> dict:
+        m = pieces(model)
+        out = {c: batch.column(c) for c in (*keys, "soft_start", "soft_end")} | {"enter": [], "paths": []}
+        for text, size, entry in zip(*(batch.column(c).to_pylist() for c in ("piece", "size", "entry")), strict=True):
+            w, ids = edges(m, text, size)
+            entry = np.array(entry)
+            f = forward(w[:, None], entry[None, None])[:, 0, 0]
+            found = trace(m, text, w, ids, f, entry, list(range(size, size + n)))
+            out["enter"].append([e for e, _ in found])
+            out["paths"].append([p for _, p in found])
+        return out
 
-    bounds = steps.groupBy("text_key").applyInPandas(combine, path)
+    traced = stage(arrow_map(hard.join(scores, keys), f"{at}, soft_start boolean, soft_end boolean, enter array<int>, paths array<array<int>>", traces), "traces")
 
-    def trace(batch: pa.RecordBatch) -> dict:
-        m = pieces(model)
-        made = [m.encode(t[a : min(chunk, len(t)) + b]) for t, a, b in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
-        return {"text_key": batch.column(0), "k": batch.column(1), "part_ids": made}
+    def leave(pdf):
+        pdf = pdf.sort_values(["k", "part"])
+        out, ahead = [], 0
+        for soft, enter in zip(pdf["soft_end"][::-1], pdf["enter"][::-1], strict=True):
+            out.append(0 if soft else ahead)
+            ahead = int(enter[out[-1]])
+        return pdf[keys].assign(leave=out[::-1])
 
-    traced = arrow_map(chunks.join(bounds, ["text_key", "k"]).select("text_key", "k", "part", "enter", "leave"), "text_key string, k int, part_ids array<int>", trace)
-    whole = traced.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("k", "part_ids"))).alias("p"))
-    return whole.select("text_key", F.flatten(F.col("p.part_ids")).alias("ids"))
+    chosen = traced.select(*keys, "soft_end", "enter").groupBy("text_key").applyInPandas(leave, f"{at}, leave int")
+    return traced.join(chosen, keys).select(*keys, F.get("paths", F.col("leave")).alias("ids"))
 
 
 def decode(encoded: DataFrame, model: str = DEFAULT_MODEL, out: str = "decoded") -> DataFrame:
@@ -210,24 +361,27 @@ def decode(encoded: DataFrame, model: str = DEFAULT_MODEL, out: str = "decoded")
         import pandas as pd
 
         m = pieces(model)
-        return pd.Series([None if x is None else m.decode(np.asarray(x).tolist()) for x in ids])
+        return pd.Series([None if x is None else m.decode(np.asarray(x, np.int64)) for x in ids])
 
     return encoded.withColumn(out, text("ids"))
 
 
 def digest(encoded: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
-    """``encoded`` with n_tokens, ids_sha256 (of comma-joined ids) and round_trip (decoding gives the text back)."""
+    """``encoded`` with n_tokens, ids_sha256 (of comma-joined ids) and round_trip (decoding gives the text
+    back), which replace columns of their name."""
+    added = ["n_tokens", "ids_sha256", "round_trip"]
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, round_trip boolean")
     def summary(ids, text):
         import pandas as pd
 
         m = pieces(model)
-        lists = [np.asarray(x).tolist() for x in ids]
-        rows = [(len(x), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest(), m.decode(x) == t) for x, t in zip(lists, text, strict=True)]
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "round_trip"])
+        rows = [(len(x), hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest(), m.decode(x) == t) for x, t in zip((np.asarray(x, np.int64) for x in ids), text, strict=True)]
+        return pd.DataFrame(rows, columns=added)
 
-    return encoded.withColumn("d", summary("ids", F.coalesce("text", F.lit("")))).select("*", "d.*").drop("d")
+    found = unused(encoded, "digest")
+    kept = encoded.drop(*added)
+    return kept.withColumn(found, summary("ids", F.coalesce("text", F.lit("")))).select(*kept.columns, f"{found}.*")
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
