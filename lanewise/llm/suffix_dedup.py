@@ -1,21 +1,24 @@
-"""Removal of repeated byte strings by sparse prefix doubling.
+"""Removal of repeated byte strings by distributed prefix doubling over chosen positions.
 
 A byte goes if a string of LENGTH bytes that covers it also starts in a document with a
-smaller id. Ranking every suffix would shuffle some twenty times the text. So each string
-of LENGTH bytes is ranked through one position: the one, among those where a PREFIX-byte
-prefix fits inside, whose prefix has the least hash. Neighbouring strings mostly share it,
-and equal strings have it at the same place, so nothing is missed.
-
-1. The prefix hashes of 1, 2, 4, ... bytes double inside each task up to PREFIX bytes.
-   Spark sorts (prefix rank, document) pairs; ranks of a single document leave.
-2. The rest get the rank of the whole stretch of strings that share the position, beyond
-   LENGTH bytes. Spark sorts (prefix rank, stretch rank, document): where a smaller
-   document has the same stretch, all its strings are settled.
-3. What is left (one document for each stretch, under prefixes that several stretches
-   share) is sorted by prefix rank and document once more with its bytes, and the strings
-   are compared one by one. Under a prefix rank with more than HOT strings doubling goes on
-   instead: each string gets its own rank, Spark sorts (prefix rank, string rank, document),
-   and only the first document of a string is held.
+smaller id. Ranking every position would shuffle some twenty times the text. So in each round
+a string of LENGTH bytes is ranked through one position in it: the one whose prefix of the
+round's width has the least hash among those that fit inside. Strings side by side mostly
+share it (a *stretch*), and equal strings have equal ranks, so nothing is missed.
+
+1. Ranks of 1, 2, 4, ... bytes double inside the tasks up to the first width. Spark sorts
+   (rank, document) pairs; ranks that only one document has leave.
+2. The stretches left get the rank of all their bytes, beyond LENGTH. Spark sorts
+   (rank, document); stretches that a smaller document has too are settled. Of the others,
+   those leave whose prefix has no other stretch.
+3. The rest is cut out of the texts once and ranked at the next width, then at LENGTH, where
+   every string stands for itself. After each width Spark sorts (rank, document) again, what
+   is unique leaves, and at LENGTH the strings of the first document leave.
+
+Ranks are hashes: of 64 bits where they only choose candidates, of 128 bits where they decide.
+A rank that very many documents share is no hot group: each batch of a task sends two rows at
+most into its group (the least and the greatest document); what the batch alone decides goes
+along under a salt.
 """
 
 from __future__ import annotations
@@ -27,16 +30,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from lanewise.llm.common import bounded_batches, discard, partitions, release, stage, table
+from lanewise.llm.common import bounded_batches, discard, partitions, release, stage, table, unused
 
 LENGTH = 50
-PREFIX = 20
-#: Strings under one prefix rank that a task holds at once.
-HOT = 1 << 15
+#: Widths of the prefixes that are ranked before strings of LENGTH bytes are.
+WIDTHS = (20, 35)
 #: Bytes handled at once inside a task.
 STEP = 1 << 18
-M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0xD6E8FEB86659FD93)
 
 
 def _mix(a: np.ndarray) -> np.ndarray:
@@ -45,13 +48,13 @@ def _mix(a: np.ndarray) -> np.ndarray:
     return a
 
 
-def prefix_hashes(data: np.ndarray, size: int) -> np.ndarray:
+def prefix_hashes(data: np.ndarray, size: int, by: np.uint64 = M1) -> np.ndarray:
     """Hash of the ``size`` bytes from each position, by doubling."""
     h, n = data.astype(np.uint64) + np.uint64(1), 1
     while 2 * n <= size:
-        h = _mix(h[:-n] * M1 + h[n:])
+        h = _mix(h[:-n] * by + h[n:])
         n *= 2
-    return h if n == size else _mix(h[: len(h) - (size - n)] * M1 + h[size - n :])
+    return h if n == size else _mix(h[: len(h) - (size - n)] * by + h[size - n :])
 
 
 def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
@@ -62,9 +65,9 @@ def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(a[: len(a) - (width - n)], a[width - n :]) if width > n else a
 
 
-def stretches(column: pa.Array, length: int = LENGTH, prefix: int = PREFIX) -> tuple[np.ndarray, ...]:
+def stretches(column: pa.Array, length: int = LENGTH, prefix: int = WIDTHS[0]) -> tuple[np.ndarray, ...]:
     """Of all texts of a batch: row, first and last string start (bytes of the text), prefix hash; and the bytes."""
-    column = column.cast(pa.string())
+    column = column.cast(pa.binary())
     off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     raw = column.buffers()[2]
     data = np.frombuffer(raw, np.uint8)[off[0] : off[-1]] if raw is not None and off[-1] > off[0] else np.zeros(0, np.uint8)
@@ -95,42 +98,65 @@ def stretches(column: pa.Array, length: int = LENGTH, prefix: int = PREFIX) -> t
     return (*(np.concatenate([p[k] for p in parts]) for k in range(4)), data, off)
 
 
-def _ranks(length: int):
-    """Distinct (prefix rank, document) pairs of each batch."""
+def _salts(keys: list[np.ndarray], doc: np.ndarray, both_ends: bool) -> tuple[np.ndarray, np.ndarray]:
+    """An order by keys and document, and for the rows in it: 0 for those of the least (and the greatest)
+    document of their key in the batch, a salt for the others."""
+    order = np.lexsort((doc, *keys[::-1]))
+    d = doc[order]
+    fresh = np.ones(len(d), bool)
+    fresh[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    start = np.flatnonzero(fresh)
+    group = np.cumsum(fresh) - 1
+    inner = d > d[start][group]
+    if both_ends:
+        inner &= d < d[np.append(start[1:], len(d)) - 1][group]
+    return order, np.where(inner, (d * 2654435761 & 0x7FFFFFFF) | 1, 0).astype(np.int32)
+
+
+def _batch(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns.values()], names=list(columns))
+
+
+def _pairs(length: int, width: int):
+    """(doc, text) to the distinct (h, salt, doc) of each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, _, _, h, _, _ = stretches(batch.column(1), length)
-            order = np.lexsort((h, row))
-            row, h = row[order], h[order]
-            keep = np.ones(len(row), bool)
-            keep[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
-            doc = batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(doc[row[keep]])], names=["h", "doc"])
+            row, _, _, h, _, _ = stretches(batch.column(1), length, width)
+            doc = batch.column(0).to_numpy(zero_copy_only=False)[row]
+            order, salt = _salts([h], doc, True)
+            h, doc = h[order], doc[order]
+            keep = np.ones(len(h), bool)
+            keep[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
+            yield _batch({"h": h[keep], "salt": salt[keep], "doc": doc[keep]})
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs sorted by (h, doc), those whose rank two documents have; only the last rank is held."""
-    held = None  # rank, its first document, whether that was told
+    """Of rows sorted by (h, salt, doc, ...), without salt, those whose rank two documents have. Rows with a salt are
+    of that kind; of the others, only those of the last rank's first document are held."""
+    held: list[pa.Table] = []
+    told = False  # whether the rows held are out already; then one stands for all
     for batch in batches:
-        if not batch.num_rows:
+        rows = pa.Table.from_batches([batch])
+        salted = rows.column("salt").to_numpy() != 0
+        if salted.any():
+            yield from rows.filter(pa.array(salted)).drop_columns("salt").to_batches()
+        rows = pa.concat_tables([*held, rows.filter(pa.array(~salted))]).combine_chunks()
+        if not rows.num_rows:
             continue
-        h, d = (batch.column(k).to_numpy() for k in (0, 1))
-        if held:
-            h, d = np.concatenate([[held[0]], h]), np.concatenate([[held[1]], d])
+        h, d = rows.column("h").to_numpy(), rows.column("doc").to_numpy()
         start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(h))))
-        later = d > d[start][group]
-        several = np.add.reduceat(later.astype(np.int64), start) > 0
-        out = later.copy()
-        out[start] = several
-        if held and held[2]:
+        several = np.maximum.reduceat(d, start) > d[start]
+        out = several[group]
+        if told:
             out[0] = False
-        told = bool(several[-1]) or bool(held and held[2] and len(start) == 1)
-        held = (h[-1], d[start[-1]], told)
-        yield pa.RecordBatch.from_arrays([pa.array(h[out]), pa.array(d[out])], names=["h", "doc"])
+        told = bool(several[-1]) or (told and len(start) == 1)
+        last = np.flatnonzero(group == len(start) - 1)
+        held = [rows.take(pa.array(last[:1] if told else last))]
+        yield from rows.filter(pa.array(out)).drop_columns("salt").to_batches()
 
 
 def _lists(column: pa.Array) -> list[np.ndarray]:
@@ -144,12 +170,21 @@ def _tag(text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(text) >> 33
 
 
-def _stretch_ranks(length: int):
-    """(doc, text, shared prefix ranks) to rows of stretches under these ranks."""
+DECIDED = "c1 long, c2 long, salt int, h long, doc long, tag long, s long, e long"
+
+
+def _decided(c1: np.ndarray, c2: np.ndarray, h: np.ndarray, doc: np.ndarray, tag: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
+    order, salt = _salts([c1, c2], doc, False)
+    c1, c2, h, doc, tag, s, e = (x[order] for x in (c1, c2, h, doc, tag, s, e))
+    return _batch({"c1": c1, "c2": c2, "salt": salt, "h": h, "doc": doc, "tag": tag, "s": s, "e": e})
+
+
+def _stretch_ranks(length: int, width: int):
+    """(doc, text, shared prefix ranks) to rows of stretches under these ranks; c1, c2: rank of all their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, s, e, h, data, off = stretches(batch.column(1), length)
+            row, s, e, h, data, off = stretches(batch.column(1), length, width)
             doc = batch.column(0).to_numpy(zero_copy_only=False)
             bounds = np.searchsorted(row, np.arange(len(doc) + 1))
             keep, tags = np.zeros(len(row), bool), np.zeros(len(doc), np.int64)
@@ -160,113 +195,88 @@ def _stretch_ranks(length: int):
                     tags[k] = _tag(data[off[k] : off[k + 1]].tobytes())
             row, s, e, h = row[keep], s[keep], e[keep], h[keep]
             raw = data.tobytes()
-            c = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip((off[row] + s).tolist(), (off[row] + e + length).tolist(), strict=True)), np.uint64, len(row))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), c.view(np.int64), doc[row], tags[row], s, e)], names=["h", "c", "doc", "tag", "s", "e"])
+            c = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip((off[row] + s).tolist(), (off[row] + e + length).tolist(), strict=True)), np.int64).reshape(-1, 2)
+            yield _decided(c[:, 0].copy(), c[:, 1].copy(), h, doc[row], tags[row], s, e)
 
     return run
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (h, c, doc): stretches that a smaller document has too are settled;
-    the others stay, if their prefix rank has another stretch."""
-    names = ["settled", "doc", "tag", "h", "s", "e"]
-    h0 = c0 = least = None
-    waiting: list[tuple] = []
-    several = False
+def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (c1, c2, salt, doc), whether a smaller document has the same rank; one rank is held."""
+    held = None
     for batch in batches:
-        out: list[tuple] = []
-        for h, c, doc, tag, s, e in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-            if h != h0:
-                h0, c0, least, several, waiting = h, c, doc, False, []
-            elif c != c0:
-                out += waiting
-                c0, least, several, waiting = c, doc, True, []
-            if doc > least:
-                out.append((True, doc, tag, None, s, e))
-            elif several:
-                out.append((False, doc, tag, h, s, e))
-            else:
-                waiting.append((False, doc, tag, h, s, e))
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 6, (pa.bool_(), *[pa.int64()] * 5), strict=True)], names=names)
+        if not batch.num_rows:
+            continue
+        c1, c2, salt, doc = (batch.column(k).to_numpy() for k in ("c1", "c2", "salt", "doc"))
+        fresh = np.concatenate([[held is None or (c1[0], c2[0]) != held[:2]], (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])])
+        first = np.concatenate([[held[2] if held else 0], doc[fresh]])
+        later = (salt != 0) | (doc > first[np.cumsum(fresh)])
+        held = (c1[-1], c2[-1], first[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(later), *(batch.column(k) for k in ("doc", "tag", "h", "s", "e"))], names=["settled", "doc", "tag", "h", "s", "e"])
 
 
-CONTEXT = "h long, k long, doc long, tag long, s long, bytes binary"
+CONTEXT = "doc long, tag long, s long, bytes binary"
 
 
 def _contexts(length: int):
-    """(doc, text, marks of five longs: tag, h, s, e, hot) to (h, k, doc, tag, s, bytes).
+    """(doc, text, marks of three longs: tag, s, e) to the bytes of these stretches, in parts of STEP strings."""
 
-    One row for each stretch, with its bytes; under a hot rank one for each string, with its rank k.
-    """
-    names = ["h", "k", "doc", "tag", "s", "bytes"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text, marks in zip(batch.column(0).to_pylist(), batch.column(1), _lists(batch.column(2)), strict=True):
+                data = text.as_py().encode()
+                own = _tag(data)
+                rows = [(at, data[at : min(e, at + STEP - 1) + length]) for tag, s, e in marks.reshape(-1, 3).tolist() if tag == own for at in range(s, e + 1, STEP)]
+                n = len(rows)
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * n, pa.int64()), pa.array([own] * n, pa.int64()), pa.array([s for s, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=["doc", "tag", "s", "bytes"])
+
+    return run
 
-    def ranked(pieces: list[tuple]) -> pa.RecordBatch:
-        data = np.frombuffer(b"".join(p[4] for p in pieces), np.uint8)
-        size = np.array([len(p[4]) for p in pieces])
-        n = size - length + 1
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        k = prefix_hashes(data, length)[np.repeat(np.cumsum(size) - size, n) + step]
-        h, doc, tag, s = (np.repeat(np.array([p[c] for p in pieces], np.int64), n) for c in range(4))
-        return pa.RecordBatch.from_arrays([*(pa.array(x) for x in (h, k.view(np.int64), doc, tag, s + step)), pa.nulls(len(k), pa.binary())], names=names)
+
+def _context_ranks(length: int, width: int):
+    """Contexts to the distinct (h, salt, doc, tag, s) of each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            pieces, held = [], 0
-            for doc, text, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _lists(batch.column(2)), strict=True):
-                data = text.encode()
-                own = _tag(data)
-                for tag, h, s, e, hot in marks.reshape(-1, 5).tolist():
-                    if tag != own:
-                        continue
-                    if not hot:
-                        out.append((h, None, doc, own, s, data[s : e + length]))
-                        continue
-                    for at in range(s, e + 1, STEP):
-                        pieces.append((h, doc, own, at, data[at : min(e, at + STEP - 1) + length]))
-                        held += len(pieces[-1][4])
-                        if held >= STEP:
-                            yield ranked(pieces)
-                            pieces, held = [], 0
-            if pieces:
-                yield ranked(pieces)
-            types = (*[pa.int64()] * 5, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 6, types, strict=True)], names=names)
+            row, _, _, h, _, _ = stretches(batch.column(3), length, width)
+            order = np.lexsort((h, row))
+            row, h = row[order], h[order]
+            keep = np.ones(len(h), bool)
+            keep[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
+            row, h = row[keep], h[keep]
+            doc, tag, s = (batch.column(k).to_numpy()[row] for k in range(3))
+            order, salt = _salts([h], doc, True)
+            yield _batch({"h": h[order], "salt": salt, "doc": doc[order], "tag": tag[order], "s": s[order]})
 
     return run
 
 
-def _compare(length: int):
-    """Of rows sorted by (h, k, doc), the runs of strings that a smaller document has under the same rank."""
+def _strings(length: int, width: int):
+    """Contexts with their shared ranks to the strings under these, as rows of DECIDED; equal strings side by side are one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h0, seen, held = None, {}, None
         for batch in batches:
-            ranked, rest = (batch.filter(m) for m in (batch.column(5).is_null(), batch.column(5).is_valid()))
-            out: list[tuple] = []
-            for h, _, doc, tag, s, data in zip(*(c.to_pylist() for c in rest.columns), strict=True):
-                if h != h0:
-                    h0, seen = h, {}
-                start = None
-                for p in range(len(data) - length + 1):
-                    known = seen.setdefault(data[p : p + length], doc) < doc
-                    if known and start is None:
-                        start = p
-                    elif not known and start is not None:
-                        out.append((doc, tag, s + start, s + p - 1))
-                        start = None
-                if start is not None:
-                    out.append((doc, tag, s + start, s + len(data) - length))
-            names = ["doc", "tag", "s", "e"]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [[]] * 4)], names=names)
-            if ranked.num_rows:
-                h, k, d, tag, s = (ranked.column(c).to_numpy() for c in range(5))
-                fresh = np.concatenate([[held is None or (h[0], k[0]) != held[:2]], (h[1:] != h[:-1]) | (k[1:] != k[:-1])])
-                group = np.cumsum(fresh)
-                first = np.concatenate([[held[2] if held else 0], d[fresh]])
-                held = (h[-1], k[-1], first[-1])
-                later = d > first[group]
-                yield pa.RecordBatch.from_arrays([pa.array(x[later]) for x in (d, tag, s, s)], names=names)
+            row, s, e, h, data, off = stretches(batch.column(3), length, width)
+            bounds = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            keep = np.zeros(len(row), bool)
+            for k, ranks in enumerate(_lists(batch.column(4))):
+                a, b = bounds[k], bounds[k + 1]
+                keep[a:b] = np.isin(h[a:b].view(np.int64), ranks)
+            row, s, e = row[keep], s[keep], e[keep]
+            if not len(row):
+                continue
+            n = e - s + 1
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            row, p = np.repeat(row, n), np.repeat(s, n) + step
+            at = off[row] + p
+            k1, k2 = prefix_hashes(data, length)[at], prefix_hashes(data, length, M3)[at]
+            new = np.ones(len(at), bool)
+            new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1])
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(at)) - 1
+            doc, tag, base = (batch.column(k).to_numpy() for k in range(3))
+            row = row[first]
+            yield _decided(k1[first], k2[first], np.zeros(len(row), np.int64), doc[row], tag[row], base[row] + p[first], base[row] + p[last])
 
     return run
 
@@ -289,36 +299,38 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in now], names=names)
 
 
-def contexts(source: DataFrame, settled: DataFrame, length: int) -> DataFrame:
-    """What is left to compare (h, k, doc, tag, s, bytes): no rank has more than HOT strings as bytes."""
-    open_ = settled.filter("NOT settled")
-    hot = open_.groupBy("h").agg(F.sum(F.col("e") - F.col("s") + 1).alias("n")).filter(F.col("n") > HOT).select("h", F.lit(1).cast("long").alias("hot"))
-    mark = F.array("tag", "h", "s", "e", F.coalesce("hot", F.lit(0).cast("long")))
-    left = open_.join(hot, "h", "left").groupBy("doc").agg(F.flatten(F.collect_list(mark)).alias("marks"))
-    return source.join(left, "doc").select("doc", "text", "marks").mapInArrow(_contexts(length), CONTEXT)
-
-
 def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc, marks) of documents with strings that start in a smaller one too; marks: an array
     of longs, three for each run of such strings: tag of the text, first and last start."""
     spark = docs.sparkSession
     n = partitions(spark)
+    narrow, wide = WIDTHS
     source = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).select(F.col("doc_id").cast("long").alias("doc"), "text")
-    ranks = source.mapInArrow(_ranks(length), "h long, doc long").repartition(n, "h").sortWithinPartitions("h", "doc")
-    shared = ranks.mapInArrow(_shared, "h long, doc long").groupBy("doc").agg(F.collect_set("h").alias("ranks"))
-    shared = stage(shared, "shared")
+    ranked = lambda df, *more: df.repartition(n, "h", "salt").sortWithinPartitions("h", "salt", "doc", *more)
+    told = lambda df: df.repartition(n, "c1", "salt").sortWithinPartitions("c1", "c2", "salt", "doc").mapInArrow(_first, "settled boolean, doc long, tag long, h long, s long, e long")
+    shared = ranked(source.mapInArrow(_pairs(length, narrow), "h long, salt int, doc long")).mapInArrow(_shared, "h long, doc long")
+    shared = stage(shared.groupBy("doc").agg(F.collect_set("h").alias("ranks")), "shared")
     release(spark)
-    rows = source.join(shared, "doc").select("doc", "text", "ranks").mapInArrow(_stretch_ranks(length), "h long, c long, doc long, tag long, s long, e long")
-    settled = rows.repartition(n, "h").sortWithinPartitions("h", "c", "doc").mapInArrow(_settle, "settled boolean, doc long, tag long, h long, s long, e long")
-    settled = stage(settled, "settled")
+    settled = stage(told(source.join(shared, "doc").select("doc", "text", "ranks").mapInArrow(_stretch_ranks(length, narrow), DECIDED)), "settled")
     discard(shared)
     release(spark)
+    left = settled.filter("NOT settled")
+    # staged, so that Spark sees both sides of the join and may split a hot rank
+    several = stage(left.groupBy("h").agg(F.min(F.struct("doc", "tag", "s")).alias("a"), F.max(F.struct("doc", "tag", "s")).alias("b")).filter("a <> b").select("h"), "several")
+    marks = F.flatten(F.collect_set(F.array("tag", "s", "e"))).alias("marks")
+    cut = source.join(left.join(several, "h", "left_semi").groupBy("doc").agg(marks), "doc").select("doc", "text", "marks").mapInArrow(_contexts(length), CONTEXT)
+    contexts = stage(cut.dropDuplicates(["doc", "tag", "s"]), "contexts")
+    discard(several)
+    release(spark)
+    keys = ["doc", "tag", "s"]
+    shared = ranked(contexts.mapInArrow(_context_ranks(length, wide), "h long, salt int, doc long, tag long, s long"), "tag", "s").mapInArrow(_shared, "h long, doc long, tag long, s long")
+    strings = contexts.join(shared.groupBy(*keys).agg(F.collect_set("h").alias("ranks")), keys).select(*contexts.columns, "ranks").mapInArrow(_strings(length, wide), DECIDED)
     runs = "doc long, tag long, s long, e long"
-    compared = contexts(source, settled, length).repartition(n, "h", "k").sortWithinPartitions("h", "k", "doc").mapInArrow(_compare(length), runs)
-    compared = stage(compared.repartition(n, "doc").sortWithinPartitions("doc", "tag", "s").mapInArrow(_runs, runs), "compared")
+    compared = told(strings).filter("settled").select("doc", "tag", "s", "e").repartition(n, "doc").sortWithinPartitions("doc", "tag", "s").mapInArrow(_runs, runs)
+    compared = stage(compared, "compared")
+    discard(contexts)
     release(spark)
-    marks = settled.filter("settled").select("doc", "tag", "s", "e").unionByName(compared)
-    return marks.groupBy("doc").agg(F.flatten(F.collect_list(F.array("tag", "s", "e"))).alias("marks"))
+    return settled.filter("settled").select("doc", "tag", "s", "e").unionByName(compared).groupBy("doc").agg(marks)
 
 
 def covered(data: bytes, marks: np.ndarray | None, length: int) -> tuple[bytes, list[tuple[int, int]]]:
@@ -342,9 +354,12 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     halves) and spans (the removed runs, as offsets of the UTF-8 text).
     Strings are judged on the texts as given. Null texts are empty. Rows with a null doc_id
     have no place in the order: nothing is removed from them or because of them. Rows that
-    share a doc_id remove nothing from each other. An empty table gives no rows.
+    share a doc_id remove nothing from each other. doc_id is an integer (TypeError else).
+    An empty table gives no rows.
     """
     spark = docs.sparkSession
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError(f"doc_id must be an integer, not {docs.schema['doc_id'].dataType.simpleString()}")
     bounded_batches(spark, 2048)
     marks = repeated_strings(docs, length)
 
@@ -356,8 +371,9 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return pd.DataFrame({"kept": [k for k, _ in rows], "kept_text": [k.decode("utf-8", "ignore") for k, _ in rows], "spans": [[{"start": a, "stop": b} for a, b in s] for _, s in rows]})
 
     added = ("kept", "kept_text", "spans")
-    joined = docs.drop(*added).join(marks.select(F.col("doc").alias("doc_id"), F.col("marks").alias("_marks")), "doc_id", "left")
-    return joined.withColumn("_cut", cut(F.coalesce("text", F.lit("")), "_marks")).select(*[c for c in docs.columns if c not in added], "_cut.*")
+    own, done = unused(docs, "marks"), unused(docs, "cut")
+    joined = docs.drop(*added).join(marks.select(F.col("doc").alias("doc_id"), F.col("marks").alias(own)), "doc_id", "left")
+    return joined.withColumn(done, cut(F.coalesce("text", F.lit("")), own)).select(*[c for c in docs.columns if c not in added], f"{done}.*")
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
