@@ -374,21 +374,36 @@ def test_dedup_edges(spark):
     assert suffix_dedup.suffix_dedup(frame(spark).limit(0)).count() == 0
 
 
-def test_dedup_under_a_hot_prefix(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT", 300, raising=False)
-    plain = suffix_dedup.stage
-    tables = {}
-    monkeypatch.setattr(suffix_dedup, "stage", lambda df, label: tables.setdefault(label, plain(df, label)))
+def test_dedup_under_a_hot_prefix(spark):
     head = "Copyright notice of the hot source, all"  # under 50 bytes
     rows = [(k, f"{head} {k * 7919:x} {'z' * (k % 9)} own words {k} and {k * k}") for k in range(200)]
     rows += [(200 + k, f"{k}{head} rights reserved, {k:03d} tail {k % 5}") for k in range(100)]
     rows += [(400, "q" * 3000), (401, "r" + "q" * 2000 + "s" + head), (300, "q" * 60 + "t" * 60)]
-    docs = frame(spark, rows)
-    assert dedup_rows(suffix_dedup.suffix_dedup(docs)) == dedup_by_hand(rows)
-    source = docs.select(F.col("doc_id").alias("doc"), "text")
-    got = suffix_dedup.contexts(source, tables["settled"], 50)
-    held = got.filter("bytes IS NOT NULL").groupBy("h").agg(F.sum(F.octet_length("bytes") - 49).alias("n")).agg(F.max("n")).first()[0] or 0
-    assert held <= 300 and got.filter("k IS NOT NULL").groupBy("h").count().agg(F.max("count")).first()[0] > 300
+    rows += [(500, "one text of a repeated row " * 4), (500, "one text of a repeated row " * 4), (501, "one text of a repeated row " * 3)] * 20
+    assert dedup_rows(suffix_dedup.suffix_dedup(frame(spark, rows))) == dedup_by_hand(rows)
+
+
+def test_ranks_of_many_documents_are_spread(spark):
+    head = "A licence line that very many documents begin with, over fifty bytes; "
+    docs = spark.createDataFrame([(k, head + f"{k * 7919:x} own {k}") for k in range(8000)], "doc long, text string").repartition(8)
+    pairs = docs.mapInArrow(suffix_dedup._pairs(50, 20), "h long, salt int, doc long")
+    assert pairs.groupBy("h").count().agg(F.max("count")).first()[0] == 8000
+    assert pairs.groupBy("h", "salt").count().agg(F.max("count")).first()[0] <= 64
+    got = suffix_dedup.suffix_dedup(docs.withColumnRenamed("doc", "doc_id").withColumn("marks", F.lit("m")).withColumn("cut", F.lit("c")))
+    assert got.filter("kept = encode(text, 'UTF-8')").count() == 1 and got.filter("marks = 'm' AND cut = 'c'").count() == 8000
+    with pytest.raises(TypeError, match="integer"):
+        suffix_dedup.suffix_dedup(docs.select(F.col("doc").cast("string").alias("doc_id"), "text"))
+
+
+def test_shared_ranks_over_batches():
+    import pyarrow as pa
+
+    rng = np.random.RandomState(3)
+    rows = sorted({(int(h), 0 if rng.rand() < 0.8 else int(d) + 1, int(d), int(p)) for h, d, p in zip(rng.randint(0, 12, 90), rng.randint(0, 3, 90), rng.randint(0, 3, 90), strict=True)})
+    want = sorted((h, d, p) for h, salt, d, p in rows if salt or len({x[2] for x in rows if x[0] == h and not x[1]}) > 1)
+    for size in (1, 2, 7, 90):
+        parts = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + size], strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["h", "salt", "doc", "s"]) for k in range(0, len(rows), size)]
+        assert sorted(tuple(r.values()) for b in suffix_dedup._shared(iter(parts)) for r in b.to_pylist()) == want
 
 
 def test_stretches_cut_anywhere(monkeypatch):
