@@ -1,19 +1,29 @@
 """Transcript parsing: roles by a hidden Markov model over lines, then canonical turns.
 
 A hidden state is a role with whether the line opens a turn. An observation is the speaker
-marker of a line with features of the line. Viterbi runs over chunks of a conversation:
-each gives a matrix of best scores between its first and last state, the matrices of a
-conversation are combined, and each chunk is traced back by itself.
+marker of a line with features of the line.
+
+The pieces of all transcripts are sorted by conversation and place, by ranges, so a hot
+conversation spreads over many tasks. Each task cuts what it has of a conversation into
+chunks of at most CHUNK lines. Conversations that are one chunk in the middle of a task, that
+is nearly all, are decoded by Viterbi where they are, many at once. Of the others each chunk
+gives a matrix of best scores between the state before it and its last one; the matrices of a
+conversation are combined, first inside tasks, then over them, and each chunk is traced back
+by itself.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import arrow_map, bounded_batches, stage, table
+from lanewise.llm.common import arrow_map, bounded_batches, partitions, stage, table
 
 ROLES = ("system", "user", "assistant")
 #: Fixed speaker words of a marker, by role.
@@ -22,50 +32,114 @@ N_STATES = 2 * len(ROLES)
 #: The codes of lines with text, and one for blank lines.
 N_OBSERVED = 4 * 2 * 2 * 2 + 1
 AFTER_BLANK = 4
-BLANK = r"^\s*$"
-#: Turns of a conversation in a chunk.
-CHUNK = 64
+BLANK_CODE = N_OBSERVED - 1
+#: Lines and characters of a conversation in a chunk.
+CHUNK, CHUNK_CHARS = 4096, 1 << 20
+MARKER = re.compile(r"\s*(?:#{1,4}\s*|\*\*|<\|)?(?:" + "|".join(f"({SPEAKERS[r]})" for r in ROLES) + r")\s*(?:\*\*\s*:|\|>|:\*\*|:|>)\s*", re.ASCII | re.IGNORECASE)
+BLANK = re.compile(r"\s*\Z", re.ASCII)
+QUESTION = re.compile(r"\?\s*\Z", re.ASCII)
+LINE = re.compile(r"\r?\n")
 
 
-def marker(role: str) -> str:
-    return rf"^\s*(?:#{{1,4}}\s*|\*\*|<\|)?(?i:{SPEAKERS[role]})\s*(?:\*\*\s*:|\|>|:\*\*|:|>)\s*"
+def observe(line: str, after_blank: bool) -> int:
+    """Code of marker (none or a role), blank line before, question, short line; or of a blank line."""
+    if BLANK.match(line):
+        return BLANK_CODE
+    found = MARKER.match(line)
+    return 8 * (found.lastindex if found else 0) + AFTER_BLANK * after_blank + 2 * bool(QUESTION.search(line, max(0, len(line) - 64))) + (len(line) < 60)
 
 
-def observe(line: Column) -> Column:
-    """Code of marker (none or a role), question, short line, as if no blank line stood before; or of a blank line."""
-    found = F.lit(0)
-    for k, role in enumerate(ROLES):
-        found = F.when(line.rlike(marker(role)), k + 1).otherwise(found)
-    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
-    return F.when(line.rlike(BLANK), N_OBSERVED - 1).otherwise((found * 4 + flag(line.rlike(r"\?\s*$"))) * 2 + flag(F.length(line) < 60))
+def bare(line: str) -> str:
+    """An opening line without its marker."""
+    found = MARKER.match(line)
+    return line[found.end() :] if found else line
 
 
-def split_lines(raw: DataFrame) -> DataFrame:
-    """Lines (conv_id, turn, line, text, state) of pieces of raw text (conv_id, text and, where given,
-    turn and state: of the first line of the piece; the others go on with its turn)."""
-    given = lambda c, t: (F.col(c) if c in raw.columns else F.lit(None)).cast(t).alias(c)
-    rows = raw.select("conv_id", given("turn", "long"), given("state", "int"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\r?\n")).alias("line", "text"))
-    return rows.withColumn("state", F.col("state") + F.when(F.col("line") == 0, 0).otherwise(1))
+CHUNKS = "seg int, k int, open boolean, edge boolean, lines array<string>, seen array<int>, state array<int>, before int, last_blank boolean, last_state int"
 
 
 def chunked(lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """conv_id, chunk and its lines in order, of lines (conv_id, turn, line, text, state) or of raw text, see :func:`split_lines`.
-
-    Whether a blank line stands before a line is read from the line before it, in the chunk or in the one before.
-    """
-    if "line" not in lines.columns:
-        lines = split_lines(lines)
-    turn = F.coalesce("turn", F.lit(-1)).cast("long")
-    keys = ["conv_id", F.floor(turn / chunk).alias("chunk")]
-    line = F.struct(turn.alias("turn"), F.col("line"), F.col("text"), observe(F.col("text")).cast("int").alias("seen"), F.col("state"))
-    blank = lambda text: F.coalesce(text.rlike(BLANK), F.lit(False))
-    last = lines.groupBy(*keys).agg(F.max(F.struct(turn.alias("turn"), F.col("line"), blank(F.col("text")).alias("blank"), F.col("text"))).alias("last"))
-    before = last.select("conv_id", "chunk", F.coalesce(F.lag("last.blank").over(Window.partitionBy("conv_id").orderBy("chunk")), F.lit(False)).alias("after"))
-    chunks = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(line)).alias("lines"))
-    joined = chunks.alias("c").join(before.alias("b"), F.expr("c.conv_id <=> b.conv_id AND c.chunk = b.chunk")).select("c.*", "after")
-    after = lambda i: F.when(i == 0, F.col("after")).otherwise(blank(F.get("lines", i - 1)["text"]))
-    seen = lambda x, i: x["seen"] + F.when((x["seen"] < N_OBSERVED - 1) & after(i), AFTER_BLANK).otherwise(0)
-    return joined.select("conv_id", "chunk", F.transform("lines", lambda x, i: x.withField("seen", seen(x, i))).alias("lines"))
+    """Chunks of transcripts (see :func:`parse`), staged: conv_id, seg (task), k (number in it), the lines with codes
+    and known states, the known state of the line before. ``edge``: not a whole conversation for certain."""
+    spark = lines.sparkSession
+    bounded_batches(spark, 1024)
+    given = lambda c, t: (F.col(c) if c in lines.columns else F.lit(None)).cast(t).alias(c)
+    rows = lines.select("conv_id", given("turn", "long"), given("line", "long"), F.coalesce("text", F.lit("")).alias("text"), given("state", "int"))
+    order = ["conv_id", "turn", "line", "tie", "row"]
+    rows = rows.withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()}).repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    kind = dict(lines.dtypes)["conv_id"]
+    found = stage(rows.select("conv_id", "text", "state").mapInArrow(_cut(chunk), f"conv_id {kind}, {CHUNKS}"), "transcripts", "zstd")
+    edge = found.filter("edge")
+    # what a task could not know about its first conversation: the last line in the task before
+    ends = edge.groupBy("conv_id", "seg").agg(F.max_by(F.struct("last_blank", "last_state"), "k").alias("end"))
+    ahead = ends.select(F.col("conv_id").alias("c"), F.col("seg").alias("s"), F.lag("end").over(Window.partitionBy("conv_id").orderBy("seg")).alias("prior"))
+    joined = edge.join(ahead, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("seg") == F.col("s"))).drop("c", "s")
+    opened = F.col("open") & F.col("prior").isNotNull()
+    first = F.get("seen", F.lit(0))
+    fixed = F.concat(F.array(first + F.when(F.col("prior.last_blank") & (first < BLANK_CODE), AFTER_BLANK).otherwise(0)), F.expr("slice(seen, 2, size(seen))"))
+    joined = joined.withColumns({"seen": F.when(opened, fixed).otherwise(F.col("seen")), "before": F.when(opened, F.coalesce("prior.last_state", F.lit(-1))).otherwise(F.col("before"))})
+    return found.filter("NOT edge").unionByName(stage(joined.drop("prior"), "edges"))
+
+
+def _cut(chunk: int):
+    """Sorted pieces of text to chunks. before: state of the line before in the conversation, -1 if unknown, null if there is none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seg = TaskContext.get().partitionId()
+        out: list[dict] = []
+        now: dict = {}
+        conv = object()
+        nth, k, chars = -1, 0, 0  # conversation of the task, its chunk, characters in that
+        kinds = {"seg": pa.int32(), "k": pa.int32(), "open": pa.bool_(), "edge": pa.bool_(), "lines": pa.list_(pa.string()), "seen": pa.list_(pa.int32()), "state": pa.list_(pa.int32()), "before": pa.int32(), "last_blank": pa.bool_(), "last_state": pa.int32()}
+        kind = pa.null()
+
+        def close(edge: bool) -> None:
+            if now:
+                now.update(edge=now["edge"] or edge, last_blank=now["seen"][-1] == BLANK_CODE, last_state=now["state"][-1])
+                out.append(dict(now))
+                now.clear()
+
+        def flush() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([r["conv_id"] for r in out], kind), *(pa.array([r[c] for r in out], t) for c, t in kinds.items())], names=["conv_id", *kinds])
+            out.clear()
+            return made
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            held = 0
+            for c, text, state in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+                if c != conv:
+                    close(False)
+                    nth, conv, k = nth + 1, c, 0
+                for i, piece in enumerate(LINE.split(text)):
+                    known = state if state is None or i == 0 else state | 1
+                    if now and (len(now["seen"]) >= chunk or chars > CHUNK_CHARS):
+                        before, blank = now["state"][-1], now["seen"][-1] == BLANK_CODE
+                        close(True)
+                        k += 1
+                        now.update(conv_id=c, seg=seg, k=k, open=False, edge=True, lines=[], seen=[], state=[], before=-1 if before is None else before)
+                    elif not now:
+                        blank = False
+                        now.update(conv_id=c, seg=seg, k=k, open=nth == 0, edge=nth == 0, lines=[], seen=[], state=[], before=None)
+                    else:
+                        blank = now["seen"][-1] == BLANK_CODE
+                    if not now["seen"]:
+                        chars = 0
+                    now["lines"].append(piece)
+                    now["seen"].append(observe(piece, blank))
+                    now["state"].append(known)
+                    chars += len(piece)
+                held += len(text)
+                if held > CHUNK_CHARS and out:
+                    held = 0
+                    yield flush()
+            if out:
+                yield flush()
+        close(True)
+        if out:
+            yield flush()
+
+    return run
 
 
 def fit(chunks: DataFrame, learn: Column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,19 +151,27 @@ def fit(chunks: DataFrame, learn: Column) -> tuple[np.ndarray, np.ndarray, np.nd
         move[[2 * k, 2 * k + 1], 2 * k + 1] = 1
         emit[2 * k, 8 * (k + 1) : 8 * (k + 2)] += 5
         emit[2 * k + 1, :8] += 5
-        emit[2 * k + 1, N_OBSERVED - 1] += 5
-    known = chunks.filter(learn).select("chunk", F.transform("lines", lambda x: x["state"]).alias("s"), F.transform("lines", lambda x: x["seen"]).alias("o"))
-    pair = F.explode(F.arrays_zip(F.col("s").alias("a"), F.col("o").alias("b")))
-    for r in known.select(pair.alias("p")).groupBy("p.a", "p.b").count().collect():
-        if r["a"] is not None:
-            emit[r["a"], r["b"]] += r["count"]
-    step = F.explode(F.arrays_zip(F.expr("slice(s, 1, size(s) - 1)").alias("a"), F.expr("slice(s, 2, size(s) - 1)").alias("b")))
-    for r in known.filter(F.size("s") > 1).select(step.alias("p")).groupBy("p.a", "p.b").count().collect():
-        if r["a"] is not None and r["b"] is not None:
-            move[r["a"], r["b"]] += r["count"]
-    for r in known.filter("chunk = 0").select(F.get("s", F.lit(0)).alias("a")).groupBy("a").count().collect():
-        if r["a"] is not None:
-            start[r["a"]] += r["count"]
+        emit[2 * k + 1, BLANK_CODE] += 5
+
+    def counts(batch: pa.RecordBatch) -> dict:
+        n = [np.zeros(N_STATES), np.zeros((N_STATES, N_STATES)), np.zeros((N_STATES, N_OBSERVED))]
+        for state, seen, before in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if before is None and state[0] is not None:
+                n[0][state[0]] += 1
+            for a, s, o in zip([before, *state[:-1]], state, seen, strict=True):
+                if s is not None:
+                    n[2][s, o] += 1
+                    if a is not None and a >= 0:
+                        n[1][a, s] += 1
+        rows = [(w, *at) if len(at) == 2 else (w, *at, -1) for w, x in enumerate(n) for at in map(tuple, np.argwhere(x))]
+        return {"what": [r[0] for r in rows], "a": [r[1] for r in rows], "b": [r[2] for r in rows], "n": [int(n[w][a] if b < 0 else n[w][a, b]) for w, a, b in rows]}
+
+    found = arrow_map(chunks.filter(learn).select("state", "seen", "before"), "what int, a int, b int, n long", counts)
+    for r in found.groupBy("what", "a", "b").agg(F.sum("n").alias("n")).collect():
+        if r["what"] == 0:
+            start[r["a"]] += r["n"]
+        else:
+            (move, emit)[r["what"] - 1][r["a"], r["b"]] += r["n"]
     for k in range(N_STATES):  # an inside state never follows another role
         for j in range(len(ROLES)):
             if k // 2 != j:
@@ -98,17 +180,47 @@ def fit(chunks: DataFrame, learn: Column) -> tuple[np.ndarray, np.ndarray, np.nd
     return log(start), log(move), log(emit)
 
 
-def transfer(seen: list[int], move: np.ndarray, emit: np.ndarray) -> np.ndarray:
-    """T[i, j]: best score of the lines when the line before them had state i and their last has j."""
-    T = move + emit[:, seen[0]]
+def viterbi(seen: list[list[int]], model) -> list[list[int]]:
+    """Best states of whole conversations, all of them step by step together."""
+    start, move, emit = model
+    order = sorted(range(len(seen)), key=lambda k: -len(seen[k]))
+    longest = len(seen[order[0]]) if order else 0
+    alive = np.searchsorted(-np.array([len(seen[k]) for k in order]), -np.arange(longest), side="left")  # how many go beyond step t
+    codes = np.zeros((len(seen), longest), np.int64)
+    for row, k in enumerate(order):
+        codes[row, : len(seen[k])] = seen[k]
+    score = start + emit[:, codes[:, 0]].T if longest else None
+    back = []
+    for t in range(1, longest):
+        step = score[: alive[t], :, None] + move
+        back.append(step.argmax(axis=1))
+        score[: alive[t]] = step.max(axis=1) + emit[:, codes[: alive[t], t]].T
+    state = score.argmax(axis=1) if longest else None
+    out = np.zeros((len(seen), longest), np.int64)
+    for t in range(longest - 1, -1, -1):
+        n = alive[t] if t else len(seen)
+        out[:n, t] = state[:n]
+        if t:
+            state[:n] = back[t - 1][np.arange(n), state[:n]]
+    found: list[list[int]] = [[]] * len(seen)
+    for row, k in enumerate(order):
+        found[k] = out[row, : len(seen[k])].tolist()
+    return found
+
+
+def transfer(seen: list[int], model) -> np.ndarray:
+    """T[i, j]: best score of the lines when the line before them had state i (last row: there is none) and their last has j."""
+    start, move, emit = model
+    T = np.vstack([move, start]) + emit[:, seen[0]]
     for o in seen[1:]:
         T = (T[:, :, None] + move[None]).max(axis=1) + emit[:, o]
     return T
 
 
-def trace(seen: list[int], enter: int, leave: int, move: np.ndarray, emit: np.ndarray, start: np.ndarray) -> list[int]:
-    """Best states of the lines; enter -1: they begin a conversation."""
-    score = (start if enter < 0 else move[enter]) + emit[:, seen[0]]
+def trace(seen: list[int], enter: int, leave: int, model) -> list[int]:
+    """Best states of the lines between two states; enter N_STATES: they begin a conversation."""
+    start, move, emit = model
+    score = np.vstack([move, start])[enter] + emit[:, seen[0]]
     back = []
     for o in seen[1:]:
         step = score[:, None] + move
@@ -120,88 +232,144 @@ def trace(seen: list[int], enter: int, leave: int, move: np.ndarray, emit: np.nd
     return path[::-1]
 
 
-def recover(chunks: DataFrame, model) -> DataFrame:
-    """conv_id, chunk, lines and the state of every line."""
-    spark = chunks.sparkSession
-    bounded_batches(spark, 256)
-    start, move, emit = model
-    kind = dict(chunks.dtypes)["conv_id"]
+def bounds(ts: list[np.ndarray], enter: int, leave: int | None) -> list[tuple[int, int]]:
+    """The states before and at the end of each step of the best path; leave None: any."""
+    heads = [ts[0][enter]]
+    for T in ts[1:]:
+        heads.append((heads[-1][:, None] + T[:N_STATES]).max(axis=0))
+    out = [int(np.argmax(heads[-1])) if leave is None else leave]
+    for k in range(len(ts) - 1, 0, -1):
+        out.append(int(np.argmax(heads[k - 1] + ts[k][:N_STATES, out[-1]])))
+    out = out[::-1]
+    return list(zip([enter, *out[:-1]], out, strict=True))
 
-    def matrices(batch: pa.RecordBatch) -> dict:
-        return {"conv_id": batch.column(0), "chunk": batch.column(1), "t": [transfer(o, move, emit).ravel().tolist() for o in batch.column(2).to_pylist()]}
 
-    def combine(pdf):
-        import pandas as pd
+def _fragments(lines: list[str], states: list[int]) -> list[tuple[int, int, list[str]]]:
+    """(turn, role, lines) of the turns; turn 0 goes on with what came before."""
+    out: list[tuple[int, int, list[str]]] = []
+    turn = 0
+    for text, s in zip(lines, states, strict=True):
+        if s % 2 == 0:
+            turn += 1
+            out.append((turn, s // 2, [bare(text)]))
+        elif out:
+            out[-1][2].append(text)
+        else:
+            out.append((turn, s // 2, [text]))
+    return out
 
-        pdf = pdf.sort_values("chunk")
-        ts = [np.array(t).reshape(N_STATES, N_STATES) for t in pdf["t"]]
-        heads = [np.array(pdf["first"].iloc[0])]
-        for T in ts[1:]:
-            heads.append((heads[-1][:, None] + T).max(axis=0))
-        leave = [int(np.argmax(heads[-1]))]
-        for k in range(len(ts) - 1, 0, -1):
-            leave.append(int(np.argmax(heads[k - 1] + ts[k][:, leave[-1]])))
-        leave = leave[::-1]
-        return pd.DataFrame({"conv_id": pdf["conv_id"], "chunk": pdf["chunk"], "enter": [-1, *leave[:-1]], "leave": leave})
-
-    seen = F.transform("lines", lambda x: x["seen"])
-
-    def steps(batch: pa.RecordBatch) -> dict:
-        out = matrices(batch)
-        begin = []
-        for o in batch.column(2).to_pylist():
-            v = start + emit[:, o[0]]
-            for x in o[1:]:
-                v = (v[:, None] + move).max(axis=0) + emit[:, x]
-            begin.append(v.tolist())
-        return out | {"first": begin}
-
-    made = arrow_map(chunks.select("conv_id", "chunk", seen.alias("seen")), f"conv_id {kind}, chunk long, t array<double>, first array<double>", steps)
-    bounds = made.groupBy("conv_id").applyInPandas(combine, f"conv_id {kind}, chunk long, enter int, leave int")
-    joined = chunks.alias("c").join(bounds.alias("b"), F.expr("c.conv_id <=> b.conv_id AND c.chunk = b.chunk")).select("c.*", "enter", "leave")
 
-    @F.pandas_udf("array<int>")
-    def states(seen, enter, leave):
-        import pandas as pd
+TURNS = "turn_no long, role string, n_lines long, content string, chat string"
 
-        return pd.Series([trace(list(o), a, b, move, emit, start) for o, a, b in zip(seen, enter, leave, strict=True)])
 
-    return joined.withColumn("states", states(seen, "enter", "leave")).drop("enter", "leave")
+def _whole(chunks: DataFrame, model) -> DataFrame:
+    """Turns of conversations that are one chunk."""
+    kind = dict(chunks.dtypes)["conv_id"]
 
+    def turns(batch: pa.RecordBatch) -> dict:
+        convs, lines, seen = (c.to_pylist() for c in batch.columns)
+        out: dict[str, list] = {c: [] for c in ("conv_id", "turn_no", "role", "n_lines", "content", "chat")}
+        for conv, texts, states in zip(convs, lines, viterbi(seen, model), strict=True):
+            for turn, r, part in _fragments(texts, states):
+                while len(part) > 1 and BLANK.match(part[-1]):
+                    part.pop()
+                content = "\n".join(part)
+                for c, v in zip(out, (conv, turn, ROLES[r], len(part), content, f"<|im_start|>{ROLES[r]}\n{content}<|im_end|>\n"), strict=True):
+                    out[c].append(v)
+        return out
 
-def render(recovered: DataFrame) -> DataFrame:
-    """One row per turn: conv_id, turn_no, role, n_lines, content and chat, the canonical form.
+    return arrow_map(chunks.select("conv_id", "lines", "seen"), f"conv_id {kind}, {TURNS}", turns)
 
-    Lines of a turn that a cut between chunks parts are put together again. Blank lines at
-    the end of a turn stand between turns: they are no content and not counted.
-    """
-    pieces = recovered.select("conv_id", "chunk", F.posexplode(F.arrays_zip("lines", "states")).alias("k", "x"))
-    pieces = pieces.select("conv_id", "chunk", "k", F.col("x.lines.text").alias("text"), F.col("x.states").alias("state"), (F.col("x.states") % 2 == 0).cast("int").alias("opens"))
-    opened = recovered.select("conv_id", "chunk", F.size(F.filter("states", lambda s: s % 2 == 0)).alias("n"))
-    before = opened.select("conv_id", "chunk", F.coalesce(F.sum("n").over(Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    local = F.sum("opens").over(Window.partitionBy("conv_id", "chunk").orderBy("k"))
-    numbered = pieces.withColumn("local", local).alias("p").join(before.alias("b"), F.expr("p.conv_id <=> b.conv_id AND p.chunk = b.chunk")).select("p.*", (F.col("local") + F.col("before")).alias("turn_no"))
-    role = F.element_at(F.array(*map(F.lit, ROLES)), (F.floor(F.col("state") / 2) + 1).cast("int"))
-    bare = F.col("text")
-    for r in ROLES:
-        bare = F.when((F.col("opens") == 1) & F.col("text").rlike(marker(r)), F.regexp_replace("text", marker(r), "")).otherwise(bare)
-    turns = numbered.select("conv_id", "turn_no", role.alias("role"), F.struct("chunk", "k", bare.alias("text")).alias("l")).groupBy("conv_id", "turn_no").agg(F.min("role").alias("role"), F.array_sort(F.collect_list("l")).alias("l"))
-    turns = turns.withColumn("n_lines", F.array_max(F.transform("l", lambda x, i: F.when((i > 0) & x["text"].rlike(BLANK), 1).otherwise(i + 1))).cast("long"))
-    content = F.array_join(F.slice(F.transform("l", lambda x: x["text"]), 1, F.col("n_lines").cast("int")), "\n")
+
+def recover(chunks: DataFrame, model) -> DataFrame:
+    """conv_id, seg, k, lines and states of chunks of conversations that have several."""
+    kind = dict(chunks.dtypes)["conv_id"]
+    size = (N_STATES + 1, N_STATES)
+
+    def matrices(batch: pa.RecordBatch) -> dict:
+        return {c: batch.column(c) for c in ("conv_id", "seg", "k")} | {"t": [transfer(o, model).ravel().tolist() for o in batch.column("seen").to_pylist()]}
+
+    def unpack(pdf, by):
+        pdf = pdf.sort_values(by)
+        return pdf, [np.asarray(t).reshape(size) for t in pdf["t"]]
+
+    def inside(pdf):
+        pdf, ts = unpack(pdf, "k")
+        T = ts[0]
+        for more in ts[1:]:
+            T = (T[:, :, None] + more[None, :N_STATES]).max(axis=1)
+        return pdf[["conv_id", "seg"]].head(1).assign(t=[T.ravel().tolist()])
+
+    def across(pdf):
+        pdf, ts = unpack(pdf, "seg")
+        found = bounds(ts, N_STATES, None)
+        return pdf[["conv_id", "seg"]].assign(enter=[a for a, _ in found], leave=[b for _, b in found])
+
+    def within(pdf):
+        pdf, ts = unpack(pdf, "k")
+        found = bounds(ts, int(pdf["enter"].iloc[0]), int(pdf["leave"].iloc[0]))
+        return pdf[["conv_id", "seg", "k"]].assign(enter=[a for a, _ in found], leave=[b for _, b in found])
+
+    same = lambda a, b, *on: a.alias("a").join(b.alias("b"), F.expr(" AND ".join(["a.conv_id <=> b.conv_id", *(f"a.{c} = b.{c}" for c in on)]))).select("a.*", "b.enter", "b.leave")
+    made = stage(arrow_map(chunks, f"conv_id {kind}, seg int, k int, t array<double>", matrices), "matrices")
+    segments = made.groupBy("conv_id", "seg").applyInPandas(inside, f"conv_id {kind}, seg int, t array<double>")
+    segments = segments.groupBy("conv_id").applyInPandas(across, f"conv_id {kind}, seg int, enter int, leave int")
+    steps = same(made, segments, "seg").groupBy("conv_id", "seg").applyInPandas(within, f"conv_id {kind}, seg int, k int, enter int, leave int")
+
+    @F.pandas_udf("array<int>")
+    def states(seen, enter, leave):
+        import pandas as pd
+
+        return pd.Series([trace(list(o), a, b, model) for o, a, b in zip(seen, enter, leave, strict=True)])
+
+    return same(chunks, steps, "seg", "k").select("conv_id", "seg", "k", "lines", states("seen", "enter", "leave").alias("states"))
+
+
+def _joined(recovered: DataFrame) -> DataFrame:
+    """Turns of conversations in several chunks: what cuts part is put together again."""
+    kind = dict(recovered.dtypes)["conv_id"]
+    role = F.element_at(F.array(*map(F.lit, ROLES)), F.col("role") + 1)
+
+    def pieces(batch: pa.RecordBatch) -> dict:
+        out: dict[str, list] = {c: [] for c in ("conv_id", "seg", "k", "turn", "role", "texts")}
+        for conv, seg, k, lines, states in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for turn, r, texts in _fragments(lines, states):
+                for c, v in zip(out, (conv, seg, k, turn, r, texts), strict=True):
+                    out[c].append(v)
+        return out
+
+    parts = stage(arrow_map(recovered, f"conv_id {kind}, seg int, k int, turn long, role int, texts array<string>", pieces), "fragments")
+    n = parts.groupBy("conv_id", "seg", "k").agg(F.max("turn").alias("n"))
+    in_task = Window.partitionBy("conv_id", "seg").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy("conv_id").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = n.groupBy("conv_id", "seg").agg(F.sum("n").alias("n")).withColumn("all", F.coalesce(F.sum("n").over(over), F.lit(0)))
+    own = n.withColumn("own", F.coalesce(F.sum("n").over(in_task), F.lit(0)))
+    before = own.alias("o").join(earlier.alias("e"), F.expr("o.conv_id <=> e.conv_id AND o.seg = e.seg")).select("o.conv_id", "o.seg", "o.k", (F.col("own") + F.col("all")).alias("before"))
+    numbered = parts.alias("p").join(before.alias("b"), F.expr("p.conv_id <=> b.conv_id AND p.seg = b.seg AND p.k = b.k")).select("p.*", (F.col("turn") + F.col("before")).alias("turn_no"))
+    turns = numbered.groupBy("conv_id", "turn_no").agg(F.min("role").alias("role"), F.array_sort(F.collect_list(F.struct("seg", "k", "texts"))).alias("p"))
+    turns = turns.select("conv_id", "turn_no", role.alias("role"), F.flatten(F.col("p.texts")).alias("l"))
+    turns = turns.withColumn("n_lines", F.array_max(F.transform("l", lambda x, i: F.when((i > 0) & x.rlike(r"^\s*$"), 1).otherwise(i + 1))).cast("long"))
+    content = F.array_join(F.slice("l", 1, F.col("n_lines").cast("int")), "\n")
     return turns.select("conv_id", "turn_no", "role", "n_lines", content.alias("content"), F.concat(F.lit("<|im_start|>"), "role", F.lit("\n"), content, F.lit("<|im_end|>\n")).alias("chat"))
 
 
-def parse(lines: DataFrame, learn: Column) -> DataFrame:
-    """Turns of transcripts given as raw text (conv_id, text and, where given, turn and state; see
-    :func:`split_lines`) or as lines (conv_id, turn, line, text, state).
+def parse(lines: DataFrame, learn: Column, chunk: int = CHUNK) -> DataFrame:
+    """Turns of transcripts: conv_id, turn_no, role, n_lines, content and chat, the canonical form.
 
-    ``turn`` and ``line`` only order the lines (null turns come first; equal places are
-    ordered by text). ``state`` is the true state where known, and read only where ``learn``
-    holds; without any, the prior decides. Null ids form one conversation; an empty table
-    gives no rows; other columns are ignored.
+    Transcripts are pieces of raw text (conv_id, text and, where given, turn, line and state) of any
+    number of lines each. ``turn`` and ``line`` only order the pieces (nulls come first; pieces at one
+    place are ordered by a hash of their text). ``state`` is the true state of a piece's first line
+    where known (its other lines go on with the turn), and read only where ``learn`` holds; without
+    any, the prior decides. Whether a blank line stands before a line is read from the line before.
+    Blank lines at the end of a turn stand between turns: they are no content and not counted. Null
+    texts are empty lines, null ids form one conversation; an empty table gives no rows; other columns
+    are ignored.
     """
-    chunks = stage(chunked(lines), "transcripts")
-    return render(recover(chunks, fit(chunks, learn)))
+    chunks = chunked(lines, chunk)
+    model = fit(chunks, learn)
+    turns = _whole(chunks.filter("NOT edge"), model)
+    edge = chunks.filter("edge")
+    return turns if edge.isEmpty() else turns.unionByName(_joined(recover(edge, model)))
 
 
 def transcripts(conversations: DataFrame) -> DataFrame:
