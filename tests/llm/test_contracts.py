@@ -117,20 +117,95 @@ def best_path(seen, start, move, emit):
     return path[::-1], score.max()
 
 
-def test_chat_chunks_equal_one_pass(spark, sf_dir):
-    lines = chat.transcripts(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    learn = F.crc32(F.col("conv_id").cast("string")) % 2 == 0
-    model = chat.fit(stage(chat.chunked(lines), "t"), learn)
-    small = stage(chat.chunked(lines, 2), "t")
-    got = {}
-    for r in chat.recover(small, model).orderBy("conv_id", "chunk").collect():
-        s = got.setdefault(r["conv_id"], ([], []))
-        s[0].extend(x["seen"] for x in r["lines"])
-        s[1].extend(r["states"])
-    start, move, emit = model
-    for seen, states in got.values():
-        value = start[states[0]] + emit[states, seen].sum() + move[states[:-1], states[1:]].sum()
-        assert abs(value - best_path(seen, start, move, emit)[1]) < 1e-6
+def test_viterbi_equals_one_pass():
+    rng = np.random.RandomState(2)
+    log = lambda *shape: np.log(rng.dirichlet(np.ones(shape[-1]), shape[:-1]))
+    model = log(chat.N_STATES), log(chat.N_STATES, chat.N_STATES), log(chat.N_STATES, chat.N_OBSERVED)
+    seen = [rng.randint(0, chat.N_OBSERVED, n).tolist() for n in (1, 9, 3, 9, 40, 1, 2)]
+    assert chat.viterbi(seen, model) == [best_path(o, *model)[0] for o in seen]
+    for o in seen[1:5]:
+        parts = [o[k : k + 2] for k in range(0, len(o), 2)]
+        steps = chat.bounds([chat.transfer(x, model) for x in parts], chat.N_STATES, None)
+        assert sum((chat.trace(x, a, b, model) for x, (a, b) in zip(parts, steps, strict=True)), []) == best_path(o, *model)[0]
+
+
+def turns_by_hand(rows, learn):
+    """rows: (conv_id, turn, text, state). One pass over each conversation, with counts of its own."""
+    talks = {}
+    for c, t, text, state in sorted(rows, key=lambda r: (str(r[0]), -1 if r[1] is None else r[1])):
+        talk = talks.setdefault(c, [])
+        for i, line in enumerate(text.replace("\r\n", "\n").split("\n")):
+            talk.append((line, state if i == 0 or state is None else state | 1))
+    start, move, emit = np.ones(6), np.full((6, 6), 0.5), np.full((6, 33), 0.05)
+    for k in range(3):
+        start[2 * k + 1] = move[:, 2 * k + 1] = 0.01
+        move[2 * k, 2 * k + 1] = move[2 * k + 1, 2 * k + 1] = 1
+        emit[2 * k, 8 * k + 8 : 8 * k + 16] += 5
+        emit[2 * k + 1, :8] += 5
+        emit[2 * k + 1, 32] += 5
+    codes = {}
+    for c, talk in talks.items():
+        codes[c] = [chat.observe(line, i > 0 and not talk[i - 1][0].strip()) for i, (line, _) in enumerate(talk)]
+        if learn(c):
+            known = [s for _, s in talk]
+            if known[0] is not None:
+                start[known[0]] += 1
+            for s, o in zip(known, codes[c], strict=True):
+                if s is not None:
+                    emit[s, o] += 1
+            for x, y in zip(known, known[1:], strict=False):
+                if x is not None and y is not None:
+                    move[x, y] += 1
+    for x in range(6):
+        for j in range(3):
+            if x // 2 != j:
+                move[x, 2 * j + 1] = 1e-9
+    model = [np.log(x / x.sum(axis=-1, keepdims=True)) for x in (start, move, emit)]
+    out = []
+    for c, talk in talks.items():
+        turns = []
+        for (line, _), s in zip(talk, best_path(codes[c], *model)[0], strict=True):
+            if s % 2 == 0 or not turns:
+                turns.append((len(turns) + 1 if s % 2 == 0 else 0, chat.ROLES[s // 2], [chat.MARKER.sub("", line, count=1) if s % 2 == 0 and chat.MARKER.match(line) else line]))
+            else:
+                turns[-1][2].append(line)
+        for n, role, lines in turns:
+            while len(lines) > 1 and not lines[-1].strip():
+                lines.pop()
+            out.append((str(c), n, role, len(lines), "\n".join(lines)))
+    return sorted(out)
+
+
+def turns_of(df):
+    return sorted((str(r["conv_id"]), *r[1:5]) for r in df.collect())
+
+
+def test_chat_query_by_hand(spark, sf_dir):
+    import zlib
+
+    raw = [tuple(r) for r in chat.transcripts(spark.read.parquet(f"{sf_dir}/conversations.parquet")).select("conv_id", "turn", "text", "state").collect()]
+    learn = lambda c: zlib.crc32(str(c).encode()) % 2 == 0
+    want = turns_by_hand(raw, learn)
+    assert turns_of(chat.op2_chat_formatting(spark, sf_dir)) == want
+    given = spark.createDataFrame(raw, "conv_id long, turn long, text string, state int")
+    even = F.crc32(F.col("conv_id").cast("string")) % 2 == 0
+    assert turns_of(chat.parse(given, even, chunk=2)) == want
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    try:
+        assert turns_of(chat.parse(given, even, chunk=5)) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_chat_hot_conversation(spark):
+    """Rows without conversation or place, a third of them the same, and one piece of very many lines."""
+    rows = [(None, None, "User: so?\nwell", None)] * 300 + [(None, None, f"Assistant: {k}\n\nmore {k}", None) for k in range(600)] + [(1, 0, "User: hi\n" + "line\n" * 20_000, None), (1, 1, "Assistant: yes", None), (2, 0, "", None)]
+    given = spark.createDataFrame(rows, "conv_id long, turn long, text string, state int")
+    chunks = chat.chunked(given, 50)
+    assert chunks.agg(F.max(F.size("lines"))).first()[0] == 50 and chunks.filter("conv_id IS NULL").select("seg").distinct().count() > 1
+    got = chat.parse(given, F.lit(True), 50)
+    by = {(r["conv_id"], r["role"]): (r["n"], r["lines"]) for r in got.groupBy("conv_id", "role").agg(F.count("*").alias("n"), F.sum("n_lines").alias("lines")).collect()}
+    assert by[None, "user"] == (300, 600) and by[None, "assistant"] == (600, 1800) and by[1, "user"] == (1, 20_001) and by[1, "assistant"] == (1, 1)
 
 
 def test_chat_edges(spark):
@@ -138,26 +213,17 @@ def test_chat_edges(spark):
     out = chat.parse(chat.transcripts(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), F.lit(True))
     got = out.collect()
     assert sum(r["n_lines"] for r in got) == 8 and {r["conv_id"] for r in got} == {1, 2, 3, None}
-    plain = spark.createDataFrame([(7, 0, k, t, False, None) for k, t in enumerate(["User: hi", "Assistant: yes", "more", "User: bye"])], "conv_id long, turn long, line int, text string, after_blank boolean, state int")
-    got = [(r["role"], r["content"]) for r in chat.parse(plain, F.lit(True)).orderBy("turn_no").collect()]
-    assert got == [("user", "hi"), ("assistant", "yes\nmore"), ("user", "bye")]
-    assert chat.parse(plain.limit(0), F.lit(True)).count() == 0
-
-
-def test_chat_reads_blank_lines_from_the_text(spark):
-    talk = spark.createDataFrame([(c, t, "user" if t % 2 == 0 else "assistant", f"one {c}\n\ntwo {t}") for c in range(8) for t in range(5)], "conv_id long, turn long, role string, text string")
-    raw = chat.transcripts(talk)
-    assert set(raw.columns) == {"conv_id", "turn", "text", "state"} and 0 < raw.filter("text LIKE '%\n'").count() < 40
-    seen = [sorted((r["conv_id"], r["chunk"], [x["seen"] for x in r["lines"]]) for r in chat.chunked(raw, n).collect()) for n in (64, 2)]
-    by = [{c: sum((o for k, _, o in s if k == c), []) for c in range(8)} for s in seen]
-    assert by[0] == by[1]
     text = "User: hi\n\nAssistant: yes\n\nmore\n\nUser: bye\n"
-    lines = [(1, 0, k, s, True, None) for k, s in enumerate(text.split("\n"))]
-    schema = "conv_id long, turn long, line int, text string, after_blank boolean, state int"
+    lines = [(1, 0, k, s, "x", None) for k, s in enumerate(text.split("\n"))]
+    schema = "conv_id long, turn long, line int, text string, seen string, state int"
     whole = spark.createDataFrame([(1, text)], "conv_id long, text string")
     for given in (whole, spark.createDataFrame(lines, schema)):
-        got = [(r["role"], r["content"], r["n_lines"]) for r in chat.parse(given, F.lit(True)).orderBy("turn_no").collect()]
-        assert got == [("user", "hi", 1), ("assistant", "yes\n\nmore", 3), ("user", "bye", 1)]
+        for chunk in (chat.CHUNK, 1, 2):
+            got = [(r["role"], r["content"], r["n_lines"]) for r in chat.parse(given, F.lit(True), chunk).orderBy("turn_no").collect()]
+            assert got == [("user", "hi", 1), ("assistant", "yes\n\nmore", 3), ("user", "bye", 1)]
+    assert chat.parse(whole.limit(0), F.lit(True)).count() == 0
+    raw = chat.transcripts(spark.createDataFrame([(c, t, "user", f"one {c}\n\ntwo {t}") for c in range(8) for t in range(5)], "conv_id long, turn long, role string, text string"))
+    assert set(raw.columns) == {"conv_id", "turn", "text", "state"} and 0 < raw.filter("text LIKE '%\n'").count() < 40
 
 
 # 3 SentencePiece
