@@ -37,9 +37,9 @@ def board_discovery(enriched: DataFrame, use: str = "id", cf_threshold: float =
 
 
 def report(design: BoardDesign, board_id, limit: int = 1000) -> str:
-    """A text about one board; a design has as many rows as a board has lists, and at most ``limit`` of each are shown."""
-    own = lambda df: df.filter(F.col("board_id") == board_id).limit(limit).collect()
-    part = lambda title, rows: "\n".join([title, *([f"- {r}" for r in sorted(rows)] or ["- None"])])
+    """A text about one board; a design has as many rows as a board has lists, and of more than ``limit`` the text says so."""
+    own = lambda df: df.filter(F.col("board_id") == board_id).limit(limit + 1).collect()
+    part = lambda title, rows: "\n".join([title, *([f"- {r}" for r in sorted(rows)[:limit]] or ["- None"]), *["- and more"] * (len(rows) > limit)])
     shares = lambda df: [f"{r['list_name']}: {r['share']:.2f}" for r in own(df)]
     return "\n".join([
         part("Lists", [str(r["list"]) for r in own(design.lists)]),

@@ -6,11 +6,17 @@ is the negated place in the file).
 
 from __future__ import annotations
 
+import csv
 import json
+import re
 from collections.abc import Callable, Iterator
+from functools import reduce
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 ACTION = (
     "id STRING, type STRING, date TIMESTAMP, idMemberCreator STRING, data STRUCT<board: STRUCT<id: STRING, name: STRING>, "
@@ -103,16 +109,43 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return flatten(named).dropDuplicates(["board_id", "id"])
 
 
+def _headers(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """File and first line of each text file."""
+
+    def first(batches):
+        seen = set()
+        for batch in batches:
+            rows = batch.to_pylist()
+            new = [r for k, r in enumerate(rows) if r["start"] == 0 and r["file"] not in seen and (k == 0 or rows[k - 1]["file"] != r["file"])]
+            seen.update(r["file"] for r in new)
+            if new:
+                yield pa.RecordBatch.from_pylist([{"file": r["file"], "line": r["line"]} for r in new])
+
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("line"))
+    return [(r["file"], r["line"]) for r in lines.mapInArrow(first, "file string, line string").collect()]
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Flat logs with dotted column names and an index column, a file per board; its name is the board."""
-    raw = spark.read.option("header", True).csv(path)
-    have = {c: f"`{c}`" for c in raw.columns}
+    """Flat logs with dotted column names and an index column, a file per board; its name is the board.
+
+    Files may have different columns in any order, fields with quotes, commas and line ends.
+    Files with the same header are read together. Empty files give no rows.
+    """
     kinds = dict(c.split(" ") for c in LOG.split(", "))
-    index = raw.columns[0]
-    cols = [(F.col(have[old]) if old in have else F.lit(None)).cast(kinds[new]).alias(new) for old, new in CSV_COLUMNS.items()]
-    file = F.regexp_replace(F.col("_metadata.file_name"), r"\.csv$", "")
-    flat = raw.select((-F.col(f"`{index}`").cast("long")).alias("pos"), F.url_decode(file).alias("board_id"), *cols)
-    return flat.select([c.split(" ")[0] for c in LOG.split(", ")])
+    by_header: dict[str, list[str]] = {}
+    for file, line in _headers(spark, path):
+        by_header.setdefault(line, []).append(re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(file)))
+    parts = []
+    for line, files in sorted(by_header.items()):
+        names = next(csv.reader([line.removeprefix("\ufeff")]))
+        schema = StructType([StructField(f"c{k}", StringType()) for k in range(len(names))])
+        raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", True).option("escape", '"').csv(files)
+        at = {n: f"c{k}" for k, n in enumerate(names)}
+        cols = [(F.col(at[old]) if old in at else F.lit(None)).cast(kinds[new]).alias(new) for old, new in CSV_COLUMNS.items()]
+        file = F.regexp_replace(F.regexp_replace(F.col("_metadata.file_name"), r"\.csv$", ""), r"\+", "%2B")
+        flat = raw.select((-F.col("c0").cast("long")).alias("pos"), F.url_decode(file).alias("board_id"), *cols)
+        parts.append(flat.select([c.split(" ")[0] for c in LOG.split(", ")]))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], LOG)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -125,8 +158,20 @@ def write_parquet(log: DataFrame, path: str) -> None:
 
 
 def write_json(log: DataFrame, path: str) -> None:
-    """Actions as JSON lines, a folder per board."""
-    log.write.partitionBy("board_id").json(path)
+    """Nested actions with their place as JSON lines, a folder per board; :func:`read_json_lines` reads them."""
+    ref = lambda p, *more: F.struct(F.col(f"{p}_id").alias("id"), F.col(f"{p}_name").alias("name"), *more)
+    data = F.struct(
+        F.struct(F.col("board_id").alias("id"), F.col("board_name").alias("name")).alias("board"),
+        F.struct(F.col("card_id").alias("id"), F.col("card_closed").alias("closed"), F.col("card_due").alias("due")).alias("card"),
+        ref("list", F.col("list_closed").alias("closed")).alias("list"), ref("list_before").alias("listBefore"), ref("list_after").alias("listAfter"), F.struct(F.col("old_name").alias("name")).alias("old"),
+    )
+    log.select("board_id", "pos", "id", "type", "date", F.col("member_id").alias("idMemberCreator"), data.alias("data")).write.partitionBy("board_id").json(path)
+
+
+def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`write_json` wrote."""
+    rows = spark.read.schema(f"pos BIGINT, {ACTION}").json(path)
+    return flatten(rows.withColumn("board_id", F.col("data.board.id")))
 
 
 def write_csv(frame: DataFrame, path: str) -> None:
@@ -143,7 +188,9 @@ def pages(fetch: Callable[[str, str | None, int], list[dict]], board_id: str, ba
     """Actions of a board, newest first, page by page until a short page.
 
     ``fetch(board_id, before, batch)`` gets one page; a page that fails is asked for again
-    ``retries`` times. The next page starts before the date of the last action.
+    ``retries`` times. The next page starts before the date of the last action. Where a full page
+    holds nothing but actions of the very date that it was to start before, what is older can
+    not be reached: ValueError.
     """
     before = None
     while True:
@@ -155,8 +202,10 @@ def pages(fetch: Callable[[str, str | None, int], list[dict]], board_id: str, ba
                 if attempt == retries:
                     raise
         yield from page
-        if len(page) < batch or page[-1]["date"] == before:
+        if len(page) < batch:
             return
+        if page[-1]["date"] == before:
+            raise ValueError(f"board {board_id} has {batch} actions or more at {before}; ask for larger pages")
         before = page[-1]["date"]
 
 
