@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 CARD_CREATE = ["createCard", "copyCard"]
 CARD_ACTIONS = ["updateCard", "addMemberToCard", "commentCard", "addChecklistToCard", "updateCheckItemStateOnCard", "removeMemberFromCard", "updateChecklist", "removeChecklistFromCard", "addAttachmentToCard", "deleteAttachmentFromCard"]
 LIST_CREATION = ["createList", "updateList", "moveListFromBoard", "moveListToBoard"]
+#: Columns that :func:`enrich` adds.
+LABELS = ["l", "c", "list_comb", "list_before_comb", "list_after_comb"]
 
 
 def order_key() -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewise.functions.labels import order_key, card_acted, card_closed, card_created, card_moved, list_created, micros
@@ -59,10 +59,11 @@ def board_evolution_by_list(log: DataFrame, category: str = "events", bins: int
     return lists.join(counts, ["board_id", "list_name", "bin"], "left").na.fill(0, ["n"])
 
 
-def daily_card_activity(enriched: DataFrame, before: str | None = None, after: str | None = None, key: str = "list_comb") -> DataFrame:
-    """Card events per board, day, class and list; optionally only of days before or after a date, both excluded."""
+def daily_card_activity(enriched: DataFrame, before: str | None = None, after: str | None = None, key: str = "list_comb", classes: list[str] | None = None) -> DataFrame:
+    """Card events per board, day, class (by default work on cards and their creation) and list; optionally
+    only of days before or after a date, both excluded."""
     day: Column = F.to_date("date")
-    rows = enriched.filter("c IS NOT NULL")
+    rows = enriched.filter(F.col("c").isin(classes or ["card_act", "card_create"]))
     if before is not None:
         rows = rows.filter(day < F.lit(before).cast("date"))
     if after is not None:
@@ -71,6 +72,17 @@ def daily_card_activity(enriched: DataFrame, before: str | None = None, after: s
 
 
 def card_activity(enriched: DataFrame, classes: list[str] | None = None, key: str = "list_comb") -> DataFrame:
-    """Card events one by one, as a scatter plot shows them."""
-    rows = enriched.filter("c IS NOT NULL") if classes is None else enriched.filter(F.col("c").isin(classes))
+    """Card events one by one, as a scatter plot shows them; by default all classes but deletions."""
+    rows = enriched.filter(F.col("c").isin(classes or ["card_act", "card_create", "card_move", "card_close"]))
     return rows.select("board_id", "date", "c", F.coalesce(key, F.lit("##UNKNOWN")).alias(key))
+
+
+def card_time_histogram(enriched: DataFrame, bins: int = 30) -> DataFrame:
+    """Card events per board, class and time bin; bins without events have no row."""
+    return _binned(enriched.filter("c IS NOT NULL"), bins).groupBy("board_id", "c", "bin").agg(F.count("*").alias("n"))
+
+
+def list_timeline(evolution: DataFrame) -> DataFrame:
+    """Bars of a timeline: each list's place (0 for the one that ended first), begin, end and last name."""
+    by_end = Window.partitionBy("board_id").orderBy("last_date", "list_id")
+    return evolution.select("board_id", "list_id", (F.row_number().over(by_end) - 1).cast("long").alias("place"), "begin_date", "last_date", "last_name")

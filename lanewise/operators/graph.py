@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lanewise.functions.labels import key_columns
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Checkpoint in the shared folder of the session; local sessions without one get their own."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
@@ -28,13 +28,13 @@ def labels(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     long paths halve. Only one count per round goes to the driver.
     """
     both = edges.select(*keys, "a", "b").unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
-    both = _cut(both)
-    now = _cut(nodes.select(*keys, "node").unionByName(both.select(*keys, F.col("a").alias("node"))).distinct().withColumn("label", F.col("node")))
+    both = cut(both)
+    now = cut(nodes.select(*keys, "node").unionByName(both.select(*keys, F.col("a").alias("node"))).distinct().withColumn("label", F.col("node")))
     while True:
         near = both.join(now.withColumnsRenamed({"node": "b", "label": "l"}), [*keys, "b"]).groupBy(*keys, F.col("a").alias("node")).agg(F.min("l").alias("l"))
         step = now.join(near, [*keys, "node"], "left").select(*keys, "node", F.col("label").alias("old"), F.least("label", "l").alias("label"))
         jump = now.select(*keys, F.col("node").alias("label"), F.col("label").alias("further"))
-        new = _cut(step.join(jump, [*keys, "label"]).select(*keys, "node", "old", F.least("label", "further").alias("label")))
+        new = cut(step.join(jump, [*keys, "label"]).select(*keys, "node", "old", F.least("label", "further").alias("label")))
         changed = new.filter("label <> old").count()
         now = new.drop("old")
         if not changed:

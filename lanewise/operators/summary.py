@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanewise.functions.labels import order_key, card_closed, describe, micros, rounded
+from lanewise.functions.labels import LABELS, order_key, card_closed, describe, micros, rounded
 
 
 def board_summary(log: DataFrame) -> DataFrame:
-    """One row per board, in one pass."""
+    """One row per board, in one pass. ``attributes``: columns that hold data for the board."""
+    held = [F.max(F.col(c).isNotNull()).cast("int") for c in log.columns if c not in ("pos", "board_id", *LABELS)]
     kind = F.col("type")
     made = F.when(kind == "createList", F.col("date"))
     return log.groupBy("board_id").agg(
         F.count("*").alias("events"),
+        sum(held[1:], held[0]).cast("long").alias("attributes"),
         F.countDistinct("card_id").alias("cards"),
         F.countDistinct("list_id").alias("lists"),
         F.countDistinct("member_id").alias("members"),
@@ -32,12 +34,6 @@ def board_summary(log: DataFrame) -> DataFrame:
     )
 
 
-def attributes(log: DataFrame) -> int:
-    """Columns that hold data somewhere in the log."""
-    found = log.agg(*[F.max(F.col(c).isNotNull()).alias(c) for c in log.columns]).first()
-    return sum(bool(x) for x in found)
-
-
 def events_per_member(log: DataFrame) -> DataFrame:
     """Statistics of how many events members have."""
     return log.filter("member_id IS NOT NULL").groupBy("board_id", "member_id").agg(F.count("*").alias("n")).groupBy("board_id").agg(*describe("n"))
@@ -87,6 +83,19 @@ def first_type_counts(log: DataFrame) -> DataFrame:
     return board_summary(log).groupBy("first_type").agg(F.count("*").alias("n"))
 
 
+#: Columns of boards that a study of many boards describes.
+CORPUS = ["events", "cards", "lists", "cards_moving_perc", "cards_closed_perc"]
+
+
+def corpus_describe(log: DataFrame, first_type: str | None = "createBoard") -> DataFrame:
+    """Statistics over the boards that begin with ``first_type`` (None: all) of each of CORPUS, one row each."""
+    shares = card_percentages(log).select("board_id", F.col("moving").alias("cards_moving_perc"), F.col("closed").alias("cards_closed_perc"))
+    boards = board_summary(log).join(shares, "board_id")
+    boards = boards if first_type is None else boards.filter(F.col("first_type") == first_type)
+    values = F.explode(F.map_from_arrays(F.array(*map(F.lit, CORPUS)), F.array(*[F.col(c).cast("double") for c in CORPUS]))).alias("metric", "value")
+    return boards.select(values).groupBy("metric").agg(*describe("value"))
+
+
 def board_selection(log: DataFrame, min_events: int = 2000, min_days: float = 84, first_type: str | None = "createBoard") -> DataFrame:
     """Boards with more events and a longer life than given and, unless None, this first event."""
     found = board_summary(log).filter((F.col("events") > min_events) & (F.col("duration_s") > min_days * 86400))

@@ -31,7 +31,9 @@ r2 AS (SELECT *, sum(le::INT) OVER (PARTITION BY board_id ORDER BY date, id) AS
 r3 AS (SELECT *, {flag} AS r FROM r2),
 r4 AS (SELECT *, r AND NOT lead(r, 1, false) OVER (PARTITION BY board_id ORDER BY date, id) AS s FROM r3),
 r5 AS (SELECT *, sum(s::INT) OVER (PARTITION BY board_id ORDER BY date DESC, id DESC) AS run FROM r4),
-red AS (SELECT board_id, run::BIGINT AS run, min(date) AS min_ts, max(date) AS max_ts, count(*) AS n_events, count(l) AS n_list_events FROM r5 WHERE r GROUP BY board_id, run),
+ev_r AS (SELECT board_id, run, min(date) AS min_ts, max(date) AS max_ts, count(*) AS n_events FROM r5 WHERE r GROUP BY board_id, run),
+ev_l AS (SELECT board_id, run, count(id) AS n_list_events FROM r5 WHERE l IS NOT NULL GROUP BY board_id, run),
+red AS (SELECT board_id, run::BIGINT AS run, min_ts, max_ts, coalesce(n_events, 0) AS n_events, coalesce(n_list_events, 0) AS n_list_events FROM ev_r FULL JOIN ev_l USING (board_id, run)),
 iv AS (SELECT board_id, run, max_ts AS first_ts, coalesce(lag(min_ts) OVER (PARTITION BY board_id ORDER BY run), t1) AS last_ts FROM red JOIN board USING (board_id)),
 dist AS (SELECT board_id, run, n_events, date_diff('microsecond', coalesce(lead(max_ts) OVER (PARTITION BY board_id ORDER BY run), t0), min_ts) / 1e6 AS seconds FROM red JOIN board USING (board_id)),
 gaps AS (SELECT board_id, run, round(date_diff('microsecond', first_ts, last_ts) / nullif(life, 0), 6) AS gap FROM iv JOIN board USING (board_id))
@@ -68,6 +70,10 @@ def _evolution(n: int, where: str = "true") -> str:
     return f"{BASE}{_bins(n)}, k AS (SELECT board_id, bin, {CATEGORIES} FROM bn WHERE {where} GROUP BY ALL) SELECT board_id, bin, {', '.join(f'coalesce({c}, 0) AS {c}' for c in names)} FROM ab LEFT JOIN k USING (board_id, bin)"
 
 
+def _shares_by(key: str, label: str, threshold: int = 0) -> str:
+    return f"{BASE}, n AS (SELECT board_id, {key} AS list_name, count(id) AS n FROM e WHERE c = '{label}' AND {key} IS NOT NULL GROUP BY ALL HAVING count(id) > {threshold}) SELECT board_id, list_name, round(n / sum(n) OVER (PARTITION BY board_id), 6) AS share FROM n"
+
+
 def _shares(label: str, threshold: int = 0) -> str:
     return f"""{BASE}, n AS (SELECT board_id, list_id, count(id) AS n FROM e WHERE c = '{label}' AND list_id IS NOT NULL GROUP BY ALL HAVING count(id) > {threshold})
 SELECT board_id, list_id, name AS list_name, round(n / sum(n) OVER (PARTITION BY board_id), 6) AS share FROM n LEFT JOIN names USING (board_id, list_id)"""
@@ -108,7 +114,8 @@ NODE = "SELECT {0}, events, cards, lists, list_num_components, list_connected_si
 TRANSITIONS = "SELECT board_id, {0} AS src, {1} AS dst, count(id) AS n FROM e WHERE {0} IS NOT NULL AND {1} IS NOT NULL GROUP BY ALL"
 BY_ID = ", tr AS (SELECT t.board_id, a.name AS src, b.name AS dst, n FROM (" + TRANSITIONS.format("list_before_id", "list_after_id") + ") t LEFT JOIN names a ON a.board_id = t.board_id AND a.list_id = src LEFT JOIN names b ON b.board_id = t.board_id AND b.list_id = dst)"
 PRECEDENCE = f"{BASE}{BY_ID} SELECT board_id, src, dst, n, round(n / moves, 6) AS share FROM tr JOIN (SELECT board_id, count(*) AS moves FROM e WHERE c = 'card_move' GROUP BY board_id) USING (board_id) WHERE n / moves > 0.05"
-SUMMARY = """, fs AS (SELECT board_id, count(*) AS events, count(DISTINCT card_id) AS cards, count(DISTINCT list_id) AS lists, count(DISTINCT member_id) AS members,
+HELD = ["id", "date", "member_id", "type", "card_id", "card_closed", "card_due", "list_id", "list_name", "list_closed", "old_name", "list_before_id", "list_before_name", "list_after_id", "list_after_name"]
+SUMMARY = f""", fs AS (SELECT board_id, count(*) AS events, ({" + ".join(f"(count({c}) > 0)::BIGINT" for c in HELD)}) AS attributes, count(DISTINCT card_id) AS cards, count(DISTINCT list_id) AS lists, count(DISTINCT member_id) AS members,
  min(date) FILTER (WHERE type = 'createList') AS first_list, max(date) FILTER (WHERE type = 'createList') AS last_list,
  count(*) FILTER (WHERE type = 'updateList' AND old_name IS NOT NULL) AS list_renames, count(*) FILTER (WHERE list_closed) AS closed_lists,
  count(*) FILTER (WHERE card_closed) AS closed_cards, count(*) FILTER (WHERE type = 'updateCard' AND list_before_id IS NOT NULL) AS movements, count(card_due) AS due_dates,
@@ -117,8 +124,19 @@ SUMMARY = """, fs AS (SELECT board_id, count(*) AS events, count(DISTINCT card_i
 """
 RED = BASE + _redesigns()
 IN_RUN = ", ev AS MATERIALIZED (SELECT e.*, run FROM e JOIN iv ON e.board_id = iv.board_id AND e.date BETWEEN first_ts AND last_ts)"
+LONG_RUN = """, in_run AS (SELECT e.*, run FROM e JOIN iv ON e.board_id = iv.board_id AND e.date BETWEEN first_ts AND last_ts WHERE date_diff('microsecond', first_ts, last_ts) >= 86400000000),
+ev AS MATERIALIZED (SELECT * FROM in_run QUALIFY count(*) OVER (PARTITION BY board_id, run) >= 40)"""
+DAILY = "SELECT board_id, CAST(date AS DATE) AS day, c, coalesce(list_comb, '##UNKNOWN') AS list_comb, count(*) AS n FROM e WHERE c IN ('card_act', 'card_create')"
+RED_DAY = BASE + _redesigns(flag="le OR date < min(date) OVER (PARTITION BY board_id, seg) + INTERVAL 1 DAY")
+RED_3_DAYS = BASE + _redesigns(flag="le OR date < min(date) OVER (PARTITION BY board_id, seg) + INTERVAL 3 DAY")
 pc = "round(count(DISTINCT card_id) FILTER (WHERE {}) / nullif(count(DISTINCT card_id), 0), 6) AS {}".format
 
+CORPUS_COLUMNS = ["events", "cards", "lists", "cards_moving_perc", "cards_closed_perc"]
+CORPUS = f"""{BASE}{SUMMARY}, sh AS (SELECT board_id, {pc('list_before_id IS NOT NULL', 'cards_moving_perc')}, {pc('card_closed', 'cards_closed_perc')} FROM log GROUP BY board_id),
+cx AS ({" UNION ALL ".join(f"SELECT '{c}' AS metric, CAST({c} AS DOUBLE) AS value FROM fs JOIN sh USING (board_id)" for c in CORPUS_COLUMNS)}),
+cd_x AS (SELECT metric, {_describe('value')} FROM cx GROUP BY metric)
+"""
+
 SQL: dict[str, str] = {
     "enrich": f"{BASE} SELECT board_id, id, l, c, list_comb, list_before_comb, list_after_comb FROM e",
     "label_list_events": f"{BASE} SELECT board_id, id, l FROM e",
@@ -133,21 +151,30 @@ SQL: dict[str, str] = {
     "list_name_map": f"{BASE} SELECT * FROM names",
     "comb_collision": f"{BASE} SELECT board_id, count(DISTINCT substr(list_id, 19, 6)) <> count(DISTINCT list_id) AS collision FROM log GROUP BY board_id",
     "first_type_counts": f"{BASE}{SUMMARY} SELECT first_type, count(*) AS n FROM fs GROUP BY first_type",
+    "corpus_describe": f"{CORPUS} SELECT * FROM cd_x",
+    "board_selection_by_first_type": f"{BASE}{SUMMARY} SELECT board_id, events, duration_s FROM fs WHERE events > 300 AND duration_s > 7 * 86400 AND first_type IN ('updateCard')",
     "board_selection": f"{BASE}{SUMMARY} SELECT board_id, events, duration_s FROM fs WHERE events > 300 AND duration_s > 7 * 86400",
     "list_evolution": f"{BASE}{EVOLUTION} SELECT board_id, list_id, begin_date, last_date, last_name, names FROM ev",
     "list_evolution_filtered": f"{BASE}{EVOLUTION} SELECT board_id, list_id, begin_date, last_date, last_name, names FROM ev WHERE last_date - begin_date > INTERVAL 25 DAY",
     "board_evolution": _evolution(30),
     "board_evolution_of_list": _evolution(10, "list_name = 'L2'"),
     "board_evolution_by_list": f"{BASE}{_bins(30)}, k AS (SELECT board_id, list_name, bin, count(*) AS n FROM bn WHERE type IN {ACTIONS} AND list_name IS NOT NULL GROUP BY ALL) SELECT board_id, list_name, bin, coalesce(n, 0) AS n FROM (SELECT DISTINCT board_id, list_name FROM k) JOIN ab USING (board_id) LEFT JOIN k USING (board_id, list_name, bin)",
-    "daily_card_activity": f"{BASE} SELECT board_id, CAST(date AS DATE) AS day, c, coalesce(list_comb, '##UNKNOWN') AS list_comb, count(*) AS n FROM e WHERE c IS NOT NULL GROUP BY ALL",
-    "card_activity": f"{BASE} SELECT board_id, date, c, coalesce(list_comb, '##UNKNOWN') AS list_comb FROM e WHERE c IN ('card_create', 'card_close')",
+    "daily_card_activity": f"{BASE} {DAILY} GROUP BY ALL",
+    "daily_card_activity_between": f"{BASE} {DAILY} AND CAST(date AS DATE) > DATE '2024-01-05' AND CAST(date AS DATE) < DATE '2024-01-09' GROUP BY ALL",
+    "card_activity": f"{BASE} SELECT board_id, date, c, coalesce(list_comb, '##UNKNOWN') AS list_comb FROM e WHERE c IN ('card_act', 'card_create', 'card_move', 'card_close')",
+    "card_time_histogram": f"{BASE}, ce AS (SELECT board_id, date, c FROM e WHERE c IS NOT NULL), cb AS (SELECT board_id, min(date) AS t0, date_diff('microsecond', min(date), max(date)) AS life FROM ce GROUP BY board_id) SELECT board_id, c, least(greatest(coalesce(ceil(date_diff('microsecond', t0, date) * 30 / nullif(life, 0)), 1), 1), 30)::INT AS bin, count(*) AS n FROM ce JOIN cb USING (board_id) GROUP BY ALL",
+    "list_timeline": f"{BASE}{EVOLUTION} SELECT board_id, list_id, row_number() OVER (PARTITION BY board_id ORDER BY last_date, list_id) - 1 AS place, begin_date, last_date, last_name FROM ev",
+    "redesign_lines": f"{RED} SELECT board_id, run, 'min' AS edge, min_ts AS date FROM red UNION ALL SELECT board_id, run, 'max', max_ts FROM red",
     "redesigns": f"{RED} SELECT * FROM red",
-    "redesigns_by_count": f"{BASE}{_redesigns(flag='count(*) OVER (PARTITION BY board_id, seg) < 400')} SELECT * FROM red",
-    "redesigns_of_class": f"{BASE}{_redesigns(le='l = ' + repr('list_create'))} SELECT * FROM red",
-    "redesigns_min_events": f"{RED} SELECT * FROM red WHERE n_list_events > 1",
+    "redesigns_by_count": f"{BASE}{_redesigns(flag='le OR count(id) OVER (PARTITION BY board_id, seg) < 250')} SELECT * FROM red",
+    "redesigns_of_class": f"{BASE}{_redesigns(le='l IN ' + repr(('list_create', 'list_rename')))} SELECT * FROM red",
+    "redesigns_of_class_by_count": f"{BASE}{_redesigns(le='l = ' + repr('list_change'), flag='le OR count(id) OVER (PARTITION BY board_id, seg) < 600')} SELECT * FROM red",
+    "redesigns_min_events": f"{RED_3_DAYS} SELECT * FROM red WHERE n_list_events > 1",
     "stable_intervals": f"{RED} SELECT * FROM iv",
     "redesign_distance": f"{RED} SELECT * FROM dist",
     "relative_gaps": f"{RED} SELECT * FROM gaps",
+    "gap_describe": f"{RED} SELECT board_id, {_describe('gap')} FROM gaps GROUP BY board_id",
+    "corpus_study": f"{RED_DAY}{SUMMARY}, sel AS (SELECT board_id FROM fs WHERE events > 300 AND duration_s > 7 * 86400) SELECT board_id, {_describe('gap')} FROM gaps JOIN sel USING (board_id) GROUP BY board_id",
     "gap_mean_of_means": f"{RED} SELECT round(avg(m), 6) AS mean_gap FROM (SELECT avg(gap) AS m FROM gaps GROUP BY board_id)",
     "interval_slice": f"{RED} SELECT log.board_id, id, type, date FROM log JOIN iv ON log.board_id = iv.board_id AND run = 2 AND date > first_ts AND date < last_ts",
     "lifetime_deciles": f"{RED}, b AS (SELECT board_id, floor(date_diff('microsecond', t0, min_ts) * 10 / nullif(life, 0)) AS bin FROM red JOIN board USING (board_id)) SELECT board_id, {', '.join(f'count(*) FILTER (WHERE bin = {k}) AS d{k}' for k in range(10))} FROM b GROUP BY board_id",
@@ -160,6 +187,9 @@ SQL: dict[str, str] = {
     "create_lists": _shares("card_create"),
     "close_lists": _shares("card_close"),
     "use_lists": _shares("card_act", 20),
+    "use_lists_by_comb": _shares_by("list_comb", "card_act", 20),
+    "create_lists_by_name": _shares_by("list_name", "card_create"),
+    "precedence_by_name": f"{BASE} SELECT board_id, src, dst, n, round(n / moves, 6) AS share FROM ({TRANSITIONS.format('list_before_name', 'list_after_name')}) JOIN (SELECT board_id, count(*) AS moves FROM e WHERE c = 'card_move' GROUP BY board_id) USING (board_id) WHERE n / moves > 0.05",
     "event_log": f"{BASE} SELECT card_id AS case_id, coalesce(list_after_name, CASE WHEN card_closed THEN '**Closed' ELSE list_name END) AS activity, date AS ts, member_id AS resource, type, coalesce(card_closed, false) AS closed, coalesce(list_before_name, '') AS src, coalesce(list_after_name, '') AS dst, board_id FROM e WHERE c IN ('card_create', 'card_close', 'card_move')",
     "moves_per_list": f"{BASE}{_metrics()} SELECT * FROM mv",
     "components": f"{BASE}{_graph()} SELECT * FROM comp",
@@ -167,6 +197,7 @@ SQL: dict[str, str] = {
     "components_threshold": f"{BASE}{_graph(threshold=55)} SELECT * FROM comp",
     "design_lists": f"{BASE}{_graph()} SELECT lb.board_id, coalesce(name, node) AS list FROM lb LEFT JOIN names ON lb.board_id = names.board_id AND node = list_id",
     "design_card_flow": f"{BASE}{_graph()} SELECT lb.board_id, comp_id, string_agg(DISTINCT coalesce(name, node), '|' ORDER BY coalesce(name, node)) AS members FROM lb LEFT JOIN names ON lb.board_id = names.board_id AND node = list_id GROUP BY ALL",
+    "design_lists_by_comb": f"{BASE}{_graph(key='list_comb', before='list_before_comb', after='list_after_comb')} SELECT board_id, node AS list FROM lb",
     "design_precedence": PRECEDENCE,
     "move_metrics": f"{BASE}{_metrics()} SELECT board_id, {MOVE} FROM met",
     "act_metrics": f"{BASE}{_metrics()} SELECT board_id, {ACT} FROM met",
@@ -175,5 +206,6 @@ SQL: dict[str, str] = {
     "redesign_metrics": f"{RED} SELECT board_id, {_describe('n_events', 'size_')}, {_describe('seconds', 'distance_')}, round(avg(seconds) / 86400, 6) AS distance_mean_days FROM dist GROUP BY board_id",
     "list_evolution_metrics": f"{BASE}{EVOLUTION}, x AS (SELECT board_id, date_diff('microsecond', begin_date, last_date) AS own, n_names, life FROM ev JOIN board USING (board_id)) SELECT board_id, round(avg(own / 1e6), 6) AS list_duration_s, {_describe('(own / nullif(life, 0))', 'share_')}, round(avg(n_names), 6) AS list_renames_mean FROM x GROUP BY board_id",
     "static_metrics": f"{BASE}{_graph()}{_metrics()} {NODE.format('board_id')}",
-    "static_metrics_by_interval": f"{RED}{IN_RUN}{_graph('board_id, run', 'ev')}{_metrics('board_id, run', 'ev')} {NODE.format('board_id, run')}",
+    "static_metrics_by_interval": f"{RED}{IN_RUN}{_graph('board_id, run', 'ev')}{_metrics('board_id, run', 'ev')} {NODE.format('board_id, run').replace('events, cards', 'first_ts, last_ts, events, cards')} JOIN iv USING (board_id, run)",
+    "static_metrics_of_long_intervals": f"{RED}{LONG_RUN}{_graph('board_id, run', 'ev')}{_metrics('board_id, run', 'ev')} {NODE.format('board_id, run').replace('events, cards', 'first_ts, last_ts, events, cards')} JOIN iv USING (board_id, run)",
 }

@@ -63,6 +63,8 @@ _ON_LOG: dict[str, Callable[[_Log], DataFrame]] = {
     "list_name_map": lambda x: summary.list_name_map(x.log),
     "comb_collision": lambda x: summary.comb_collision(x.log),
     "first_type_counts": lambda x: summary.first_type_counts(x.log),
+    "corpus_describe": lambda x: summary.corpus_describe(x.log, None),
+    "board_selection_by_first_type": lambda x: summary.board_selection(x.log, 300, 7, "updateCard"),
     "board_selection": lambda x: summary.board_selection(x.log, 300, 7, None),
     "list_evolution": lambda x: joined(x.evolution, "names"),
     "list_evolution_filtered": lambda x: joined(evolution.list_evolution(x.rich, 25 * 86400), "names"),
@@ -70,14 +72,21 @@ _ON_LOG: dict[str, Callable[[_Log], DataFrame]] = {
     "board_evolution_of_list": lambda x: evolution.board_evolution(x.log, 10, "L2"),
     "board_evolution_by_list": lambda x: evolution.board_evolution_by_list(x.log, "card_action"),
     "daily_card_activity": lambda x: evolution.daily_card_activity(x.rich),
-    "card_activity": lambda x: evolution.card_activity(x.rich, ["card_create", "card_close"]),
+    "daily_card_activity_between": lambda x: evolution.daily_card_activity(x.rich, before="2024-01-09", after="2024-01-05"),
+    "card_activity": lambda x: evolution.card_activity(x.rich),
+    "card_time_histogram": lambda x: evolution.card_time_histogram(x.rich),
+    "list_timeline": lambda x: evolution.list_timeline(x.evolution),
+    "redesign_lines": lambda x: redesign.redesign_lines(x.redesigns),
     "redesigns": lambda x: x.redesigns,
-    "redesigns_by_count": lambda x: redesign.detect_redesign(x.rich, fewer_than=400),
-    "redesigns_of_class": lambda x: redesign.detect_redesign(x.rich, HOURS_3, "list_create"),
-    "redesigns_min_events": lambda x: redesign.detect_redesign(x.rich, HOURS_3, more_than=1),
+    "redesigns_by_count": lambda x: redesign.detect_redesign(x.rich, fewer_than=250),
+    "redesigns_of_class": lambda x: redesign.detect_redesign(x.rich, HOURS_3, ["list_create", "list_rename"]),
+    "redesigns_of_class_by_count": lambda x: redesign.detect_redesign(x.rich, list_class="list_change", fewer_than=600),
+    "redesigns_min_events": lambda x: redesign.detect_redesign(x.rich, 72 * redesign.HOUR, more_than=1),
     "stable_intervals": lambda x: x.intervals,
     "redesign_distance": lambda x: redesign.redesign_distance(x.log, x.redesigns),
     "relative_gaps": lambda x: redesign.relative_gaps(x.log, x.redesigns),
+    "gap_describe": lambda x: redesign.gap_describe(redesign.relative_gaps(x.log, x.redesigns)),
+    "corpus_study": lambda x: redesign.corpus_study(x.rich, 300, 7, None),
     "gap_mean_of_means": lambda x: redesign.gap_mean_of_means(redesign.relative_gaps(x.log, x.redesigns)),
     "interval_slice": lambda x: redesign.interval_slice(x.log, x.intervals, 2).select("board_id", "id", "type", "date"),
     "lifetime_deciles": lambda x: redesign.lifetime_deciles(x.log, x.redesigns),
@@ -90,6 +99,9 @@ _ON_LOG: dict[str, Callable[[_Log], DataFrame]] = {
     "create_lists": lambda x: flow.card_action_list(x.rich, "card_create"),
     "close_lists": lambda x: flow.card_action_list(x.rich, "card_close"),
     "use_lists": lambda x: flow.card_action_list(x.rich, "card_act", threshold=20),
+    "use_lists_by_comb": lambda x: flow.card_action_list(x.rich, "card_act", "comb", 20),
+    "create_lists_by_name": lambda x: flow.card_action_list(x.rich, "card_create", "name"),
+    "precedence_by_name": lambda x: flow.semantic_precedence(x.rich, "name", 0.05),
     "event_log": lambda x: flow.event_log(x.rich),
     "moves_per_list": lambda x: flow.moves_per_list(x.rich),
     "components": lambda x: joined(graph.connected_lists(x.rich), "members"),
@@ -97,6 +109,7 @@ _ON_LOG: dict[str, Callable[[_Log], DataFrame]] = {
     "components_threshold": lambda x: joined(graph.connected_lists(x.rich, "id", 55), "members"),
     "design_lists": lambda x: x.design().lists,
     "design_card_flow": lambda x: joined(x.design().card_flow, "members"),
+    "design_lists_by_comb": lambda x: discovery.board_discovery(x.rich, "comb").lists,
     "design_precedence": lambda x: x.design().semantic_precedence,
     "move_metrics": lambda x: metrics.move_metrics(x.rich),
     "act_metrics": lambda x: metrics.act_metrics(x.rich),
@@ -106,6 +119,7 @@ _ON_LOG: dict[str, Callable[[_Log], DataFrame]] = {
     "list_evolution_metrics": lambda x: metrics.list_evolution_metrics(x.log, x.evolution),
     "static_metrics": lambda x: metrics.static_metrics(x.rich),
     "static_metrics_by_interval": lambda x: metrics.static_metrics_by_interval(x.rich, x.intervals),
+    "static_metrics_of_long_intervals": lambda x: metrics.static_metrics_by_interval(x.rich, x.intervals, 86400, 40),
 }
 
 
