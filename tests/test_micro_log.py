@@ -73,9 +73,15 @@ def test_redesigns(log):
 
 
 def test_redesign_modes(log):
-    assert rows(redesign.detect_redesign(log, fewer_than=2), "run", "n_events") == [(1, 2)]
+    assert rows(redesign.detect_redesign(log, fewer_than=2), "run", "min_ts", "n_events", "n_list_events") == [(1, t("01-10 00:00"), 1, 1), (2, t("01-01 00:00"), 3, 2)]
+    assert rows(redesign.detect_redesign(log, fewer_than=4), "run", "n_events") == [(1, 3), (2, 3)]
     assert rows(redesign.detect_redesign(log, DAY, more_than=1), "run") == [(2,)]
     assert rows(redesign.detect_redesign(log, DAY, "list_rename"), "run", "n_events", "n_list_events") == [(1, 2, 1), (2, 4, 2)]
+    # classes other than the given one count in the span of a run, and before the newest run they make a row of their own
+    found = redesign.detect_redesign(log, 3600, ["list_create"])
+    assert sorted((r["run"], str(r["min_ts"]), r["n_events"], r["n_list_events"]) for r in found.collect()) == [(0, "None", 0, 1), (1, "2024-01-01 00:00:00", 3, 2)]
+    assert rows(redesign.stable_intervals(log, found), "run", "last_ts") == [(1, t("01-12 00:00"))]
+    assert rows(redesign.detect_redesign(log, 3600, "list_create", more_than=0), "run") == [(0,), (1,)]
 
 
 def test_lists(log):
@@ -95,7 +101,21 @@ def test_metrics(log):
 
 def test_report(log):
     text = discovery.report(discovery.board_discovery(log), "x")
-    assert "- A2 -> B" in text and "- None" in text
+    assert "- A2 -> B" in text and "- None" in text and "- and more" not in text
+    assert "- and more" in discovery.report(discovery.board_discovery(log), "x", 1)
+
+
+def test_other_keys_and_filters(log):
+    assert rows(discovery.board_discovery(log, "comb").lists, "list") == [("A2[]",), ("A[]",), ("B[]",)]
+    assert rows(evolution.daily_card_activity(log, before="2024-01-05"), "day", "n") == [(dt.date(2024, 1, 1), 1)]
+    assert rows(evolution.daily_card_activity(log, after="2024-01-01", before="2024-01-06"), "day", "c", "n") == [(dt.date(2024, 1, 5), "card_create", 1)]
+    assert rows(evolution.list_timeline(evolution.list_evolution(log)), "list_id", "place") == [("A", 0), ("B", 1)]
+    assert summary.board_summary(log).first()["attributes"] == 12
+    assert rows(summary.board_selection(log, 5, 7), "events") == [(9,)] and summary.board_selection(log, 5, 7, "createCard").count() == 0
+    found = redesign.detect_redesign(log, DAY)
+    intervals = redesign.stable_intervals(log, found)
+    assert rows(metrics.static_metrics_by_interval(log, intervals, longer_s=3 * DAY), "run", "first_ts", "events") == [(2, t("01-01 03:00"), 4)]
+    assert rows(metrics.static_metrics_by_interval(log, intervals, min_events=3), "run") == [(2,)]
 
 
 def test_odd_rows(spark):
@@ -123,28 +143,41 @@ def test_empty(spark):
         assert out.count() == 0
 
 
-def flagged(events, within):
-    """Row by row: events are (time, is list event); the runs, newest first."""
-    runs, current, start = [], [], None
-    for time, is_list in events:
-        start = time if is_list or start is None else start
-        if is_list or time - start < within:
-            current.append((time, is_list))
-        elif current:
-            runs.append(current)
-            current = []
-    return [(min(x for x, _ in r), len(r), sum(y for _, y in r)) for r in reversed(runs + [current] * bool(current))]
-
-
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.tuples(st.integers(0, 400), st.booleans()), min_size=1, max_size=25))
-def test_redesigns_row_by_row(spark, events):
+def runs_of(events, classes, within=None, fewer=None):
+    """Row by row: events are (minute, class or None), oldest first; the runs, newest first, and what lies before the newest."""
+    segments, at = [], []
+    for time, kind in events:
+        if (kind is not None and (classes is None or kind in classes)) or not segments:
+            segments.append([])
+        segments[-1].append(time)
+        at.append(len(segments) - 1)
+    flags = []
+    for (time, kind), k in zip(events, at, strict=True):
+        opens = kind is not None and (classes is None or kind in classes)
+        flags.append(opens or (time - segments[k][0] < within if within is not None else len(segments[k]) < fewer))
+    out, run, before = {0: [[], 0]}, 0, False
+    for (time, kind), flag in reversed(list(zip(events, flags, strict=True))):
+        if flag and not before:
+            run += 1
+            out[run] = [[], 0]
+        if flag:
+            out[run][0].append(time)
+        out[run][1] += kind is not None
+        before = flag
+    return [(k, min(x, default=None), max(x, default=None), len(x), n) for k, (x, n) in out.items() if x or n]
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 4000), st.sampled_from([None, None, "createList", "moveListToBoard"])), min_size=1, max_size=30), st.sampled_from([(None, 60, None), (["list_create"], 300, None), (None, None, 3), (["list_import"], None, 4)]))
+def test_redesigns_row_by_row(spark, events, mode):
+    classes, within, fewer = mode
+    names = {"createList": "list_create", "moveListToBoard": "list_import"}
     events = sorted(events, key=lambda x: x[0])
     zero = t("01-01 00:00")
-    df = enrich(make(spark, [(zero + dt.timedelta(minutes=m), "createList" if y else "createCard", lst("A") if y else {}) for m, y in events]))
-    got = redesign.detect_redesign(df, 3600).orderBy("run").collect()
-    want = flagged([(m, y) for m, y in events], 60)
-    assert [((r["min_ts"] - zero).total_seconds() / 60, r["n_events"], r["n_list_events"]) for r in got] == want
+    df = enrich(make(spark, [(zero + dt.timedelta(minutes=m), y or "createCard", lst("A") if y else {}) for m, y in events]))
+    got = redesign.detect_redesign(df, None if within is None else within * 60, classes, fewer).orderBy("run").collect()
+    minutes = lambda x: x and (x - zero).total_seconds() / 60
+    assert [(r["run"], minutes(r["min_ts"]), minutes(r["max_ts"]), r["n_events"], r["n_list_events"]) for r in got] == runs_of([(m, names.get(y)) for m, y in events], classes, within, fewer)
 
 
 def test_sources(spark, tmp_path, log):
@@ -165,7 +198,19 @@ def test_sources(spark, tmp_path, log):
     assert rows(board_log.read_board_ids(spark, str(tmp_path / "ids.txt")), "board_id") == [("b1",), ("b2",)]
     board_log.write_csv(flow.transitions(log), str(tmp_path / "out"))
     board_log.write_json(log.select(COLUMNS), str(tmp_path / "js"))
-    assert spark.read.json(str(tmp_path / "js")).count() == 9
+    again = board_log.read_json_lines(spark, str(tmp_path / "js"))
+    assert sorted(map(str, again.select(COLUMNS).collect())) == sorted(map(str, log.select(COLUMNS).collect()))
+
+
+def test_csv_files_that_differ(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(',id,type,date,data.list.id,data.list.name\n0,a1,createList,2024-01-02 00:00:00,L1,"Say ""hi"", now\nor later"\n1,a0,createBoard,2024-01-01 00:00:00,,\n')
+    (tmp_path / "b+c d.csv").write_text(",date,id,type,data.card.id,data.list.id,extra\n0,2024-01-03 00:00:00,b1,createCard,C9,L2,x\n")
+    (tmp_path / "e[1].csv").write_text("\ufeff,id,type,date,data.card.closed,data.list.id\n0,e1,updateCard,2024-01-04 00:00:00,True,L3\n")
+    (tmp_path / "none.csv").write_text("")
+    got = {r["id"]: r for r in board_log.read_csv(spark, str(tmp_path)).collect()}
+    assert set(got) == {"a0", "a1", "b1", "e1"} and {r["board_id"] for r in got.values()} == {"a", "b+c d", "e[1]"}
+    assert got["a1"]["list_name"] == 'Say "hi", now\nor later' and got["a1"]["list_id"] == "L1" and got["a0"]["list_id"] is None and got["a0"]["pos"] == -1
+    assert (got["b1"]["card_id"], got["b1"]["list_id"], got["b1"]["list_name"]) == ("C9", "L2", None) and got["e1"]["card_closed"] is True and got["e1"]["list_id"] == "L3"
 
 
 def test_pages():
@@ -183,6 +228,23 @@ def test_pages():
     assert {a["id"] for a in got} == set(range(25)) and failed
 
 
+def test_pages_that_cannot_go_on():
+    same = [{"id": k, "date": 7} for k in range(25)]
+    with pytest.raises(ValueError, match="larger pages"):
+        list(board_log.pages(lambda board, before, batch: same[:batch], "b", 10))
+    assert len(list(board_log.pages(lambda board, before, batch: same[:batch], "b", 30))) == 25
+
+
+def test_load_boards(spark):
+    def fetch(board, before, batch):
+        actions = [{"id": f"{board}{k}", "type": "createList", "date": f"2024-01-{20 - k:02d}T00:00:00Z", "data": {"list": {"id": f"L{k}"}}} for k in range(7)]
+        return [a for a in actions if before is None or a["date"] <= before][:batch]
+
+    boards = spark.createDataFrame([("b1",), ("b2",)], "board_id string")
+    got = board_log.load_boards(spark, boards, fetch, 3)
+    assert rows(got, "board_id", "id", "list_id") == [(b, f"{b}{k}", f"L{k}") for b in ("b1", "b2") for k in range(7)]
+
+
 def test_stream(spark, tmp_path, log):
     from lanewise.streaming import labels
 
