@@ -11,9 +11,10 @@ share it (a *stretch*), and equal strings have equal ranks, so nothing is missed
 2. The stretches left get the rank of all their bytes, beyond LENGTH. Spark sorts
    (rank, document); stretches that a smaller document has too are settled. Of the others,
    those leave whose prefix has no other stretch.
-3. The rest is cut out of the texts once and ranked at the next width, then at LENGTH, where
-   every string stands for itself. After each width Spark sorts (rank, document) again, what
-   is unique leaves, and at LENGTH the strings of the first document leave.
+3. What is left is cut out of the texts and sorted by (rank, document) once more. Strings under
+   a rank with at most FEW of them are compared byte by byte in the task that has the rank, the
+   first one of each kind held. Under other ranks doubling goes on to LENGTH: every string gets
+   a rank of its own, Spark sorts (string rank, document), the strings of the first document leave.
 
 Ranks are hashes: of 64 bits where they only choose candidates, of 128 bits where they decide.
 A rank that very many documents share is no hot group: each batch of a task sends two rows at
@@ -35,8 +36,10 @@ from pyspark.sql.types import IntegralType
 from lanewise.llm.common import bounded_batches, discard, partitions, release, stage, table, unused
 
 LENGTH = 50
-#: Widths of the prefixes that are ranked before strings of LENGTH bytes are.
-WIDTHS = (20, 35)
+#: Width of the prefixes that are ranked before strings of LENGTH bytes are.
+PREFIX = 20
+#: Strings under one prefix rank that a task compares (and so holds: some 100 bytes each) by itself.
+FEW = 1 << 14
 #: Bytes handled at once inside a task.
 STEP = 1 << 18
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0xD6E8FEB86659FD93)
@@ -65,7 +68,7 @@ def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(a[: len(a) - (width - n)], a[width - n :]) if width > n else a
 
 
-def stretches(column: pa.Array, length: int = LENGTH, prefix: int = WIDTHS[0]) -> tuple[np.ndarray, ...]:
+def stretches(column: pa.Array, length: int = LENGTH, prefix: int = PREFIX) -> tuple[np.ndarray, ...]:
     """Of all texts of a batch: row, first and last string start (bytes of the text), prefix hash; and the bytes."""
     column = column.cast(pa.binary())
     off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
@@ -207,96 +210,124 @@ def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        c1, c2, salt, doc = (batch.column(k).to_numpy() for k in ("c1", "c2", "salt", "doc"))
-        fresh = np.concatenate([[held is None or (c1[0], c2[0]) != held[:2]], (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])])
-        first = np.concatenate([[held[2] if held else 0], doc[fresh]])
-        later = (salt != 0) | (doc > first[np.cumsum(fresh)])
-        held = (c1[-1], c2[-1], first[-1])
+        later, held = _later(batch, held)
         yield pa.RecordBatch.from_arrays([pa.array(later), *(batch.column(k) for k in ("doc", "tag", "h", "s", "e"))], names=["settled", "doc", "tag", "h", "s", "e"])
 
 
-CONTEXT = "doc long, tag long, s long, bytes binary"
+def _later(batch: pa.RecordBatch, held: tuple | None) -> tuple[np.ndarray, tuple]:
+    c1, c2, salt, doc = (batch.column(k).to_numpy() for k in ("c1", "c2", "salt", "doc"))
+    fresh = np.concatenate([[held is None or (c1[0], c2[0]) != held[:2]], (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])])
+    first = np.concatenate([[held[2] if held else 0], doc[fresh]])
+    return (salt != 0) | (doc > first[np.cumsum(fresh)]), (c1[-1], c2[-1], first[-1])
+
+
+CONTEXTS = f"{DECIDED}, bytes binary"
 
 
 def _contexts(length: int):
-    """(doc, text, marks of three longs: tag, s, e) to the bytes of these stretches, in parts of STEP strings."""
+    """(doc, text, marks of five longs: tag, h, s, e, whether h has many strings) to rows of CONTEXTS: one with the bytes
+    of each stretch, or under a rank with many strings one for each string (equal ones side by side are one)."""
+
+    def plain(rows: list[tuple]) -> pa.RecordBatch:
+        h, doc, tag, s, e, own = zip(*rows, strict=True)
+        none = pa.array([0] * len(h), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none.cast(pa.int32()), *(pa.array(x, pa.int64()) for x in (h, doc, tag, s, e)), pa.array(own, pa.binary())], names=["c1", "c2", "salt", "h", "doc", "tag", "s", "e", "bytes"])
+
+    def ranked(rows: list[tuple]) -> pa.RecordBatch:
+        data = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
+        size = np.array([len(r[5]) for r in rows])
+        n = size - length + 1
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at, row = np.repeat(np.cumsum(size) - size, n) + step, np.repeat(np.arange(len(rows)), n)
+        k1, k2 = prefix_hashes(data, length)[at], prefix_hashes(data, length, M3)[at]
+        first = np.flatnonzero(np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (row[1:] != row[:-1])]))
+        last, row = np.append(first[1:], len(at)) - 1, row[first]
+        h, doc, tag, s = (np.array([r[c] for r in rows], np.int64)[row] for c in range(4))
+        out = _decided(k1[first], k2[first], h, doc, tag, s + step[first], s + step[last])
+        return pa.RecordBatch.from_arrays([*out.columns, pa.nulls(len(row), pa.binary())], names=[*out.schema.names, "bytes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            held: list[list[tuple]] = [[], []]
+            size = [0, 0]
             for doc, text, marks in zip(batch.column(0).to_pylist(), batch.column(1), _lists(batch.column(2)), strict=True):
                 data = text.as_py().encode()
                 own = _tag(data)
-                rows = [(at, data[at : min(e, at + STEP - 1) + length]) for tag, s, e in marks.reshape(-1, 3).tolist() if tag == own for at in range(s, e + 1, STEP)]
-                n = len(rows)
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * n, pa.int64()), pa.array([own] * n, pa.int64()), pa.array([s for s, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=["doc", "tag", "s", "bytes"])
-
-    return run
-
-
-def _context_ranks(length: int, width: int):
-    """Contexts to the distinct (h, salt, doc, tag, s) of each batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, _, _, h, _, _ = stretches(batch.column(3), length, width)
-            order = np.lexsort((h, row))
-            row, h = row[order], h[order]
-            keep = np.ones(len(h), bool)
-            keep[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
-            row, h = row[keep], h[keep]
-            doc, tag, s = (batch.column(k).to_numpy()[row] for k in range(3))
-            order, salt = _salts([h], doc, True)
-            yield _batch({"h": h[order], "salt": salt, "doc": doc[order], "tag": tag[order], "s": s[order]})
+                for tag, h, s, e, many in marks.reshape(-1, 5).tolist():
+                    for at in range(s, e + 1, STEP) if tag == own else ():
+                        stop = min(e, at + STEP - 1)
+                        held[many].append((h, doc, own, at, stop, data[at : stop + length]))
+                        size[many] += stop - at + length
+                        if size[many] >= STEP:
+                            yield (plain, ranked)[many](held[many])
+                            held[many], size[many] = [], 0
+            for many, make in enumerate((plain, ranked)):
+                if held[many]:
+                    yield make(held[many])
 
     return run
 
 
-def _strings(length: int, width: int):
-    """Contexts with their shared ranks to the strings under these, as rows of DECIDED; equal strings side by side are one row."""
+def _compare(length: int):
+    """Of rows sorted by (h, c1, c2, salt, doc), the runs of strings that a smaller document has too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc", "tag", "s", "e"]
+        h0, seen, held = None, {}, None
         for batch in batches:
-            row, s, e, h, data, off = stretches(batch.column(3), length, width)
-            bounds = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            keep = np.zeros(len(row), bool)
-            for k, ranks in enumerate(_lists(batch.column(4))):
-                a, b = bounds[k], bounds[k + 1]
-                keep[a:b] = np.isin(h[a:b].view(np.int64), ranks)
-            row, s, e = row[keep], s[keep], e[keep]
-            if not len(row):
-                continue
-            n = e - s + 1
-            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            row, p = np.repeat(row, n), np.repeat(s, n) + step
-            at = off[row] + p
-            k1, k2 = prefix_hashes(data, length)[at], prefix_hashes(data, length, M3)[at]
-            new = np.ones(len(at), bool)
-            new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1])
-            first = np.flatnonzero(new)
-            last = np.append(first[1:], len(at)) - 1
-            doc, tag, base = (batch.column(k).to_numpy() for k in range(3))
-            row = row[first]
-            yield _decided(k1[first], k2[first], np.zeros(len(row), np.int64), doc[row], tag[row], base[row] + p[first], base[row] + p[last])
+            ranked, rest = (batch.filter(m) for m in (batch.column("bytes").is_null(), batch.column("bytes").is_valid()))
+            out: list[tuple] = []
+            for h, doc, tag, s, data in zip(*(rest.column(c).to_pylist() for c in ("h", "doc", "tag", "s", "bytes")), strict=True):
+                if h != h0:
+                    h0, seen = h, {}
+                start = None
+                for p in range(len(data) - length + 1):
+                    known = seen.setdefault(data[p : p + length], doc) < doc
+                    if known and start is None:
+                        start = p
+                    elif not known and start is not None:
+                        out.append((doc, tag, s + start, s + p - 1))
+                        start = None
+                if start is not None:
+                    out.append((doc, tag, s + start, s + len(data) - length))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=names)
+            if ranked.num_rows:
+                later, held = _later(ranked, held)
+                yield ranked.filter(pa.array(later)).select(names)
 
     return run
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of runs sorted by (doc, tag, s), those that touch as one."""
-    now = None
     names = ["doc", "tag", "s", "e"]
+    held = [np.zeros(0, np.int64)] * 4
     for batch in batches:
-        out = []
-        for doc, tag, s, e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if now and now[0] == doc and now[1] == tag and s <= now[3] + 1:
-                now[3] = max(now[3], e)
-            else:
-                if now:
-                    out.append(now)
-                now = [doc, tag, s, e]
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [[]] * 4)], names=names)
-    if now:
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in now], names=names)
+        doc, tag, s, e = (np.concatenate([x, c.to_numpy()]) for x, c in zip(held, batch.columns, strict=True))
+        if not len(doc):
+            continue
+        other = np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])
+        base = np.cumsum(other) << 40  # keeps the texts apart under a running maximum
+        reach = np.maximum.accumulate(base + e)
+        start = np.flatnonzero(other | np.concatenate([[True], (base + s)[1:] > reach[:-1] + 1]))
+        stop = np.append(start[1:], len(doc)) - 1
+        made = [doc[start], tag[start], s[start], (reach - base)[stop]]
+        held = [x[-1:] for x in made]
+        yield pa.RecordBatch.from_arrays([pa.array(x[:-1]) for x in made], names=names)
+    if len(held[0]):
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=names)
+
+
+def contexts(source: DataFrame, settled: DataFrame, length: int, few: int = FEW) -> DataFrame:
+    """Rows of CONTEXTS of the stretches that are not settled and whose prefix has another one."""
+    left = settled.filter("NOT settled")
+    own = F.struct("doc", "tag", "s")
+    several = left.groupBy("h").agg(F.min(own).alias("a"), F.max(own).alias("b"), F.sum(F.col("e") - F.col("s") + 1).alias("n")).filter("a <> b")
+    # staged, so that Spark sees both sides of the join and may split a hot rank
+    several = stage(several.select("h", (F.col("n") > few).cast("long").alias("many")), "several")
+    marks = left.join(several, "h").groupBy("doc").agg(F.flatten(F.collect_set(F.array("tag", "h", "s", "e", "many"))).alias("marks"))
+    return source.join(marks, "doc").select("doc", "text", "marks").mapInArrow(_contexts(length), CONTEXTS)
 
 
 def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -304,33 +335,21 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     of longs, three for each run of such strings: tag of the text, first and last start."""
     spark = docs.sparkSession
     n = partitions(spark)
-    narrow, wide = WIDTHS
     source = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).select(F.col("doc_id").cast("long").alias("doc"), "text")
-    ranked = lambda df, *more: df.repartition(n, "h", "salt").sortWithinPartitions("h", "salt", "doc", *more)
-    told = lambda df: df.repartition(n, "c1", "salt").sortWithinPartitions("c1", "c2", "salt", "doc").mapInArrow(_first, "settled boolean, doc long, tag long, h long, s long, e long")
-    shared = ranked(source.mapInArrow(_pairs(length, narrow), "h long, salt int, doc long")).mapInArrow(_shared, "h long, doc long")
-    shared = stage(shared.groupBy("doc").agg(F.collect_set("h").alias("ranks")), "shared")
+    pairs = source.mapInArrow(_pairs(length, PREFIX), "h long, salt int, doc long").repartition(n, "h", "salt").sortWithinPartitions("h", "salt", "doc")
+    shared = stage(pairs.mapInArrow(_shared, "h long, doc long").groupBy("doc").agg(F.collect_set("h").alias("ranks")), "shared")
     release(spark)
-    settled = stage(told(source.join(shared, "doc").select("doc", "text", "ranks").mapInArrow(_stretch_ranks(length, narrow), DECIDED)), "settled")
+    rows = source.join(shared, "doc").select("doc", "text", "ranks").mapInArrow(_stretch_ranks(length, PREFIX), DECIDED)
+    settled = rows.repartition(n, "c1", "salt").sortWithinPartitions("c1", "c2", "salt", "doc").mapInArrow(_first, "settled boolean, doc long, tag long, h long, s long, e long")
+    settled = stage(settled, "settled")
     discard(shared)
     release(spark)
-    left = settled.filter("NOT settled")
-    # staged, so that Spark sees both sides of the join and may split a hot rank
-    several = stage(left.groupBy("h").agg(F.min(F.struct("doc", "tag", "s")).alias("a"), F.max(F.struct("doc", "tag", "s")).alias("b")).filter("a <> b").select("h"), "several")
-    marks = F.flatten(F.collect_set(F.array("tag", "s", "e"))).alias("marks")
-    cut = source.join(left.join(several, "h", "left_semi").groupBy("doc").agg(marks), "doc").select("doc", "text", "marks").mapInArrow(_contexts(length), CONTEXT)
-    contexts = stage(cut.dropDuplicates(["doc", "tag", "s"]), "contexts")
-    discard(several)
-    release(spark)
-    keys = ["doc", "tag", "s"]
-    shared = ranked(contexts.mapInArrow(_context_ranks(length, wide), "h long, salt int, doc long, tag long, s long"), "tag", "s").mapInArrow(_shared, "h long, doc long, tag long, s long")
-    strings = contexts.join(shared.groupBy(*keys).agg(F.collect_set("h").alias("ranks")), keys).select(*contexts.columns, "ranks").mapInArrow(_strings(length, wide), DECIDED)
     runs = "doc long, tag long, s long, e long"
-    compared = told(strings).filter("settled").select("doc", "tag", "s", "e").repartition(n, "doc").sortWithinPartitions("doc", "tag", "s").mapInArrow(_runs, runs)
-    compared = stage(compared, "compared")
-    discard(contexts)
+    compared = contexts(source, settled, length).repartition(n, "h", "c1", "salt").sortWithinPartitions("h", "c1", "c2", "salt", "doc").mapInArrow(_compare(length), runs)
+    compared = stage(compared.repartition(n, "doc").sortWithinPartitions("doc", "tag", "s").mapInArrow(_runs, runs), "compared")
     release(spark)
-    return settled.filter("settled").select("doc", "tag", "s", "e").unionByName(compared).groupBy("doc").agg(marks)
+    marks = settled.filter("settled").select("doc", "tag", "s", "e").unionByName(compared)
+    return marks.groupBy("doc").agg(F.flatten(F.collect_set(F.array("tag", "s", "e"))).alias("marks"))
 
 
 def covered(data: bytes, marks: np.ndarray | None, length: int) -> tuple[bytes, list[tuple[int, int]]]:
