@@ -440,13 +440,19 @@ def test_dedup_edges(spark):
     assert suffix_dedup.suffix_dedup(frame(spark).limit(0)).count() == 0
 
 
-def test_dedup_under_a_hot_prefix(spark):
+@pytest.mark.parametrize("few", [1 << 14, 300])
+def test_dedup_under_a_hot_prefix(spark, monkeypatch, few):
+    plain = suffix_dedup.contexts
+    made = []
+    monkeypatch.setattr(suffix_dedup, "contexts", lambda *a: made.append(plain(*a, few=few)) or made[0])
     head = "Copyright notice of the hot source, all"  # under 50 bytes
     rows = [(k, f"{head} {k * 7919:x} {'z' * (k % 9)} own words {k} and {k * k}") for k in range(200)]
     rows += [(200 + k, f"{k}{head} rights reserved, {k:03d} tail {k % 5}") for k in range(100)]
     rows += [(400, "q" * 3000), (401, "r" + "q" * 2000 + "s" + head), (300, "q" * 60 + "t" * 60)]
     rows += [(500, "one text of a repeated row " * 4), (500, "one text of a repeated row " * 4), (501, "one text of a repeated row " * 3)] * 20
     assert dedup_rows(suffix_dedup.suffix_dedup(frame(spark, rows))) == dedup_by_hand(rows)
+    held = made[0].filter("bytes IS NOT NULL").groupBy("h").agg(F.sum(F.octet_length("bytes") - 49).alias("n")).agg(F.max("n")).first()[0] or 0
+    assert held <= few and (few > 300) == made[0].filter("bytes IS NULL").isEmpty()
 
 
 def test_ranks_of_many_documents_are_spread(spark):
