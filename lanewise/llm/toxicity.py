@@ -1,20 +1,31 @@
-"""Toxicity by a factorization machine over hashed terms (Spark ML)."""
+"""Toxicity by a factorization machine (Spark ML) over hashed terms.
+
+The machine gets the slots of hashed terms that tell something about the label: alone, or in
+pairs. A pair counts if its presence tells more than that of either term, so a group mention
+that is as common in clean texts enters through the insults it stands with.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import FMClassifier
-from pyspark.ml.feature import HashingTF, VectorSlicer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanewise.llm.common import stage, table
 
-#: Terms are hashed to so many slots; of these, the FEATURES that tell most are used.
+#: Terms are hashed to so many slots.
 SLOTS = 2**22
-FEATURES = 512
-#: Least likelihood ratio of a term, so that small samples do not learn chance terms.
+#: Of these, so many at most enter by themselves, and so many by pairs.
+FEATURES, PAIRED = 512, 256
+#: Least likelihood ratio of a term, and what a pair must tell more than its terms, so that small samples do not learn chance terms.
 SIGNIFICANT = 25.0
+#: Pairs are counted among so many slots, those in most toxic documents but not in over half of all.
+CANDIDATES = 1024
 STEMS = (2, 3, 4)
 #: Bound of the labelled sample that is learnt from (documents, half of it for each label).
 SAMPLE_ROWS = 16_000
@@ -32,56 +43,111 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, learn, rows: int) -
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(pick), "doc_id")
 
 
-def with_terms(docs: DataFrame) -> DataFrame:
-    """Distinct lower-case words, and their first 2, 3 and 4 letters, which words made from one stem share."""
+def with_slots(docs: DataFrame) -> DataFrame:
+    """``slots``: the distinct hashed terms of ``text``, which are its lower-case words and their first 2, 3 and 4
+    letters, which words made from one stem share."""
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
-    stems = [F.array_distinct(F.transform("words", lambda w, k=k: F.concat(F.lit("^"), F.substring(w, 1, k)))) for k in STEMS]
-    return docs.withColumn("words", words).withColumn("terms", F.concat("words", *stems)).drop("words")
+    slot = lambda t: F.pmod(F.xxhash64(t), F.lit(SLOTS)).cast("int")
+    stem = lambda k: F.transform("words", lambda w: slot(F.concat(F.lit("^"), F.substring(w, 1, k))))
+    own = [F.transform("words", slot), *map(stem, STEMS)]
+    return docs.withColumn("words", words).withColumn("slots", F.array_distinct(F.concat(*own))).drop("words")
 
 
-def telling_terms(sample: DataFrame, n: int = FEATURES) -> list[str]:
-    """Up to ``n`` terms whose presence tells most about the label, by likelihood ratio, SIGNIFICANT at least."""
-    sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
-    pos, neg = float(sizes.get(1, 0)), float(sizes.get(0, 0))
-    counts = sample.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
-    p, n_ = F.col("p"), F.col("n")
+def likelihood_ratio(p, n, pos: float, neg: float):
+    """How much it tells that of ``n`` documents with a term (or pair) ``p`` are toxic, of ``pos`` and ``neg`` in all."""
+    p, n = np.asarray(p, np.float64), np.asarray(n, np.float64)
+    total = pos + neg
 
     def part(seen, expected):
-        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(seen > 0, seen * np.log(seen / expected), 0.0)
 
-    total = pos + neg
-    ratio = 2 * (part(p, n_ * pos / total) + part(n_ - p, n_ * neg / total) + part(pos - p, (total - n_) * pos / total) + part(neg - (n_ - p), (total - n_) * neg / total))
-    best = counts.filter(F.col("n") >= 3).select("term", ratio.alias("ratio")).filter(F.col("ratio") >= SIGNIFICANT).orderBy(F.desc("ratio"), "term").limit(n)
-    return [r["term"] for r in best.collect()]
+    return 2 * (part(p, n * pos / total) + part(n - p, n * neg / total) + part(pos - p, (total - n) * pos / total) + part(neg - (n - p), (total - n) * neg / total))
+
+
+def telling_slots(sample: DataFrame) -> list[int]:
+    """Slots that tell about the label by themselves or in pairs; ``sample``: y, slots."""
+    sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+    pos, neg = float(sizes.get(1, 0)), float(sizes.get(0, 0))
+    counts = sample.select("y", F.explode("slots").alias("slot")).groupBy("slot").agg(F.sum("y").alias("p"), F.count("*").alias("n")).filter("n >= 3")
+    p, n = F.col("p"), F.col("n")
+    expected = n * (pos / (pos + neg))
+    # a cheap bound first: what is this close to its share tells less than SIGNIFICANT
+    far = counts.filter((p - expected) * (p - expected) > F.least(expected, n - expected))
+    single = far.toPandas()
+    single["tells"] = likelihood_ratio(single["p"], single["n"], pos, neg)
+    best = single[single["tells"] >= SIGNIFICANT].sort_values(["tells", "slot"], ascending=[False, True]).head(FEATURES)
+    often = [r["slot"] for r in counts.filter(n <= (pos + neg) / 2).orderBy(F.desc("p"), "slot").limit(CANDIDATES).collect()]
+    return sorted({*best["slot"].astype(int), *_paired(sample, sorted(often), pos, neg)})
+
+
+def _paired(sample: DataFrame, slots: list[int], pos: float, neg: float) -> list[int]:
+    """Slots of pairs that tell more than either of their terms."""
+    m = len(slots)
+    if not m:
+        return []
+    known = np.array(slots)
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = np.zeros((2, m, m), np.float32)
+        for batch in batches:
+            for y in (0, 1):
+                rows = batch.filter(pa.array(batch.column(0).to_numpy() == y))
+                x = np.zeros((rows.num_rows, m), np.float32)
+                lists = rows.column(1)
+                flat = lists.flatten().to_numpy()
+                at = np.minimum(np.searchsorted(known, flat), m - 1)
+                hit = known[at] == flat
+                row = np.repeat(np.arange(rows.num_rows), np.diff(lists.offsets.to_numpy()))
+                x[row[hit], at[hit]] = 1
+                both[y] += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([both.tobytes()], pa.binary())], names=["both"])
+
+    total = np.zeros((2, m, m), np.float64)
+    for r in sample.select("y", "slots").mapInArrow(together, "both binary").toLocalIterator():
+        total += np.frombuffer(r["both"], np.float32).reshape(2, m, m)
+    tells = likelihood_ratio(total[1], total.sum(axis=0), pos, neg)
+    alone = np.diag(tells)
+    more = np.triu(tells - np.maximum(alone[:, None], alone[None, :]), 1)
+    more[total.sum(axis=0) < 3] = 0
+    out: dict[int, None] = {}
+    for at in np.argsort(-more, axis=None, kind="stable"):
+        i, j = divmod(int(at), m)
+        if more[i, j] < SIGNIFICANT or len(out) > PAIRED - 2:
+            break
+        out |= {slots[i]: None, slots[j]: None}
+    return list(out)
 
 
 def vectors(docs: DataFrame, slots: list[int]) -> DataFrame:
-    """``features``: which of the ``slots`` the hashed terms of a text fill."""
-    hashed = HashingTF(inputCol="terms", outputCol="hashed", numFeatures=SLOTS, binary=True).transform(docs)
-    return VectorSlicer(inputCol="hashed", outputCol="features", indices=slots).transform(hashed).drop("hashed", "terms")
+    """``features``: which of the chosen slots a text fills."""
+    chosen = F.array(*map(F.lit, slots))
+    filled = lambda hit: F.transform(chosen, lambda s: F.array_contains(hit, s).cast("double"))
+    # inside an array, so that the intersection is made once a row
+    rows = F.get(F.transform(F.array(F.array_intersect("slots", chosen)), filled), F.lit(0))
+    return docs.withColumn("features", array_to_vector(rows)).drop("slots")
 
 
-def fit(sample: DataFrame, features: int = FEATURES):
+def fit(sample: DataFrame):
     """Slots and the model; None if the sample lacks a label or no term tells anything."""
-    sample = stage(with_terms(sample).select("y", "terms"), "toxic-sample")
+    sample = stage(with_slots(sample).select("y", "slots").repartition(8), "toxic-sample")
     if sample.select("y").distinct().count() < 2:
         return None
-    hashing = HashingTF(inputCol="terms", outputCol="hashed", numFeatures=SLOTS, binary=True)
-    slots = sorted({hashing.indexOf(t) for t in telling_terms(sample, features)})
+    slots = telling_slots(sample)
     if not slots:
         return None
-    data = vectors(sample, slots).select(F.col("y").cast("double").alias("label"), "features").coalesce(8).cache()
-    model = FMClassifier(factorSize=4, maxIter=150, stepSize=0.05, regParam=1e-3, initStd=0.01, seed=7).fit(data)
+    data = stage(vectors(sample, slots).select(F.col("y").cast("double").alias("label"), "features"), "toxic-vectors").coalesce(8).cache()
+    model = FMClassifier(factorSize=4, maxIter=100, stepSize=0.05, regParam=1e-3, initStd=0.05, seed=7).fit(data)
     data.unpersist()
     return slots, model
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, learn, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id and score (0 to 1) of each row of ``docs``.
+def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """doc_id and score (0 to 1) of each row of ``docs``; other columns are ignored.
 
     Learns from labelled documents for which the condition ``learn`` holds. Null and empty
-    texts score as the model's intercept does; without labels of both kinds every score is
-    the share of positive ones (0 if there are none). Other columns are ignored.
+    texts score as the model's intercept does; without labels of both kinds, or without a term
+    that tells anything, every score is the share of positive ones (0 if there are none).
     """
     found = fit(labelled(docs, labels, "toxic", learn, rows))
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -89,7 +155,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn, rows: int = SAMPLE_ROWS)
         share = labels.filter(learn).agg(F.avg("toxic")).first()[0] or 0.0
         return source.select("doc_id", F.lit(float(share)).alias("score"))
     slots, model = found
-    scored = model.transform(vectors(with_terms(source), slots).select("doc_id", "features"))
+    scored = model.transform(vectors(with_slots(source), slots).select("doc_id", "features"))
     return scored.select("doc_id", vector_to_array("probability")[1].alias("score"))
 
 
