@@ -1,7 +1,8 @@
 """A training-data pipeline in five stages; part of the subpackage ``lanewise.llm``.
 
 Each stage takes all that the one before it kept. All but the last return the columns of
-``documents``; between stages the rows are written as Parquet to the shared folder.
+``documents``, and any others of any name, as they came; between stages the rows are written
+as Parquet to the shared folder.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import stage, table
+from lanewise.llm.common import stage, table, unused
 from lanewise.llm.decontaminate import decontaminate
 from lanewise.llm.jaccard_join import jaccard_join
 from lanewise.llm.quality_knn import quality
@@ -18,9 +19,16 @@ from lanewise.llm.suffix_dedup import suffix_dedup
 from lanewise.llm.toxicity import bucket
 
 
+def set_aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list]:
+    """``docs`` with columns of these names under others, and what selects all columns as they came."""
+    away = {c: unused(docs, f"own_{c}") for c in docs.columns if c.lower() in names}
+    return docs.withColumnsRenamed(away), [F.col(f"`{away.get(c, c)}`").alias(c) for c in docs.columns]
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects (score under 0.3) go."""
-    return quality(docs, table(spark, sf_dir, "labels"), bucket(5) != 0).filter("score >= 0.3").select(docs.columns)
+    score = unused(docs, "score")
+    return quality(docs, table(spark, sf_dir, "labels"), bucket(5) != 0, out=score).filter(F.col(score) >= 0.3).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,17 +40,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated strings of 50 bytes are cut out; half characters at a cut go too. Documents of which nothing is left go."""
-    cut = suffix_dedup(docs)
+    own, columns = set_aside(docs, "kept", "kept_text", "spans")
+    cut = suffix_dedup(own)
     text = F.when(F.size("spans") > 0, F.col("kept_text")).otherwise(F.col("text"))
     left = cut.filter((F.size("spans") == 0) | (F.octet_length("kept") > 0)).withColumn("text", text)
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return left.select(docs.columns)
+    return left.select(columns)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("n_hit = 0").select(docs.columns)
+    own, columns = set_aside(docs, "n_words", "n_hit", "n_items", "items", "spans")
+    return decontaminate(own, table(spark, sf_dir, "benchmark")).filter("n_hit = 0").select(columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
