@@ -5,30 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import stage
+from lanewise.llm.common import discard, stage
 
 
-def _least_neighbour(pairs: DataFrame) -> DataFrame:
-    """(v, m) for each pair (u, v): m is the least of u and its neighbours."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return pairs.join(least, "u")
+def _least(edges: DataFrame) -> DataFrame:
+    """(w, m): the least smaller neighbour m of each vertex that has one. Summed up before the shuffle, and staged:
+    then Spark sees both sides of the joins with it, and can split the rows of a vertex with very many neighbours."""
+    return stage(edges.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")), "least")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(v, label) of every vertex of the edges (u, v): label is the least vertex of its component.
 
     Vertices may be of any type that can be ordered; loops and repeated edges do not matter.
-    Each round is staged, and halves long paths; only a count and a checksum go to the driver.
+    Each round is staged (and the one before deleted), and halves long paths; only a count and
+    a checksum go to the driver.
     """
-    now = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    now = stage(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
     while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least_neighbour(both).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        small = _least_neighbour(down)
-        own = small.select("u", F.col("m").alias("v"))
-        now = stage(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own).filter("u <> v").distinct(), "edges")
+        # large star: the greater neighbours of a vertex move on to its least one
+        least = _least(now)
+        large = now.join(least, F.col("v") == F.col("w"), "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
+        large = stage(large, "large-star")
+        # small star: a vertex and its smaller neighbours meet at the least of these
+        lesser = _least(large)
+        small = large.join(lesser, F.col("u") == F.col("w")).select("u", "v", "m")
+        new = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lesser.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct()
+        new = stage(new, "edges")
+        for old in (now, least, large, lesser):
+            discard(old)
+        now = new
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break

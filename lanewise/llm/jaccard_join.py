@@ -5,7 +5,8 @@ TREES tries sorts the classes by DEPTH minimum hashes; classes that share a pref
 candidates. The length of the prefix starts at DEPTH and is shortened until the expected
 recall, over the similarities that the tries themselves show, reaches the target.
 Candidates form components; inside a component, cut into blocks, all pairs are verified
-exactly on their n-gram sets, and counted without a row for each pair.
+exactly on their n-gram sets, and counted without a row for each pair. In components of
+several blocks a set goes along as what it lacks and has more than the component's first.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import arrow_map, as_batch, bounded_batches, partitions, release, stage, table, to_arrow
+from lanewise.llm.common import arrow_map, as_batch, bounded_batches, discard, partitions, release, stage, table, to_arrow
 from lanewise.llm.components import components
 
 NGRAM = 5
@@ -31,8 +32,8 @@ DEPTH = 6
 #: Expected share of links found, and the least for a pair that is just at the threshold.
 TARGET = 0.9999
 FLOOR = 0.999
-#: Classes in a block; a component over it is verified block by block.
-BLOCK = 256
+#: Classes, and bytes of their sets, in a block; a component over it is verified block by block.
+BLOCK, BLOCK_BYTES = 256, 32 << 20
 WORD = re.compile(r"\w+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -95,9 +96,15 @@ def choose_depth(similarities: dict[float, int], threshold: float, target: float
     """The longest prefix whose expected recall reaches the target.
 
     ``similarities``: how many candidates at full depth have about which similarity. Each
-    stands for 1 / found(s, DEPTH) links, since so many were there to be found.
+    stands for 1 / found(s, DEPTH) links, since so many were there to be found. Estimates up to
+    two standard errors under the threshold count as links at it.
     """
-    links = {s: n / found(s, DEPTH) for s, n in similarities.items() if s >= threshold}
+    error = 2 * (threshold * (1 - threshold) / (TREES * DEPTH)) ** 0.5
+    links: dict[float, float] = {}
+    for s, n in similarities.items():
+        if s >= threshold - error:
+            s = max(s, threshold)
+            links[s] = links.get(s, 0.0) + n / found(s, DEPTH)
     for depth in range(DEPTH, 1, -1):
         total = sum(links.values())
         recall = sum(w * found(s, depth) for s, w in links.items()) / total if total else 1.0
@@ -120,10 +127,9 @@ def _stars(classes: DataFrame, depth: int) -> DataFrame:
 
 
 def _similarities(classes: DataFrame, stars: DataFrame) -> dict[float, int]:
-    """Histogram of the similarities that signatures show, over a sixteenth of the stars."""
-    part = stars.filter(F.pmod(F.xxhash64("u"), F.lit(16)) == 0)
+    """Histogram of the similarities that signatures show, over all stars."""
     sigs = classes.select("key", "sig")
-    pairs = part.join(sigs.select(F.col("key").alias("u"), F.col("sig").alias("a")), "u").join(sigs.select(F.col("key").alias("v"), F.col("sig").alias("b")), "v")
+    pairs = stars.join(sigs.select(F.col("key").alias("u"), F.col("sig").alias("a")), "u").join(sigs.select(F.col("key").alias("v"), F.col("sig").alias("b")), "v")
 
     @F.pandas_udf("double")
     def agreement(a, b):
@@ -134,11 +140,16 @@ def _similarities(classes: DataFrame, stars: DataFrame) -> dict[float, int]:
     return {r["s"]: r["count"] for r in pairs.select(agreement("a", "b").alias("s")).groupBy("s").count().collect()}
 
 
-def links_within(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray | None, ratio: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Weighted links of each set, and the least index it is joined to. side: 0 or 1, only pairs across count."""
+def links_within(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray | None, ratio: Fraction, sizes: np.ndarray | None = None, lacks: np.ndarray | int = 0, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted links of each set, and the least index it is joined to. side: 0 or 1, only pairs across count.
+
+    ``sets`` may be differences to a set of ``first`` values: then ``sizes`` are those of the whole sets, and
+    ``lacks`` tells how many values of the first set each has not.
+    """
     n = len(sets)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    values, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+    own = np.array([len(s) for s in sets], np.int64)
+    sizes = own if sizes is None else sizes
+    values, owner = np.concatenate(sets), np.repeat(np.arange(n), own)
     _, column, count = np.unique(values, return_inverse=True, return_counts=True)
     shared = count[column] > 1
     column, owner = np.unique(column[shared], return_inverse=True)[1], owner[shared]
@@ -151,7 +162,8 @@ def links_within(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray |
         x = np.zeros((n, width), np.float32)
         x[owner[a:b], column[a:b] - k] = 1
         common += x @ x.T
-    common = np.rint(common).astype(np.int64)
+    lacks = np.broadcast_to(np.asarray(lacks), n)
+    common = np.rint(common).astype(np.int64) + first - lacks[:, None] - lacks[None, :]
     linked = ratio.denominator * common >= ratio.numerator * (sizes[:, None] + sizes[None, :] - common)
     np.fill_diagonal(linked, False)
     if side is not None:
@@ -176,9 +188,10 @@ def _verify(schema: pa.Schema, ratio: Fraction):
         def close() -> pa.RecordBatch:
             held.sort(key=lambda r: r[3])
             sets = [np.frombuffer(r[5], np.uint64) for r in held]
+            sizes, lacks = (np.array([r[k] for r in held], np.int64) for k in (8, 9))
             copies = np.array([r[4] for r in held], np.int64)
             side = None if held[0][1] == held[0][2] else np.array([r[6] == held[0][1] for r in held]).astype(int)
-            links, label = links_within(sets, copies, side, ratio)
+            links, label = links_within(sets, copies, side, ratio, sizes, lacks, held[0][10])
             return as_batch({"key": [r[3] for r in held], "links": links, "label": [held[k][3] for k in label], "alone": [r[7] for r in held]}, schema)
 
         for batch in batches:
@@ -212,10 +225,10 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     def sign(batch: pa.RecordBatch) -> dict:
         sets = [shingles(t) for t in batch.column(2).to_pylist()]
-        return {"doc_id": batch.column(0), "md5": batch.column(1), "key": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], "sig": [signature(s) if len(s) else None for s in sets]}
+        return {"doc_id": batch.column(0), "md5": batch.column(1), "key": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], "n": [len(s) for s in sets], "sig": [signature(s) if len(s) else None for s in sets]}
 
-    signed = stage(arrow_map(source, f"doc_id {kind}, md5 string, key binary, sig binary", sign), "signatures")
-    per_class = signed.filter("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "md5")).alias("rep"), F.min("sig").alias("sig"))
+    signed = stage(arrow_map(source, f"doc_id {kind}, md5 string, key binary, n long, sig binary", sign), "signatures")
+    per_class = signed.filter("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "md5")).alias("rep"), F.min("sig").alias("sig"), F.min("n").alias("n"))
     classes = stage(per_class, "classes")
     stars = stage(_stars(classes, DEPTH), "stars")
     release(spark)
@@ -223,22 +236,42 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     if depth < DEPTH:
         stars = stage(_stars(classes, depth), "stars")
         release(spark)
-    members = components(stars).select(F.col("v").alias("key"), F.col("label").alias("comp"))
-    blocks = members.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = members.join(blocks, "comp").join(classes.drop("sig", "class_id"), "key")
-    members = stage(members.select("comp", "blocks", F.pmod(F.xxhash64("key", F.lit(3)), F.col("blocks")).cast("int").alias("block"), "key", "copies", F.col("rep.doc_id").alias("doc_id"), F.col("rep.md5").alias("md5")), "members")
-    text_of = source.alias("d").join(members.alias("m"), F.expr("d.doc_id <=> m.doc_id AND d.md5 = m.md5")).select("m.comp", "m.blocks", "m.block", "m.key", "m.copies", "d.text")
+    members = components(stars).select(F.col("v").alias("key"), F.col("label").alias("comp")).join(classes.drop("sig", "class_id"), "key")
+    members = stage(members.select("comp", "key", "copies", "n", F.col("rep.doc_id").alias("doc_id"), F.col("rep.md5").alias("md5")), "members")
+    blocks = members.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    blocks = stage(blocks, "blocks")
+    placed = members.join(blocks, "comp").withColumn("block", F.pmod(F.xxhash64("key", F.lit(3)), F.col("blocks")).cast("int"))
+    text_of = source.alias("d").join(placed.alias("m"), F.expr("d.doc_id <=> m.doc_id AND d.md5 = m.md5")).select("m.comp", "m.blocks", "m.block", "m.key", "m.copies", "d.text")
 
     def sets(batch: pa.RecordBatch) -> dict:
         out = {n: batch.column(k) for k, n in enumerate(("comp", "blocks", "block", "key", "copies"))}
         return out | {"s": [shingles(t).tobytes() for t in batch.column(5).to_pylist()]}
 
-    with_sets = arrow_map(text_of, "comp binary, blocks int, block int, key binary, copies long, s binary", sets)
+    with_sets = stage(arrow_map(text_of, "comp binary, blocks int, block int, key binary, copies long, s binary", sets), "sets")
+    discard(members)
+    release(spark)
+    plain = with_sets.filter("blocks = 1").withColumns({"size": F.octet_length("s") / 8, "lacks": F.lit(0), "first": F.lit(0)})
+    large = with_sets.filter("blocks > 1")
+    first = stage(large.filter("key = comp").groupBy("comp").agg(F.min("s").alias("of")), "first-sets")
+
+    def differences(batch: pa.RecordBatch) -> dict:
+        out = {n: batch.column(n) for n in ("comp", "blocks", "block", "key", "copies")} | {"s": [], "size": [], "lacks": [], "first": []}
+        for s, of in zip(batch.column("s").to_pylist(), batch.column("of").to_pylist(), strict=True):
+            s, of = np.frombuffer(s, np.uint64), np.frombuffer(of, np.uint64)
+            lacks = np.setdiff1d(of, s, assume_unique=True)
+            for k, v in (("s", np.concatenate([lacks, np.setdiff1d(s, of, assume_unique=True)]).tobytes()), ("size", len(s)), ("lacks", len(lacks)), ("first", len(of))):
+                out[k].append(v)
+        return out
+
+    differ = "comp binary, blocks int, block int, key binary, copies long, s binary, size long, lacks long, first long"
+    apart = arrow_map(large.join(first, "comp"), differ, differences)
+    kinds = [F.col(c).cast(t) for c, t in (x.split(" ") for x in differ.split(", "))]
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    spread = with_sets.select("*", other).select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "copies", "s", "block", (F.col("blocks") == 1).alias("alone"))
+    spread = plain.select(kinds).unionByName(apart).select("*", other).select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "copies", "s", "block", (F.col("blocks") == 1).alias("alone"), "size", "lacks", "first")
     groups = spread.repartition(partitions(spark), "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "key")
     schema = "key binary, links long, label binary, alone boolean"
     checked = stage(groups.mapInArrow(_verify(to_arrow(spark, schema), ratio), schema), "links")
+    discard(with_sets)
     release(spark)
     links = checked.groupBy("key").agg(F.sum("links").alias("links"))
     alone = checked.filter("alone").select("key", "label")
