@@ -321,6 +321,26 @@ def test_join_by_brute_force(spark):
     assert by[111]["group_id"] == 102 and jaccard_join.jaccard_join(frame(spark).limit(0)).count() == 0
 
 
+def test_components_of_stars_and_paths(spark):
+    from lanewise.llm.components import components
+
+    edges = [(0, k) for k in range(1, 400)] + [(1000 + k, 1001 + k) for k in range(60)] + [(2000, 2000), (2001, 2000), (2000, 2001)] + [(3000 + k, 3999) for k in range(50)]
+    got = {r["v"]: r["label"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {k: 0 for k in range(400)} | {1000 + k: 1000 for k in range(61)} | {2000: 2000, 2001: 2000} | {3000 + k: 3000 for k in range(50)} | {3999: 3000}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_differences_count_like_whole_sets():
+    rng = np.random.RandomState(4)
+    first = np.unique(rng.randint(0, 300, 120)).astype(np.uint64)
+    sets = [np.unique(np.concatenate([first[rng.rand(len(first)) < 0.93], rng.randint(300, 330, 4).astype(np.uint64)])) for _ in range(30)]
+    apart = [np.concatenate([np.setdiff1d(first, s), np.setdiff1d(s, first)]) for s in sets]
+    copies = rng.randint(1, 5, 30)
+    whole = jaccard_join.links_within(sets, copies, None, Fraction(8, 10))
+    less = jaccard_join.links_within(apart, copies, None, Fraction(8, 10), np.array([len(s) for s in sets]), np.array([len(np.setdiff1d(first, s)) for s in sets]), len(first))
+    assert whole[0].tolist() == less[0].tolist() and whole[1].tolist() == less[1].tolist() and whole[0].min() < whole[0].max()
+
+
 def test_blocks_count_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 5)
     rows = [(k, " ".join(f"w{i}" for i in range(60)) + f" tail{k}") for k in range(40)]
@@ -503,14 +523,83 @@ def test_classifiers_on_held_out_rows(spark):
     assert accuracy(spark, sf, quality_knn.op10_quality_classifier(spark, sf), "quality") > 0.97
 
 
+def test_terms_that_tell_in_pairs_only(spark):
+    """Toxic is an insult with a group; each of the two is as common in clean texts, which have one of them or none."""
+    rng = np.random.RandomState(8)
+    rows = []
+    for k in range(1600):
+        toxic = k % 2
+        # half of either kind has each of the words: toxic ones both or none before the label, clean ones exactly one
+        has = ("zorp", "quux") if toxic else (("zorp",), ("quux",), ("zorp",), ())[rng.randint(4)]
+        words = [f"w{i}" for i in rng.randint(0, 60, 25)] + list(has)
+        rows.append((k, " ".join(rng.permutation(words)), toxic))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    learn = F.col("doc_id") % 4 != 0
+    slots = toxicity.telling_slots(toxicity.with_slots(toxicity.labelled(docs, labels, "toxic", learn, 16_000)).select("y", "slots"))
+    assert {int(r[0]) for r in spark.sql(f"SELECT cast(pmod(xxhash64(w), {toxicity.SLOTS}) AS int) FROM VALUES ('zorp'), ('quux') AS t(w)").collect()} <= set(slots)
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, labels, learn).collect()}
+    held = [(got[k] >= 0.7) == bool(y) for k, _, y in rows if k % 4 == 0]
+    assert sum(held) / len(held) > 0.97
+
+
+def test_likelihood_ratio():
+    assert toxicity.likelihood_ratio([5], [10], 50, 50)[0] == pytest.approx(0)
+    p, n = 9, 10
+    want = 2 * sum(o * np.log(o / e) for o, e in ((p, n / 2), (n - p, n / 2), (50 - p, 45), (50 - (n - p), 45)))
+    assert toxicity.likelihood_ratio([p], [n], 50, 50)[0] == pytest.approx(want)
+
+
+def test_scores_by_brute_force(spark):
+    """The factorization machine's sum and the vote, recomputed row by row."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    slots, model = toxicity.fit(toxicity.labelled(docs, labels, "toxic", F.lit(True), 16_000))
+    rows = toxicity.with_slots(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).select("doc_id", "slots").collect()
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, labels, F.lit(True)).collect()}
+    w, v = model.linear.toArray(), model.factors.toArray()
+    for r in rows:
+        filled = set(r["slots"])
+        at = [k for k, s in enumerate(slots) if s in filled]
+        z = model.intercept + w[at].sum() + sum(v[i] @ v[j] for n, i in enumerate(at) for j in at[:n])
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
+    idf, basis, known, ys = quality_knn.fit(quality_knn.labelled(docs, labels, "quality", F.lit(True), 4096))
+    got = {r["doc_id"]: r["score"] for r in quality_knn.quality(docs, labels, F.lit(True)).collect()}
+    for d, t in texts(spark, sf)[:200]:
+        x = quality_knn.weigh(quality_knn.term_counts([t]), idf)[0] @ basis
+        if np.linalg.norm(x) < 1e-6:
+            assert got[d] == pytest.approx(ys.mean())
+            continue
+        cos = [float(x @ k / np.linalg.norm(x)) for k in known]
+        least = sorted(cos)[-quality_knn.NEIGHBOURS]
+        near = [(max(c, 1e-6) ** 8, y) for c, y in zip(cos, ys, strict=True) if c >= least - 1e-7]
+        assert got[d] == pytest.approx(sum(c * y for c, y in near) / sum(c for c, _ in near), abs=0.02)
+
+
+def test_latent_vectors_span_the_leading_directions(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    sample = quality_knn.labelled(docs, labels, "quality", F.lit(True), 4096)
+    idf, basis, known, _ = quality_knn.fit(sample)
+    x = quality_knn.weigh(quality_knn.term_counts([r["text"] for r in sample.dropDuplicates(["doc_id"]).collect()]), idf)
+    best = np.linalg.svd(x, compute_uv=False)[: quality_knn.DIMS]
+    assert (np.linalg.norm(x @ basis) ** 2) > 0.97 * (best**2).sum() and np.allclose(basis.T @ basis, np.eye(basis.shape[1]), atol=1e-3)
+
+
 def test_classifier_edges(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     for docs, some in ((frame(spark), labels), (frame(spark), labels.limit(0)), (frame(spark).limit(0), labels)):
         for f in (toxicity.toxicity, quality_knn.quality):
             got = f(docs, some, F.lit(True)).collect()
             assert len(got) == docs.count() and all(0 <= r["score"] <= 1 for r in got)
+    clash = frame(spark).withColumn("score", F.lit("own"))
+    assert {r["score"] for r in quality_knn.quality(clash, labels, F.lit(True), out="q").collect()} == {"own"}
+    assert toxicity.toxicity(clash, labels, F.lit(True)).columns == ["doc_id", "score"]
 
 
 def test_vote():
     cos = np.array([[0.9, 0.8, 0.1]], np.float32)
     assert quality_knn.vote(cos, np.array([1, 1, 0], np.float32), 2)[0] == 1.0 and quality_knn.vote(cos, np.array([0, 0, 1], np.float32), 2)[0] == 0.0
+    tied = np.array([[0.5, 0.9, 0.5, 0.5]], np.float32)
+    votes = {quality_knn.vote(tied[:, list(o)], np.array([1, 0, 0, 1], np.float32)[list(o)], 2)[0] for o in ((0, 1, 2, 3), (3, 2, 1, 0), (2, 0, 3, 1))}
+    assert len(votes) == 1 and votes.pop() == pytest.approx(2 * 0.5**8 / (0.9**8 + 3 * 0.5**8), rel=1e-5)

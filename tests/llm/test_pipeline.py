@@ -4,6 +4,8 @@ import sys
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).parent))
+from pyspark.sql import functions as F
+
 from lanewise.llm.common import stage
 
 
@@ -48,9 +50,12 @@ def test_pipeline_edges(spark, sf_dir):
     import corpus_pipeline as cp
     from edge import frame
 
-    docs = frame(spark).select("doc_id", "text", "lang", "source")
+    docs = frame(spark).withColumn("score", F.lit(5.5)).withColumn("Kept", F.lit("own")).withColumn("n_words", F.col("n_words") + 77)
     for start in (docs, docs.limit(0)):
         out = start
-        for _, step in cp.STAGES:
+        for name, step in cp.STAGES:
             out = stage(step(spark, out, sf_dir), "test")
+            if name != cp.STAGES[-1][0]:
+                assert out.columns == docs.columns
+                assert out.filter("score <> 5.5 OR Kept <> 'own' OR n_words <> 77 OR items <> 'kept' OR spans <> 'n'").isEmpty()
         assert out.count() <= start.count()
