@@ -176,10 +176,14 @@ def _tag(text: bytes) -> int:
 DECIDED = "c1 long, c2 long, salt int, h long, doc long, tag long, s long, e long"
 
 
-def _decided(c1: np.ndarray, c2: np.ndarray, h: np.ndarray, doc: np.ndarray, tag: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
+def _decided(c1: np.ndarray, c2: np.ndarray, h: np.ndarray, doc: np.ndarray, tag: np.ndarray, s: np.ndarray, e: np.ndarray, more: list | None = None) -> pa.RecordBatch:
+    """Rows of DECIDED in the order of their ranks; with ``more``, rows of CONTEXTS without bytes."""
     order, salt = _salts([c1, c2], doc, False)
     c1, c2, h, doc, tag, s, e = (x[order] for x in (c1, c2, h, doc, tag, s, e))
-    return _batch({"c1": c1, "c2": c2, "salt": salt, "h": h, "doc": doc, "tag": tag, "s": s, "e": e})
+    out = _batch({"c1": c1, "c2": c2, "salt": salt, "h": h, "doc": doc, "tag": tag, "s": s, "e": e})
+    if more is None:
+        return out
+    return pa.RecordBatch.from_arrays([*out.columns, pa.nulls(len(s), pa.binary()), pa.array([more[k] for k in order], pa.binary())], names=[*out.schema.names, "bytes", "more"])
 
 
 def _stretch_ranks(length: int, width: int):
@@ -221,17 +225,18 @@ def _later(batch: pa.RecordBatch, held: tuple | None) -> tuple[np.ndarray, tuple
     return (salt != 0) | (doc > first[np.cumsum(fresh)]), (c1[-1], c2[-1], first[-1])
 
 
-CONTEXTS = f"{DECIDED}, bytes binary"
+#: bytes: of a stretch whose strings are compared; more: further runs of a ranked string in the same text (pairs of longs).
+CONTEXTS = f"{DECIDED}, bytes binary, more binary"
 
 
 def _contexts(length: int):
     """(doc, text, marks of five longs: tag, h, s, e, whether h has many strings) to rows of CONTEXTS: one with the bytes
-    of each stretch, or under a rank with many strings one for each string (equal ones side by side are one)."""
+    of each stretch, or under a rank with many strings one for each string of each text."""
 
     def plain(rows: list[tuple]) -> pa.RecordBatch:
         h, doc, tag, s, e, own = zip(*rows, strict=True)
         none = pa.array([0] * len(h), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none.cast(pa.int32()), *(pa.array(x, pa.int64()) for x in (h, doc, tag, s, e)), pa.array(own, pa.binary())], names=["c1", "c2", "salt", "h", "doc", "tag", "s", "e", "bytes"])
+        return pa.RecordBatch.from_arrays([none, none, none.cast(pa.int32()), *(pa.array(x, pa.int64()) for x in (h, doc, tag, s, e)), pa.array(own, pa.binary()), pa.nulls(len(h), pa.binary())], names=["c1", "c2", "salt", "h", "doc", "tag", "s", "e", "bytes", "more"])
 
     def ranked(rows: list[tuple]) -> pa.RecordBatch:
         data = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
@@ -243,8 +248,13 @@ def _contexts(length: int):
         first = np.flatnonzero(np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (row[1:] != row[:-1])]))
         last, row = np.append(first[1:], len(at)) - 1, row[first]
         h, doc, tag, s = (np.array([r[c] for r in rows], np.int64)[row] for c in range(4))
-        out = _decided(k1[first], k2[first], h, doc, tag, s + step[first], s + step[last])
-        return pa.RecordBatch.from_arrays([*out.columns, pa.nulls(len(row), pa.binary())], names=[*out.schema.names, "bytes"])
+        s, e, k1, k2 = s + step[first], s + step[last], k1[first], k2[first]
+        order = np.lexsort((s, tag, doc, k2, k1))
+        h, doc, tag, s, e, k1, k2 = (x[order] for x in (h, doc, tag, s, e, k1, k2))
+        new = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in (k1, k2, doc, tag)], axis=0)]))
+        runs = np.stack([s, e], axis=1)
+        more = [runs[a + 1 : b].tobytes() if b > a + 1 else None for a, b in zip(new.tolist(), [*new[1:].tolist(), len(s)], strict=True)]
+        return _decided(*(x[new] for x in (k1, k2, h, doc, tag, s, e)), more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,7 +304,12 @@ def _compare(length: int):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=names)
             if ranked.num_rows:
                 later, held = _later(ranked, held)
-                yield ranked.filter(pa.array(later)).select(names)
+                told = ranked.filter(pa.array(later))
+                yield told.select(names)
+                told = told.filter(told.column("more").is_valid())
+                for doc, tag, runs in zip(*(told.column(c).to_pylist() for c in ("doc", "tag", "more")), strict=True):
+                    s, e = np.frombuffer(runs, np.int64).reshape(-1, 2).T
+                    yield pa.RecordBatch.from_arrays([pa.array([x] * len(s), pa.int64()) for x in (doc, tag)] + [pa.array(s.copy()), pa.array(e.copy())], names=names)
 
     return run
 
@@ -379,7 +394,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = docs.sparkSession
     if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
         raise TypeError(f"doc_id must be an integer, not {docs.schema['doc_id'].dataType.simpleString()}")
-    bounded_batches(spark, 2048)
+    bounded_batches(spark)
     marks = repeated_strings(docs, length)
 
     @F.pandas_udf("kept binary, kept_text string, spans array<struct<start:bigint,stop:bigint>>")
@@ -397,6 +412,6 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strings of 50 bytes over all whole ``documents``."""
-    out = suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = suffix_dedup(table(spark, sf_dir, "documents", spread=True).select("doc_id", "text"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     return out.select("doc_id", size.alias("n_bytes"), (size - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
