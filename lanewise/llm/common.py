@@ -10,14 +10,23 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Largest id standing for a null doc_id: such rows sort after all others.
 NULL_ID = 2**63 - 1
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the input tables; only Spark touches the path, so any file system will do."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """One of the input tables; only Spark touches the path, so any file system will do.
+
+    ``spread``: where a (small) table comes in fewer splits than there are cores, its rows are
+    dealt over them; counting the splits reads no column.
+    """
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if spread and found.select(F.spark_partition_id().alias("p")).distinct().count() < cores:
+        return found.repartition(cores)
+    return found
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,7 +57,10 @@ def stage(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of steps whose results are staged.
 
-    Python's references go first, then those of the JVM that they held, so it takes two rounds.
+    Spark drops them when the driver's JVM collects the plans that refer to them, by itself every
+    half hour (spark.cleaner.periodicGC.interval); this asks for it at the end of a step, since the
+    next one may need the disk. Python's references go first, then those of the JVM that they held,
+    so it takes two rounds. Results do not depend on it.
     """
     for _ in range(2):
         gc.collect()
@@ -71,9 +83,12 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Fewer rows in an Arrow batch, so that long texts do not pile up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Rows of an Arrow batch, so that long texts do not pile up in a worker. Plans are lazy, so one value serves all operators.
+BATCH_ROWS = 512
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def partitions(spark: SparkSession) -> int:

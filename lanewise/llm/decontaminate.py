@@ -130,7 +130,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, max_b
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` against all ``benchmark`` items."""
-    found = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate(table(spark, sf_dir, "documents", spread=True).select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 

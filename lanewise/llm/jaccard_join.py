@@ -217,7 +217,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     doc_ids are never a class_id while the class has another. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, 512)
+    bounded_batches(spark)
     kind = dict(docs.dtypes)["doc_id"]
     ratio = Fraction(threshold).limit_denominator(10_000)
     text = F.coalesce("text", F.lit(""))
@@ -289,7 +289,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word 5-grams of all ``documents``, similarity 0.8 or more."""
-    return jaccard_join(table(spark, sf_dir, "documents"))
+    return jaccard_join(table(spark, sf_dir, "documents", spread=True))
 
 
 OP5_SQL = r"""

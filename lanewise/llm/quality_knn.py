@@ -140,7 +140,7 @@ def quality(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPL
     Columns of ``docs`` other than doc_id and text pass through unread.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, 512)
+    bounded_batches(spark)
     found = fit(labelled(docs, labels, "quality", learn, rows))
     if found is None:
         return docs.withColumn(out, F.lit(1.0))
@@ -165,6 +165,6 @@ def quality(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPL
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents``; rows with crc32(doc_id) mod 5 = 0 are held out."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents", spread=True).select("doc_id", "text")
     scored = quality(docs, table(spark, sf_dir, "labels"), bucket(5) != 0)
     return scored.select("doc_id", F.coalesce(bucket(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -255,7 +255,7 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, chunk: int = CHUNK) -> D
     An empty table gives an empty one. A column named ids is replaced, others pass through.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, 256)
+    bounded_batches(spark)
     docs = docs.drop("ids")
     key = unused(docs, "text_key")
 
@@ -386,4 +386,4 @@ def digest(encoded: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents``, encoded and decoded."""
-    return digest(encode(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "n_tokens", "ids_sha256", "round_trip")
+    return digest(encode(table(spark, sf_dir, "documents", spread=True).select("doc_id", "text"))).select("doc_id", "n_tokens", "ids_sha256", "round_trip")

@@ -94,4 +94,4 @@ def quantiles(histogram: DataFrame, qs: list[float]) -> DataFrame:
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The length histogram of all ``documents``, with its suffix sums."""
-    return length_histogram(token_counts(table(spark, sf_dir, "documents")))
+    return length_histogram(token_counts(table(spark, sf_dir, "documents", spread=True)))

@@ -218,7 +218,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
     start with the magic hold no reachable record; the chain of a damaged file ends at the
     last record that is whole; empty files give no rows.
     """
-    bounded_batches(spark, 256)
+    bounded_batches(spark)
     schema = f"{SEGMENT}, {EDGE}"
     segments = lambda behind: stage(_segments(spark, path).mapInArrow(_candidates(to_arrow(spark, schema), behind), schema), "segments")
     found = segments({})
@@ -317,7 +317,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write ``pages`` as WARC, read the archives back, one row per page."""
     path = fresh_path(spark, "warc")
-    write_archives(table(spark, sf_dir, "pages"), path)
+    write_archives(table(spark, sf_dir, "pages", spread=True), path)
     return resolve_revisits(read_archives(spark, path))
 
 
