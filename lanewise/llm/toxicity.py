@@ -1,22 +1,26 @@
 """Toxicity by a factorization machine (Spark ML) over hashed terms.
 
 The machine gets the slots of hashed terms that tell something about the label: alone, or in
-pairs. A pair counts if its presence tells more than that of either term, so a group mention
-that is as common in clean texts enters through the insults it stands with.
+pairs. A pair counts if its presence tells twice as much as that of either term, so a group
+mention that is as common in clean texts enters through the insults it stands with.
 """
 
 from __future__ import annotations
 
+import functools
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import FMClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import stage, table
+from lanewise.llm.common import bounded_batches, stage, table
 
 #: Terms are hashed to so many slots.
 SLOTS = 2**22
@@ -27,6 +31,7 @@ SIGNIFICANT = 25.0
 #: Pairs are counted among so many slots, those in most toxic documents but not in over half of all.
 CANDIDATES = 1024
 STEMS = (2, 3, 4)
+WORD = re.compile(r"[^\W_]+")
 #: Bound of the labelled sample that is learnt from (documents, half of it for each label).
 SAMPLE_ROWS = 16_000
 
@@ -43,14 +48,39 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, learn, rows: int) -
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(pick), "doc_id")
 
 
-def with_slots(docs: DataFrame) -> DataFrame:
-    """``slots``: the distinct hashed terms of ``text``, which are its lower-case words and their first 2, 3 and 4
-    letters, which words made from one stem share."""
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
-    slot = lambda t: F.pmod(F.xxhash64(t), F.lit(SLOTS)).cast("int")
-    stem = lambda k: F.transform("words", lambda w: slot(F.concat(F.lit("^"), F.substring(w, 1, k))))
-    own = [F.transform("words", slot), *map(stem, STEMS)]
-    return docs.withColumn("words", words).withColumn("slots", F.array_distinct(F.concat(*own))).drop("words")
+def slot(term: str) -> int:
+    return zlib.crc32(term.encode()) % SLOTS
+
+
+def terms(word: str) -> list[str]:
+    """A word and its first 2, 3 and 4 letters, which words made from one stem share."""
+    return [word, *(f"^{word[:k]}" for k in STEMS)]
+
+
+@functools.lru_cache(maxsize=1 << 17)
+def word_slots(word: str) -> tuple[int, ...]:
+    return tuple(map(slot, terms(word)))
+
+
+def text_slots(text: str) -> set[int]:
+    """The slots of the distinct lower-case words of a text."""
+    return set().union(*map(word_slots, set(WORD.findall(text.lower()))))
+
+
+def with_slots(docs: DataFrame, chosen: list[int] | None = None) -> DataFrame:
+    """``docs`` with ``slots``: those that its ``text`` fills, or which of the ``chosen`` ones (by place) it fills."""
+    bounded_batches(docs.sparkSession)
+    place = None if chosen is None else {s: k for k, s in enumerate(chosen)}
+
+    @F.pandas_udf("array<int>")
+    def filled(text):
+        import pandas as pd
+
+        if place is None:
+            return pd.Series([np.fromiter(text_slots(t), np.int32) for t in text])
+        return pd.Series([np.array([place[s] for s in text_slots(t) & place.keys()], np.int32) for t in text])
+
+    return docs.withColumn("slots", filled("text"))
 
 
 def likelihood_ratio(p, n, pos: float, neg: float):
@@ -82,7 +112,7 @@ def telling_slots(sample: DataFrame) -> list[int]:
 
 
 def _paired(sample: DataFrame, slots: list[int], pos: float, neg: float) -> list[int]:
-    """Slots of pairs that tell more than either of their terms."""
+    """Slots of pairs that tell at least twice as much as either of their terms."""
     m = len(slots)
     if not m:
         return []
@@ -108,8 +138,9 @@ def _paired(sample: DataFrame, slots: list[int], pos: float, neg: float) -> list
         total += np.frombuffer(r["both"], np.float32).reshape(2, m, m)
     tells = likelihood_ratio(total[1], total.sum(axis=0), pos, neg)
     alone = np.diag(tells)
-    more = np.triu(tells - np.maximum(alone[:, None], alone[None, :]), 1)
-    more[total.sum(axis=0) < 3] = 0
+    best = np.maximum(alone[:, None], alone[None, :])
+    more = np.triu(tells - best, 1)
+    more[(total.sum(axis=0) < 3) | (more < best)] = 0
     out: dict[int, None] = {}
     for at in np.argsort(-more, axis=None, kind="stable"):
         i, j = divmod(int(at), m)
@@ -119,25 +150,28 @@ def _paired(sample: DataFrame, slots: list[int], pos: float, neg: float) -> list
     return list(out)
 
 
-def vectors(docs: DataFrame, slots: list[int]) -> DataFrame:
-    """``features``: which of the chosen slots a text fills."""
-    chosen = F.array(*map(F.lit, slots))
-    filled = lambda hit: F.transform(chosen, lambda s: F.array_contains(hit, s).cast("double"))
-    # inside an array, so that the intersection is made once a row
-    rows = F.get(F.transform(F.array(F.array_intersect("slots", chosen)), filled), F.lit(0))
+def vectors(docs: DataFrame, n: int) -> DataFrame:
+    """``features``: a vector of ``n``, 1 at the places that ``slots`` lists."""
+    places = F.sequence(F.lit(0), F.lit(n - 1))
+    # inside an array, so that the places are made once a row
+    rows = F.get(F.transform(F.array("slots"), lambda hit: F.transform(places, lambda k: F.array_contains(hit, k).cast("double"))), F.lit(0))
     return docs.withColumn("features", array_to_vector(rows)).drop("slots")
 
 
 def fit(sample: DataFrame):
     """Slots and the model; None if the sample lacks a label or no term tells anything."""
-    sample = stage(with_slots(sample).select("y", "slots").repartition(8), "toxic-sample")
+    sample = stage(with_slots(sample.repartition(8)).select("y", "slots"), "toxic-sample")
     if sample.select("y").distinct().count() < 2:
         return None
     slots = telling_slots(sample)
     if not slots:
         return None
-    data = stage(vectors(sample, slots).select(F.col("y").cast("double").alias("label"), "features"), "toxic-vectors").coalesce(8).cache()
-    model = FMClassifier(factorSize=4, maxIter=100, stepSize=0.05, regParam=1e-3, initStd=0.05, seed=7).fit(data)
+    place = F.create_map(*[F.lit(x) for k, s in enumerate(slots) for x in (s, k)])
+    hits = F.transform(F.array_intersect("slots", F.array(*map(F.lit, slots))), lambda s: F.element_at(place, s))
+    data = vectors(sample.withColumn("slots", hits), len(slots))
+    data = stage(data.select(F.col("y").cast("double").alias("label"), "features"), "toxic-vectors")
+    data = VectorAssembler(inputCols=["features"], outputCol="sparse").transform(data).select("label", F.col("sparse").alias("features")).coalesce(8).cache()
+    model = FMClassifier(factorSize=4, maxIter=60, stepSize=0.05, regParam=1e-3, initStd=0.01, seed=7).fit(data)
     data.unpersist()
     return slots, model
 
@@ -155,7 +189,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMP
         share = labels.filter(learn).agg(F.avg("toxic")).first()[0] or 0.0
         return source.select("doc_id", F.lit(float(share)).alias("score"))
     slots, model = found
-    scored = model.transform(vectors(with_slots(source), slots).select("doc_id", "features"))
+    scored = model.transform(vectors(with_slots(source, slots), len(slots)).select("doc_id", "features"))
     return scored.select("doc_id", vector_to_array("probability")[1].alias("score"))
 
 
@@ -165,5 +199,5 @@ def bucket(of: int):
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents``; rows with crc32(doc_id) mod 3 = 1 are held out."""
-    scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), bucket(3) != 1)
+    scored = toxicity(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "labels"), bucket(3) != 1)
     return scored.select("doc_id", F.coalesce(bucket(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
