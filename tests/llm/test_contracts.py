@@ -537,7 +537,7 @@ def test_terms_that_tell_in_pairs_only(spark):
     labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
     learn = F.col("doc_id") % 4 != 0
     slots = toxicity.telling_slots(toxicity.with_slots(toxicity.labelled(docs, labels, "toxic", learn, 16_000)).select("y", "slots"))
-    assert {int(r[0]) for r in spark.sql(f"SELECT cast(pmod(xxhash64(w), {toxicity.SLOTS}) AS int) FROM VALUES ('zorp'), ('quux') AS t(w)").collect()} <= set(slots)
+    assert {toxicity.slot("zorp"), toxicity.slot("quux")} <= set(slots)
     got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, labels, learn).collect()}
     held = [(got[k] >= 0.7) == bool(y) for k, _, y in rows if k % 4 == 0]
     assert sum(held) / len(held) > 0.97
