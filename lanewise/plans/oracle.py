@@ -137,6 +137,7 @@ cx AS ({" UNION ALL ".join(f"SELECT '{c}' AS metric, CAST({c} AS DOUBLE) AS valu
 cd_x AS (SELECT metric, {_describe('value')} FROM cx GROUP BY metric)
 """
 
+READ_BACK = f"{BASE} SELECT board_id::VARCHAR AS board_id, id::VARCHAR AS id, member_id::VARCHAR AS member_id, type, date, card_id, card_closed, list_id, list_name, list_closed, list_before_id, list_before_name, list_after_id, list_after_name, old_name FROM log"
 SQL: dict[str, str] = {
     "enrich": f"{BASE} SELECT board_id, id, l, c, list_comb, list_before_comb, list_after_comb FROM e",
     "label_list_events": f"{BASE} SELECT board_id, id, l FROM e",
@@ -208,4 +209,7 @@ SQL: dict[str, str] = {
     "static_metrics": f"{BASE}{_graph()}{_metrics()} {NODE.format('board_id')}",
     "static_metrics_by_interval": f"{RED}{IN_RUN}{_graph('board_id, run', 'ev')}{_metrics('board_id, run', 'ev')} {NODE.format('board_id, run').replace('events, cards', 'first_ts, last_ts, events, cards')} JOIN iv USING (board_id, run)",
     "static_metrics_of_long_intervals": f"{RED}{LONG_RUN}{_graph('board_id, run', 'ev')}{_metrics('board_id, run', 'ev')} {NODE.format('board_id, run').replace('events, cards', 'first_ts, last_ts, events, cards')} JOIN iv USING (board_id, run)",
+    "paged_log": READ_BACK,
+    "refreshed_log": READ_BACK,
+    "redesigns_stream": f"{RED}, nth AS (SELECT *, row_number() OVER (PARTITION BY board_id ORDER BY run DESC) AS nth FROM red), ends AS (SELECT board_id, run + 1 AS run, min(date) AS closed FROM r5 WHERE NOT r GROUP BY board_id, run) SELECT board_id, nth, min_ts, max_ts, n_events, n_list_events FROM nth JOIN ends USING (board_id, run) WHERE closed <= (SELECT date_trunc('millisecond', max(date)) FROM log) - INTERVAL 1 DAY",
 }

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from lanewise.functions.labels import enrich
 from lanewise.operators import discovery, evolution, flow, graph, metrics, redesign, summary
 from lanewise.plans.oracle import SQL
-from lanewise.sources.board_log import from_events
+from lanewise.sources import paged
+from lanewise.sources.board_log import LOG, from_events
+from lanewise.staging import fresh_path
+from lanewise.streaming import redesigns as stream_redesigns
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -123,8 +126,58 @@ _ON_LOG: dict[str, Callable[[_Log], DataFrame]] = {
 }
 
 
+#: The log as a query that has gone through files gives it back.
+READ_BACK = ["board_id", "id", "type", "date", "member_id", "card_id", "card_closed", "list_id", "list_name", "list_closed", "list_before_id", "list_before_name", "list_after_id", "list_after_name", "old_name"]
+
+
+def read_back(log: DataFrame) -> DataFrame:
+    """Ids as strings, times as they are written (UTC) whatever the session's zone."""
+    date = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("date").cast("timestamp_ntz"))
+    return log.select(*[F.col(c).cast("string").alias(c) if c in ("board_id", "id", "member_id") else F.col(c) for c in READ_BACK if c != "date"], date.alias("date"))
+
+
+def _archive(log: DataFrame) -> tuple[paged.Fetch, DataFrame]:
+    """Page function over an archive of the log, and its boards."""
+    path = fresh_path(log.sparkSession, "archive")
+    paged.write_pages(log.withColumn("board_name", F.lit(None).cast("string")), path)
+    return paged.archived(path), log.select(F.col("board_id").cast("string").alias("board_id")).distinct()
+
+
+def paged_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log through the paged source."""
+    log = from_events(spark, sf_dir)
+    fetch, boards = _archive(log)
+    return read_back(paged.actions(paged.load_pages(spark, boards, fetch)))
+
+
+def refreshed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log through the paged source as a stream: what was there half way, then the rest from the checkpoint."""
+    log = from_events(spark, sf_dir)
+    fetch, boards = _archive(log)
+    ids, out, checkpoint = (fresh_path(spark, x) for x in ("board-ids", "refreshed", "refreshed-checkpoint"))
+    paged.write_board_ids(boards, ids)
+    first, last = log.agg(F.min("date"), F.max("date")).first()
+    spell = lambda t: t.strftime("%Y-%m-%dT%H:%M:%S.%fZ")
+    for upto in (first + (last - first) / 2, last + (last - first)):
+        got = paged.refresh(spark, ids, fetch, out, checkpoint, lambda upto=upto: spell(upto))
+    return read_back(got)
+
+
+def redesigns_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Redesigns that the log, as a stream of files, closes within a delay of a day."""
+    path, out, checkpoint = (fresh_path(spark, x) for x in ("stream-log", "stream-redesigns", "stream-checkpoint"))
+    log = from_events(spark, sf_dir).withColumn("board_name", F.lit(None).cast("string"))
+    kinds = dict(c.split(" ") for c in LOG.split(", "))
+    log.select([F.col(c).cast(t) for c, t in kinds.items()]).write.parquet(path)
+    stream = enrich(spark.readStream.schema(LOG).parquet(path))
+    found = stream_redesigns.detect_redesign(stream, HOURS_3)
+    found.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(out).withColumns({"board_id": F.col("board_id").cast("int"), "min_ts": F.col("min_ts").cast("timestamp_ntz"), "max_ts": F.col("max_ts").cast("timestamp_ntz")})
+
+
 def _query(make: Callable[[_Log], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: make(_Log(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(make) for name, make in _ON_LOG.items()}
+QUERIES |= {"paged_log": paged_log, "refreshed_log": refreshed_log, "redesigns_stream": redesigns_stream}

@@ -1,4 +1,4 @@
-"""Board logs: schema, sources and sinks. One row per action, all boards in one DataFrame.
+"""Board logs: schema, file sources and sinks (for pages see ``paged``). One row per action, all boards in one DataFrame.
 
 ``pos`` orders actions of equal date: it grows with time (raw logs are newest first, so it
 is the negated place in the file).
@@ -7,9 +7,7 @@ is the negated place in the file).
 from __future__ import annotations
 
 import csv
-import json
 import re
-from collections.abc import Callable, Iterator
 from functools import reduce
 from urllib.parse import unquote
 
@@ -154,18 +152,24 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_parquet(log: DataFrame, path: str) -> None:
-    log.repartition("board_id").write.partitionBy("board_id").parquet(path)
+    """A folder per board; a large board is several files, each of a range of its time."""
+    log.repartitionByRange("board_id", "date", "pos").write.partitionBy("board_id").parquet(path)
 
 
-def write_json(log: DataFrame, path: str) -> None:
-    """Nested actions with their place as JSON lines, a folder per board; :func:`read_json_lines` reads them."""
+def nested(log: DataFrame) -> DataFrame:
+    """Flat rows as nested actions, with board_id and pos."""
     ref = lambda p, *more: F.struct(F.col(f"{p}_id").alias("id"), F.col(f"{p}_name").alias("name"), *more)
     data = F.struct(
         F.struct(F.col("board_id").alias("id"), F.col("board_name").alias("name")).alias("board"),
         F.struct(F.col("card_id").alias("id"), F.col("card_closed").alias("closed"), F.col("card_due").alias("due")).alias("card"),
         ref("list", F.col("list_closed").alias("closed")).alias("list"), ref("list_before").alias("listBefore"), ref("list_after").alias("listAfter"), F.struct(F.col("old_name").alias("name")).alias("old"),
     )
-    log.select("board_id", "pos", "id", "type", "date", F.col("member_id").alias("idMemberCreator"), data.alias("data")).write.partitionBy("board_id").json(path)
+    return log.select("board_id", "pos", "id", "type", "date", F.col("member_id").alias("idMemberCreator"), data.alias("data"))
+
+
+def write_json(log: DataFrame, path: str) -> None:
+    """Nested actions with their place as JSON lines, a folder per board; :func:`read_json_lines` reads them."""
+    nested(log).write.partitionBy("board_id").json(path)
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -182,43 +186,3 @@ def write_csv(frame: DataFrame, path: str) -> None:
 def read_board_ids(spark: SparkSession, path: str) -> DataFrame:
     """One board id a line; blank lines do not count."""
     return spark.read.text(path).select(F.trim("value").alias("board_id")).filter("board_id <> ''").distinct()
-
-
-def pages(fetch: Callable[[str, str | None, int], list[dict]], board_id: str, batch: int = 1000, retries: int = 3) -> Iterator[dict]:
-    """Actions of a board, newest first, page by page until a short page.
-
-    ``fetch(board_id, before, batch)`` gets one page; a page that fails is asked for again
-    ``retries`` times. The next page starts before the date of the last action. Where a full page
-    holds nothing but actions of the very date that it was to start before, what is older can
-    not be reached: ValueError.
-    """
-    before = None
-    while True:
-        for attempt in range(retries + 1):
-            try:
-                page = fetch(board_id, before, batch)
-                break
-            except OSError:
-                if attempt == retries:
-                    raise
-        yield from page
-        if len(page) < batch:
-            return
-        if page[-1]["date"] == before:
-            raise ValueError(f"board {board_id} has {batch} actions or more at {before}; ask for larger pages")
-        before = page[-1]["date"]
-
-
-def load_boards(spark: SparkSession, boards: DataFrame, fetch: Callable[[str, str | None, int], list[dict]], batch: int = 1000) -> DataFrame:
-    """The logs of all boards (board_id); executors fetch, each board in one task. Overlaps of pages count once."""
-
-    def run(frames):
-        import pandas as pd
-
-        for frame in frames:
-            for board in frame["board_id"]:
-                rows = [{"board_id": board, "pos": -k, "action": json.dumps(a)} for k, a in enumerate(pages(fetch, board, batch))]
-                yield pd.DataFrame(rows, columns=["board_id", "pos", "action"])
-
-    raw = boards.select("board_id").mapInPandas(run, "board_id string, pos long, action string")
-    return flatten(raw.select("board_id", "pos", F.from_json("action", ACTION).alias("a")).select("board_id", "pos", "a.*")).dropDuplicates(["board_id", "id"])

@@ -213,38 +213,6 @@ def test_csv_files_that_differ(spark, tmp_path):
     assert (got["b1"]["card_id"], got["b1"]["list_id"], got["b1"]["list_name"]) == ("C9", "L2", None) and got["e1"]["card_closed"] is True and got["e1"]["list_id"] == "L3"
 
 
-def test_pages():
-    all_actions = [{"id": k, "date": 100 - k} for k in range(25)]
-    failed = []
-
-    def fetch(board, before, batch):
-        if before is not None and not failed:
-            failed.append(1)
-            raise OSError
-        left = [a for a in all_actions if before is None or a["date"] <= before]
-        return left[:batch]
-
-    got = list(board_log.pages(fetch, "b", 10))
-    assert {a["id"] for a in got} == set(range(25)) and failed
-
-
-def test_pages_that_cannot_go_on():
-    same = [{"id": k, "date": 7} for k in range(25)]
-    with pytest.raises(ValueError, match="larger pages"):
-        list(board_log.pages(lambda board, before, batch: same[:batch], "b", 10))
-    assert len(list(board_log.pages(lambda board, before, batch: same[:batch], "b", 30))) == 25
-
-
-def test_load_boards(spark):
-    def fetch(board, before, batch):
-        actions = [{"id": f"{board}{k}", "type": "createList", "date": f"2024-01-{20 - k:02d}T00:00:00Z", "data": {"list": {"id": f"L{k}"}}} for k in range(7)]
-        return [a for a in actions if before is None or a["date"] <= before][:batch]
-
-    boards = spark.createDataFrame([("b1",), ("b2",)], "board_id string")
-    got = board_log.load_boards(spark, boards, fetch, 3)
-    assert rows(got, "board_id", "id", "list_id") == [(b, f"{b}{k}", f"L{k}") for b in ("b1", "b2") for k in range(7)]
-
-
 def test_stream(spark, tmp_path, log):
     from lanewise.streaming import labels
 
