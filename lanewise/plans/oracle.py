@@ -137,6 +137,9 @@ cx AS ({" UNION ALL ".join(f"SELECT '{c}' AS metric, CAST({c} AS DOUBLE) AS valu
 cd_x AS (SELECT metric, {_describe('value')} FROM cx GROUP BY metric)
 """
 
+KEYS = {"pos": "pos", "id": "id", "type": "type", "date": "date", "idMemberCreator": "member_id", "data.board.id": "board_id", "data.card.id": "card_id", "data.card.closed": "card_closed", "data.list.id": "list_id", "data.list.name": "list_name", "data.list.closed": "list_closed",
+        "data.listBefore.id": "list_before_id", "data.listBefore.name": "list_before_name", "data.listAfter.id": "list_after_id", "data.listAfter.name": "list_after_name", "data.old.name": "old_name"}
+ATTRIBUTES = f"{BASE}" + " UNION ALL ".join(f"SELECT board_id::VARCHAR AS board_id, '{key}' AS path, count({column}) AS n FROM log GROUP BY board_id HAVING count({column}) > 0" for key, column in KEYS.items())
 READ_BACK = f"{BASE} SELECT board_id::VARCHAR AS board_id, id::VARCHAR AS id, member_id::VARCHAR AS member_id, type, date, card_id, card_closed, list_id, list_name, list_closed, list_before_id, list_before_name, list_after_id, list_after_name, old_name FROM log"
 SQL: dict[str, str] = {
     "enrich": f"{BASE} SELECT board_id, id, l, c, list_comb, list_before_comb, list_after_comb FROM e",
@@ -212,4 +215,5 @@ SQL: dict[str, str] = {
     "paged_log": READ_BACK,
     "refreshed_log": READ_BACK,
     "redesigns_stream": f"{RED}, nth AS (SELECT *, row_number() OVER (PARTITION BY board_id ORDER BY run DESC) AS nth FROM red), ends AS (SELECT board_id, run + 1 AS run, min(date) AS closed FROM r5 WHERE NOT r GROUP BY board_id, run) SELECT board_id, nth, min_ts, max_ts, n_events, n_list_events FROM nth JOIN ends USING (board_id, run) WHERE closed <= (SELECT date_trunc('millisecond', max(date)) FROM log) - INTERVAL 1 DAY",
+    "attribute_counts": ATTRIBUTES,
 }

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from lanewise.functions.labels import enrich
 from lanewise.operators import discovery, evolution, flow, graph, metrics, redesign, summary
 from lanewise.plans.oracle import SQL
-from lanewise.sources import paged
-from lanewise.sources.board_log import LOG, from_events
+from lanewise.sources import paged, variant_log
+from lanewise.sources.board_log import LOG, from_events, write_json
 from lanewise.staging import fresh_path
 from lanewise.streaming import redesigns as stream_redesigns
 
@@ -175,9 +175,16 @@ def redesigns_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(found.schema).parquet(out).withColumns({"board_id": F.col("board_id").cast("int"), "min_ts": F.col("min_ts").cast("timestamp_ntz"), "max_ts": F.col("max_ts").cast("timestamp_ntz")})
 
 
+def attribute_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys as they occur in the actions, written as JSON lines and read as VARIANT."""
+    path = fresh_path(spark, "json-lines")
+    write_json(from_events(spark, sf_dir).withColumn("board_name", F.lit(None).cast("string")), path)
+    return variant_log.attribute_counts(variant_log.read_lines(spark, path))
+
+
 def _query(make: Callable[[_Log], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: make(_Log(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(make) for name, make in _ON_LOG.items()}
-QUERIES |= {"paged_log": paged_log, "refreshed_log": refreshed_log, "redesigns_stream": redesigns_stream}
+QUERIES |= {"paged_log": paged_log, "refreshed_log": refreshed_log, "redesigns_stream": redesigns_stream, "attribute_counts": attribute_counts}
