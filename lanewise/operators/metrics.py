@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanewise.functions.labels import describe, micros, rounded
-from lanewise.operators.graph import connected_lists, cut
+from lanewise.operators.graph import connected_lists
 from lanewise.operators.redesign import by_interval, redesign_distance, spans
+from lanewise.staging import stage
 
 BOARD = ["board_id"]
 
@@ -65,7 +66,7 @@ def close_metrics(rows: DataFrame, keys: list[str] = BOARD) -> DataFrame:
 
 def static_metrics(rows: DataFrame, keys: list[str] = BOARD, use: str = "id", threshold: float = 0) -> DataFrame:
     """Events, cards, lists and all metrics of each group."""
-    rows = cut(rows.select(*keys, "id", "c", "card_id", "card_closed", *[f"{p}_{f}" for p in ("list", "list_before", "list_after") for f in ("id", "comb")]))
+    rows = stage(rows.select(*keys, "id", "c", "card_id", "card_closed", *[f"{p}_{f}" for p in ("list", "list_before", "list_after") for f in ("id", "comb")]), "metric-rows")
     found = _join(keys, _by_card(rows, keys), _by_list(rows, keys), connected_metrics(rows, keys, use, threshold))
     connected = ["list_num_components", "list_connected_size_mean", "list_connected_size_mean_perc", "list_num_components_move"]
     return found.select(*keys, "events", "cards", F.coalesce("lists", F.lit(0)).alias("lists"), *connected, *MOVES, *ACTS, "cards_closed_perc")
@@ -73,7 +74,7 @@ def static_metrics(rows: DataFrame, keys: list[str] = BOARD, use: str = "id", th
 
 def static_metrics_by_interval(rows: DataFrame, intervals: DataFrame, longer_s: float | None = None, min_events: int | None = None, use: str = "id", threshold: float = 0) -> DataFrame:
     """The same for each stable interval (board_id, run), with its bounds first_ts and last_ts."""
-    intervals = cut(intervals)
+    intervals = stage(intervals, "intervals")
     found = static_metrics(by_interval(rows, intervals, longer_s, min_events), ["board_id", "run"], use, threshold)
     return found.join(intervals, ["board_id", "run"])
 

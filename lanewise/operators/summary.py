@@ -8,17 +8,22 @@ from pyspark.sql import functions as F
 from lanewise.functions.labels import LABELS, order_key, card_closed, describe, micros, rounded
 
 
+def distinct_ids(log: DataFrame, **columns: str) -> DataFrame:
+    """board_id and, by the names given, the number of different values of columns. Rows are made distinct as
+    narrow (board, column, value) before they are counted, so that no group is held whole and nothing else goes along."""
+    values = F.explode(F.array(*[F.struct(F.lit(name).alias("of"), F.col(c).cast("string").alias("id")) for name, c in columns.items()])).alias("x")
+    seen = log.select("board_id", values).select("board_id", "x.*").filter("id IS NOT NULL").distinct()
+    return seen.groupBy("board_id").agg(*[F.count_if(F.col("of") == name).alias(name) for name in columns])
+
+
 def board_summary(log: DataFrame) -> DataFrame:
-    """One row per board, in one pass. ``attributes``: columns that hold data for the board."""
+    """One row per board. ``attributes``: columns that hold data for the board."""
     held = [F.max(F.col(c).isNotNull()).cast("int") for c in log.columns if c not in ("pos", "board_id", *LABELS)]
     kind = F.col("type")
     made = F.when(kind == "createList", F.col("date"))
-    return log.groupBy("board_id").agg(
+    counted = log.groupBy("board_id").agg(
         F.count("*").alias("events"),
         sum(held[1:], held[0]).cast("long").alias("attributes"),
-        F.countDistinct("card_id").alias("cards"),
-        F.countDistinct("list_id").alias("lists"),
-        F.countDistinct("member_id").alias("members"),
         F.min(made).alias("first_list"),
         F.max(made).alias("last_list"),
         F.count_if((kind == "updateList") & F.col("old_name").isNotNull()).alias("list_renames"),
@@ -31,7 +36,11 @@ def board_summary(log: DataFrame) -> DataFrame:
         F.max("date").alias("end"),
         (micros(F.min("date"), F.max("date")) / 1e6).alias("duration_s"),
         F.min_by("type", F.struct("date", -F.col("pos"))).alias("first_type"),
-    )
+    )
+    ids = distinct_ids(log, cards="card_id", lists="list_id", members="member_id")
+    full = counted.join(ids, "board_id", "left").na.fill(0, ["cards", "lists", "members"])
+    first = ["board_id", "events", "attributes", "cards", "lists", "members"]
+    return full.select(*first, *[c for c in counted.columns if c not in first])
 
 
 def events_per_member(log: DataFrame) -> DataFrame:

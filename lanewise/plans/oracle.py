@@ -137,7 +137,7 @@ cx AS ({" UNION ALL ".join(f"SELECT '{c}' AS metric, CAST({c} AS DOUBLE) AS valu
 cd_x AS (SELECT metric, {_describe('value')} FROM cx GROUP BY metric)
 """
 
-KEYS = {"pos": "pos", "id": "id", "type": "type", "date": "date", "idMemberCreator": "member_id", "data.board.id": "board_id", "data.card.id": "card_id", "data.card.closed": "card_closed", "data.list.id": "list_id", "data.list.name": "list_name", "data.list.closed": "list_closed",
+KEYS = {"pos": "pos", "id": "id", "type": "type", "date": "date", "idMemberCreator": "member_id", "data.board.id": "board_id", "data.card.id": "card_id", "data.card.closed": "card_closed", "data.card.due": "card_due", "data.list.id": "list_id", "data.list.name": "list_name", "data.list.closed": "list_closed",
         "data.listBefore.id": "list_before_id", "data.listBefore.name": "list_before_name", "data.listAfter.id": "list_after_id", "data.listAfter.name": "list_after_name", "data.old.name": "old_name"}
 ATTRIBUTES = f"{BASE}" + " UNION ALL ".join(f"SELECT board_id::VARCHAR AS board_id, '{key}' AS path, count({column}) AS n FROM log GROUP BY board_id HAVING count({column}) > 0" for key, column in KEYS.items())
 READ_BACK = f"{BASE} SELECT board_id::VARCHAR AS board_id, id::VARCHAR AS id, member_id::VARCHAR AS member_id, type, date, card_id, card_closed, list_id, list_name, list_closed, list_before_id, list_before_name, list_after_id, list_after_name, old_name FROM log"
@@ -156,7 +156,8 @@ SQL: dict[str, str] = {
     "comb_collision": f"{BASE} SELECT board_id, count(DISTINCT substr(list_id, 19, 6)) <> count(DISTINCT list_id) AS collision FROM log GROUP BY board_id",
     "first_type_counts": f"{BASE}{SUMMARY} SELECT first_type, count(*) AS n FROM fs GROUP BY first_type",
     "corpus_describe": f"{CORPUS} SELECT * FROM cd_x",
-    "board_selection_by_first_type": f"{BASE}{SUMMARY} SELECT board_id, events, duration_s FROM fs WHERE events > 300 AND duration_s > 7 * 86400 AND first_type IN ('updateCard')",
+    "corpus_describe_of_created": CORPUS.replace("JOIN sh USING (board_id)", "JOIN sh USING (board_id) WHERE first_type = 'createBoard'") + " SELECT * FROM cd_x",
+    "board_selection_by_first_type": f"{BASE}{SUMMARY} SELECT board_id, events, duration_s FROM fs WHERE events > 300 AND duration_s > 7 * 86400 AND first_type = 'createBoard'",
     "board_selection": f"{BASE}{SUMMARY} SELECT board_id, events, duration_s FROM fs WHERE events > 300 AND duration_s > 7 * 86400",
     "list_evolution": f"{BASE}{EVOLUTION} SELECT board_id, list_id, begin_date, last_date, last_name, names FROM ev",
     "list_evolution_filtered": f"{BASE}{EVOLUTION} SELECT board_id, list_id, begin_date, last_date, last_name, names FROM ev WHERE last_date - begin_date > INTERVAL 25 DAY",
@@ -179,6 +180,7 @@ SQL: dict[str, str] = {
     "relative_gaps": f"{RED} SELECT * FROM gaps",
     "gap_describe": f"{RED} SELECT board_id, {_describe('gap')} FROM gaps GROUP BY board_id",
     "corpus_study": f"{RED_DAY}{SUMMARY}, sel AS (SELECT board_id FROM fs WHERE events > 300 AND duration_s > 7 * 86400) SELECT board_id, {_describe('gap')} FROM gaps JOIN sel USING (board_id) GROUP BY board_id",
+    "corpus_study_of_created": f"{RED_DAY}{SUMMARY}, sel AS (SELECT board_id FROM fs WHERE events > 300 AND duration_s > 7 * 86400 AND first_type = 'createBoard') SELECT board_id, {_describe('gap')} FROM gaps JOIN sel USING (board_id) GROUP BY board_id",
     "gap_mean_of_means": f"{RED} SELECT round(avg(m), 6) AS mean_gap FROM (SELECT avg(gap) AS m FROM gaps GROUP BY board_id)",
     "interval_slice": f"{RED} SELECT log.board_id, id, type, date FROM log JOIN iv ON log.board_id = iv.board_id AND run = 2 AND date > first_ts AND date < last_ts",
     "lifetime_deciles": f"{RED}, b AS (SELECT board_id, floor(date_diff('microsecond', t0, min_ts) * 10 / nullif(life, 0)) AS bin FROM red JOIN board USING (board_id)) SELECT board_id, {', '.join(f'count(*) FILTER (WHERE bin = {k}) AS d{k}' for k in range(10))} FROM b GROUP BY board_id",

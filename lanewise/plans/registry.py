@@ -67,7 +67,9 @@ _ON_LOG: dict[str, Callable[[_Log], DataFrame]] = {
     "comb_collision": lambda x: summary.comb_collision(x.log),
     "first_type_counts": lambda x: summary.first_type_counts(x.log),
     "corpus_describe": lambda x: summary.corpus_describe(x.log, None),
-    "board_selection_by_first_type": lambda x: summary.board_selection(x.log, 300, 7, "updateCard"),
+    "board_selection_by_first_type": lambda x: summary.board_selection(x.log, 300, 7),
+    "corpus_describe_of_created": lambda x: summary.corpus_describe(x.log),
+    "corpus_study_of_created": lambda x: redesign.corpus_study(x.rich, 300, 7),
     "board_selection": lambda x: summary.board_selection(x.log, 300, 7, None),
     "list_evolution": lambda x: joined(x.evolution, "names"),
     "list_evolution_filtered": lambda x: joined(evolution.list_evolution(x.rich, 25 * 86400), "names"),

@@ -57,7 +57,7 @@ WITH e AS (SELECT event_id, ts, user_id, event_type, value,
      t AS (SELECT *, CASE WHEN is_list THEN CAST((event_id / 61) AS INT) % 5 END AS lt,
                   (l + 1 + CAST(floor(value) AS INT) % 2) % 4 AS la FROM e)
 SELECT event_id AS id, event_id AS pos, ts AS date, b AS board_id, user_id AS member_id,
-       CASE WHEN lt = 0 THEN 'createList' WHEN lt IN (1, 2) THEN 'updateList'
+       CASE WHEN event_id = 0 THEN 'createBoard' WHEN lt = 0 THEN 'createList' WHEN lt IN (1, 2) THEN 'updateList'
             WHEN lt = 3 THEN 'moveListFromBoard' WHEN lt = 4 THEN 'updateList'
             WHEN event_type = 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'addMemberToCard' ELSE 'addChecklistToCard' END
             WHEN event_type = 'signup' THEN 'createCard'
@@ -68,7 +68,7 @@ SELECT event_id AS id, event_id AS pos, ts AS date, b AS board_id, user_id AS me
             ELSE 'updateCheckItemStateOnCard' END AS type,
        CASE WHEN is_list THEN NULL ELSE lpad(CAST(b * 100 + k AS STRING), 24, '0') END AS card_id,
        CASE WHEN event_type = 'purchase' AND event_id % 3 = 0 THEN TRUE END AS card_closed,
-       CAST(NULL AS TIMESTAMP) AS card_due,
+       CASE WHEN NOT is_list AND event_id % 11 = 0 THEN ts END AS card_due,
        CASE WHEN is_move THEN NULL ELSE lpad(CAST(b * 10 + l AS STRING), 24, '0') END AS list_id,
        CASE WHEN is_move THEN NULL ELSE concat('L', CAST(l AS STRING)) END AS list_name,
        CASE WHEN lt = 4 THEN TRUE END AS list_closed,

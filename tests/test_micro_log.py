@@ -118,6 +118,21 @@ def test_other_keys_and_filters(log):
     assert rows(metrics.static_metrics_by_interval(log, intervals, min_events=3), "run") == [(2,)]
 
 
+@pytest.mark.parametrize("held", [2, 5, 1 << 20])
+def test_components_of_any_size(spark, held):
+    """Groups of more nodes than a task holds are joined in rounds."""
+    import random
+
+    rng = random.Random(held)
+    edges = [(g, f"n{a}", f"n{b}") for g in ("x", "y") for a, b in [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(45)]] + [("x", f"p{k}", f"p{k + 1}") for k in range(30)] + [("z", "a", "a")]
+    label = {(g, n): n for g, a, b in edges for n in (a, b)}
+    for _ in label:
+        for g, a, b in edges:
+            label[g, a] = label[g, b] = min(label[g, a], label[g, b])
+    got = graph.labels(spark.createDataFrame(edges, "g string, a string, b string"), ["g"], held)
+    assert rows(got, "g", "node", "label") == sorted((g, n, l) for (g, n), l in label.items())
+
+
 def test_odd_rows(spark):
     """Reopened list, a close that is a move, lists of one name, colliding suffixes, no cards, ties in time."""
     long = "0" * 18
