@@ -14,18 +14,29 @@ def _least(edges: DataFrame) -> DataFrame:
     return stage(edges.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")), "least")
 
 
+def _roots(forest: DataFrame) -> DataFrame:
+    """The edges of a forest, (u, v) with one smaller v for each u, led to the roots: each step halves the paths."""
+    while True:
+        up = forest.select(F.col("u").alias("w"), F.col("v").alias("m"))
+        jumped = stage(forest.join(up, F.col("v") == F.col("w"), "left").select("u", F.coalesce("m", "v").alias("v"), F.col("m").isNotNull().alias("moved")), "roots")
+        discard(forest)
+        forest = jumped.select("u", "v")
+        if jumped.filter("moved").isEmpty():
+            return forest
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, label) of every vertex of the edges (u, v): label is the least vertex of its component.
 
     Vertices may be of any type that can be ordered; loops and repeated edges do not matter.
-    Each round is staged (and the one before deleted), and halves long paths; only a count and
-    a checksum go to the driver.
+    Rounds of stars go on until every vertex has one smaller neighbour, which is a forest; its paths
+    are then halved down to the roots. Each round is staged (and the one before deleted); only
+    counts go to the driver.
     """
     now = stage(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
-    while True:
+    least = _least(now)
+    while least.count() < now.count():
         # large star: the greater neighbours of a vertex move on to its least one
-        least = _least(now)
         large = now.join(least, F.col("v") == F.col("w"), "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         large = stage(large, "large-star")
         # small star: a vertex and its smaller neighbours meet at the least of these
@@ -35,10 +46,8 @@ def components(edges: DataFrame) -> DataFrame:
         new = stage(new, "edges")
         for old in (now, least, large, lesser):
             discard(old)
-        now = new
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
+        now, least = new, _least(new)
+    discard(least)
+    now = _roots(now)
     heads = now.select(F.col("v")).distinct().select("v", F.col("v").alias("label"))
     return now.select(F.col("u").alias("v"), F.col("v").alias("label")).unionByName(heads)

@@ -90,13 +90,10 @@ def bands(s: np.ndarray) -> list[int]:
 
 
 def _stars(classes: DataFrame) -> DataFrame:
-    """Candidates: (u, v), v being the least class in a band of u. Heads are staged, so that Spark can split a hot band."""
+    """Candidates: (u, v), v being the least class in a band of u. Both sides are staged, so that Spark can split a hot band."""
     rows = stage(classes.select("key", F.explode("bands").alias("band")), "bands")
     heads = stage(rows.groupBy("band").agg(F.min("key").alias("v"), F.count("*").alias("n")).filter("n > 1").drop("n"), "heads")
-    out = stage(rows.join(heads, "band").filter("key <> v").select(F.col("key").alias("u"), "v").distinct(), "stars")
-    discard(rows)
-    discard(heads)
-    return out
+    return rows.join(heads, "band").filter("key <> v").select(F.col("key").alias("u"), "v")
 
 
 def _verify(target: pa.Schema, ratio: Fraction):
@@ -148,22 +145,29 @@ def connected(members: DataFrame, ratio: Fraction) -> DataFrame:
     first = _linked(own, ratio)
     if sizes.filter("slices > 1").isEmpty():
         return first.select("key", "label")
-    links = first.filter("key <> label").select(F.col("key").alias("u"), F.col("label").alias("v"))
+    # a group of one slice is done; the others have their leaders in all of theirs
+    several = sizes.filter("slices > 1").select("comp")
+    alone = first.join(several, "comp", "left_anti").select("key", "label")
+    links = first.join(several, "comp", "left_semi").filter("key <> label").select(F.col("key").alias("u"), F.col("label").alias("v"))
     parts = stage(components(links).select(F.col("v").alias("key"), "label"), "parts")
     # classes of large groups by connected part; those outside the largest part of their group have pairs left to look at
     placed = stage(large.select("comp", "key").join(parts, "key", "left").select("comp", "key", F.coalesce("label", "key").alias("label")), "placed")
     largest = placed.groupBy("comp", "label").agg(F.count("*").alias("size")).groupBy("comp").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("parts"), (F.sum("size") - F.max("size")).alias("outside"))
     largest = stage(largest.filter("parts > 1").select("comp", "main", F.ceil(F.col("outside") / SLICE).cast("int").alias("left")), "largest")
     if largest.isEmpty():
-        return parts
+        return alone.unionByName(parts)
     # what is outside gets slices of its own, numbered after the others
     again = large.join(largest, "comp").join(placed, ["comp", "key"])
     last = F.col("slices") + F.col("left") - 1
     again = again.withColumn("slice", F.when(F.col("label") == F.col("main"), F.col("slice")).otherwise(F.col("slices") + F.pmod(F.xxhash64("key", F.lit(5)), F.col("left")).cast("int")))
     again = again.withColumn("other", F.explode(F.when(F.col("slice") < F.col("slices"), F.sequence("slices", last)).otherwise(F.sequence(F.lit(0), last))))
     pairs = again.select(*columns, F.least("slice", "other").alias("i"), F.greatest("slice", "other").alias("j"))
-    links = links.unionByName(_linked(pairs, ratio).filter("key <> label").select(F.col("key").alias("u"), F.col("label").alias("v")))
-    return components(links).select(F.col("v").alias("key"), "label")
+    found = _linked(pairs, ratio).filter("key <> label")
+    # what is left to connect are the parts
+    named = placed.select("key", "label")
+    found = found.select("key", F.col("label").alias("to")).join(named.withColumnRenamed("label", "u"), "key").join(named.select(F.col("key").alias("to"), F.col("label").alias("v")), "to")
+    merged = components(found.select("u", "v")).select(F.col("v").alias("label"), F.col("label").alias("merged"))
+    return alone.unionByName(placed.join(merged, "label", "left").select("key", F.coalesce("merged", "label").alias("label")))
 
 
 def minmax_dedup(docs: DataFrame, threshold: float = THRESHOLD, ngram: int = NGRAM) -> DataFrame:
@@ -190,8 +194,7 @@ def minmax_dedup(docs: DataFrame, threshold: float = THRESHOLD, ngram: int = NGR
     signed = stage(arrow_map(source, f"doc_id {kind}, md5 string, n long, key binary, bands array<bigint>", sign), "signatures")
     classes = signed.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "md5")).alias("rep"), F.min("bands").alias("bands"))
     classes = stage(classes, "classes")
-    stars = _stars(classes)
-    groups = components(stars).select(F.col("v").alias("key"), F.col("label").alias("comp"))
+    groups = components(_stars(classes)).select(F.col("v").alias("key"), F.col("label").alias("comp"))
     members = stage(groups.join(classes, "key").select("comp", "key", "rep.doc_id", "rep.md5"), "members")
     texts = source.alias("d").join(members.alias("m"), F.expr("d.doc_id <=> m.doc_id AND d.md5 = m.md5")).select("m.comp", "m.key", "d.text")
 
@@ -207,7 +210,7 @@ def minmax_dedup(docs: DataFrame, threshold: float = THRESHOLD, ngram: int = NGR
     known = stage(classes.select("key", "class_id").join(labels, "key", "left").select("key", "class_id", F.coalesce("label", "key").alias("label")), "labels")
     least = known.groupBy("label").agg(F.min("class_id").alias("component_id"), F.count("*").alias("size")).filter("size > 1").drop("size")
     known = stage(known.join(least, "label", "left").select("key", F.coalesce("component_id", "class_id").alias("component_id")), "component-ids")
-    for old in (with_sets, members, stars):
+    for old in (with_sets, members):
         discard(old)
     full = signed.select("doc_id", "n", "key").join(known, "key", "left")
     own = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
