@@ -218,4 +218,6 @@ SQL: dict[str, str] = {
     "refreshed_log": READ_BACK,
     "redesigns_stream": f"{RED}, nth AS (SELECT *, row_number() OVER (PARTITION BY board_id ORDER BY run DESC) AS nth FROM red), ends AS (SELECT board_id, run + 1 AS run, min(date) AS closed FROM r5 WHERE NOT r GROUP BY board_id, run) SELECT board_id, nth, min_ts, max_ts, n_events, n_list_events FROM nth JOIN ends USING (board_id, run) WHERE closed <= (SELECT date_trunc('millisecond', max(date)) FROM log) - INTERVAL 1 DAY",
     "attribute_counts": ATTRIBUTES,
+    "csv_log": READ_BACK,
+    "xes_log": f"{BASE} SELECT board_id::VARCHAR AS board_id, card_id AS case_id, coalesce(list_after_name, CASE WHEN card_closed THEN '**Closed' ELSE list_name END) AS activity, date AS ts, member_id::VARCHAR AS resource, type, coalesce(card_closed, false) AS closed, coalesce(list_before_name, '') AS src, coalesce(list_after_name, '') AS dst FROM e WHERE c IN ('card_create', 'card_close', 'card_move')",
 }

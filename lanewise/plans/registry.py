@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from lanewise.functions.labels import enrich
 from lanewise.operators import discovery, evolution, flow, graph, metrics, redesign, summary
 from lanewise.plans.oracle import SQL
-from lanewise.sources import paged, variant_log
-from lanewise.sources.board_log import LOG, from_events, write_json
+from lanewise.sources import csv_log, paged, variant_log, xes
+from lanewise.sources.board_log import CSV_COLUMNS, LOG, from_events, write_json
 from lanewise.staging import fresh_path
 from lanewise.streaming import redesigns as stream_redesigns
 
@@ -184,9 +184,26 @@ def attribute_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variant_log.attribute_counts(variant_log.read_lines(spark, path))
 
 
+def xes_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log, written as XES files and read again."""
+    path = fresh_path(spark, "xes")
+    xes.write_xes(flow.event_log(enrich(from_events(spark, sf_dir))), path)
+    return xes.read_xes(spark, path)
+
+
+def csv_log_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log, written as flat CSV files and read again in one scan."""
+    path = fresh_path(spark, "csv")
+    log = from_events(spark, sf_dir).withColumn("board_name", F.lit(None).cast("string"))
+    columns = [(-F.col("pos")).alias("index"), *[F.col(new).alias(old) for old, new in CSV_COLUMNS.items()]]
+    written = log.select("board_id", *columns).withColumn("date", F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    written.write.partitionBy("board_id").option("header", True).option("escape", '"').csv(path)
+    return read_back(csv_log.read_csv(spark, path, F.regexp_extract("file", "board_id=([^/]*)", 1)))
+
+
 def _query(make: Callable[[_Log], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: make(_Log(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(make) for name, make in _ON_LOG.items()}
-QUERIES |= {"paged_log": paged_log, "refreshed_log": refreshed_log, "redesigns_stream": redesigns_stream, "attribute_counts": attribute_counts}
+QUERIES |= {"paged_log": paged_log, "refreshed_log": refreshed_log, "redesigns_stream": redesigns_stream, "attribute_counts": attribute_counts, "xes_log": xes_log, "csv_log": csv_log_read}
