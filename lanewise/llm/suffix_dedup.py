@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
@@ -121,31 +121,35 @@ def _batch(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
 
 
 def _pairs(length: int, width: int):
-    """(doc, text) to the distinct (h, salt, doc) of each batch."""
+    """(doc, tag, text) to the distinct (h, salt, late, doc, tag) of each batch. Of texts that share a rank and a doc the
+    first is enough to tell who else has the rank; the others are ``late``: they come after all that tell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, _, _, h, _, _ = stretches(batch.column(1), length, width)
-            doc = batch.column(0).to_numpy(zero_copy_only=False)[row]
+            row, _, _, h, _, _ = stretches(batch.column(2), length, width)
+            doc, tag = (batch.column(k).to_numpy(zero_copy_only=False)[row] for k in (0, 1))
+            by_tag = np.argsort(tag, kind="stable")
+            h, doc, tag = h[by_tag], doc[by_tag], tag[by_tag]
             order, salt = _salts([h], doc, True)
-            h, doc = h[order], doc[order]
-            keep = np.ones(len(h), bool)
-            keep[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
-            yield _batch({"h": h[keep], "salt": salt[keep], "doc": doc[keep]})
+            h, doc, tag = h[order], doc[order], tag[order]
+            keep, late = np.ones(len(h), bool), np.zeros(len(h), bool)
+            late[1:] = (doc[1:] == doc[:-1]) & (h[1:] == h[:-1])
+            keep[1:] = ~late[1:] | (tag[1:] != tag[:-1])
+            yield _batch({"h": h[keep], "salt": salt[keep], "late": late[keep], "doc": doc[keep], "tag": tag[keep]})
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (h, salt, doc, ...), without salt, those whose rank two documents have. Rows with a salt are
-    of that kind; of the others, only those of the last rank's first document are held."""
+    """doc, tag and h of rows sorted by (h, salt, late, doc) whose rank two documents have. Rows with a salt are of that
+    kind; of the others, only those of the last rank's first document are held, and late ones never."""
     held: list[pa.Table] = []
     told = False  # whether the rows held are out already; then one stands for all
     for batch in batches:
         rows = pa.Table.from_batches([batch])
         salted = rows.column("salt").to_numpy() != 0
         if salted.any():
-            yield from rows.filter(pa.array(salted)).drop_columns("salt").to_batches()
+            yield from rows.filter(pa.array(salted)).drop_columns(["salt", "late"]).to_batches()
         rows = pa.concat_tables([*held, rows.filter(pa.array(~salted))]).combine_chunks()
         if not rows.num_rows:
             continue
@@ -153,13 +157,16 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(h))))
         several = np.maximum.reduceat(d, start) > d[start]
+        several[0] |= told
         out = several[group]
         if told:
             out[0] = False
-        told = bool(several[-1]) or (told and len(start) == 1)
+        told = bool(several[-1])
         last = np.flatnonzero(group == len(start) - 1)
-        held = [rows.take(pa.array(last[:1] if told else last))]
-        yield from rows.filter(pa.array(out)).drop_columns("salt").to_batches()
+        late = rows.column("late").to_numpy(zero_copy_only=False)
+        # where late rows have begun nothing more comes that tells
+        held = [rows.take(pa.array(last[:1] if told or late[last[-1]] else last))]
+        yield from rows.filter(pa.array(out)).drop_columns(["salt", "late"]).to_batches()
 
 
 def _lists(column: pa.Array) -> list[np.ndarray]:
@@ -168,11 +175,6 @@ def _lists(column: pa.Array) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
 
 
-def _tag(text: bytes) -> int:
-    """Tells texts with the same doc_id apart."""
-    return xxhash.xxh3_64_intdigest(text) >> 33
-
-
 DECIDED = "c1 long, c2 long, salt int, h long, doc long, tag long, s long, e long"
 
 
@@ -187,19 +189,18 @@ def _decided(c1: np.ndarray, c2: np.ndarray, h: np.ndarray, doc: np.ndarray, tag
 
 
 def _stretch_ranks(length: int, width: int):
-    """(doc, text, shared prefix ranks) to rows of stretches under these ranks; c1, c2: rank of all their bytes."""
+    """(doc, tag, text, shared prefix ranks) to rows of stretches under these ranks; c1, c2: rank of all their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, s, e, h, data, off = stretches(batch.column(1), length, width)
-            doc = batch.column(0).to_numpy(zero_copy_only=False)
+            row, s, e, h, data, off = stretches(batch.column(2), length, width)
+            doc, tags = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             bounds = np.searchsorted(row, np.arange(len(doc) + 1))
-            keep, tags = np.zeros(len(row), bool), np.zeros(len(doc), np.int64)
-            for k, ranks in enumerate(_lists(batch.column(2))):
+            keep = np.zeros(len(row), bool)
+            for k, ranks in enumerate(_lists(batch.column(3))):
                 a, b = bounds[k], bounds[k + 1]
                 if b > a:
                     keep[a:b] = np.isin(h[a:b].view(np.int64), ranks)
-                    tags[k] = _tag(data[off[k] : off[k + 1]].tobytes())
             row, s, e, h = row[keep], s[keep], e[keep], h[keep]
             raw = data.tobytes()
             c = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip((off[row] + s).tolist(), (off[row] + e + length).tolist(), strict=True)), np.int64).reshape(-1, 2)
@@ -230,7 +231,7 @@ CONTEXTS = f"{DECIDED}, bytes binary, more binary"
 
 
 def _contexts(length: int):
-    """(doc, text, marks of five longs: tag, h, s, e, whether h has many strings) to rows of CONTEXTS: one with the bytes
+    """(doc, tag, text, marks of four longs: h, s, e, whether h has many strings) to rows of CONTEXTS: one with the bytes
     of each stretch, or under a rank with many strings one for each string of each text."""
 
     def plain(rows: list[tuple]) -> pa.RecordBatch:
@@ -260,13 +261,12 @@ def _contexts(length: int):
         for batch in batches:
             held: list[list[tuple]] = [[], []]
             size = [0, 0]
-            for doc, text, marks in zip(batch.column(0).to_pylist(), batch.column(1), _lists(batch.column(2)), strict=True):
+            for doc, tag, text, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), _lists(batch.column(3)), strict=True):
                 data = text.as_py().encode()
-                own = _tag(data)
-                for tag, h, s, e, many in marks.reshape(-1, 5).tolist():
-                    for at in range(s, e + 1, STEP) if tag == own else ():
+                for h, s, e, many in marks.reshape(-1, 4).tolist():
+                    for at in range(s, e + 1, STEP):
                         stop = min(e, at + STEP - 1)
-                        held[many].append((h, doc, own, at, stop, data[at : stop + length]))
+                        held[many].append((h, doc, tag, at, stop, data[at : stop + length]))
                         size[many] += stop - at + length
                         if size[many] >= STEP:
                             yield (plain, ranked)[many](held[many])
@@ -341,41 +341,48 @@ def contexts(source: DataFrame, settled: DataFrame, length: int, few: int = FEW)
     several = left.groupBy("h").agg(F.min(own).alias("a"), F.max(own).alias("b"), F.sum(F.col("e") - F.col("s") + 1).alias("n")).filter("a <> b")
     # staged, so that Spark sees both sides of the join and may split a hot rank
     several = stage(several.select("h", (F.col("n") > few).cast("long").alias("many")), "several")
-    marks = left.join(several, "h").groupBy("doc").agg(F.flatten(F.collect_set(F.array("tag", "h", "s", "e", "many"))).alias("marks"))
-    return source.join(marks, "doc").select("doc", "text", "marks").mapInArrow(_contexts(length), CONTEXTS)
+    marks = left.join(several, "h").groupBy("doc", "tag").agg(F.flatten(F.collect_set(F.array("h", "s", "e", "many"))).alias("marks"))
+    return source.join(marks, ["doc", "tag"]).select("doc", "tag", "text", "marks").mapInArrow(_contexts(length), CONTEXTS)
+
+
+def tag_of(docs: DataFrame) -> Column:
+    """What tells texts that share a doc_id apart: a hash of the text. Where no doc_id stands twice, which one
+    pass over the ids tells, it is 0 and costs nothing."""
+    twice = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
+    return F.lit(0).cast("long") if twice.isEmpty() else F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 1)
 
 
-def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc, marks) of documents with strings that start in a smaller one too; marks: an array
-    of longs, three for each run of such strings: tag of the text, first and last start."""
+def repeated_strings(docs: DataFrame, tag: Column, length: int = LENGTH) -> DataFrame:
+    """(doc, tag, marks) of documents with strings that start in a smaller one too; marks: an array
+    of longs, two for each run of such strings: first and last start. ``tag``: see :func:`tag_of`."""
     spark = docs.sparkSession
     n = partitions(spark)
-    source = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).select(F.col("doc_id").cast("long").alias("doc"), "text")
-    pairs = source.mapInArrow(_pairs(length, PREFIX), "h long, salt int, doc long").repartition(n, "h", "salt").sortWithinPartitions("h", "salt", "doc")
-    shared = stage(pairs.mapInArrow(_shared, "h long, doc long").groupBy("doc").agg(F.collect_set("h").alias("ranks")), "shared")
+    source = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).select(F.col("doc_id").cast("long").alias("doc"), tag.alias("tag"), "text")
+    order = ["h", "salt", "late", "doc"]
+    pairs = source.mapInArrow(_pairs(length, PREFIX), "h long, salt int, late boolean, doc long, tag long").repartition(n, "h", "salt").sortWithinPartitions(*order)
+    shared = stage(pairs.mapInArrow(_shared, "h long, doc long, tag long").groupBy("doc", "tag").agg(F.collect_set("h").alias("ranks")), "shared")
     release(spark)
-    rows = source.join(shared, "doc").select("doc", "text", "ranks").mapInArrow(_stretch_ranks(length, PREFIX), DECIDED)
+    rows = source.join(shared, ["doc", "tag"]).select("doc", "tag", "text", "ranks").mapInArrow(_stretch_ranks(length, PREFIX), DECIDED)
     settled = rows.repartition(n, "c1", "salt").sortWithinPartitions("c1", "c2", "salt", "doc").mapInArrow(_first, "settled boolean, doc long, tag long, h long, s long, e long")
     settled = stage(settled, "settled")
     discard(shared)
     release(spark)
     runs = "doc long, tag long, s long, e long"
     compared = contexts(source, settled, length).repartition(n, "h", "c1", "salt").sortWithinPartitions("h", "c1", "c2", "salt", "doc").mapInArrow(_compare(length), runs)
-    compared = stage(compared.repartition(n, "doc").sortWithinPartitions("doc", "tag", "s").mapInArrow(_runs, runs), "compared")
+    compared = stage(compared.repartition(n, "doc", "tag").sortWithinPartitions("doc", "tag", "s").mapInArrow(_runs, runs), "compared")
     release(spark)
     marks = settled.filter("settled").select("doc", "tag", "s", "e").unionByName(compared)
-    return marks.groupBy("doc").agg(F.flatten(F.collect_set(F.array("tag", "s", "e"))).alias("marks"))
+    return marks.groupBy("doc", "tag").agg(F.flatten(F.collect_set(F.array("s", "e"))).alias("marks"))
 
 
 def covered(data: bytes, marks: np.ndarray | None, length: int) -> tuple[bytes, list[tuple[int, int]]]:
     """What remains of a text, and the maximal removed runs as [start, stop)."""
     if marks is None or not len(marks):
         return data, []
-    marks = np.asarray(marks).reshape(-1, 3)
-    marks = marks[marks[:, 0] == _tag(data)]
+    marks = np.asarray(marks).reshape(-1, 2)
     delta = np.zeros(len(data) + 1, np.int64)
-    np.add.at(delta, marks[:, 1], 1)
-    np.add.at(delta, marks[:, 2] + length, -1)
+    np.add.at(delta, marks[:, 0], 1)
+    np.add.at(delta, marks[:, 1] + length, -1)
     gone = np.cumsum(delta)[:-1] > 0
     edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
     return np.frombuffer(data, np.uint8)[~gone].tobytes(), list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
@@ -395,7 +402,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
         raise TypeError(f"doc_id must be an integer, not {docs.schema['doc_id'].dataType.simpleString()}")
     bounded_batches(spark)
-    marks = repeated_strings(docs, length)
+    known_tag = tag_of(docs)
+    marks = repeated_strings(docs, known_tag, length)
 
     @F.pandas_udf("kept binary, kept_text string, spans array<struct<start:bigint,stop:bigint>>")
     def cut(text, marks):
@@ -405,8 +413,9 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return pd.DataFrame({"kept": [k for k, _ in rows], "kept_text": [k.decode("utf-8", "ignore") for k, _ in rows], "spans": [[{"start": a, "stop": b} for a, b in s] for _, s in rows]})
 
     added = ("kept", "kept_text", "spans")
-    own, done = unused(docs, "marks"), unused(docs, "cut")
-    joined = docs.drop(*added).join(marks.select(F.col("doc").alias("doc_id"), F.col("marks").alias(own)), "doc_id", "left")
+    own, done, tag = unused(docs, "marks"), unused(docs, "cut"), unused(docs, "tag")
+    rest = docs.drop(*added).withColumn(tag, known_tag)
+    joined = rest.join(marks.select(F.col("doc").alias("doc_id"), F.col("tag").alias(tag), F.col("marks").alias(own)), ["doc_id", tag], "left")
     return joined.withColumn(done, cut(F.coalesce("text", F.lit("")), own)).select(*[c for c in docs.columns if c not in added], f"{done}.*")
 
 

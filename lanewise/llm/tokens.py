@@ -16,9 +16,9 @@ from lanewise.llm.common import arrow_map, bounded_batches, table
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Lengths are summed up in blocks of this many, so that no window holds all of them.
 BLOCK = 1024
-#: White space that is encoded at once: the tokenizer's pattern overflows its stack on a run of a million.
+#: White space from so many characters on goes past the tokenizer's pattern, which overflows its stack on a run of a million.
 RUN = 4096
-LONG_RUN = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d}(?=\s)" % RUN)
+LONG_RUN = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % RUN)
 
 
 @functools.lru_cache(maxsize=2)
@@ -31,25 +31,24 @@ def _encoding(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def count_tokens(encode, text: str) -> int:
-    """Tokens of a text; a run of white space is cut every RUN characters (what follows it keeps at least one)."""
+def count_tokens(encoding, text: str) -> int:
+    """Tokens of a text. The pattern makes one piece of a run of white space, but for its last character where
+    something follows; a long run is given to the merges as that piece, so counts are those of the whole text."""
     n = at = 0
     for m in LONG_RUN.finditer(text):
-        n += len(encode(text[at : m.end()]))
-        at = m.end()
-    return n + len(encode(text[at:] if at else text))
+        stop = m.end() - (m.end() < len(text))
+        n += len(encoding.encode_ordinary(text[at : m.start()])) + len(encoding._encode_single_piece(text[m.start() : stop]))
+        at = stop
+    return n + len(encoding.encode_ordinary(text[at:] if at else text))
 
 
 def token_counts(docs: DataFrame, ranks: str = DEFAULT_RANKS) -> DataFrame:
-    """doc_id, n_tokens of every whole text (null and empty texts: 0); other columns are ignored.
-
-    Runs of more than RUN white-space characters are encoded in parts, see :func:`count_tokens`.
-    """
+    """doc_id, n_tokens of every whole text (null and empty texts: 0); other columns are ignored."""
     bounded_batches(docs.sparkSession)
 
     def rows(batch: pa.RecordBatch) -> dict:
-        encode = _encoding(ranks).encode_ordinary
-        return {"doc_id": batch.column(0), "n_tokens": [count_tokens(encode, t) if t else 0 for t in batch.column(1).to_pylist()]}
+        encoding = _encoding(ranks)
+        return {"doc_id": batch.column(0), "n_tokens": [count_tokens(encoding, t) if t else 0 for t in batch.column(1).to_pylist()]}
 
     kind = dict(docs.dtypes)["doc_id"]
     return arrow_map(docs.select("doc_id", "text"), f"doc_id {kind}, n_tokens long", rows)

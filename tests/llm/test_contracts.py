@@ -297,10 +297,16 @@ def test_histogram_by_brute_force(spark, sf_dir):
 
 
 def test_long_runs_of_white_space(spark):
-    encode = tokens._encoding(tokens.DEFAULT_RANKS).encode_ordinary
-    n = tokens.RUN
-    for text in (" " * (2 * n), " " * (2 * n + 1) + "x y", "a" + "\n" * (3 * n) + " b", "a" + " \t" * n + "c", " " * (n - 1) + "z"):
-        assert tokens.count_tokens(encode, text) == len(encode(text))
+    import random
+
+    encoding = tokens._encoding(tokens.DEFAULT_RANKS)
+    rng, n = random.Random(4), tokens.RUN
+    kinds = [" ", "\n", " \n\t", "\t\n\x0b\x0c\r \x85\xa0\u1680\u2003\u2028\u3000"]
+    for k in range(120):
+        size = 100_000 if k % 20 == 0 else rng.choice([n - 1, n, n + 1, 2 * n, rng.randint(n, 3 * n)])
+        run = "".join(rng.choices(rng.choice(kinds), k=size))
+        text = rng.choice(["", "ab", "x.", "it's", "9", " "]) + run + rng.choice(["", "w", "9", ".", "'s", "日", "w" + run[::-1]])
+        assert tokens.count_tokens(encoding, text) == len(encoding.encode_ordinary(text))
     docs = spark.createDataFrame([(1, " " * 1_000_000), (2, "a" + "\n" * 1_000_000 + "b")], "doc_id long, text string")
     got = {r[0]: r[1] for r in tokens.token_counts(docs).collect()}
     assert got[1] == 1_000_000 and got[2] > 1000
@@ -478,7 +484,7 @@ def test_dedup_under_a_hot_prefix(spark, monkeypatch, few):
 def test_ranks_of_many_documents_are_spread(spark):
     head = "A licence line that very many documents begin with, over fifty bytes; "
     docs = spark.createDataFrame([(k, head + f"{k * 7919:x} own {k}") for k in range(8000)], "doc long, text string").repartition(8)
-    pairs = docs.mapInArrow(suffix_dedup._pairs(50, 20), "h long, salt int, doc long")
+    pairs = docs.select("doc", F.lit(0).cast("long").alias("tag"), "text").mapInArrow(suffix_dedup._pairs(50, 20), "h long, salt int, late boolean, doc long, tag long")
     assert pairs.groupBy("h").count().agg(F.max("count")).first()[0] == 8000
     assert pairs.groupBy("h", "salt").count().agg(F.max("count")).first()[0] <= 64
     got = suffix_dedup.suffix_dedup(docs.withColumnRenamed("doc", "doc_id").withColumn("marks", F.lit("m")).withColumn("cut", F.lit("c")))
@@ -491,13 +497,32 @@ def test_shared_ranks_over_batches():
     import pyarrow as pa
 
     rng = np.random.RandomState(3)
-    rows = sorted({(int(h), 0 if rng.rand() < 0.8 else int(d) + 1, int(d), int(p)) for h, d, p in zip(rng.randint(0, 12, 90), rng.randint(0, 3, 90), rng.randint(0, 3, 90), strict=True)})
-    want = sorted((h, d, p) for h, salt, d, p in rows if salt or len({x[2] for x in rows if x[0] == h and not x[1]}) > 1)
+    rows, first = [], set()
+    for h, d, p in sorted({(int(h), int(d), int(p)) for h, d, p in zip(rng.randint(0, 12, 90), rng.randint(0, 3, 90), rng.randint(0, 5, 90), strict=True)}):
+        salt = 0 if rng.rand() < 0.8 else d + 1
+        late = (h, salt, d) in first and rng.rand() < 0.7  # a late row has one of its document before it
+        first.add((h, salt, d))
+        rows.append((h, salt, late, d, p))
+    rows.sort()
+    want = sorted((h, d, p) for h, salt, _, d, p in rows if salt or len({x[3] for x in rows if x[0] == h and not x[1]}) > 1)
+    assert any(r[2] for r in rows)
     for size in (1, 2, 7, 90):
-        parts = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + size], strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["h", "salt", "doc", "s"]) for k in range(0, len(rows), size)]
+        parts = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + size], strict=True), (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], names=["h", "salt", "late", "doc", "tag"]) for k in range(0, len(rows), size)]
         assert sorted(tuple(r.values()) for b in suffix_dedup._shared(iter(parts)) for r in b.to_pylist()) == want
 
 
+def test_rows_of_one_id_grow_in_step(spark, monkeypatch):
+    """Ranks that go along with texts of one doc_id are those of each text, not of all of them."""
+    plain, carried = suffix_dedup.stage, []
+    monkeypatch.setattr(suffix_dedup, "stage", lambda df, label, *a: (out := plain(df, label, *a)) and (label == "shared" and carried.append(out.agg(F.sum(F.size("ranks"))).first()[0]), out)[1])
+    for n in (100, 200, 400):
+        texts_ = [" ".join(f"{k * 60 + w:x}word" for w in range(60)) for k in range(n)]
+        rows = [(0, t) for t in texts_] + [(k + 1, t) for k, t in enumerate(texts_)]
+        got = dedup_rows(suffix_dedup.suffix_dedup(frame(spark, rows)))
+        assert n > 100 or got == dedup_by_hand(rows)
+    assert carried[1] < 2.2 * carried[0] and carried[2] < 2.2 * carried[1]
+
+
 def test_stretches_cut_anywhere(monkeypatch):
     import pyarrow as pa
 
