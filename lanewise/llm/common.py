@@ -16,19 +16,29 @@ from pyspark.sql import functions as F
 NULL_ID = 2**63 - 1
 
 
+#: A table of at most so many bytes is dealt over the cores, where it is asked for.
+SPREAD_BYTES = 1 << 30
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
     """One of the input tables; only Spark touches the path, so any file system will do.
 
-    ``spread``: where a (small) table comes in fewer splits than there are cores, its rows are
-    dealt over them; counting the splits reads no column.
+    ``spread``: where a table of up to SPREAD_BYTES comes in fewer splits than there are cores, its
+    rows are dealt over them; counting the splits reads no column. Results do not depend on it.
     """
-    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    found = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    if spread and found.select(F.spark_partition_id().alias("p")).distinct().count() < cores:
+    if spread and _bytes(spark, path) <= SPREAD_BYTES and found.select(F.spark_partition_id().alias("p")).distinct().count() < cores:
         return found.repartition(cores)
     return found
 
 
+def _bytes(spark: SparkSession, path: str) -> int:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from lanewise.llm.common import as_batch, bounded_batches, discard, fresh_path, stage, table, to_arrow
 
@@ -48,13 +49,20 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     Null html is an empty payload; a null url leaves out WARC-Target-URI. Of equal payloads
     of at least ``min_revisit`` bytes the one with the smallest page_id is a response and
     those with larger ids revisit it; rows that repeat the smallest id are responses too,
-    and rows with a null page_id are always responses. An empty table gives empty archives.
+    and rows with a null page_id are always responses. page_id is an integer (TypeError else).
+    An empty table gives empty archives.
     """
+    if not isinstance(pages.schema["page_id"].dataType, IntegralType):
+        raise TypeError(f"page_id must be an integer, not {pages.schema['page_id'].dataType.simpleString()}")
     body = F.coalesce(F.col("html"), F.lit(""))
     page = pages.select(F.col("page_id").alias("id"), F.regexp_replace("url", r"[\r\n]+", " ").alias("url"), body.alias("body"), F.octet_length(body).alias("n"), F.sha2(body, 256).alias("digest"))
-    slim = page.filter((F.col("n") >= min_revisit) & F.col("id").isNotNull()).select("id", "digest")
+    # both sides are staged, so that Spark can split the rows of a payload that very many pages have
+    slim = stage(page.filter((F.col("n") >= min_revisit) & F.col("id").isNotNull()).select("id", "digest"), "digests")
     first = slim.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "first")
+    first = stage(first, "first-pages")
     links = stage(slim.join(first, "digest").filter("id > first").distinct(), "revisits")
+    for old in (slim, first):
+        discard(old)
     if links.count() <= BROADCAST_ROWS:
         links = F.broadcast(links)
     page = page.join(links, ["id", "digest"], "left")
@@ -307,7 +315,11 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     revisit = F.col("record_type") == "revisit"
     digest = F.when(revisit, F.regexp_replace("stated_digest", "^sha256:", "")).otherwise(F.col("payload_digest"))
     pages = records.select(page("record_id").alias("page_id"), "record_type", F.when(revisit, page("refers_to")).alias("refers_to"), digest.alias("digest"), F.col("payload_bytes").alias("own_bytes"), F.col("payload_digest").alias("own_digest"))
-    sources = pages.filter("record_type = 'response' AND page_id IS NOT NULL").groupBy(F.col("page_id").alias("refers_to"), "digest").agg(F.max("own_bytes").alias("bytes"))
+    # both sides of the join are staged, so that Spark can split the revisits of one page
+    pages = stage(pages, "page-records")
+    named = pages.filter("record_type = 'revisit'").select("refers_to", "digest").distinct()
+    sources = pages.filter("record_type = 'response' AND page_id IS NOT NULL").select(F.col("page_id").alias("refers_to"), "digest", "own_bytes").join(named, ["refers_to", "digest"], "left_semi")
+    sources = stage(sources.groupBy("refers_to", "digest").agg(F.max("own_bytes").alias("bytes")), "sources")
     again = pages.filter("record_type = 'revisit'").join(sources, ["refers_to", "digest"], "left")
     again = again.select("page_id", F.coalesce("bytes", "own_bytes").alias("payload_bytes"), F.when(F.col("bytes").isNotNull(), F.col("digest")).otherwise(F.col("own_digest")).alias("payload_digest"), "record_type", "refers_to")
     plain = pages.filter("record_type <> 'revisit'").select("page_id", F.col("own_bytes").alias("payload_bytes"), F.col("own_digest").alias("payload_digest"), "record_type", "refers_to")

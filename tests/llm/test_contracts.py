@@ -47,6 +47,15 @@ def test_warc_rejects_magic_in_payloads(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
 
 
+def test_warc_of_one_payload_and_of_ids_that_are_no_numbers(spark, tmp_path):
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 3 > 0, F.lit("error page " * 20)).otherwise(F.concat(F.lit("own " * 40), "id")).alias("html"))
+    warc.write_archives(pages, str(tmp_path / "w"))
+    got = warc.resolve_revisits(warc.read_archives(spark, str(tmp_path / "w"))).groupBy("record_type", "refers_to", "payload_bytes").count().collect()
+    assert {r[:3]: r[3] for r in map(tuple, got) if r[0] == "revisit"} == {("revisit", 1, 220): 1999} and sum(r[3] for r in got) == 3000
+    with pytest.raises(TypeError, match="integer"):
+        warc.write_archives(pages.withColumn("page_id", F.col("page_id").cast("string")), str(tmp_path / "x"))
+
+
 def test_warc_damaged_and_empty(spark, tmp_path):
     pages = spark.createDataFrame([(k, "u", "p" * k) for k in range(1, 6)], "page_id long, url string, html string").coalesce(1).orderBy("page_id")
     warc.write_archives(pages, str(tmp_path / "w"))
