@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanewise.functions.labels import LABELS, order_key, card_closed, describe, micros, rounded
+from lanewise.operators import quantiles
 
 
 def distinct_ids(log: DataFrame, **columns: str) -> DataFrame:
@@ -102,7 +103,7 @@ def corpus_describe(log: DataFrame, first_type: str | None = "createBoard") -> D
     boards = board_summary(log).join(shares, "board_id")
     boards = boards if first_type is None else boards.filter(F.col("first_type") == first_type)
     values = F.explode(F.map_from_arrays(F.array(*map(F.lit, CORPUS)), F.array(*[F.col(c).cast("double") for c in CORPUS]))).alias("metric", "value")
-    return boards.select(values).groupBy("metric").agg(*describe("value"))
+    return quantiles.describe(boards.select(values), ["metric"], "value")  # the groups are all boards
 
 
 def board_selection(log: DataFrame, min_events: int = 2000, min_days: float = 84, first_type: str | None = "createBoard") -> DataFrame:
