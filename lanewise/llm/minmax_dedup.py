@@ -29,7 +29,7 @@ from lanewise.llm.jaccard_join import links_within
 
 NGRAM = 3
 THRESHOLD = 0.85
-#: Two values each; in bands of so many. A pair at the threshold misses all 28 bands once in 600,000.
+#: Two values each; in bands of so many. A pair at the threshold misses all 28 bands once in 570,000.
 PERMUTATIONS, ROWS = 84, 6
 BANDS = 2 * PERMUTATIONS // ROWS
 #: Classes, and bytes of their sets, in a slice of a group, and leaders that all slices of it have.
