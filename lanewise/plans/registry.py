@@ -13,6 +13,7 @@ from lanewise.plans.oracle import SQL
 from lanewise.sources import csv_log, paged, variant_log, xes
 from lanewise.sources.board_log import CSV_COLUMNS, LOG, from_events, write_json
 from lanewise.staging import fresh_path
+from lanewise.streaming import labels as stream_labels
 from lanewise.streaming import redesigns as stream_redesigns
 
 __all__ = ["QUERIES", "SQL"]
@@ -165,16 +166,32 @@ def refreshed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(got)
 
 
+def _arrived(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with the log as files that a stream reads."""
+    path = fresh_path(spark, "stream-log")
+    log = from_events(spark, sf_dir).withColumn("board_name", F.lit(None).cast("string"))
+    log.select([F.col(c).cast(t) for c, t in (x.split(" ") for x in LOG.split(", "))]).write.parquet(path)
+    return path
+
+
+def _drained(stream: DataFrame) -> DataFrame:
+    """What a stream gives out of all that is there."""
+    spark = stream.sparkSession
+    out, checkpoint = fresh_path(spark, "stream-out"), fresh_path(spark, "stream-checkpoint")
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out).withColumn("board_id", F.col("board_id").cast("int"))
+
+
 def redesigns_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Redesigns that the log, as a stream of files, closes within a delay of a day."""
-    path, out, checkpoint = (fresh_path(spark, x) for x in ("stream-log", "stream-redesigns", "stream-checkpoint"))
-    log = from_events(spark, sf_dir).withColumn("board_name", F.lit(None).cast("string"))
-    kinds = dict(c.split(" ") for c in LOG.split(", "))
-    log.select([F.col(c).cast(t) for c, t in kinds.items()]).write.parquet(path)
-    stream = enrich(spark.readStream.schema(LOG).parquet(path))
-    found = stream_redesigns.detect_redesign(stream, HOURS_3)
-    found.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(found.schema).parquet(out).withColumns({"board_id": F.col("board_id").cast("int"), "min_ts": F.col("min_ts").cast("timestamp_ntz"), "max_ts": F.col("max_ts").cast("timestamp_ntz")})
+    stream = enrich(spark.readStream.schema(LOG).parquet(_arrived(spark, sf_dir)))
+    return _drained(stream_redesigns.detect_redesign(stream, HOURS_3)).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("min_ts", "max_ts")})
+
+
+def activity_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Card events of each hour and class that the log, as a stream of files, closes within a delay of two days."""
+    counts = stream_labels.activity(stream_labels.read_stream(spark, _arrived(spark, sf_dir)))
+    return _drained(counts).select("board_id", "c", F.col("window.start").cast("timestamp_ntz").alias("hour"), "n")
 
 
 def attribute_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,4 +223,4 @@ def _query(make: Callable[[_Log], DataFrame]) -> Callable[[SparkSession, str], D
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(make) for name, make in _ON_LOG.items()}
-QUERIES |= {"paged_log": paged_log, "refreshed_log": refreshed_log, "redesigns_stream": redesigns_stream, "attribute_counts": attribute_counts, "xes_log": xes_log, "csv_log": csv_log_read}
+QUERIES |= {"paged_log": paged_log, "refreshed_log": refreshed_log, "redesigns_stream": redesigns_stream, "activity_stream": activity_stream, "attribute_counts": attribute_counts, "xes_log": xes_log, "csv_log": csv_log_read}
