@@ -221,4 +221,6 @@ SQL: dict[str, str] = {
     "csv_log": READ_BACK,
     "xes_log": f"{BASE} SELECT board_id::VARCHAR AS board_id, card_id AS case_id, coalesce(list_after_name, CASE WHEN card_closed THEN '**Closed' ELSE list_name END) AS activity, date AS ts, member_id::VARCHAR AS resource, type, coalesce(card_closed, false) AS closed, coalesce(list_before_name, '') AS src, coalesce(list_after_name, '') AS dst FROM e WHERE c IN ('card_create', 'card_close', 'card_move')",
     "activity_stream": f"{BASE} SELECT * FROM (SELECT board_id, c, date_trunc('hour', date) AS hour, count(*) AS n FROM e WHERE c IS NOT NULL GROUP BY 1, 2, 3) WHERE hour + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(date)) FROM log) - INTERVAL 2 DAY",
+    "distincts": f"{BASE} SELECT board_id, count(DISTINCT card_id) AS cards, count(DISTINCT list_id) AS lists, count(DISTINCT member_id) AS members FROM log GROUP BY board_id",
+    "distincts_by_week": f"{BASE} SELECT board_id, date_trunc('week', date)::DATE AS period, count(DISTINCT card_id) AS cards, count(DISTINCT list_id) AS lists, count(DISTINCT member_id) AS members FROM log GROUP BY 1, 2",
 }

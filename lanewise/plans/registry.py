@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanewise.functions.labels import enrich
-from lanewise.operators import discovery, evolution, flow, graph, metrics, redesign, summary
+from lanewise.operators import discovery, distincts, evolution, flow, graph, metrics, redesign, summary
 from lanewise.plans.oracle import SQL
 from lanewise.sources import csv_log, paged, variant_log, xes
 from lanewise.sources.board_log import CSV_COLUMNS, LOG, from_events, write_json
@@ -67,6 +67,8 @@ _ON_LOG: dict[str, Callable[[_Log], DataFrame]] = {
     "list_name_map": lambda x: summary.list_name_map(x.log),
     "comb_collision": lambda x: summary.comb_collision(x.log),
     "first_type_counts": lambda x: summary.first_type_counts(x.log),
+    "distincts": lambda x: distincts.merged(distincts.daily(x.log)),
+    "distincts_by_week": lambda x: distincts.merged(distincts.daily(x.log), F.to_date(F.date_trunc("week", "day"))),
     "corpus_describe": lambda x: summary.corpus_describe(x.log, None),
     "board_selection_by_first_type": lambda x: summary.board_selection(x.log, 300, 7),
     "corpus_describe_of_created": lambda x: summary.corpus_describe(x.log),
