@@ -120,36 +120,42 @@ def _batch(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns.values()], names=list(columns))
 
 
-def _pairs(length: int, width: int):
-    """(doc, tag, text) to the distinct (h, salt, late, doc, tag) of each batch. Of texts that share a rank and a doc the
-    first is enough to tell who else has the rank; the others are ``late``: they come after all that tell."""
+def _pairs(length: int, width: int, tagged: bool):
+    """(doc, tag, text) to the distinct (h, salt, doc) of each batch; ``tagged``: (h, salt, doc, late, tag). Of texts that
+    share a rank and a doc the first is enough to tell who else has the rank; the others are ``late``: they come
+    after all that tell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, _, _, h, _, _ = stretches(batch.column(2), length, width)
             doc, tag = (batch.column(k).to_numpy(zero_copy_only=False)[row] for k in (0, 1))
-            by_tag = np.argsort(tag, kind="stable")
-            h, doc, tag = h[by_tag], doc[by_tag], tag[by_tag]
+            if tagged:
+                by_tag = np.argsort(tag, kind="stable")
+                h, doc, tag = h[by_tag], doc[by_tag], tag[by_tag]
             order, salt = _salts([h], doc, True)
             h, doc, tag = h[order], doc[order], tag[order]
-            keep, late = np.ones(len(h), bool), np.zeros(len(h), bool)
+            late = np.zeros(len(h), bool)
             late[1:] = (doc[1:] == doc[:-1]) & (h[1:] == h[:-1])
-            keep[1:] = ~late[1:] | (tag[1:] != tag[:-1])
-            yield _batch({"h": h[keep], "salt": salt[keep], "late": late[keep], "doc": doc[keep], "tag": tag[keep]})
+            keep = ~late
+            if tagged:
+                keep[1:] |= tag[1:] != tag[:-1]
+            more = {"late": late[keep], "tag": tag[keep]} if tagged else {}
+            yield _batch({"h": h[keep], "salt": salt[keep], "doc": doc[keep]} | more)
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, tag and h of rows sorted by (h, salt, late, doc) whose rank two documents have. Rows with a salt are of that
+    """h, doc (and tag) of rows sorted by (h, salt, (late,) doc) whose rank two documents have. Rows with a salt are of that
     kind; of the others, only those of the last rank's first document are held, and late ones never."""
     held: list[pa.Table] = []
     told = False  # whether the rows held are out already; then one stands for all
     for batch in batches:
         rows = pa.Table.from_batches([batch])
+        aside = [c for c in ("salt", "late") if c in rows.column_names]
         salted = rows.column("salt").to_numpy() != 0
         if salted.any():
-            yield from rows.filter(pa.array(salted)).drop_columns(["salt", "late"]).to_batches()
+            yield from rows.filter(pa.array(salted)).drop_columns(aside).to_batches()
         rows = pa.concat_tables([*held, rows.filter(pa.array(~salted))]).combine_chunks()
         if not rows.num_rows:
             continue
@@ -163,10 +169,10 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out[0] = False
         told = bool(several[-1])
         last = np.flatnonzero(group == len(start) - 1)
-        late = rows.column("late").to_numpy(zero_copy_only=False)
+        late = len(aside) > 1 and rows.column("late")[int(last[-1])].as_py()
         # where late rows have begun nothing more comes that tells
-        held = [rows.take(pa.array(last[:1] if told or late[last[-1]] else last))]
-        yield from rows.filter(pa.array(out)).drop_columns(["salt", "late"]).to_batches()
+        held = [rows.take(pa.array(last[:1] if told or late else last))]
+        yield from rows.filter(pa.array(out)).drop_columns(aside).to_batches()
 
 
 def _lists(column: pa.Array) -> list[np.ndarray]:
@@ -345,22 +351,24 @@ def contexts(source: DataFrame, settled: DataFrame, length: int, few: int = FEW)
     return source.join(marks, ["doc", "tag"]).select("doc", "tag", "text", "marks").mapInArrow(_contexts(length), CONTEXTS)
 
 
-def tag_of(docs: DataFrame) -> Column:
-    """What tells texts that share a doc_id apart: a hash of the text. Where no doc_id stands twice, which one
-    pass over the ids tells, it is 0 and costs nothing."""
+def tag_of(docs: DataFrame) -> Column | None:
+    """What tells texts that share a doc_id apart: a hash of the text. None where no doc_id stands twice, which one
+    pass over the ids tells."""
     twice = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
-    return F.lit(0).cast("long") if twice.isEmpty() else F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 1)
+    return None if twice.isEmpty() else F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 1)
 
 
-def repeated_strings(docs: DataFrame, tag: Column, length: int = LENGTH) -> DataFrame:
+def repeated_strings(docs: DataFrame, tag: Column | None, length: int = LENGTH) -> DataFrame:
     """(doc, tag, marks) of documents with strings that start in a smaller one too; marks: an array
-    of longs, two for each run of such strings: first and last start. ``tag``: see :func:`tag_of`."""
+    of longs, two for each run of such strings: first and last start. ``tag``: see :func:`tag_of`; None: 0."""
     spark = docs.sparkSession
     n = partitions(spark)
-    source = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).select(F.col("doc_id").cast("long").alias("doc"), tag.alias("tag"), "text")
-    order = ["h", "salt", "late", "doc"]
-    pairs = source.mapInArrow(_pairs(length, PREFIX), "h long, salt int, late boolean, doc long, tag long").repartition(n, "h", "salt").sortWithinPartitions(*order)
-    shared = stage(pairs.mapInArrow(_shared, "h long, doc long, tag long").groupBy("doc", "tag").agg(F.collect_set("h").alias("ranks")), "shared")
+    zero = F.lit(0).cast("long")
+    source = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).select(F.col("doc_id").cast("long").alias("doc"), (zero if tag is None else tag).alias("tag"), "text")
+    more, order, keys = ("", ["h", "salt", "doc"], ["doc"]) if tag is None else (", late boolean, tag long", ["h", "salt", "late", "doc"], ["doc", "tag"])
+    pairs = source.mapInArrow(_pairs(length, PREFIX, tag is not None), f"h long, salt int, doc long{more}").repartition(n, "h", "salt").sortWithinPartitions(*order)
+    shared = pairs.mapInArrow(_shared, "h long, doc long" + ("" if tag is None else ", tag long")).groupBy(*keys).agg(F.collect_set("h").alias("ranks"))
+    shared = stage(shared.select("doc", (zero if tag is None else F.col("tag")).alias("tag"), "ranks"), "shared")
     release(spark)
     rows = source.join(shared, ["doc", "tag"]).select("doc", "tag", "text", "ranks").mapInArrow(_stretch_ranks(length, PREFIX), DECIDED)
     settled = rows.repartition(n, "c1", "salt").sortWithinPartitions("c1", "c2", "salt", "doc").mapInArrow(_first, "settled boolean, doc long, tag long, h long, s long, e long")
@@ -414,7 +422,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     added = ("kept", "kept_text", "spans")
     own, done, tag = unused(docs, "marks"), unused(docs, "cut"), unused(docs, "tag")
-    rest = docs.drop(*added).withColumn(tag, known_tag)
+    rest = docs.drop(*added).withColumn(tag, F.lit(0).cast("long") if known_tag is None else known_tag)
     joined = rest.join(marks.select(F.col("doc").alias("doc_id"), F.col("tag").alias(tag), F.col("marks").alias(own)), ["doc_id", tag], "left")
     return joined.withColumn(done, cut(F.coalesce("text", F.lit("")), own)).select(*[c for c in docs.columns if c not in added], f"{done}.*")
 

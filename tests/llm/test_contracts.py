@@ -510,7 +510,7 @@ def test_dedup_under_a_hot_prefix(spark, monkeypatch, few):
 def test_ranks_of_many_documents_are_spread(spark):
     head = "A licence line that very many documents begin with, over fifty bytes; "
     docs = spark.createDataFrame([(k, head + f"{k * 7919:x} own {k}") for k in range(8000)], "doc long, text string").repartition(8)
-    pairs = docs.select("doc", F.lit(0).cast("long").alias("tag"), "text").mapInArrow(suffix_dedup._pairs(50, 20), "h long, salt int, late boolean, doc long, tag long")
+    pairs = docs.select("doc", F.lit(0).cast("long").alias("tag"), "text").mapInArrow(suffix_dedup._pairs(50, 20, False), "h long, salt int, doc long")
     assert pairs.groupBy("h").count().agg(F.max("count")).first()[0] == 8000
     assert pairs.groupBy("h", "salt").count().agg(F.max("count")).first()[0] <= 64
     got = suffix_dedup.suffix_dedup(docs.withColumnRenamed("doc", "doc_id").withColumn("marks", F.lit("m")).withColumn("cut", F.lit("c")))
@@ -529,7 +529,7 @@ def test_shared_ranks_over_batches():
         late = (h, salt, d) in first and rng.rand() < 0.7  # a late row has one of its document before it
         first.add((h, salt, d))
         rows.append((h, salt, late, d, p))
-    rows.sort()
+    rows.sort()  # as they are sorted; columns in any order
     want = sorted((h, d, p) for h, salt, _, d, p in rows if salt or len({x[3] for x in rows if x[0] == h and not x[1]}) > 1)
     assert any(r[2] for r in rows)
     for size in (1, 2, 7, 90):
