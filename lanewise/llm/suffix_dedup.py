@@ -13,8 +13,11 @@ share it (a *stretch*), and equal strings have equal ranks, so nothing is missed
    those leave whose prefix has no other stretch.
 3. What is left is cut out of the texts and sorted by (rank, document) once more. Strings under
    a rank with at most FEW of them are compared byte by byte in the task that has the rank, the
-   first one of each kind held. Under other ranks doubling goes on to LENGTH: every string gets
-   a rank of its own, Spark sorts (string rank, document), the strings of the first document leave.
+   first one of each kind held. Other ranks are narrowed first, to ranks of 35 bytes. Under those
+   that still have more than FEW strings doubling goes on to LENGTH: every string gets a rank of
+   its own. A task settles what it can by itself: strings that a smaller document of its own has
+   too leave as whole runs. Of the rest Spark sorts (string rank, document), the strings of the
+   first document leave.
 
 Ranks are hashes: of 64 bits where they only choose candidates, of 128 bits where they decide.
 A rank that very many documents share is no hot group: each batch of a task sends two rows at
@@ -232,36 +235,44 @@ def _later(batch: pa.RecordBatch, held: tuple | None) -> tuple[np.ndarray, tuple
     return (salt != 0) | (doc > first[np.cumsum(fresh)]), (c1[-1], c2[-1], first[-1])
 
 
-#: bytes: of a stretch whose strings are compared; more: further runs of a ranked string in the same text (pairs of longs).
+#: bytes: of a stretch whose strings are compared; c1: there, whether h is narrowed; more: further runs of a ranked string in the same text (pairs of longs).
 CONTEXTS = f"{DECIDED}, bytes binary, more binary"
 
 
+def _strings(rows: list[tuple], length: int) -> tuple[np.ndarray, ...]:
+    """Of rows (h, doc, tag, s, bytes) all bytes, and of each string where it starts in them, its row, and its place there."""
+    data = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
+    size = np.array([len(r[4]) for r in rows])
+    n = size - length + 1
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return data, np.repeat(np.cumsum(size) - size, n) + step, np.repeat(np.arange(len(rows)), n), step
+
+
+def _with_bytes(h: list, doc: list, tag: list, s: list, e: list, own: list, narrowed: int) -> pa.RecordBatch:
+    none = pa.array([0] * len(h), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([narrowed] * len(h), pa.int64()), none, none.cast(pa.int32()), *(pa.array(x, pa.int64()) for x in (h, doc, tag, s, e)), pa.array(own, pa.binary()), pa.nulls(len(h), pa.binary())], names=["c1", "c2", "salt", "h", "doc", "tag", "s", "e", "bytes", "more"])
+
+
 def _contexts(length: int):
-    """(doc, tag, text, marks of four longs: h, s, e, whether h has many strings) to rows of CONTEXTS: one with the bytes
-    of each stretch, or under a rank with many strings one for each string of each text."""
+    """(doc, tag, text, marks of four longs: h, s, e, whether h has many strings) to rows of CONTEXTS with the bytes of
+    each stretch. Under a rank with many strings stretches are narrowed (c1 is 1): h is a rank of more bytes, which
+    is chosen in each string as the prefix is."""
 
     def plain(rows: list[tuple]) -> pa.RecordBatch:
-        h, doc, tag, s, e, own = zip(*rows, strict=True)
-        none = pa.array([0] * len(h), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none.cast(pa.int32()), *(pa.array(x, pa.int64()) for x in (h, doc, tag, s, e)), pa.array(own, pa.binary()), pa.nulls(len(h), pa.binary())], names=["c1", "c2", "salt", "h", "doc", "tag", "s", "e", "bytes", "more"])
-
-    def ranked(rows: list[tuple]) -> pa.RecordBatch:
-        data = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
-        size = np.array([len(r[5]) for r in rows])
-        n = size - length + 1
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        at, row = np.repeat(np.cumsum(size) - size, n) + step, np.repeat(np.arange(len(rows)), n)
-        k1, k2 = prefix_hashes(data, length)[at], prefix_hashes(data, length, M3)[at]
-        first = np.flatnonzero(np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (row[1:] != row[:-1])]))
+        h, doc, tag, s, own = zip(*rows, strict=True)
+        return _with_bytes(h, doc, tag, s, [a + len(b) - length for a, b in zip(s, own, strict=True)], own, 0)
+
+    def narrowed(rows: list[tuple]) -> pa.RecordBatch:
+        data, at, row, step = _strings(rows, length)
+        width = (PREFIX + length) // 2
+        least = sliding_min(prefix_hashes(data, width), length - width + 1)[at]
+        first = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (row[1:] != row[:-1])]))
         last, row = np.append(first[1:], len(at)) - 1, row[first]
         h, doc, tag, s = (np.array([r[c] for r in rows], np.int64)[row] for c in range(4))
-        s, e, k1, k2 = s + step[first], s + step[last], k1[first], k2[first]
-        order = np.lexsort((s, tag, doc, k2, k1))
-        h, doc, tag, s, e, k1, k2 = (x[order] for x in (h, doc, tag, s, e, k1, k2))
-        new = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in (k1, k2, doc, tag)], axis=0)]))
-        runs = np.stack([s, e], axis=1)
-        more = [runs[a + 1 : b].tobytes() if b > a + 1 else None for a, b in zip(new.tolist(), [*new[1:].tolist(), len(s)], strict=True)]
-        return _decided(*(x[new] for x in (k1, k2, h, doc, tag, s, e)), more)
+        h = _mix(h.view(np.uint64) * M1 + least[first]).view(np.int64)
+        raw = data.tobytes()
+        own = [raw[a : b + length] for a, b in zip(at[first].tolist(), at[last].tolist(), strict=True)]
+        return _with_bytes(h, doc, tag, s + step[first], s + step[last], own, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,18 +283,68 @@ def _contexts(length: int):
                 for h, s, e, many in marks.reshape(-1, 4).tolist():
                     for at in range(s, e + 1, STEP):
                         stop = min(e, at + STEP - 1)
-                        held[many].append((h, doc, tag, at, stop, data[at : stop + length]))
+                        held[many].append((h, doc, tag, at, data[at : stop + length]))
                         size[many] += stop - at + length
                         if size[many] >= STEP:
-                            yield (plain, ranked)[many](held[many])
+                            yield (plain, narrowed)[many](held[many])
                             held[many], size[many] = [], 0
-            for many, make in enumerate((plain, ranked)):
+            for many, make in enumerate((plain, narrowed)):
                 if held[many]:
                     yield make(held[many])
 
     return run
 
 
+def _ranks(length: int):
+    """(h, doc, tag, s, bytes) to rows of CONTEXTS without bytes: of each string that is held at once the first document's,
+    and of the other documents the runs of such strings, which are settled here."""
+
+    def ranked(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        data, at, row, step = _strings(rows, length)
+        k1, k2 = prefix_hashes(data, length)[at], prefix_hashes(data, length, M3)[at]
+        first = np.flatnonzero(np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (row[1:] != row[:-1])]))
+        last, row = np.append(first[1:], len(at)) - 1, row[first]
+        h, doc, tag, s = (np.array([r[c] for r in rows], np.int64)[row] for c in range(4))
+        s, e, k1, k2 = s + step[first], s + step[last], k1[first], k2[first]
+        order = np.lexsort((s, tag, doc, k2, k1))
+        h, doc, tag, s, e, k1, k2 = (x[order] for x in (h, doc, tag, s, e, k1, k2))
+        fresh = np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])])
+        later = doc > doc[fresh][np.cumsum(fresh) - 1]
+        yield from known(*(x[later] for x in (h, doc, tag, s, e)))
+        h, doc, tag, s, e, k1, k2 = (x[~later] for x in (h, doc, tag, s, e, k1, k2))
+        new = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in (k1, k2, doc, tag)], axis=0)]))
+        runs = np.stack([s, e], axis=1)
+        more = [runs[a + 1 : b].tobytes() if b > a + 1 else None for a, b in zip(new.tolist(), [*new[1:].tolist(), len(s)], strict=True)]
+        yield _decided(*(x[new] for x in (k1, k2, h, doc, tag, s, e)), more)
+
+    def known(h: np.ndarray, doc: np.ndarray, tag: np.ndarray, s: np.ndarray, e: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Strings that these rows alone decide: those side by side are one run, under a salt."""
+        if not len(s):
+            return
+        order = np.lexsort((s, tag, doc))
+        h, doc, tag, s, e = (x[order] for x in (h, doc, tag, s, e))
+        start = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in (doc, tag)], axis=0) | (s[1:] != e[:-1] + 1)]))
+        none = np.zeros(len(start), np.int64)
+        salt = ((doc[start] * 2654435761 & 0x7FFFFFFF) | 1).astype(np.int32)
+        made = _batch({"c1": none, "c2": none, "salt": salt, "h": h[start], "doc": doc[start], "tag": tag[start], "s": s[start], "e": e[np.append(start[1:], len(s)) - 1]})
+        yield pa.RecordBatch.from_arrays([*made.columns, pa.nulls(len(start), pa.binary()), pa.nulls(len(start), pa.binary())], names=[*made.schema.names, "bytes", "more"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.append(row)
+                size += len(row[4])
+                if size >= 4 * STEP:
+                    yield from ranked(held)
+                    held, size = [], 0
+        if held:
+            yield from ranked(held)
+
+    return run
+
+
 def _compare(length: int):
     """Of rows sorted by (h, c1, c2, salt, doc), the runs of strings that a smaller document has too."""
 
@@ -348,7 +409,13 @@ def contexts(source: DataFrame, settled: DataFrame, length: int, few: int = FEW)
     # staged, so that Spark sees both sides of the join and may split a hot rank
     several = stage(several.select("h", (F.col("n") > few).cast("long").alias("many")), "several")
     marks = left.join(several, "h").groupBy("doc", "tag").agg(F.flatten(F.collect_set(F.array("h", "s", "e", "many"))).alias("marks"))
-    return source.join(marks, ["doc", "tag"]).select("doc", "tag", "text", "marks").mapInArrow(_contexts(length), CONTEXTS)
+    columns = [c.split(" ")[0] for c in CONTEXTS.split(", ")]
+    rows = stage(source.join(marks, ["doc", "tag"]).select("doc", "tag", "text", "marks").mapInArrow(_contexts(length), CONTEXTS), "contexts")
+    release(source.sparkSession)
+    narrowed = rows.filter("c1 <> 0")
+    hot = stage(narrowed.groupBy("h").agg(F.sum(F.col("e") - F.col("s") + 1).alias("n")).filter(F.col("n") > few).select("h"), "hot")
+    ranked = narrowed.join(hot, "h", "left_semi").select("h", "doc", "tag", "s", "bytes").mapInArrow(_ranks(length), CONTEXTS)
+    return rows.join(hot, "h", "left_anti").select(columns).unionByName(ranked)
 
 
 def tag_of(docs: DataFrame) -> Column | None:

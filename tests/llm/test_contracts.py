@@ -563,6 +563,20 @@ def test_dedup_under_a_hot_prefix(spark, monkeypatch, few):
     assert held <= few and (few > 300) == made[0].filter("bytes IS NULL").isEmpty()
 
 
+def test_a_hot_passage_makes_a_row_for_each_run(spark, monkeypatch):
+    """Strings at the edges of a passage that all documents have go as runs, not one by one."""
+    plain = suffix_dedup.contexts
+    made = []
+    monkeypatch.setattr(suffix_dedup, "contexts", lambda *a: made.append(plain(*a, few=300)) or made[0])
+    passage = "The one passage that every document of this table has somewhere in it, of more than one hundred bytes in all"
+    rows = [(k, f"{k * 7919:07x} begins with its own {k * k:09d} words{passage}{k * 104729:08x} ends with others {k * 31:06d} as well") for k in range(400)]
+    docs = frame(spark, rows).coalesce(2)
+    assert dedup_rows(suffix_dedup.suffix_dedup(docs)) == dedup_by_hand(rows)
+    told = made[0].repartition(4, "h", "c1", "salt").sortWithinPartitions("h", "c1", "c2", "salt", "doc").mapInArrow(suffix_dedup._compare(50), "doc long, tag long, s long, e long")
+    # one by one they were 9,079 rows
+    assert not made[0].filter("bytes IS NULL").isEmpty() and told.count() < 8 * len(rows)
+
+
 def test_ranks_of_many_documents_are_spread(spark):
     head = "A licence line that very many documents begin with, over fifty bytes; "
     docs = spark.createDataFrame([(k, head + f"{k * 7919:x} own {k}") for k in range(8000)], "doc long, text string").repartition(8)
