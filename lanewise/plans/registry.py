@@ -142,10 +142,10 @@ def read_back(log: DataFrame) -> DataFrame:
 
 
 def _archive(log: DataFrame) -> tuple[paged.Fetch, DataFrame]:
-    """Page function over an archive of the log, and its boards."""
+    """Page function over an archive of the log, and its boards in parts."""
     path = fresh_path(log.sparkSession, "archive")
     paged.write_pages(log.withColumn("board_name", F.lit(None).cast("string")), path)
-    return paged.archived(path), log.select(F.col("board_id").cast("string").alias("board_id")).distinct()
+    return paged.archived(path), paged.time_parts(log)
 
 
 def paged_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition
 
@@ -204,35 +207,81 @@ def load_pages(spark: SparkSession, boards: DataFrame, fetch: Fetch, batch: int
     return spark.read.format(name).option("path", path).option("batch", batch).option("push", push).load()
 
 
+#: Rows of a file of an archive; a page is read from the few files that its time lies in.
+FILE_ROWS = 10_000
+#: How dates are spelled in an archive.
+SPELLED = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
+
+
 def write_pages(log: DataFrame, path: str) -> None:
-    """An archive of actions that :func:`archived` serves page by page: JSON lines, a folder for each board and day."""
-    date = F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("date")
-    lines = F.to_json(F.struct("pos", "id", "type", date, "idMemberCreator", "data")).alias("value")
-    rows = nested(log).select("board_id", F.to_date("date").alias("day"), lines, "date")
-    rows.repartitionByRange("board_id", "date").drop("date").write.partitionBy("board_id", "day").text(path)
+    """An archive of actions that :func:`archived` serves page by page: JSON lines in Parquet, a folder for each board and
+    day; its files are short and each holds a stretch of time, which its footer tells."""
+    lines = F.to_json(F.struct("pos", "id", "type", F.date_format("date", SPELLED).alias("date"), "idMemberCreator", "data")).alias("value")
+    rows = nested(log).select("board_id", F.to_date("date").alias("day"), F.date_format("date", SPELLED).alias("date"), "pos", lines)
+    ordered = rows.repartitionByRange("board_id", "date").sortWithinPartitions("board_id", "day", "date", "pos")
+    ordered.write.partitionBy("board_id", "day").option("maxRecordsPerFile", FILE_ROWS).parquet(path)
+
+
+@lru_cache(maxsize=4096)
+def _span(path: str) -> tuple[str, str]:
+    """First and last date in a file of an archive; files are never written again under their name."""
+    system, inner = _open(path)
+    with system.open_input_file(inner) as f:
+        meta = pq.ParquetFile(f).metadata
+    at = meta.schema.names.index("date")
+    stats = [meta.row_group(k).column(at).statistics for k in range(meta.num_row_groups)]
+    if any(s is None or not s.has_min_max for s in stats):
+        return "", "\uffff"
+    return min((s.min for s in stats), default=""), max((s.max for s in stats), default="")
+
+
+@lru_cache(maxsize=4)
+def _rows(path: str) -> tuple[list[str], list[int], pa.ChunkedArray]:
+    """Dates, pos and lines of a file of an archive, oldest first."""
+    system, inner = _open(path)
+    with system.open_input_file(inner) as f:
+        rows = pq.ParquetFile(f).read(["date", "pos", "value"]).sort_by([("date", "ascending"), ("pos", "ascending")])
+    return rows.column("date").to_pylist(), rows.column("pos").to_pylist(), rows.column("value")
 
 
 def archived(path: str) -> Fetch:
-    """A page function over an archive; it opens the days it needs, newest first."""
+    """A page function over an archive; it opens the days and files it needs, newest first, and parses the page only."""
 
     def fetch(board_id: str, before: str | None, batch: int) -> list[dict]:
         system, inner = _open(path)
-        page: list[dict] = []
+        root = path.removesuffix(inner)
+        page: list[str] = []
         for day in sorted((f.path for f in system.get_file_info(fs.FileSelector(f"{inner}/board_id={board_id}"))), reverse=True):
             if len(page) >= batch:
                 break
             if before is None or day.rpartition("=")[2] <= before[:10]:
-                found = []
-                for f in system.get_file_info(fs.FileSelector(day)):
-                    if f.size and not f.base_name.startswith(("_", ".")):
-                        with system.open_input_stream(f.path) as lines:
-                            found += map(json.loads, lines.read().decode().split("\n")[:-1])
-                page += sorted((a for a in found if before is None or a["date"] <= before), key=lambda a: (a["date"], a["pos"]), reverse=True)
-        return page[:batch]
+                files = [root + f.path for f in system.get_file_info(fs.FileSelector(day)) if f.size and not f.base_name.startswith(("_", "."))]
+                found: list[tuple] = []
+                for (first, last), file in sorted(((_span(f), f) for f in files), key=lambda x: x[0][1], reverse=True):
+                    if len(found) >= batch and found[batch - 1][0] > last:
+                        break
+                    if before is None or first <= before:
+                        dates, pos, lines = _rows(file)
+                        stop = len(dates) if before is None else bisect_right(dates, before)
+                        start = max(0, stop - batch)
+                        found += zip(dates[start:stop], pos[start:stop], lines[start:stop].to_pylist(), strict=True)
+                        found.sort(key=lambda a: a[:2], reverse=True)
+                page += [line for _, _, line in found[: batch - len(page)]]
+        return [json.loads(line) for line in page]
 
     return fetch
 
 
+def time_parts(log: DataFrame, rows: int = 50_000) -> DataFrame:
+    """Boards (board_id, since, before) cut at hours into parts of about so many actions, to be read side by side."""
+    hours = log.groupBy(F.col("board_id").cast("string").alias("board_id"), F.date_trunc("hour", "date").alias("hour")).count()
+    by_hour = Window.partitionBy("board_id").orderBy("hour")
+    nth = F.floor((F.sum("count").over(by_hour) - F.col("count")) / rows)
+    parts = hours.select("board_id", "hour", nth.alias("part")).groupBy("board_id", "part").agg(F.date_format(F.min("hour"), SPELLED).alias("hour"))
+    by_part = Window.partitionBy("board_id").orderBy("part")
+    return parts.select("board_id", F.when(F.row_number().over(by_part) > 1, F.col("hour")).alias("since"), F.lead("hour").over(by_part).alias("before"))
+
+
 def refresh(spark: SparkSession, ids: str, fetch: Fetch, out: str, checkpoint: str, clock: Callable[[], str] = now, batch: int = 1000, name: str = "board_pages") -> DataFrame:
     """Bring the stored log at ``out`` up to ``clock()``, from where it stopped; ``ids``: files of write_board_ids.
 
