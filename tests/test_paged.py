@@ -123,3 +123,33 @@ def test_archive_serves_pages(spark, tmp_path, sf_dir):
     got = paged.actions(paged.load_pages(spark, boards, paged.archived(str(tmp_path / "a")), 97, 2))
     flat = lambda df: sorted(map(str, df.select("id", "type", F.col("date").cast("string"), "card_id", "list_id", "list_after_name", "old_name").collect()))
     assert flat(got) == flat(log.withColumn("id", F.col("id").cast("string")))
+
+
+def test_archive_pages_open_few_files(spark, tmp_path, monkeypatch):
+    """A page of a busy day costs the files that it lies in, not the day; parts of a board make up the board."""
+    when = F.timestamp_micros(F.lit(1704067200000000) + F.col("id") * 500000)
+    log = spark.range(40000).select(F.lit("b").alias("board_id"), F.lit("n").alias("board_name"), F.col("id").alias("pos"), F.col("id").cast("string").alias("id"), F.lit("createList").alias("type"), when.alias("date"), F.lit("m").alias("member_id"), *[F.lit(None).cast(t).alias(c) for c, t in (x.split(" ") for x in board_log.LOG.split(", ")[7:])])
+    monkeypatch.setattr(paged, "FILE_ROWS", 2000)
+    paged.write_pages(log, str(tmp_path / "a"))
+    fetch, opened = paged.archived(str(tmp_path / "a")), []
+    plain = paged.json.loads
+    monkeypatch.setattr(paged.json, "loads", lambda *a: opened.append(1) or plain(*a))
+    got = [a["pos"] for page in paged.pages(fetch, "b", 1000) for a in page]
+    assert got == list(range(40000))[::-1]
+    assert len(opened) < 41000  # each line about once; all lines of the day for each page before
+    parts = paged.time_parts(log, 10000)
+    cut = paged.actions(paged.load_pages(spark, parts, fetch, 1000, 2))
+    assert parts.count() > 2 and cut.count() == cut.select("id").distinct().count() == 40000
+
+
+def test_refresh_of_parts(spark, tmp_path):
+    """Boards cut into parts: a refresh reads what lies in its time, each action once."""
+    board, fetch = service(60)
+    ids, out, at = fresh_path(spark, "ids"), str(tmp_path / "log"), str(tmp_path / "checkpoint")
+    log = spark.createDataFrame([("b1", a["date"]) for a in board], "board_id string, date string").withColumn("date", F.to_timestamp("date"))
+    parts = paged.time_parts(log, 20)
+    assert parts.count() == 3
+    paged.write_board_ids(parts, ids, 2)
+    for k in (30, 0):
+        got = sorted(r["id"] for r in paged.refresh(spark, ids, fetch, out, at, lambda k=k: board[k]["date"], 7).collect())
+        assert got == sorted(f"b1-{a['id']}" for a in board if a["date"] < board[k]["date"])
