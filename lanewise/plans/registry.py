@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -161,9 +162,9 @@ def refreshed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     fetch, boards = _archive(log)
     ids, out, checkpoint = (fresh_path(spark, x) for x in ("board-ids", "refreshed", "refreshed-checkpoint"))
     paged.write_board_ids(boards, ids)
-    first, last = log.agg(F.min("date"), F.max("date")).first()
+    first, last = (t or dt.datetime(1970, 1, 1) for t in log.agg(F.min("date"), F.max("date")).first())  # a log without rows has none
     spell = lambda t: t.strftime("%Y-%m-%dT%H:%M:%S.%fZ")
-    for upto in (first + (last - first) / 2, last + (last - first)):
+    for upto in (first + (last - first) / 2, last + dt.timedelta(seconds=1)):
         got = paged.refresh(spark, ids, fetch, out, checkpoint, lambda upto=upto: spell(upto))
     return read_back(got)
 

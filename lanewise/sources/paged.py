@@ -11,7 +11,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 from bisect import bisect_right
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from functools import lru_cache
 
 import pyarrow as pa
@@ -24,13 +24,32 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from lanewise.sources.board_log import ACTION, flatten, nested
 from lanewise.staging import fresh_path
 
-Fetch = Callable[[str, str | None, int], list[dict]]
+Fetch = Callable[[str, str | None, int], list[Mapping]]
 #: Of a row either action or error is null.
 PAGES = "board_id string, pos long, action string, error string"
 ARROW = pa.schema([("board_id", pa.string()), ("pos", pa.int64()), ("action", pa.string()), ("error", pa.string())])
 
 
-def pages(fetch: Fetch, board_id: str, batch: int = 1000, retries: int = 3, before: str | None = None, since: str | None = None) -> Iterator[list[dict]]:
+class Line(Mapping):
+    """An action as its line of JSON: what is known of it is at hand, all else is parsed when it is asked for."""
+
+    __slots__ = ("line", "known")
+
+    def __init__(self, line: str, **known):
+        self.line, self.known = line, known
+
+    def __getitem__(self, key: str):
+        found = self.known.get(key)
+        return json.loads(self.line)[key] if found is None else found
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(json.loads(self.line))
+
+    def __len__(self) -> int:
+        return len(json.loads(self.line))
+
+
+def pages(fetch: Fetch, board_id: str, batch: int = 1000, retries: int = 3, before: str | None = None, since: str | None = None) -> Iterator[list[Mapping]]:
     """Pages of a board's actions, newest first, until a short page.
 
     A page that fails is asked for again ``retries`` times. The next page starts before the date of
@@ -65,7 +84,8 @@ def page_batches(fetch: Fetch, boards: Iterable[tuple[str, str | None, str | Non
         try:
             for page in pages(fetch, board, batch, retries, before, since):
                 if page:
-                    yield pa.record_batch([[board] * len(page), [-n - k for k in range(len(page))], [json.dumps(a) for a in page], [None] * len(page)], schema=ARROW)
+                    lines = [a.line if isinstance(a, Line) else json.dumps(a) for a in page]
+                    yield pa.record_batch([[board] * len(page), [-n - k for k in range(len(page))], lines, [None] * len(page)], schema=ARROW)
                     n += len(page)
         except Exception as e:
             if not keep_going:
@@ -192,9 +212,10 @@ def failed_boards(paged: DataFrame) -> DataFrame:
 
 
 def write_board_ids(boards: DataFrame, path: str, tasks: int | None = None) -> None:
-    """Files of board ids (column board_id; optionally since and before), one for each task that is to read them (as many as there are cores)."""
+    """Files of board ids (column board_id; optionally since and before), one for each task that is to read them (four for
+    each core, since boards and what of them lies in a refresh differ)."""
     columns = [F.coalesce(F.col(c), F.lit("")) if c in boards.columns else F.lit("") for c in ("board_id", "since", "before")]
-    boards.select(F.concat_ws("\t", *columns).alias("value")).repartition(tasks or boards.sparkSession.sparkContext.defaultParallelism).write.text(path)
+    boards.select(F.concat_ws("\t", *columns).alias("value")).repartition(tasks or 4 * boards.sparkSession.sparkContext.defaultParallelism).write.text(path)
 
 
 def load_pages(spark: SparkSession, boards: DataFrame, fetch: Fetch, batch: int = 1000, tasks: int | None = None, name: str = "board_pages") -> DataFrame:
@@ -216,10 +237,12 @@ SPELLED = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 def write_pages(log: DataFrame, path: str) -> None:
     """An archive of actions that :func:`archived` serves page by page: JSON lines in Parquet, a folder for each board and
     day; its files are short and each holds a stretch of time, which its footer tells."""
-    lines = F.to_json(F.struct("pos", "id", "type", F.date_format("date", SPELLED).alias("date"), "idMemberCreator", "data")).alias("value")
-    rows = nested(log).select("board_id", F.to_date("date").alias("day"), F.date_format("date", SPELLED).alias("date"), "pos", lines)
+    rows = nested(log).withColumn("day", F.to_date("date"))
     ordered = rows.repartitionByRange("board_id", "date").sortWithinPartitions("board_id", "day", "date", "pos")
-    ordered.write.partitionBy("board_id", "day").option("maxRecordsPerFile", FILE_ROWS).parquet(path)
+    # after the shuffle: ranges are found on a sample of rows that are made whole, and lines are longer than rows
+    date = F.date_format("date", SPELLED).alias("date")
+    lines = F.to_json(F.struct("pos", "id", "type", date, "idMemberCreator", "data")).alias("value")
+    ordered.select("board_id", "day", date, "pos", "id", lines).write.partitionBy("board_id", "day").option("maxRecordsPerFile", FILE_ROWS).parquet(path)
 
 
 @lru_cache(maxsize=4096)
@@ -235,22 +258,27 @@ def _span(path: str) -> tuple[str, str]:
     return min((s.min for s in stats), default=""), max((s.max for s in stats), default="")
 
 
+def _list(column: pa.ChunkedArray) -> list:
+    """By numpy, which is faster, unless numbers with nulls would come back as floats."""
+    return column.to_pylist() if column.null_count else column.to_numpy().tolist()
+
+
 @lru_cache(maxsize=4)
-def _rows(path: str) -> tuple[list[str], list[int], pa.ChunkedArray]:
-    """Dates, pos and lines of a file of an archive, oldest first."""
+def _rows(path: str) -> tuple[list[str], list[int], list, list[str]]:
+    """Dates, pos, ids and lines of a file of an archive, oldest first."""
     system, inner = _open(path)
     with system.open_input_file(inner) as f:
-        rows = pq.ParquetFile(f).read(["date", "pos", "value"]).sort_by([("date", "ascending"), ("pos", "ascending")])
-    return rows.column("date").to_pylist(), rows.column("pos").to_pylist(), rows.column("value")
+        rows = pq.ParquetFile(f).read(["date", "pos", "id", "value"]).sort_by([("date", "ascending"), ("pos", "ascending")])
+    return tuple(_list(c) for c in rows.columns)
 
 
 def archived(path: str) -> Fetch:
-    """A page function over an archive; it opens the days and files it needs, newest first, and parses the page only."""
+    """A page function over an archive; it opens the days and files it needs, newest first, and hands lines on as they are."""
 
-    def fetch(board_id: str, before: str | None, batch: int) -> list[dict]:
+    def fetch(board_id: str, before: str | None, batch: int) -> list[Mapping]:
         system, inner = _open(path)
         root = path.removesuffix(inner)
-        page: list[str] = []
+        page: list[Mapping] = []
         for day in sorted((f.path for f in system.get_file_info(fs.FileSelector(f"{inner}/board_id={board_id}"))), reverse=True):
             if len(page) >= batch:
                 break
@@ -261,13 +289,14 @@ def archived(path: str) -> Fetch:
                     if len(found) >= batch and found[batch - 1][0] > last:
                         break
                     if before is None or first <= before:
-                        dates, pos, lines = _rows(file)
+                        columns = _rows(file)
+                        dates = columns[0]
                         stop = len(dates) if before is None else bisect_right(dates, before)
                         start = max(0, stop - batch)
-                        found += zip(dates[start:stop], pos[start:stop], lines[start:stop].to_pylist(), strict=True)
+                        found += zip(*(c[start:stop] for c in columns), strict=True)
                         found.sort(key=lambda a: a[:2], reverse=True)
-                page += [line for _, _, line in found[: batch - len(page)]]
-        return [json.loads(line) for line in page]
+                page += [Line(line, id=id, date=date) for date, _, id, line in found[: batch - len(page)]]
+        return page
 
     return fetch
 

@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from lanewise.plans.registry import QUERIES
 from lanewise.sources import board_log, paged
 from lanewise.staging import fresh_path
 
@@ -153,3 +154,44 @@ def test_refresh_of_parts(spark, tmp_path):
     for k in (30, 0):
         got = sorted(r["id"] for r in paged.refresh(spark, ids, fetch, out, at, lambda k=k: board[k]["date"], 7).collect())
         assert got == sorted(f"b1-{a['id']}" for a in board if a["date"] < board[k]["date"])
+
+
+def test_lines_of_an_archive_go_through_unparsed(spark, tmp_path, sf_dir, monkeypatch):
+    """Reading pages of an archive parses no line and writes none again; who asks for more of an action gets all of it."""
+    log = board_log.from_events(spark, sf_dir).withColumn("board_name", F.lit("n"))
+    paged.write_pages(log, str(tmp_path / "a"))
+    fetch = paged.archived(str(tmp_path / "a"))
+    page = fetch("1", None, 20)
+    assert [dict(a) for a in page] == [json.loads(a.line) for a in page] and len(page[0]) == len(json.loads(page[0].line))
+    assert all(a[k] == json.loads(a.line)[k] for a in page for k in ("id", "date", "pos", "data"))
+    with pytest.raises(KeyError):
+        page[0]["nothing"]
+
+    def never(*a):
+        raise AssertionError("a line was parsed or written")
+
+    monkeypatch.setattr(paged.json, "loads", never)
+    monkeypatch.setattr(paged.json, "dumps", never)
+    got = [r for b in paged.page_batches(fetch, [("1", None, None)], 97) for r in b.to_pylist()]
+    monkeypatch.undo()
+    assert [r["error"] for r in got] == [None] * len(got)
+    assert sorted(json.loads(r["action"])["id"] for r in got) == sorted(r["id"] for r in log.filter("board_id = 1").select("id").collect())
+
+
+def test_archived_ids_with_nulls_stay_whole_numbers():
+    assert paged._list(paged.pa.chunked_array([[2**60 + 1, None]])) == [2**60 + 1, None]
+    assert paged._list(paged.pa.chunked_array([[2**60 + 1], [3]])) == [2**60 + 1, 3]
+
+
+def test_boards_are_dealt_over_more_tasks_than_cores(spark):
+    ids = fresh_path(spark, "ids")
+    paged.write_board_ids(spark.range(200).select(F.col("id").cast("string").alias("board_id")), ids)
+    assert len(paged._files(ids)) == 4 * spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("rows", [0, 1, 50])
+def test_refreshed_log_of_one_time(spark, tmp_path, sf_dir, rows):
+    """All actions of one time, or none: the last refresh takes them in."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").limit(rows)
+    events.withColumn("ts", F.lit("2024-01-01 10:00:00.5").cast("timestamp_ntz")).write.parquet(str(tmp_path / "events.parquet"))
+    assert sorted(r["id"] for r in QUERIES["refreshed_log"](spark, str(tmp_path)).collect()) == sorted(str(r["event_id"]) for r in events.collect())
