@@ -150,10 +150,10 @@ def _archive(log: DataFrame) -> tuple[paged.Fetch, DataFrame]:
 
 
 def paged_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log through the paged source."""
+    """The log through the paged source; a board that fails fails the query, since less than the log is no result."""
     log = from_events(spark, sf_dir)
     fetch, boards = _archive(log)
-    return read_back(paged.actions(paged.load_pages(spark, boards, fetch)))
+    return read_back(paged.actions(paged.load_pages(spark, boards, fetch, keep_going=False)))
 
 
 def refreshed_log(spark: SparkSession, sf_dir: str) -> DataFrame:

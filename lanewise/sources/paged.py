@@ -1,8 +1,9 @@
 """Boards read page by page, as a batch and as a stream source of Spark's Python data source API.
 
 A page function ``fetch(board_id, before, batch)`` gives up to ``batch`` actions of a board that
-are older than (or as old as) ``before``, newest first. Readers hold one page, hand each on as
-an Arrow batch, and a board that fails is a row with an error. Boards come from text files, a
+are older than (or as old as) ``before``, newest first; ``before`` is a date, or the cursor of a
+:class:`Line` that it gave. Readers hold one page and hand each on as an Arrow batch. A board that
+fails is a row with an error, or fails the query (``keep_going``). Boards come from text files, a
 task for each file, so the driver sees file names only.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from functools import lru_cache
 
@@ -24,19 +25,23 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from lanewise.sources.board_log import ACTION, flatten, nested
 from lanewise.staging import fresh_path
 
-Fetch = Callable[[str, str | None, int], list[Mapping]]
+Cursor = tuple[str, int]
+Fetch = Callable[[str | None, str | Cursor | None, int], list[Mapping]]
+#: A board whose id is null, in files of boards.
+NULL = "\\N"
 #: Of a row either action or error is null.
 PAGES = "board_id string, pos long, action string, error string"
 ARROW = pa.schema([("board_id", pa.string()), ("pos", pa.int64()), ("action", pa.string()), ("error", pa.string())])
 
 
 class Line(Mapping):
-    """An action as its line of JSON: what is known of it is at hand, all else is parsed when it is asked for."""
+    """An action as its line of JSON: what is known of it is at hand, all else is parsed when it is asked for.
+    What comes after it is asked for by its cursor."""
 
-    __slots__ = ("line", "known")
+    __slots__ = ("line", "cursor", "known")
 
-    def __init__(self, line: str, **known):
-        self.line, self.known = line, known
+    def __init__(self, line: str, cursor: Cursor, **known):
+        self.line, self.cursor, self.known = line, cursor, known
 
     def __getitem__(self, key: str):
         found = self.known.get(key)
@@ -55,7 +60,8 @@ def pages(fetch: Fetch, board_id: str, batch: int = 1000, retries: int = 3, befo
     A page that fails is asked for again ``retries`` times. The next page starts before the date of
     the last action; where the source takes that for "or at it", what was there already is left out.
     Where a full page holds nothing but actions of the very date that it was to start before, what is
-    older can not be reached: ValueError. Only actions before ``before`` and not before ``since``
+    older can not be reached: ValueError. After a page of Lines the next starts right after the last one,
+    however many have its date or id. Only actions before ``before`` and not before ``since``
     count; all dates are of one format, so that they compare as they are.
     """
     cursor, known = before, set()
@@ -67,18 +73,22 @@ def pages(fetch: Fetch, board_id: str, batch: int = 1000, retries: int = 3, befo
             except OSError:
                 if attempt == retries:
                     raise
-        yield [a for a in page if a["id"] not in known and (before is None or a["date"] < before) and (since is None or a["date"] >= since)]
+        lines = bool(page) and isinstance(page[-1], Line)
+        yield [a for a in page if (lines or a["id"] not in known) and (before is None or a["date"] < before) and (since is None or a["date"] >= since)]
         if len(page) < batch or since is not None and page[-1]["date"] < since:
             return
+        if lines:
+            cursor = page[-1].cursor
+            continue
         last = page[-1]["date"]
         if last == cursor:
             raise ValueError(f"board {board_id} has {batch} actions or more at {last}; ask for larger pages")
         cursor, known = last, {a["id"] for a in page if a["date"] == last}
 
 
-def page_batches(fetch: Fetch, boards: Iterable[tuple[str, str | None, str | None]], batch: int, retries: int = 3, keep_going: bool = True) -> Iterator[pa.RecordBatch]:
+def page_batches(fetch: Fetch, boards: Iterable[tuple[str | None, str | None, str | None]], batch: int, retries: int = 3, keep_going: bool = True) -> Iterator[pa.RecordBatch]:
     """Arrow batches of PAGES, one a page; ``boards``: (id, since, before). ``keep_going``: a board that fails gives
-    a row with the error, after the pages that came."""
+    a row with the error, after the pages that came, which are a part of it only; else it raises."""
     for board, since, before in boards:
         n = 0
         try:
@@ -116,7 +126,7 @@ def _files(path: str) -> list[str]:
     return [f"{path.rstrip('/')}/{n}" for n in names]
 
 
-def _boards(part: _File, only: set[str] | None = None) -> Iterator[tuple[str, str | None, str | None]]:
+def _boards(part: _File, only: set[str] | None = None) -> Iterator[tuple[str | None, str | None, str | None]]:
     """Lines of a file: an id and, after tabs, since and before; those that the reader was given narrow them."""
     system, inner = _open(part.path)
     with system.open_input_stream(inner) as f:
@@ -126,7 +136,7 @@ def _boards(part: _File, only: set[str] | None = None) -> Iterator[tuple[str, st
                 since = max((x for x in (since, part.since) if x), default=None)
                 before = min((x for x in (before, part.before) if x), default=None)
                 if since is None or before is None or since < before:
-                    yield board, since, before
+                    yield None if board == NULL else board, since, before
 
 
 def now(lag_s: float = 60) -> str:
@@ -136,7 +146,8 @@ def now(lag_s: float = 60) -> str:
 
 def page_source(fetch: Fetch, name: str = "board_pages", clock: Callable[[], str] = now) -> type[DataSource]:
     """A source to register with ``spark.dataSource.register``. Options: ``path`` (files of board ids, optionally with
-    since and before after tabs), ``batch`` (1000), ``retries`` (3), ``since`` (nothing older is read), ``push``: with "true", a filter on board_id keeps
+    since and before after tabs), ``batch`` (1000), ``retries`` (3), ``since`` (nothing older is read), ``keep_going`` ("true"): otherwise a board
+    that fails stops a batch query too, ``push``: with "true", a filter on board_id keeps
     other boards from being asked for; Spark wants spark.sql.python.filterPushdown.enabled for it.
 
     As a stream its offset is a time: a batch reads of all boards what is dated from the last offset to the
@@ -152,7 +163,8 @@ def page_source(fetch: Fetch, name: str = "board_pages", clock: Callable[[], str
             return [_File(f, self.options.get("since"), self.options.get("before")) for f in _files(self.options["path"])]
 
         def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
-            return page_batches(fetch, _boards(partition, self.only), int(self.options.get("batch", 1000)), int(self.options.get("retries", 3)))
+            keep_going = self.options.get("keep_going", "true") == "true"
+            return page_batches(fetch, _boards(partition, self.only), int(self.options.get("batch", 1000)), int(self.options.get("retries", 3)), keep_going)
 
     class PagesOfSome(Pages):
         def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
@@ -201,7 +213,8 @@ def page_source(fetch: Fetch, name: str = "board_pages", clock: Callable[[], str
 
 
 def actions(paged: DataFrame) -> DataFrame:
-    """The log of rows of PAGES, batch or stream; errors are left out, see :func:`failed_boards`."""
+    """The log of rows of PAGES, batch or stream; errors are left out, so where pages were read with ``keep_going``
+    the log is whole only if :func:`failed_boards` has no rows."""
     rows = paged.filter("error IS NULL").select("board_id", "pos", F.from_json("action", ACTION).alias("a"))
     return flatten(rows.select("board_id", "pos", "a.*"))
 
@@ -214,48 +227,53 @@ def failed_boards(paged: DataFrame) -> DataFrame:
 def write_board_ids(boards: DataFrame, path: str, tasks: int | None = None) -> None:
     """Files of board ids (column board_id; optionally since and before), one for each task that is to read them (four for
     each core, since boards and what of them lies in a refresh differ)."""
-    columns = [F.coalesce(F.col(c), F.lit("")) if c in boards.columns else F.lit("") for c in ("board_id", "since", "before")]
+    columns = [F.coalesce(F.col(c), F.lit(null)) if c in boards.columns else F.lit("") for c, null in (("board_id", NULL), ("since", ""), ("before", ""))]
     boards.select(F.concat_ws("\t", *columns).alias("value")).repartition(tasks or 4 * boards.sparkSession.sparkContext.defaultParallelism).write.text(path)
 
 
-def load_pages(spark: SparkSession, boards: DataFrame, fetch: Fetch, batch: int = 1000, tasks: int | None = None, name: str = "board_pages") -> DataFrame:
+def load_pages(spark: SparkSession, boards: DataFrame, fetch: Fetch, batch: int = 1000, tasks: int | None = None, name: str = "board_pages", keep_going: bool = True) -> DataFrame:
     """Rows of PAGES of the boards; a board with since and before is read in that time only, so that several rows cut
-    a very large board into parts that are read side by side."""
+    a very large board into parts that are read side by side. ``keep_going``: a board that fails is a row with its error,
+    else the query fails."""
     path = fresh_path(spark, "board-ids")
     write_board_ids(boards, path, tasks)
     spark.dataSource.register(page_source(fetch, name))
     push = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
-    return spark.read.format(name).option("path", path).option("batch", batch).option("push", push).load()
+    return spark.read.format(name).option("path", path).option("batch", batch).option("push", push).option("keep_going", keep_going).load()
 
 
 #: Rows of a file of an archive; a page is read from the few files that its time lies in.
 FILE_ROWS = 10_000
 #: How dates are spelled in an archive.
 SPELLED = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
+#: What Spark calls the folder of a null.
+NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
 
 
 def write_pages(log: DataFrame, path: str) -> None:
     """An archive of actions that :func:`archived` serves page by page: JSON lines in Parquet, a folder for each board and
-    day; its files are short and each holds a stretch of time, which its footer tells."""
+    day; its files are short and each holds a stretch of time, which its footer tells. Actions have numbers of their
+    own (``nth``), which tell those of one date apart; no date is spelled as an empty string."""
     rows = nested(log).withColumn("day", F.to_date("date"))
     ordered = rows.repartitionByRange("board_id", "date").sortWithinPartitions("board_id", "day", "date", "pos")
     # after the shuffle: ranges are found on a sample of rows that are made whole, and lines are longer than rows
-    date = F.date_format("date", SPELLED).alias("date")
-    lines = F.to_json(F.struct("pos", "id", "type", date, "idMemberCreator", "data")).alias("value")
-    ordered.select("board_id", "day", date, "pos", "id", lines).write.partitionBy("board_id", "day").option("maxRecordsPerFile", FILE_ROWS).parquet(path)
+    date = F.date_format("date", SPELLED)
+    lines = F.to_json(F.struct("pos", "id", "type", date.alias("date"), "idMemberCreator", "data")).alias("value")
+    nth = F.monotonically_increasing_id().alias("nth")  # in order of pos, since a date lies in one range
+    ordered.select("board_id", "day", F.coalesce(date, F.lit("")).alias("date"), nth, lines).write.partitionBy("board_id", "day").option("maxRecordsPerFile", FILE_ROWS).parquet(path)
 
 
 @lru_cache(maxsize=4096)
-def _span(path: str) -> tuple[str, str]:
-    """First and last date in a file of an archive; files are never written again under their name."""
+def _span(path: str) -> tuple[Cursor, Cursor]:
+    """Bounds of the cursors in a file of an archive; files are never written again under their name."""
     system, inner = _open(path)
     with system.open_input_file(inner) as f:
         meta = pq.ParquetFile(f).metadata
-    at = meta.schema.names.index("date")
-    stats = [meta.row_group(k).column(at).statistics for k in range(meta.num_row_groups)]
-    if any(s is None or not s.has_min_max for s in stats):
-        return "", "\uffff"
-    return min((s.min for s in stats), default=""), max((s.max for s in stats), default="")
+    at = [meta.schema.names.index(c) for c in ("date", "nth")]
+    stats = [[meta.row_group(k).column(c).statistics for c in at] for k in range(meta.num_row_groups)]
+    if any(s is None or not s.has_min_max for group in stats for s in group):
+        return ("", 0), ("\uffff", 0)
+    return tuple(min(s.min for s in c) for c in zip(*stats, strict=True)), tuple(max(s.max for s in c) for c in zip(*stats, strict=True))
 
 
 def _list(column: pa.ChunkedArray) -> list:
@@ -264,38 +282,44 @@ def _list(column: pa.ChunkedArray) -> list:
 
 
 @lru_cache(maxsize=4)
-def _rows(path: str) -> tuple[list[str], list[int], list, list[str]]:
-    """Dates, pos, ids and lines of a file of an archive, oldest first."""
+def _rows(path: str) -> tuple[list[str], list[int], list[str]]:
+    """Dates, nths and lines of a file of an archive, oldest first."""
     system, inner = _open(path)
     with system.open_input_file(inner) as f:
-        rows = pq.ParquetFile(f).read(["date", "pos", "id", "value"]).sort_by([("date", "ascending"), ("pos", "ascending")])
+        rows = pq.ParquetFile(f).read(["date", "nth", "value"]).sort_by([("date", "ascending"), ("nth", "ascending")])
     return tuple(_list(c) for c in rows.columns)
 
 
 def archived(path: str) -> Fetch:
-    """A page function over an archive; it opens the days and files it needs, newest first, and hands lines on as they are."""
+    """A page function over an archive; it opens the days and files it needs, newest first, and hands lines on as they are.
 
-    def fetch(board_id: str, before: str | None, batch: int) -> list[Mapping]:
+    Cursors are (date, nth). Actions without a date are older than all others."""
+
+    def fetch(board_id: str | None, before: str | Cursor | None, batch: int) -> list[Mapping]:
         system, inner = _open(path)
         root = path.removesuffix(inner)
+        end = before if before is None or isinstance(before, tuple) else (before, 0)
         page: list[Mapping] = []
-        for day in sorted((f.path for f in system.get_file_info(fs.FileSelector(f"{inner}/board_id={board_id}"))), reverse=True):
+        folders = system.get_file_info(fs.FileSelector(f"{inner}/board_id={NULL_FOLDER if board_id is None else board_id}"))
+        days = sorted(((f.path.rpartition("=")[2].replace(NULL_FOLDER, ""), f.path) for f in folders), reverse=True)
+        if any(len(day) > 10 for day, _ in days):
+            raise ValueError(f"board {board_id} has dates outside the years 0 to 9999, which do not compare as strings")
+        for day, folder in days:
             if len(page) >= batch:
                 break
-            if before is None or day.rpartition("=")[2] <= before[:10]:
-                files = [root + f.path for f in system.get_file_info(fs.FileSelector(day)) if f.size and not f.base_name.startswith(("_", "."))]
+            if end is None or day <= end[0][:10]:
+                files = [root + f.path for f in system.get_file_info(fs.FileSelector(folder)) if f.size and not f.base_name.startswith(("_", "."))]
                 found: list[tuple] = []
                 for (first, last), file in sorted(((_span(f), f) for f in files), key=lambda x: x[0][1], reverse=True):
-                    if len(found) >= batch and found[batch - 1][0] > last:
+                    if len(found) >= batch and found[batch - 1][:2] > last:
                         break
-                    if before is None or first <= before:
-                        columns = _rows(file)
-                        dates = columns[0]
-                        stop = len(dates) if before is None else bisect_right(dates, before)
+                    if end is None or first < end:
+                        columns = dates, nths, _ = _rows(file)
+                        stop = len(dates) if end is None else bisect_left(nths, end[1], bisect_left(dates, end[0]), bisect_right(dates, end[0]))
                         start = max(0, stop - batch)
                         found += zip(*(c[start:stop] for c in columns), strict=True)
                         found.sort(key=lambda a: a[:2], reverse=True)
-                page += [Line(line, id=id, date=date) for date, _, id, line in found[: batch - len(page)]]
+                page += [Line(line, (at, k), date=at) for at, k, line in found[: batch - len(page)]]
         return page
 
     return fetch

@@ -3,10 +3,11 @@
 import datetime as dt
 import json
 
+import compare
 import pytest
 from pyspark.sql import functions as F
 
-from lanewise.plans.registry import QUERIES
+from lanewise.plans.registry import QUERIES, SQL
 from lanewise.sources import board_log, paged
 from lanewise.staging import fresh_path
 
@@ -195,3 +196,77 @@ def test_refreshed_log_of_one_time(spark, tmp_path, sf_dir, rows):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").limit(rows)
     events.withColumn("ts", F.lit("2024-01-01 10:00:00.5").cast("timestamp_ntz")).write.parquet(str(tmp_path / "events.parquet"))
     assert sorted(r["id"] for r in QUERIES["refreshed_log"](spark, str(tmp_path)).collect()) == sorted(str(r["event_id"]) for r in events.collect())
+
+
+def test_boards_that_break_off_fail_where_that_is_asked_for(spark):
+    _, fetch = service(35)
+
+    def breaks(board_id, before, batch):
+        if board_id == "b2" and before is not None:
+            raise OSError("gone")
+        return fetch(board_id, before, batch)
+
+    boards = spark.createDataFrame([("b1",), ("b2",)], "board_id string")
+    assert paged.actions(paged.load_pages(spark, boards, breaks, 10, 2)).count() == 45
+    with pytest.raises(Exception, match="OSError: gone"):
+        paged.actions(paged.load_pages(spark, boards, breaks, 10, 2, keep_going=False)).count()
+
+
+def test_boards_that_fail_fail_paged_log(spark, sf_dir, monkeypatch):
+    """A part of the log is no result."""
+    archived = paged.archived
+
+    def all_but(path):
+        of_all = archived(path)
+
+        def some(board_id, before, batch):
+            if board_id == "1":
+                raise KeyError("no such board")
+            return of_all(board_id, before, batch)
+
+        return some
+
+    monkeypatch.setattr(paged, "archived", all_but)
+    with pytest.raises(Exception, match="no such board"):
+        QUERIES["paged_log"](spark, sf_dir).collect()
+
+
+ODD = {
+    "many of one time": {"ts": "CASE WHEN event_id % 10 < 7 THEN TIMESTAMP_NTZ '2024-01-10 10:00:00.25' ELSE ts END"},
+    "no times": {"ts": "CASE WHEN event_id % 7 > 1 THEN ts END"},
+    "no boards": {"user_id": "CASE WHEN event_id % 7 > 1 THEN user_id END"},
+    "one id three times": {"event_id": "event_id DIV 3", "user_id": "3L", "ts": "TIMESTAMP_NTZ '2024-01-10 10:00:00' + make_dt_interval(0, 0, 0, event_id DIV 3)"},
+}
+
+
+@pytest.mark.parametrize("name", ["paged_log", "refreshed_log"])
+@pytest.mark.parametrize("odd", sorted(ODD))
+def test_odd_logs_are_read_whole(spark, tmp_path, sf_dir, monkeypatch, odd, name):
+    """More actions of one time than a page holds, actions without a time or a board, ids that stand on both sides of a page's end."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    many = events.crossJoin(spark.range(8).select(F.col("id").alias("k"))).withColumn("event_id", F.col("event_id") + F.col("k") * events.count()).drop("k")
+    many.withColumns({c: F.expr(e) for c, e in ODD[odd].items()}).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(compare, "TABLES", ["events"])
+    assert compare.spark_rows(QUERIES[name](spark, str(tmp_path))) == compare.duck_rows(SQL[name], str(tmp_path))
+
+
+def test_undated_actions_are_the_oldest(spark, tmp_path, sf_dir):
+    """Without ids too: pages of any size give each action once, those without a date last; parts make up the board."""
+    log = board_log.from_events(spark, sf_dir).withColumn("board_name", F.lit(None).cast("string")).withColumns({"date": F.when(F.col("id") % 3 > 0, F.col("date")), "id": F.when(F.col("id") % 5 > 0, F.col("id"))})
+    paged.write_pages(log, str(tmp_path / "a"))
+    fetch = paged.archived(str(tmp_path / "a"))
+    want = sorted(((r["date"] is not None, r["date"], r["pos"]) for r in log.filter("board_id = 1").select("pos", F.date_format("date", paged.SPELLED).alias("date")).collect()), key=lambda x: (x[1] or "", x[2]), reverse=True)
+    for batch in (1, 7, 1000):
+        got = [json.loads(a.line) for page in paged.pages(fetch, "1", batch) for a in page]
+        assert [(a.get("date"), a["pos"]) for a in got] == [x[1:] for x in want]
+    parts = paged.time_parts(log, 50)
+    assert parts.filter("board_id = '1'").count() > 2
+    cut = paged.actions(paged.load_pages(spark, parts, fetch, 7, 2, keep_going=False))
+    assert cut.count() == log.count() and cut.filter("date IS NULL").count() == log.filter("date IS NULL").count()
+
+
+def test_years_that_do_not_order_as_strings_fail(spark, tmp_path, sf_dir):
+    log = board_log.from_events(spark, sf_dir).withColumn("board_name", F.lit(None).cast("string")).withColumn("date", F.col("date") + F.expr("make_interval(9000)"))
+    paged.write_pages(log, str(tmp_path / "a"))
+    with pytest.raises(ValueError, match="0 to 9999"):
+        list(paged.pages(paged.archived(str(tmp_path / "a")), "1"))
